@@ -8,6 +8,7 @@ the number of rows that Spark puts into a batch.
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared checkpoint folder, and read again; for rows that several jobs read."""
+    at = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def crc_mod(column: str, divisor: int):
     """crc32 of the id as text, modulo divisor, on the JVM; a null id counts as the empty text (crc32 0)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
