@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, license_scan, lm_scoring, sentencepiece_viterbi, token_counts
+from . import decontaminate, html_extract, language_id, license_scan, lm_scoring, sentencepiece_viterbi, token_counts, toxicity
 from .common import crc_mod
 
 
@@ -25,6 +25,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, extra={"held_out": held_out})
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_language_id": op2_language_id,
+        "op3_toxicity": op3_toxicity,
         "op4_license_scan": op4_license_scan,
         "op6_decontaminate": op6_decontaminate,
         "op7_html_text": op7_html_text,
