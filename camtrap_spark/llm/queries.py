@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, license_scan, lm_scoring, sentencepiece_viterbi, token_counts, toxicity
+from . import decontaminate, html_extract, language_id, license_scan, lm_scoring, ngram_join, sentencepiece_viterbi, token_counts, toxicity
 from .common import crc_mod
 
 
@@ -50,6 +50,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_text": op7_html_text,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_token_counts": op9_token_counts,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
