@@ -146,6 +146,12 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def hash_words(text: str) -> np.ndarray:
     """The hashes of the white-space separated words of a (short, fixed) text, as `span_hashes` gives them."""
     data, offsets = utf8(pa.array([text]))
@@ -170,6 +176,16 @@ BLOCK = 1 << 12
 BLOCK_SCHEMA = "block long, slots binary, counts binary"
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in the smallest of one, two or four bytes each."""
+    most = int(counts.max())
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def widen(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(counts) // n])
+
+
 def table_blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The non-zero entries of a count table of fixed size, a row for each block of 4096 slots that has any."""
     used = np.flatnonzero(table)
@@ -181,7 +197,7 @@ def table_blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(blocks[at : at + 256], pa.int64()),
                 pa.array([(parts[i] % BLOCK).astype(np.uint16).tobytes() for i in some], pa.binary()),
-                pa.array([table[parts[i]].astype(np.uint32).tobytes() for i in some], pa.binary()),
+                pa.array([narrow(table[parts[i]]) for i in some], pa.binary()),
             ],
             names=["block", "slots", "counts"],
         )
@@ -195,7 +211,8 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = totals.get(block)
             if total is None:
                 total = totals[block] = np.zeros(BLOCK, dtype=np.int64)
-            total[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, np.uint32)
+            at = np.frombuffer(slots, np.uint16)
+            total[at] += widen(counts, len(at))
     for block, total in totals.items():
         yield pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "total"]
@@ -205,6 +222,11 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gather_table(blocks: DataFrame, size: int) -> np.ndarray:
     """The sum of all partial tables: summed by block on the executors, then `size` numbers (a fixed bound) come here."""
     summed = blocks.repartition(F.col("block")).mapInArrow(_sum_blocks, "block long, total binary")
+    return placed_blocks(summed, size)
+
+
+def placed_blocks(summed: DataFrame, size: int) -> np.ndarray:
+    """The table of `size` numbers from rows of block and total; what comes to the driver is as large as the table."""
     out = np.zeros(-(-size // BLOCK) * BLOCK, dtype=np.int64)
     found = summed.toArrow()
     for block, total in zip(found.column(0).to_pylist(), found.column(1)):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import pieces, running, span_hashes
+from .common import pieces, ragged, running, span_hashes
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 META = 0x2581
@@ -270,12 +270,6 @@ class BatchEncoder:
         return self.decoded[ragged(self.decoded_starts[ids], lengths)], ends[until] - ends[until - n_ids]
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions start, start + 1, ... of each run, one run after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 _encoders: dict[int, tuple[Vocabulary, BatchEncoder]] = {}
 
 
