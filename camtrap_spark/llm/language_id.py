@@ -136,3 +136,24 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
 
     schema = rows.drop("text").withColumnRenamed("key", key).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
+
+
+def remove(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose language is told with a probability of `least` or more, with all their columns.
+
+    Rows that are `und` go. If nothing was learned, only rows without a letter go.
+    """
+    scorer, learned = predictor(model, docs), bool(model.langs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text):
+                texts = part.column(text).to_pylist()
+                if learned:
+                    lang, score = scorer(texts)
+                    fine = [x != UND and s >= least for x, s in zip(lang, score)]
+                else:
+                    fine = [t is not None and any(c.isalpha() for c in t) for t in texts]
+                yield part.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
