@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, checkpoint_dir, keep, mix, pieces, running, span_hashes, utf8, words
+from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, checkpoint_dir, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES, DEEPEST = 32, 8
 TARGET_RECALL = 0.9995
-BLOCK_NGRAMS = 1 << 17
+BLOCK_NGRAMS = 1 << 19
+#: Slots of the filter on ids; a fixed size that is broadcast. Ids that share a slot are told apart by the join behind it.
+FILTER_SLOTS = 1 << 22
 SLICE = 1 << 20
 NODE_ROWS = "doc_id long, node long, n_ngrams long, prefixes array<long>"
 
@@ -116,6 +118,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def id_slots(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(FILTER_SLOTS - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, key: str):
+    """A function that tells for each id of an Arrow column whether it may be among `ids` (never wrongly no)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(FILTER_SLOTS, dtype=np.int64)
+        for batch in batches:
+            table[id_slots(batch.column(0))] = 1
+        yield from table_blocks(table)
+
+    used = gather_table(ids.select(F.col(key).cast("long")).mapInArrow(mark, BLOCK_SCHEMA), FILTER_SLOTS) > 0
+    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(used))
+
+    def maybe(column: pa.Array) -> np.ndarray:
+        slots = id_slots(column)
+        return (shared.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+    return maybe
+
+
 def pair_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The number of common n-grams of every set of left with every set of right (flat values and sizes)."""
     values = np.concatenate([left[0], right[0]])
@@ -214,22 +239,21 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     placed = candidates.join(nodes.select("node", "first_id", "copies", "n_ngrams"), "node")
     blocks = placed.groupBy("component").agg(F.ceil(F.sum("n_ngrams") / F.lit(BLOCK_NGRAMS)).cast("int").alias("blocks"))
     dealt = keep(placed.join(blocks, "component").select("node", "component", "first_id", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    texts = docs.join(dealt.select(F.col("first_id").alias("doc_id"), F.col("node").alias("expected"), "component", "copies", "blocks", "block"), "doc_id")
+    maybe = id_filter(dealt, "first_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-gram sets of documents that may be in a component; most others stop here."""
         for batch in batches:
+            batch = batch.filter(pa.array(maybe(batch.column("doc_id"))))
             for part in pieces(batch, "text", SLICE):
                 grams, sizes = ngram_sets(part.column("text"))
-                node = node_ids(grams, sizes).view(np.int64)
                 ends = np.cumsum(sizes)
-                right = np.flatnonzero(node == np.asarray(part.column("expected").to_pylist(), dtype=np.int64))
-                at = pa.array(right)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[right]), *(part.column(n).take(at) for n in ("component", "copies", "blocks", "block")), pa.array([grams[ends[r] - sizes[r] : ends[r]].tobytes() for r in right.tolist()], pa.binary())],
-                    names=["node", "component", "copies", "blocks", "block", "grams"],
+                    [part.column("doc_id"), pa.array(node_ids(grams, sizes).view(np.int64)), pa.array([grams[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes.tolist())], pa.binary())],
+                    names=["doc_id", "node", "grams"],
                 )
 
-    loaded = texts.select("text", "expected", "component", "copies", "blocks", "block").mapInArrow(sets, "node long, component long, copies long, blocks int, block int, grams binary")
+    loaded = docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, node long, grams binary").join(dealt.withColumnRenamed("first_id", "doc_id"), ["doc_id", "node"])
     pairs = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams"
     )
@@ -267,7 +291,8 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     nodes = keep(sketched.where("n_ngrams > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_ngrams").alias("n_ngrams"), F.any_value("prefixes").alias("prefixes")))
     linked = keep(nodes.select("node", "first_id", "copies").join(links(nodes, rows, threshold), "node"))
     named = linked.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    known = nodes.select("node", "first_id", "copies").join(linked.join(named, "component").select("node", "texts", "documents", "class_id"), "node", "left")
+    # A table of its own, so that the last join is of two plain shuffles, whose large keys (copies) Spark can split.
+    known = keep(nodes.select("node", "first_id", "copies").join(linked.join(named, "component").select("node", "texts", "documents", "class_id"), "node", "left"))
     return sketched.select("doc_id", "node", "n_ngrams").join(known, "node", "left").select(
         "doc_id",
         F.coalesce("class_id", "first_id", "doc_id").alias("class_id"),
@@ -283,9 +308,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     Rows without an id stay. Of rows that agree in id and text one stays.
     """
     found = join_classes(docs, key, text, threshold)
-    dropped = found.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
+    dropped = keep(found.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct())
     again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    left = docs.join(dropped, key, "left_anti")
+    maybe = id_filter(dropped, key)
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(maybe(batch.column(key)) == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    left = part(False).unionByName(part(True).join(dropped, key, "left_anti").select(docs.columns))
     if again.isEmpty():
         return left.select(docs.columns)
     once = left.join(again, key, "left_anti")
