@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schemas import DETECTION_DOCUMENT, IMAGES, RAW_IMAGE, SEQUENCE_DOCUMENT
 
@@ -36,7 +37,7 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
 
 def read_image_rows(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of one image each, with image_ord where the splitter wrote it; splittable."""
-    rows = spark.read.schema(RAW_IMAGE.add("image_ord", "long")).json(path)
+    rows = spark.read.schema(StructType([*RAW_IMAGE.fields, StructField("image_ord", LongType())])).json(path)
     return rows.select("file", "image_ord", typed_detections(F.col("detections")).alias("detections"))
 
 

@@ -20,10 +20,18 @@ def is_image(path: Column) -> Column:
     return ends
 
 
+def _files(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).where(is_image(F.col("path")))
+    if recursive:
+        return files
+    there = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    whole = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+    return files.where(F.instr(F.substring("path", len(whole) + 2, 2**31 - 1), "/") == 0)
+
+
 def list_images(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     """path and length of the images of a directory; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory if recursive else f"{directory}/*")
-    return files.select("path", "length").where(is_image(F.col("path")))
+    return _files(spark, directory, recursive).select("path", "length")
 
 
 def list_from_text(spark: SparkSession, path: str, comments: bool = True) -> DataFrame:
@@ -46,5 +54,4 @@ def limit_images(paths: DataFrame, most: int | None) -> DataFrame:
 
 
 def image_bytes(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory if recursive else f"{directory}/*")
-    return files.select("path", "content").where(is_image(F.col("path")))
+    return _files(spark, directory, recursive).select("path", "content")
