@@ -32,6 +32,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Lets Spark hand rows to Python in batches of `most` bytes, unless the session asks for less already.
+
+    A task holds a batch several times over (in the JVM, in the pipe, in Python), beside its slices.
+    """
+    unit = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = lambda text: int(text.rstrip("bkmg")) * unit[text[-1] if text[-1] in "bkmg" else ""]
+    now = size(spark.conf.get(BATCH_BYTES).lower())
+    if now <= 0 or now > size(most):
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder: later steps read it and survive lost executors."""
     checkpoint_dir(df.sparkSession)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bound_batches, pieces
 
 RATE = 0.08
 LEAST_CHARS = 24
@@ -160,6 +160,7 @@ def matcher_of(shared, rate: float) -> Matcher:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item found in it: key, item_id, distance, n_chars of the item, start, end."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
     schema = docs.select(F.col(key)).schema.add("item_id", "long").add("distance", "long").add("start", "long").add("end", "long")
     blocks = list(item_blocks(benchmark, item_key, item_text, least_chars, block_chars))
@@ -186,6 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; rows without text stay."""
+    bound_batches(docs.sparkSession)
     out = docs
     for block in item_blocks(benchmark, "item_id", "text", least_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)

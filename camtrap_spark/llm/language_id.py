@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, gather_table, pieces, table_blocks
+from .common import BLOCK_SCHEMA, bound_batches, gather_table, pieces, table_blocks
 
 UND = "und"
 
@@ -76,6 +76,7 @@ def ngrams(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[lis
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, alpha: float = 0.1) -> LanguageModel:
     """Learns from every row that has a text and a language."""
+    bound_batches(docs.sparkSession)
     train = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     by_lang = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
     langs = tuple(sorted(by_lang))
@@ -118,6 +119,7 @@ def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
 
 def predictor(model: LanguageModel, docs: DataFrame):
     """A function from a list of texts to their predictions that takes the broadcast model to the executors."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return lambda texts: score_texts(texts, shared.value)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, LOWER, WORD, gather_table, pieces, running, span_hashes, table_blocks, utf8, words
+from .common import BLOCK_SCHEMA, LOWER, WORD, bound_batches, gather_table, pieces, running, span_hashes, table_blocks, utf8, words
 
 # Phrases and labels of the base scan.
 BASE_PHRASES = {
@@ -168,6 +168,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", index: Licens
     A word is rare if at most `rare_share` of all documents hold it, or if it is the rarest of a mandatory phrase.
     score: 1.0 with a base place, else the highest share of a verified template, else 0.0.
     """
+    bound_batches(docs.sparkSession)
     index = index or LicenseIndex.build()
     frequency, n = document_frequency(docs, index, text)
     rare = frequency <= rare_share * n

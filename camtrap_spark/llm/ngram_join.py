@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, checkpoint_dir, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
+from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, checkpoint_dir, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -272,6 +272,7 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     class_id: the smallest id of the class; copy_id: the smallest id with the same n-gram set; n_links: other
     documents at the threshold or above, copies included; n_text_links: other n-gram sets.
     """
+    bound_batches(docs.sparkSession)
     checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
     depth = forest_depth(trees, deepest, threshold, target)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import pieces, ragged, running, span_hashes
+from .common import bound_batches, pieces, ragged, running, span_hashes
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 META = 0x2581
@@ -36,7 +36,7 @@ META = 0x2581
 LITERAL = 0x110000
 #: Segments of more characters are streamed one by one.
 LONG_SEGMENT = 48
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 @dataclass
@@ -283,6 +283,7 @@ def encoder_of(shared) -> BatchEncoder:
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model_file: str = MODEL_FILE) -> DataFrame:
     """key, ids, n_ids and round_trip (whether decoding the ids gave the text again) of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = docs.select(F.col(key)).schema.add("n_ids", "long").add("round_trip", "boolean").add("ids", ArrayType(IntegerType()))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bound_batches, pieces
 
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern of the public vocabulary.
@@ -100,6 +100,7 @@ def encoder_of(shared) -> Encoder:
 
 def section_tokens(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",), fields: tuple[str, ...] = ("text",), by_line: bool = True, separator: str = "\n", rank_file: str = RANK_FILE) -> DataFrame:
     """keys, section (from 0), field, start and end in the joined text, n_tokens, n_crossing; a row for each section."""
+    bound_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
     taken = rows.select(*(F.col(k).alias(f"key{i}") for i, k in enumerate(keys)), *(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"field{i}") for i, f in enumerate(fields)))
     schema = rows.select(*keys).schema

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, LOWER, WORD, cut, gather_table, pieces, running, span_hashes, table_blocks, utf8, words
+from .common import BLOCK_SCHEMA, LOWER, WORD, bound_batches, cut, gather_table, pieces, running, span_hashes, table_blocks, utf8, words
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 2048
@@ -140,6 +140,7 @@ def association(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, least_docs: int = 3) -> ToxicityChain:
+    bound_batches(docs.sparkSession)
     sample = cut(labelled_sample(docs, labels, key, text, max_labelled))
     slots = 1 << SLOT_BITS
 
@@ -212,6 +213,7 @@ def chain_probabilities(column: pa.Array, chain: ToxicityChain) -> tuple[list[np
 
 def predict(docs: DataFrame, chain: ToxicityChain, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, toxic (the decision), the probability of each category and the number of hits of every row."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = docs.select(F.col(key)).schema.add("toxic", "boolean")
@@ -230,6 +232,7 @@ def predict(docs: DataFrame, chain: ToxicityChain, key: str = "doc_id", text: st
 
 def remove(docs: DataFrame, chain: ToxicityChain, text: str = "text") -> DataFrame:
     """The rows that are not toxic, with all their columns."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
