@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bound_batches, pieces
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +53,8 @@ class Tree:
     """Nodes in page order: parents stand before their children."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.dropped, self.text, self.marked = ["#root"], [-1], [False], [], [False]
+        self.tag, self.parent, self.dropped, self.marked = ["#root"], [-1], [False], [False]
+        self.text: list[tuple[int, str, int]] = []  # node, text, nodes opened so far
         stack, at, n = [0], 0, len(page)
         while at < n:
             m = TOKEN.search(page, at)
@@ -78,7 +79,7 @@ class Tree:
                 stack.pop()
 
     def add_text(self, node: int, raw: str) -> None:
-        self.text.append((node, html.unescape(raw) if "&" in raw else raw))
+        self.text.append((node, html.unescape(raw) if "&" in raw else raw, len(self.tag)))
 
     def close(self, stack: list[int], name: str) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -149,7 +150,7 @@ def extract(page: str | None) -> str:
     chars, tags, link_chars, link_tags, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
         in_link[i] = in_link[tree.parent[i]] or tree.tag[i] == "a"
-    for node, text in tree.text:
+    for node, text, _ in tree.text:
         if not tree.dropped[node]:
             own = len("".join(text.split()))
             chars[node] += own
@@ -166,7 +167,7 @@ def extract(page: str | None) -> str:
     dense = [0.0 if tree.dropped[i] else density(chars[i], tags[i], link_chars[i], link_tags[i], chars[body], link_chars[body]) for i in range(n)]
     total = [0.0] * n
     own_text = [False] * n
-    for node, text in tree.text:
+    for node, text, _ in tree.text:
         own_text[node] = own_text[node] or bool(text.strip())
     for i in range(1, n):
         total[tree.parent[i]] += dense[i]
@@ -186,20 +187,18 @@ def extract(page: str | None) -> str:
     keep = [False] * n
     for i in range(n):
         keep[i] = not tree.dropped[i] and (i in kept or i > 0 and keep[tree.parent[i]])
-    out, last = [], 0
-    for node, text in tree.text:
+    out, last, seen = [], 0, 1
+    for node, text, opened in tree.text:
         if keep[node]:
-            if last != node and crosses(tree, last, node):
+            if any(t not in INLINE for t in tree.tag[seen:opened]) or last != node and leaves_block(tree, last, node):
                 out.append(" ")
             out.append(text)
-            last = node
+            last, seen = node, opened
     return " ".join("".join(out).split())
 
 
-def crosses(tree: Tree, a: int, b: int) -> bool:
-    """Whether a block's edge, or a line break, lies between text of node a and later text of node b."""
-    if any(t not in INLINE for t in tree.tag[a + 1 : b + 1]):
-        return True
+def leaves_block(tree: Tree, a: int, b: int) -> bool:
+    """Whether a block that holds node a was left before node b."""
     up_b = set(tree.path(b))
     for i in tree.path(a):
         if i in up_b:
@@ -211,6 +210,7 @@ def crosses(tree: Tree, a: int, b: int) -> bool:
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
     """key, url, text (the main text) and n_chars (its code points) of every page."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(text).alias("html"))
     schema = pages.select(F.col(key), F.col(url).alias("url")).schema.add("text", "string").add("n_chars", "long")
 
