@@ -95,8 +95,10 @@ def assign_categories(config: SelectorConfig, has_rare: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("single_medium"))).otherwise(found)
 
 
-def quality_score(config: SelectorConfig, category: Column) -> Column:
-    z, mc, ac, ce = size_score(config, F.col("max_size")), F.col("max_confidence"), F.col("avg_confidence"), F.col("centrality")
+def quality_score(config: SelectorConfig, category: Column, size: Column | None = None) -> Column:
+    """The weighted sum of a category; size: the size score, where it is a column already."""
+    z = size_score(config, F.col("max_size")) if size is None else size
+    mc, ac, ce = F.col("max_confidence"), F.col("avg_confidence"), F.col("centrality")
     n, sp = F.col("num_animals"), F.col("num_species")
     score = (
         F.when(category.isin("single_tiny", "single_huge"), 0.5 * mc + 0.3 * ce + 0.2 * z)

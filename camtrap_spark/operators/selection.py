@@ -7,6 +7,7 @@ one that appears first.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +102,12 @@ def fill_remaining(groups: DataFrame, selected: DataFrame, total: int, per_seque
 
 
 def select(groups: DataFrame, config: SelectorConfig, total: int) -> DataFrame:
-    """Quota rows (phase 0), then fill rows (phase 1); rank inside each."""
+    """Quota rows (phase 0), then fill rows (phase 1); rank inside each.
+
+    Quota, missing count, anti join, category order and fill all read the groups, which are computed once and held by
+    Spark (in memory or on disk; lost parts are computed again) until they are no longer used.
+    """
+    groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
     quotas = config.quotas(total)
     plain = {c: q for c, q in quotas.items() if c not in config.negatives}
     numbers = {c: i for i, c in enumerate(quotas)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
-from ..functions.strata import PRESETS, SelectorConfig, assign_categories, quality_score
+from ..functions.strata import PRESETS, SelectorConfig, assign_categories, quality_score, size_score
 from ..operators import rarity, selection
 
 
@@ -26,9 +26,9 @@ def features_with_rarity(images: DataFrame, config: SelectorConfig, metadata: Da
 
 def candidates(features: DataFrame, config: SelectorConfig) -> DataFrame:
     """A row for each image and category, with its score."""
-    slim = features.drop("species_list", "sizes", "confidences")
+    slim = features.drop("species_list", "sizes", "confidences").withColumn("_z", size_score(config, F.col("max_size")))
     rows = slim.withColumn("category", F.explode(assign_categories(config, F.col("has_rare_species"))))
-    return rows.withColumn("quality_score", quality_score(config, F.col("category")))
+    return rows.withColumn("quality_score", quality_score(config, F.col("category"), F.col("_z"))).drop("_z")
 
 
 def select_sequence_aware(images: DataFrame, metadata: DataFrame, total: int, config: SelectorConfig = PRESETS["sequence"]) -> DataFrame:
