@@ -57,7 +57,16 @@ def keep(df: DataFrame) -> DataFrame:
     """df written once as a table in the shared checkpoint folder, and read again; for rows that several jobs read."""
     at = f"{checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    kept = df.sparkSession.read.schema(df.schema).parquet(at)
+    kept._kept_at = at
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Removes tables that `keep` wrote and that nothing will read again."""
+    for df in kept:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(column: str, divisor: int):

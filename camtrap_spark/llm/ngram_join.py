@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, checkpoint_dir, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
+from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, checkpoint_dir, discard, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -106,15 +106,17 @@ def prefixes(grams: np.ndarray, sizes: np.ndarray, trees: int, depth: int) -> np
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node that a chain of edges leads to. Labels spread and are doubled until they rest."""
     both = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).where("a <> b").distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    start = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels, held = start, start
     while True:
         spread = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        near = labels.join(spread, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
-        near = keep(near)
+        near = keep(labels.join(spread, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component")))
         far = near.select(F.col("node").alias("component"), F.col("component").alias("further"))
         moved = keep(near.join(far, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        labels = moved.select("node", "component")
+        discard(near, held)
+        labels, held = moved.select("node", "component"), moved
         if moved.where("component <> was").isEmpty():
+            discard(both)
             return labels
 
 
