@@ -11,12 +11,15 @@ MODES = ("batch", "sync", "local")
 NO_REASONING = "No reasoning provided"
 
 
+def once(value: Column, then) -> Column:
+    """then(value), with the value computed once: a lambda's variable is never replaced by its expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def unfenced(reply: Column) -> Column:
     """Without an opening ```json and a closing ```; a bare opening fence stays."""
-    text = strip(reply)
-    text = F.when(text.startswith("```json"), F.substring(text, 8, 2**31 - 1)).otherwise(text)
-    text = F.when(text.endswith("```"), F.left(text, F.length(text) - 3)).otherwise(text)
-    return strip(text)
+    opened = once(strip(reply), lambda t: F.when(t.startswith("```json"), F.substring(t, 8, 2**31 - 1)).otherwise(t))
+    return strip(once(opened, lambda t: F.when(t.endswith("```"), F.left(t, F.length(t) - 3)).otherwise(t)))
 
 
 def member(v: Column, name: str) -> Column:
@@ -40,36 +43,51 @@ def parse_responses(replies: DataFrame, mode: str, reply: str = "reply", path_na
     """
     if mode not in MODES:
         raise ValueError(mode)
-    text = unfenced(F.col(reply))
-    rows = replies.withColumn("_v", F.try_parse_json(F.when(text != "", text))).withColumn("_text", text)
-    v = F.col("_v")
+    path = F.col(path_name) if path_name in replies.columns else F.lit(None).cast("string")
+    found = once(unfenced(F.col(reply)), lambda t: once(F.try_parse_json(F.when(t != "", t)), lambda v: _fields(t, v)))
+    rows = replies.withColumn("_out", once(found, lambda r: _judged(r, mode, path)))
+    return rows.select(*replies.columns, *(F.col(f"_out.{c}").alias(c) for c in ("score", "reasoning", "returned_filename", "success", "failure_kind")))
+
+
+def _fields(text: Column, v: Column) -> Column:
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     has = {k: is_object & member(v, k).isNotNull() for k in ("score", "reasoning", "image_filename")}
-    number = as_number(member(v, "score"))
-    reasoning = F.try_variant_get(v, "$.reasoning", "string")
-    rows = rows.select(*replies.columns, "_text", is_object.alias("_object"), *(c.alias(f"_has_{k}") for k, c in has.items()), number.alias("_score"), reasoning.alias("_reasoning"), F.try_variant_get(v, "$.image_filename", "string").alias("_filename"))
-    failure = F.when(F.coalesce(F.col("_text"), F.lit("")) == "", "empty").when(~F.col("_object"), "bad_json")
+    return F.struct(
+        text.alias("text"),
+        is_object.alias("is_object"),
+        *(c.alias(f"has_{k}") for k, c in has.items()),
+        once(member(v, "score"), as_number).alias("score"),
+        F.try_variant_get(v, "$.reasoning", "string").alias("reasoning"),
+        F.try_variant_get(v, "$.image_filename", "string").alias("filename"),
+    )
+
+
+def _judged(r: Column, mode: str, path: Column) -> Column:
+    failure = F.when(F.coalesce(r["text"], F.lit("")) == "", "empty").when(~r["is_object"], "bad_json")
     if mode != "local":
-        failure = failure.when(~F.col("_has_score"), "missing_score")
-    failure = failure.when(F.col("_has_score") & F.col("_score").isNull(), "bad_score")
+        failure = failure.when(~r["has_score"], "missing_score")
+    failure = failure.when(r["has_score"] & r["score"].isNull(), "bad_score")
     if mode == "sync":
-        failure = failure.when(~F.col("_score").between(0, 10), "out_of_range")
+        failure = failure.when(~r["score"].between(0, 10), "out_of_range")
     if mode != "local":
-        failure = failure.when(~F.col("_has_reasoning"), "missing_reasoning")
+        failure = failure.when(~r["has_reasoning"], "missing_reasoning")
     if mode == "batch":
-        failure = failure.when(~F.col("_has_image_filename"), "missing_filename")
-    rows = rows.withColumn("failure_kind", failure)
-    fine = F.col("failure_kind").isNull()
-    value = F.coalesce("_score", F.lit(0.0)) if mode == "local" else F.col("_score")
+        failure = failure.when(~r["has_image_filename"], "missing_filename")
+    value = F.coalesce(r["score"], F.lit(0.0)) if mode == "local" else r["score"]
+    reasoning = F.coalesce(r["reasoning"], F.lit(NO_REASONING)) if mode == "local" else r["reasoning"]
     failed = F.lit(0.0) if mode == "sync" else F.lit(None).cast("double")
-    return rows.select(
-        *replies.columns,
-        F.when(fine, value).otherwise(failed).alias("score"),
-        F.when(fine, F.coalesce("_reasoning", F.lit(NO_REASONING)) if mode == "local" else F.col("_reasoning")).alias("reasoning"),
-        F.when(fine, F.col("_filename") if mode == "batch" else F.col(path_name)).alias("returned_filename"),
-        fine.alias("success"),
-        "failure_kind",
-    )
+
+    def result(kind: Column) -> Column:
+        fine = kind.isNull()
+        return F.struct(
+            F.when(fine, value).otherwise(failed).alias("score"),
+            F.when(fine, reasoning).alias("reasoning"),
+            F.when(fine, r["filename"] if mode == "batch" else path).alias("returned_filename"),
+            fine.alias("success"),
+            kind.alias("failure_kind"),
+        )
+
+    return once(failure, result)
 
 
 def build_requests(images: DataFrame, prompt: str, kind: str = "batch", model: str = "model", content: str = "content", filename: str = "image_filename") -> DataFrame:
