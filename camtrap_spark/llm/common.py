@@ -110,21 +110,23 @@ LOWER = lower_table()
 #: An odd multiplier; its inverse modulo 2**64 lets every word's hash be read off one running sum.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: A slice and its separators.
+KEPT_POWERS = SLICE_BYTES * 5 // 4
 _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse; kept in the worker up to SLICE_BYTES * 2."""
+    """The first n powers of BASE and of its inverse; kept in the worker up to KEPT_POWERS."""
     if len(_powers.get("up", ())) >= n:
         return _powers["up"][:n], _powers["down"][:n]
-    size = max(n, 2 * SLICE_BYTES)
+    size = max(n, KEPT_POWERS)
     with np.errstate(over="ignore"):
         made = []
         for base in (BASE, INVERSE):
             run = np.full(size, base, dtype=np.uint64)
             run[0] = 1
             made.append(np.cumprod(run, dtype=np.uint64))
-    if size <= 2 * SLICE_BYTES:
+    if size <= KEPT_POWERS:
         _powers["up"], _powers["down"] = made
     return made[0][:n], made[1][:n]
 
