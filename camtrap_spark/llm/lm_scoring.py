@@ -6,14 +6,14 @@ bytes, and the whole word so far; at the first symbol of a word these are the by
 at later symbols they stay inside the word. Every context owns a table of bit counts with a fixed number of slots;
 their predictions, in the logistic domain, are mixed by a weight vector that a gate chooses (the depth of the
 decision, the class of the byte before, and how sure the word is), and the mix is refined by an adaptive probability map over quantised
-predictions. Weights and map are learned online: each step predicts a short run of bits, then learns from it. A
-text's score is the sum of the log10 probabilities of all its bits, so the probabilities of all texts add up to
+predictions. The weights of each gate are those of a logistic regression over all its bits, found by Newton's
+steps; the map then counts how often each prediction comes true. A text's score is the sum of the log10 probabilities of all its bits, so the probabilities of all texts add up to
 one. As contexts inside a word depend on the word alone, a task evaluates each distinct word of a slice once.
 
-What is gathered from the corpus: bit counts of all training texts (tables of fixed size for each task, summed by
-block on the executors) and counts of all tokens (summed by hash). What is fitted on a bounded sample of training
-texts: the prefix code, the mixing weights and the map (`SAMPLE_DOCS` texts of at most `SAMPLE_CHARS` characters);
-a sampled bit is taken out of the counts that predict it.
+All of it is learned from all training texts, on the executors: symbol counts give the prefix code, one pass counts
+bits (tables of fixed size for each task, summed by block) and tokens (summed by hash), `ROUNDS` passes add up
+gradients and curvatures by gate, and a last one the hits of the map. What reaches the driver of a pass is a table
+of fixed size. A learned bit is taken out of the counts that predict it.
 
 The base score is exact: tokens are counted by a 64-bit hash over all training texts. The tokens with at least
 N / `FREQUENT` occurrences - there cannot be more than `FREQUENT` of them - are broadcast; the counts of all
@@ -44,13 +44,15 @@ END, PAD = 256, 257
 TABLES = (1 << 18, 1 << 20, 1 << 21)
 OFFSETS = (0, TABLES[0], TABLES[0] + TABLES[1])
 CONTEXTS = len(TABLES)
-SAMPLE_DOCS, SAMPLE_CHARS = 384, 20_000
+#: Newton steps of the weights, each a pass over all training texts; sums travel as multiples of 1 / SUM_STEP.
+ROUNDS, SUM_STEP = 1, 1 << 16
 FREQUENT = 1 << 20
 #: Distinct units of slices that a task holds before it counts them; slices that it holds while it scores.
 KINDS_HELD, SLICES_HELD = 400_000, 8
 #: int8 tables hold stretch(p) * TABLE_STEP; the map's cells are MAP_STEP to a unit, up to MAP_HALF.
 TABLE_STEP, MAP_STEP, MAP_HALF = 12.0, 16.0, 192
 CLASSES, DEPTHS, LEVELS = 6, 24, 5
+GATES, CELLS = LEVELS * DEPTHS * CLASSES, 2 * MAP_HALF + 1
 END_HASH = 0x5A17E6D3C0FFEE11
 SLICE = 1 << 20
 
@@ -224,37 +226,88 @@ def stretch_table(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_mixer(texts: list[str], code: Code, counts: np.ndarray, rounds: int = 2, run: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and cost table, learned online over the sample; each bit is taken out of the counts that predict it."""
-    weights = np.full((LEVELS * DEPTHS * CLASSES, CONTEXTS), 0.4)
-    cells = np.arange(-MAP_HALF, MAP_HALF + 1) / MAP_STEP
-    start = 1 / (1 + np.exp(-cells))
-    map_one, map_all = np.tile(start * 20, (CLASSES, 1)), np.full((CLASSES, len(cells)), 20.0)
-    for turn in range(rounds):
-        for first in range(0, len(texts), 16):
-            data, offsets = utf8(pa.array(texts[first : first + 16], pa.string()))
-            u = units_of(LOWER[data], offsets)
-            for s in (first_symbols(u), inner_symbols(u, np.arange(len(u.starts)))[0]):
-                for part in runs(s, run):
-                    b = bits_of(s, part, code)
-                    x, y, g = np.empty((len(b.bit), CONTEXTS)), b.bit, b.gate
-                    for k in range(CONTEXTS):
-                        seen = counts[slots_of(s, part, b, k)].astype(np.float64)
-                        seen[np.arange(len(y)), y] -= 1
-                        seen = np.maximum(seen, 0) + 0.4
-                        x[:, k] = np.rint(np.clip(np.log(seen[:, 1] / seen[:, 0]) * TABLE_STEP, -127, 127)) / TABLE_STEP
-                    g = g + LEVEL_GATE[np.rint(x[:, -1] * TABLE_STEP).astype(np.int64) + 128]
-                    mixed = np.clip((weights[g] * x).sum(axis=1), -12, 12)
-                    error = y - 1 / (1 + np.exp(-mixed))
-                    n = np.bincount(g, minlength=len(weights))
-                    for k in range(CONTEXTS):
-                        weights[:, k] += (0.1 if turn == 0 else 0.03) * np.bincount(g, weights=error * x[:, k], minlength=len(weights)) / np.sqrt(np.maximum(n, 1) * 8)
-                    flat = g % CLASSES * len(cells) + np.rint(mixed * MAP_STEP).astype(np.int64) + MAP_HALF
-                    if turn:
-                        map_one += np.bincount(flat, weights=y, minlength=map_one.size).reshape(map_one.shape)
-                        map_all += np.bincount(flat, minlength=map_all.size).reshape(map_all.shape)
-    p = np.clip(0.5 * start + 0.5 * map_one / map_all, 2**-16, 1 - 2**-16)
-    return np.ascontiguousarray(weights.T, dtype=np.float32), np.log10(np.stack([1 - p, p], axis=-1)).astype(np.float32).reshape(-1)
+def stretch_without(counts: np.ndarray) -> np.ndarray:
+    """For each slot and bit, what the slot predicts once that bit is taken out: int8 [slots * 2]."""
+    out = np.empty((len(counts), 2), dtype=np.int8)
+    for bit in (0, 1):
+        out[:, bit] = stretch_table(np.maximum(counts - (np.arange(2) == bit), 0))
+    return out.reshape(-1)
+
+
+#: Pairs of contexts of a gate's curvature; rows of the sums: gradients, then curvatures.
+PAIRS = [(j, k) for j in range(CONTEXTS) for k in range(j, CONTEXTS)]
+START_WEIGHT, HOLD = 0.4, 4.0
+
+
+@dataclass(frozen=True)
+class Learner:
+    """What a pass of learning reads."""
+
+    code: Code
+    without: np.ndarray
+    weights: np.ndarray  # float32 [contexts, gates]
+
+    def decisions(self, s: Symbols, times: np.ndarray | None) -> Iterator[tuple]:
+        """Of runs of symbols: decisions, gates, int8 predictions of each context, mixed prediction, and how often each occurred."""
+        for part in runs(s):
+            b, found = bits_of(s, part, self.code), []
+            for k in range(CONTEXTS):
+                slot = slots_of(s, part, b, k)
+                slot *= 2
+                slot += b.bit
+                found.append(self.without.take(slot))
+            gate = b.gate + LEVEL_GATE.take(found[-1].astype(np.int64) + 128)
+            mixed = np.zeros(len(b.bit), dtype=np.float32)
+            for k in range(CONTEXTS):
+                mixed += found[k] * self.weights[k].take(gate)
+            yield part, b, gate, found, mixed, None if times is None else np.repeat(times[part], b.long)
+
+    def add_slopes(self, sums: np.ndarray, s: Symbols, times: np.ndarray | None = None) -> None:
+        """Adds gradients and curvatures by gate to sums: [contexts + pairs, gates]."""
+        for _, b, gate, found, mixed, n in self.decisions(s, times):
+            p = 1 / (1 + np.exp(np.clip(mixed * np.float32(-1 / TABLE_STEP), -12, 12)))
+            error, curve = b.bit - p, p * (1 - p)
+            if n is not None:
+                error, curve = error * n, curve * n
+            x = [f * np.float32(1 / TABLE_STEP) for f in found]
+            for k in range(CONTEXTS):
+                sums[k] += np.bincount(gate, weights=error * x[k], minlength=GATES)
+            for row, (j, k) in enumerate(PAIRS, CONTEXTS):
+                sums[row] += np.bincount(gate, weights=curve * x[j] * x[k], minlength=GATES)
+
+    def add_hits(self, sums: np.ndarray, s: Symbols, times: np.ndarray | None = None) -> None:
+        """Adds the bits of each cell of the map to sums: [classes * cells * 2]."""
+        for part, b, _, _, mixed, n in self.decisions(s, times):
+            sums += np.bincount(map_cells(s, part, b, mixed), weights=n, minlength=len(sums))
+
+    def stepped(self, sums: np.ndarray) -> np.ndarray:
+        """The weights after one step of Newton's; gates without bits keep theirs. Rounded, so that the order of adding does not show."""
+        slope = sums[:CONTEXTS].T - HOLD * (self.weights.T - START_WEIGHT)
+        curve = np.zeros((GATES, CONTEXTS, CONTEXTS))
+        for row, (j, k) in enumerate(PAIRS, CONTEXTS):
+            curve[:, j, k] = curve[:, k, j] = sums[row]
+        curve += HOLD * np.eye(CONTEXTS)
+        step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+        return np.ascontiguousarray(np.rint((self.weights + np.clip(step, -1, 1).T) * 1024) / 1024, dtype=np.float32)
+
+
+def map_cells(s: Symbols, run: slice, b: Bits, mixed: np.ndarray) -> np.ndarray:
+    """The place of each decision in the cost table; mixed is overwritten."""
+    mixed *= np.float32(MAP_STEP / TABLE_STEP)
+    np.clip(mixed, -MAP_HALF, MAP_HALF, out=mixed)
+    cell = np.rint(mixed).astype(np.int64)
+    cell += np.repeat(s.before[run] * CELLS + MAP_HALF, b.long)
+    cell *= 2
+    cell += b.bit
+    return cell
+
+
+def map_costs(hits: np.ndarray) -> np.ndarray:
+    """hits: [classes * cells * 2]."""
+    start = 1 / (1 + np.exp(-np.arange(-MAP_HALF, MAP_HALF + 1) / MAP_STEP))
+    hits = hits.reshape(CLASSES, CELLS, 2)
+    p = np.clip(0.5 * start + 0.5 * (start * 20 + hits[:, :, 1]) / (20 + hits.sum(axis=2)), 2**-16, 1 - 2**-16)
+    return np.log10(np.stack([1 - p, p], axis=-1)).astype(np.float32).reshape(-1)
 
 
 def symbol_costs(s: Symbols, model: MixModel) -> np.ndarray:
@@ -267,12 +320,7 @@ def symbol_costs(s: Symbols, model: MixModel) -> np.ndarray:
         mixed = np.zeros(len(b.bit), dtype=np.float32)
         for k in range(CONTEXTS):
             mixed += found[k] * model.weights[k].take(gate)
-        mixed *= np.float32(MAP_STEP / TABLE_STEP)
-        np.clip(mixed, -MAP_HALF, MAP_HALF, out=mixed)
-        cell = np.rint(mixed).astype(np.int64)
-        cell += np.repeat(s.before[part] * (2 * MAP_HALF + 1) + MAP_HALF, b.long)
-        cell *= 2
-        cell += b.bit
+        cell = map_cells(s, part, b, mixed)
         out[part] = np.add.reduceat(model.cost.take(cell), np.cumsum(b.long) - b.long, dtype=np.float64)
     return out
 
@@ -394,12 +442,79 @@ def sum_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
 
-def fit(train: DataFrame, key: str, text: str) -> tuple[Scorer, DataFrame]:
+SUMS = "cell int, total long"
+
+
+def sum_rows(sums: np.ndarray, step: int = 1) -> Iterator[pa.RecordBatch]:
+    whole = np.rint(sums.reshape(-1) * step).astype(np.int64)
+    used = np.flatnonzero(whole)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(whole[used])], names=["cell", "total"])
+
+
+def added(rows: DataFrame, size: int) -> np.ndarray:
+    """The sums of all tasks, `size` numbers."""
+    found = rows.groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
+    out = np.zeros(size, dtype=np.int64)
+    out[found.column("cell").to_numpy()] = found.column("total").to_numpy()
+    return out
+
+
+def symbol_counts(texts: DataFrame) -> np.ndarray:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(END + 1, dtype=np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text", SLICE):
+                n[:END] += np.bincount(LOWER[utf8(part.column("text"))[0]], minlength=END)
+                n[END] += part.num_rows
+        yield from sum_rows(n)
+
+    return added(texts.mapInArrow(count, SUMS), END + 1)
+
+
+def learned(texts: DataFrame, shape: tuple[int, ...], add, step: int) -> np.ndarray:
+    """What `add`(sums, symbols, times) adds up over all symbols of all texts; each distinct unit of a task is looked at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, kinds = np.zeros(shape), Kinds()
+
+        def add_kinds() -> None:
+            u, _, times = kinds.merged()
+            for chosen in some_kinds(u):
+                inner, sizes = inner_symbols(u, chosen)
+                add(sums, inner, np.repeat(times[chosen], sizes))
+
+        for batch in batches:
+            for part in pieces(batch, "text", SLICE):
+                data, offsets = utf8(part.column("text"))
+                u = units_of(LOWER[data], offsets)
+                add(sums, first_symbols(u))
+                kinds.add(u)
+                if kinds.size > KINDS_HELD:
+                    add_kinds()
+                    kinds = Kinds()
+        add_kinds()
+        yield from sum_rows(sums, step)
+
+    return added(texts.mapInArrow(run, SUMS), int(np.prod(shape))).reshape(shape) / step
+
+
+def fit_mixer(texts: DataFrame, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cost table, learned over all texts; each bit is taken out of the counts that predict it."""
+    context = texts.sparkSession.sparkContext
+    fixed = context.broadcast((code, stretch_without(counts)))
+    weights = np.full((CONTEXTS, GATES), START_WEIGHT, dtype=np.float32)
+    for _ in range(ROUNDS):
+        sums = learned(texts, (CONTEXTS + len(PAIRS), GATES), lambda *a, w=weights: Learner(*fixed.value, w).add_slopes(*a), SUM_STEP)
+        weights = Learner(code, np.zeros(0, np.int8), weights).stepped(sums)
+    hits = learned(texts, (CLASSES * CELLS * 2,), lambda *a: Learner(*fixed.value, weights).add_hits(*a), 1)
+    fixed.unpersist()
+    return weights, map_costs(hits)
+
+
+def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
     """The model, and the counts of all tokens that are not frequent: hash, n."""
-    texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("order"))
-    sample = [r.text for r in texts.where(F.length("text") <= SAMPLE_CHARS).orderBy("order", "text").limit(SAMPLE_DOCS).collect()]
-    data, _ = utf8(pa.array(sample, pa.string()))
-    code = Code.of(np.append(np.bincount(LOWER[data], minlength=256), len(sample)))
+    texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    code = Code.of(symbol_counts(texts))
     size = 2 * sum(TABLES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,9 +561,9 @@ def fit(train: DataFrame, key: str, text: str) -> tuple[Scorer, DataFrame]:
         for block, total in totals.items():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["hash", "n", "block", "total"])
 
-    summed = keep(texts.select("text").mapInArrow(count, COUNTS).repartition("block").mapInArrow(both, "hash long, n long, block long, total binary"))
+    summed = keep(texts.mapInArrow(count, COUNTS).repartition("block").mapInArrow(both, "hash long, n long, block long, total binary"))
     bits = placed_blocks(summed.where("block is not null").select("block", "total"), size).reshape(-1, 2)
-    weights, cost = fit_mixer(sample, code, bits)
+    weights, cost = fit_mixer(texts, code, bits)
     known = summed.where("hash is not null").select("hash", "n")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("hash") == END_HASH, F.col("n"))), F.lit(0)).alias("ends")).first()
     least = max(1, -(-total.n // FREQUENT))
@@ -476,7 +591,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    scorer, rare = fit(rows.where("not held_out"), "key", "text")
+    scorer, rare = fit(rows.where("not held_out"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     names = ["row", "hash", "key", "held_out", *(n for n, _ in ROWS)]
 

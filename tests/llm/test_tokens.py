@@ -198,3 +198,22 @@ def test_scores_do_not_depend_on_the_batch(spark):
 
     assert np.allclose(total(texts), [total([t])[0] for t in texts])
     assert len(data) == 4
+
+
+def test_lm_mixer_learns_from_all_texts(spark):
+    # Texts of any length, and more of them than any sample: each changes code, weights and map.
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(300)]
+    long = [" ".join(rng.choices(words, k=6000)) for _ in range(3)]
+    assert min(map(len, long)) > 20_000
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
+    scorer, _ = lm_scoring.fit(df, "text")
+    counts = np.bincount(np.frombuffer("".join(long).encode(), np.uint8), minlength=257)
+    counts[256] = len(long)
+    assert (scorer.mix.code.lengths == lm_scoring.Code.of(counts).lengths).all()
+    assert (scorer.mix.weights != np.float32(lm_scoring.START_WEIGHT)).sum() > 50
+    assert (scorer.mix.cost != lm_scoring.map_costs(np.zeros(len(scorer.mix.cost)))).sum() > 500
+    other, _ = lm_scoring.fit(df.repartition(3), "text")
+    assert (other.mix.weights == scorer.mix.weights).all() and (other.mix.cost == scorer.mix.cost).all()
+    short = spark.createDataFrame([(i, "ab ab") for i in range(1000)], "doc_id long, text string")
+    assert (lm_scoring.symbol_counts(short)[[97, 98, 32, 256]] == [2000, 2000, 1000, 1000]).all()
