@@ -1,13 +1,12 @@
 """License scans with a positional index of rare tokens.
 
 The index holds, for each word of the licence templates, the templates and positions where it stands. A first
-pass over all documents counts in how many each such word occurs. A second pass looks up every document's
-licence words of highest inverse document frequency, turns each occurrence into votes for (template, start),
-keeps the starts on which the postings of several words meet, and verifies them against the template and its
+pass over all documents counts in how many each such word occurs. A second pass looks up every document's licence
+words of high inverse document frequency, all of them, turns each occurrence into votes for (template, start), keeps the starts on which the postings of several words meet, and verifies them against the template and its
 mandatory phrases. Phrases given as `base` are found at every place besides.
 
 Defined results: a null text counts as empty; empty texts give zero counts, null positions, empty labels and
-score 0.0. Repeated rows are scanned row by row. Ties between words of equal frequency go to the smaller hash.
+score 0.0. Repeated rows are scanned row by row.
 Only the key and text columns are read.
 """
 
@@ -123,20 +122,10 @@ def document_frequency(docs: DataFrame, index: LicenseIndex, text: str = "text")
     return total[:-1], int(total[-1])
 
 
-def matches(ids: np.ndarray, row: np.ndarray, index: LicenseIndex, rank: np.ndarray, rare: np.ndarray, most_words: int, slack: int, least: float):
-    """(row, label, share of the template's words that stand where they should) of each verified match.
-
-    rank: of each vocabulary word, 0 for the highest inverse document frequency.
-    """
+def matches(ids: np.ndarray, row: np.ndarray, index: LicenseIndex, rare: np.ndarray, slack: int, least: float):
+    """(row, label, share of the template's words that stand where they should) of each verified match."""
     at = np.flatnonzero(ids >= 0)
     at = at[rare[ids[at]]]
-    if not len(at):
-        return []
-    pairs = np.unique(row[at].astype(np.int64) << 32 | rank[ids[at]])
-    rows = pairs >> 32
-    nth = np.arange(len(pairs)) - np.searchsorted(rows, rows)
-    chosen = pairs[nth < most_words]
-    at = at[np.isin(row[at].astype(np.int64) << 32 | rank[ids[at]], chosen)]
     votes: dict[tuple[int, int, int], set[int]] = defaultdict(set)
     for pos, word, r in zip(at.tolist(), ids[at].tolist(), row[at].tolist()):
         for template, where in index.postings.get(word, ()):
@@ -162,7 +151,7 @@ def matches(ids: np.ndarray, row: np.ndarray, index: LicenseIndex, rank: np.ndar
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", index: LicenseIndex | None = None, most_words: int = 16, rare_share: float = 0.1, slack: int = 2, least: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", index: LicenseIndex | None = None, rare_share: float = 0.1, slack: int = 2, least: float = 0.6) -> DataFrame:
     """For each row: key, words, base places with the first and last start, base labels, all labels, score.
 
     A word is rare if at most `rare_share` of all documents hold it, or if it is the rarest of a mandatory phrase.
@@ -175,12 +164,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", index: Licens
     for _, _, phrases in index.templates:
         for phrase in phrases:
             rare[phrase[np.argmin(frequency[phrase])]] = True
-    rank = np.empty(len(frequency), dtype=np.int64)
-    rank[np.lexsort((np.arange(len(frequency)), frequency))] = np.arange(len(frequency))
-    shared = docs.sparkSession.sparkContext.broadcast((index, rank, rare))  # as large as the templates
+    shared = docs.sparkSession.sparkContext.broadcast((index, rare))  # as large as the templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, rank, rare = shared.value
+        index, rare = shared.value
         for batch in batches:
             for part in pieces(batch, "text"):
                 ids, row, n_words, first = licence_words(part, index.vocabulary)
@@ -197,7 +184,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", index: Licens
                 np.minimum.at(low, row[places], places - first[row[places]])
                 np.maximum.at(high, row[places], places - first[row[places]])
                 every, score = [set(b) for b in base], [1.0 if b else 0.0 for b in base]
-                for r, label, share in matches(ids, row, index, rank, rare, most_words, slack, least):
+                for r, label, share in matches(ids, row, index, rare, slack, least):
                     every[r].add(label)
                     score[r] = max(score[r], share)
                 none = n_base == 0

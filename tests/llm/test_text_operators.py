@@ -160,6 +160,16 @@ def test_license_templates(spark):
     assert license_scan.scan(documents(spark, "x").limit(0)).count() == 0
 
 
+def test_several_notices_in_one_text(spark):
+    # Every template word votes: notices of common words are found next to notices of rare ones.
+    labels = ("mit", "gpl-3", "lgpl-3", "cc-by", "mpl-2")
+    notices = [next(t for label, t, _ in reversed(license_scan.TEMPLATES) if label == want) for want in labels]
+    common = [t for label, t, _ in license_scan.TEMPLATES if label in ("gpl-3", "lgpl-3", "cc-by", "mpl-2")]
+    texts = [" and then ".join(notices), *common * 3, *["other text of no licence"] * 1000]
+    got = license_scan.scan(documents(spark, *texts)).orderBy("doc_id").first()
+    assert set(labels) <= set(got.labels.split(",")) and got.score == 1.0
+
+
 def test_license_query_equals_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = queries()["op4_license_scan"](spark, SMALL).collect()
