@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, checkpoint_dir, discard, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
 
@@ -268,12 +269,8 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents")).join(classes, "node", "left")
 
 
-def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id, copy_id, n_links, n_text_links of every row of docs that has an id.
-
-    class_id: the smallest id of the class; copy_id: the smallest id with the same n-gram set; n_links: other
-    documents at the threshold or above, copies included; n_text_links: other n-gram sets.
-    """
+def classed_nodes(docs: DataFrame, key: str, text: str, threshold: float, trees: int, deepest: int, target: float) -> DataFrame:
+    """What join_classes gives, with the node of each row (0 without words) and the node that stands for its class."""
     bound_batches(docs.sparkSession)
     checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
@@ -293,38 +290,57 @@ def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     sketched = keep(rows.mapInArrow(sketch, NODE_ROWS))
     nodes = keep(sketched.where("n_ngrams > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_ngrams").alias("n_ngrams"), F.any_value("prefixes").alias("prefixes")))
     linked = keep(nodes.select("node", "first_id", "copies").join(links(nodes, rows, threshold), "node"))
-    named = linked.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    named = linked.groupBy("component").agg(F.min(F.struct("first_id", "node")).alias("lead")).select("component", F.col("lead.first_id").alias("class_id"), F.col("lead.node").alias("class_node"))
     # A table of its own, so that the last join is of two plain shuffles, whose large keys (copies) Spark can split.
-    known = keep(nodes.select("node", "first_id", "copies").join(linked.join(named, "component").select("node", "texts", "documents", "class_id"), "node", "left"))
+    known = keep(nodes.select("node", "first_id", "copies").join(linked.join(named, "component").select("node", "texts", "documents", "class_id", "class_node"), "node", "left"))
     return sketched.select("doc_id", "node", "n_ngrams").join(known, "node", "left").select(
         "doc_id",
         F.coalesce("class_id", "first_id", "doc_id").alias("class_id"),
         F.coalesce("first_id", "doc_id").alias("copy_id"),
         (F.coalesce("documents", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
+        "node",
+        F.coalesce("class_node", "node").alias("class_node"),
     )
 
 
+def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, class_id, copy_id, n_links, n_text_links of every row of docs that has an id.
+
+    class_id: the smallest id of the class; copy_id: the smallest id with the same n-gram set; n_links: other
+    documents at the threshold or above, copies included; n_text_links: other n-gram sets.
+    """
+    return classed_nodes(docs, key, text, threshold, trees, deepest, target).drop("node", "class_node")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without all documents of a class but the one of the smallest id; all columns stay.
+    """The rows of docs without all rows of a class but one of the smallest id; all columns stay.
 
-    Rows without an id stay. Of rows that agree in id and text one stays.
+    It is decided by row, told by id and n-gram set: of the sets that have a class's smallest id one stays, the one
+    of the smallest hash. Rows without an id stay. Of rows that agree in id and n-gram set, or without words in id
+    and text, one stays, that of the smallest text.
     """
-    found = join_classes(docs, key, text, threshold)
-    dropped = keep(found.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct())
-    again = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    maybe = id_filter(dropped, key)
+    found = classed_nodes(docs, key, text, threshold, TREES, DEEPEST, TARGET_RECALL)
+    dropped = keep(found.where("doc_id <> class_id or node <> class_node").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct())
+    again = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).count().where("count > 1").select("_id")
+    looked_at = keep(dropped.select("_id").unionByName(again))
+    maybe = id_filter(looked_at, "_id")
 
-    def part(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(maybe(batch.column(key)) == wanted))
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~maybe(batch.column(key))))
 
-        return docs.mapInArrow(run, docs.schema)
+    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch.filter(pa.array(maybe(batch.column(key)))), text, SLICE):
+                filled = part.column(text).fill_null("")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node_ids(*ngram_sets(filled)).view(np.int64))], names=[*part.schema.names, "_node"])
 
-    left = part(False).unionByName(part(True).join(dropped, key, "left_anti").select(docs.columns))
+    rows = docs.mapInArrow(with_node, StructType([*docs.schema.fields, StructField("_node", LongType())])).withColumn("_id", F.col(key).cast("long"))
+    left = rows.join(dropped, ["_id", "_node"], "left_anti")
+    whole = docs.mapInArrow(untouched, docs.schema)
     if again.isEmpty():
-        return left.select(docs.columns)
-    once = left.join(again, key, "left_anti")
-    several = left.join(again, key, "left_semi").dropDuplicates([key, text])
-    return once.select(docs.columns).unionByName(several.select(docs.columns))
+        return whole.unionByName(left.select(docs.columns))
+    once = left.join(again, "_id", "left_anti")
+    several = left.join(again, "_id", "left_semi").groupBy("_id", "_node", F.when(F.col("_node") == 0, F.col(text)).alias("_text")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias("row"))
+    return whole.unionByName(once.select(docs.columns)).unionByName(several.select("row.*"))

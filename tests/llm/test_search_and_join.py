@@ -179,3 +179,14 @@ def test_pipeline_stages_on_odd_documents(spark, tmp_path):
             rows = corpus_pipeline.keep(stage(spark, rows, str(tmp_path)))
             assert rows.columns == docs.columns
         assert corpus_pipeline.encode(spark, rows, str(tmp_path)).count() == (2 if table is docs else 0)
+
+
+def test_keep_one_decides_by_row(spark):
+    # One id with two texts: each row goes or stays with its own class.
+    a, b, c = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "x"), (7, c + " c60", "x"), (8, "", "x"), (8, None, "x"), (8, "", "x"), (None, a, "x"), (9, b.upper(), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()), key=str)
+    sevens = [r for r in kept if r[0] == 7]
+    assert len(sevens) == 1 and sevens[0][1] in (c, c + " c60")
+    assert [r for r in kept if r[0] != 7] == sorted([(1, a), (5, b), (8, ""), (8, None), (None, a)], key=str)
