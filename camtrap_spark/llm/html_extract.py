@@ -176,14 +176,13 @@ def extract(page: str | None) -> str:
     path = list(tree.path(best))
     whole = next((i for i in reversed(path) if tree.marked[i]), None)
     kept = {whole if whole is not None else best}
-    if whole is None:
-        upward = path[: path.index(body) + 1] if body in path else path
-        threshold = min((dense[i] for i in upward if dense[i] > 0), default=0.0)
-        above = set(upward)
-        for i in range(body + 1, n):
-            p = tree.parent[i]
-            if p in above and p != best and i not in above and not tree.dropped[i] and (dense[i] >= threshold or tree.tag[i] in ("h1", "h2", "h3")) and chars[i]:
-                kept.add(i)
+    upward = path[: path.index(body) + 1] if body in path else path
+    threshold = min((dense[i] for i in upward if dense[i] > 0), default=0.0)
+    above = set(upward)
+    for i in range(body + 1, n):
+        p = tree.parent[i]
+        if p in above and p != best and i not in above and not tree.dropped[i] and (dense[i] >= threshold or tree.tag[i] in ("h1", "h2", "h3")) and chars[i]:
+            kept.add(i)
     keep = [False] * n
     for i in range(n):
         keep[i] = not tree.dropped[i] and (i in kept or i > 0 and keep[tree.parent[i]])

@@ -277,3 +277,12 @@ def test_html_query_finds_the_articles(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         article = re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))
         assert r.text == " ".join(h.unescape(article).split())
+
+
+def test_html_keeps_text_outside_the_marked_element():
+    # The body-path threshold runs on pages with <article>, too.
+    p = "<p>" + "Some running text of an article. " * 8 + "</p>"
+    links = "<div>" + '<a href="/x">a link</a> ' * 9 + "</div>"
+    page = f"<body><article>{p}<p>{'The first one ends here. ' * 8}</p></article><article>{p * 9}</article><section><p>{'Text outside of them. ' * 20}</p></section>{links}</body>"
+    got = html_extract.extract(page)
+    assert "The first one ends" in got and "Text outside of them" in got and "a link" not in got
