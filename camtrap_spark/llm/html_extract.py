@@ -2,14 +2,19 @@
 
 Each page becomes a small tree. For every node: characters, tags, characters and tags inside links below it; the
 composite density is characters per tag, adjusted by the share of links against that of the whole body. The sum
-of its children's densities tells how much of a node is running text. The node of the largest sum is the core; the
-smallest density on its path to the body is the threshold, by which neighbours of the path belong to the text too.
-Subtrees that are never part of an article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments; told by element, role, or class and id words) are left out before anything is counted.
+of its children's densities tells how much of a node is running text. The node of the largest sum is the core of the
+text; the smallest density on its path to the body is the threshold: going down from the body, every node whose
+density reaches it and that is no part of the core belongs to the text too, with the headings before them.
+
+Elements that are never part of an article (menus, footers, sidebars, forms, scripts, styles; told by element, role
+or `hidden`) are left out before anything is counted. Class and id words never decide alone: they multiply the density
+of a container by `NOISE_WEIGHT`, and a node inside the text goes only if its weighted density stays below the
+threshold. `<article>` and `<main>` have no part in the choice.
 
 Defined results: null and empty pages, and pages without text, give ''. Broken markup is read as far as it goes
 (open paragraphs and list items end where browsers end them; unmatched end tags are ignored). Of nodes with the
-same density sum the first in page order counts. Repeated rows are extracted row by row.
+same density sum the first in page order counts. Repeated rows are extracted row by row. The work is linear in the
+length of the page, however deeply its elements are nested.
 """
 
 from __future__ import annotations
@@ -30,7 +35,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas audio video map menu dialog title noembed noframes".split())
-KEPT = frozenset("html body main article".split())
 #: An opening tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: An opening tag ends an open one of these, up to the nearest of the second set.
@@ -40,11 +44,16 @@ ENDS = {
 }
 P_SCOPE = frozenset("html body table td th caption button object template marquee".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|comments?|commentlist|commentary|"
-    r"disqus|replies|sidebars?|side|aside|menus?|nav|navs|navbar|navigation|breadcrumbs?|header|footer|masthead|topbar|share|sharing|social|related|recommended|popups?|modal|overlay|widgets?|toolbar|pagination|pager|login|signup|search|copyright|skip)(?:$|[\s_-])"
+#: Containers whose class or id words weigh; a paragraph or an inline element is never judged by its name.
+NAMED = frozenset("div section ul ol dl table article header details blockquote fieldset figure center".split())
+#: Words of class or id that stand alone, and words that make one together with a word of the second set.
+NOISE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr newsletter subscribe subscription comment comments "
+    "commentlist disqus replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social popup modal overlay toolbar pagination pager login signup copyright".split()
 )
-COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply)(?:$|[\s_-])")
+NOISE_PAIRS = frozenset("related recommended popular latest more side site page skip top bottom search notice header".split())
+PAIRED = frozenset("post posts article articles link links story stories bar menu nav navigation header footer box banner form widget widgets notice notices list".split())
+NOISE_WEIGHT = 0.02
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -53,79 +62,82 @@ class Tree:
     """Nodes in page order: parents stand before their children."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.dropped, self.marked = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.dropped, self.weight = ["#root"], [-1], [False], [1.0]
+        self.block = [0]  # of each node the nearest one, itself or above, that is a block
         self.text: list[tuple[int, str, int]] = []  # node, text, nodes opened so far
-        stack, at, n = [0], 0, len(page)
+        self.stack, self.open_p, self.in_text, self.n_open = [0], [-1], [False], {}
+        at, n = 0, len(page)
         while at < n:
             m = TOKEN.search(page, at)
             if m is None:
-                self.add_text(stack[-1], page[at:])
+                self.add_text(page[at:])
                 break
             if m.start() > at:
-                self.add_text(stack[-1], page[at : m.start()])
+                self.add_text(page[at : m.start()])
             at, name = m.end(), m[2]
             if name is None:
                 continue
             name = name.lower()
             if m[1]:
-                self.close(stack, name)
+                self.close(name)
                 continue
-            self.open(stack, name, m[3])
+            self.open(name, m[3])
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
-                stack.pop()
+                self.cut(len(self.stack) - 1)
             elif name in VOID or m[3].endswith("/") and name not in ENDS_P and name not in INLINE:
-                stack.pop()
-
-    def add_text(self, node: int, raw: str) -> None:
-        self.text.append((node, html.unescape(raw) if "&" in raw else raw, len(self.tag)))
-
-    def close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                del stack[k:]
-                return
-            if name == "p" and self.tag[stack[k]] in P_SCOPE:
-                return
-
-    def open(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if self.tag[stack[k]] in P_SCOPE:
-                    break
+                self.cut(len(self.stack) - 1)
+
+    def add_text(self, raw: str) -> None:
+        self.text.append((self.stack[-1], html.unescape(raw) if "&" in raw else raw, len(self.tag)))
+
+    def cut(self, k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        for node in self.stack[k:]:
+            self.n_open[self.tag[node]] -= 1
+        del self.stack[k:], self.open_p[k:], self.in_text[k:]
+
+    def close(self, name: str) -> None:
+        if not self.n_open.get(name):
+            return
+        if name == "p":
+            if self.open_p[-1] >= 0:
+                self.cut(self.open_p[-1])
+            return
+        k = len(self.stack) - 1
+        while self.tag[self.stack[k]] != name:
+            k -= 1
+        self.cut(k)
+
+    def open(self, name: str, attributes: str) -> None:
+        if name in ENDS_P and self.open_p[-1] >= 0:
+            self.cut(self.open_p[-1])
         if name in ENDS:
             ended, scope = ENDS[name]
-            last = None
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in scope:
-                    break
-                if self.tag[stack[k]] in ended:
+            last, k = None, len(self.stack) - 1
+            while k > 0 and self.tag[self.stack[k]] not in scope:
+                if self.tag[self.stack[k]] in ended:
                     last = k
+                k -= 1
             if last is not None:
-                del stack[last:]
-        parent = stack[-1]
+                self.cut(last)
+        parent, node = self.stack[-1], len(self.tag)
         hints = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
         self.tag.append(name)
         self.parent.append(parent)
-        self.dropped.append(self.dropped[parent] or self.is_noise(name, parent, hints))
-        self.marked.append(name in ("article", "main") or hints.get("role") == "main" or hints.get("itemprop") == "articlebody")
-        stack.append(len(self.tag) - 1)
+        self.dropped.append(self.dropped[parent] or self.is_dropped(name, hints))
+        self.weight.append(self.weight[parent] * (NOISE_WEIGHT if name in NAMED and is_noise(hints) else 1.0))
+        self.block.append(self.block[parent] if name in INLINE else node)
+        self.open_p.append(len(self.stack) if name == "p" else -1 if name in P_SCOPE else self.open_p[-1])
+        self.in_text.append(self.in_text[-1] or name in ("article", "main"))
+        self.stack.append(node)
+        self.n_open[name] = self.n_open.get(name, 0) + 1
 
-    def is_noise(self, name: str, parent: int, hints: dict[str, str]) -> bool:
+    def is_dropped(self, name: str, hints: dict[str, str]) -> bool:
         if name in DROPPED or "hidden" in hints or hints.get("aria-hidden") == "true" or hints.get("role") in ROLES:
             return True
-        words = f"{hints.get('class', '')} {hints.get('id', '')}"
-        if name in ("html", "body", "main"):
-            return False
-        if name == "article":
-            return bool(COMMENT_WORDS.search(words))
-        if name == "header":
-            return not any(self.tag[a] in ("article", "main") for a in self.path(parent))
-        return words != " " and bool(NOISE_WORDS.search(words))
+        return name == "header" and not self.in_text[-1]  # a page's header; an article's own holds its title
 
     def path(self, node: int) -> Iterator[int]:
         while node > 0:
@@ -133,6 +145,15 @@ class Tree:
             node = self.parent[node]
 
 
+def is_noise(hints: dict[str, str]) -> bool:
+    """Whether a class or id names something beside the text: a noise word, alone, doubled, or before one of PAIRED."""
+    for word in f"{hints.get('class', '')} {hints.get('id', '')}".split():
+        parts = [p for p in re.split(r"[-_]+", word) if p]
+        if parts and (parts[0] in NOISE_WORDS or parts[-1] in NOISE_WORDS or len(parts) > 1 and parts[0] in NOISE_PAIRS and parts[-1] in PAIRED):
+            return True
+    return False
+
+
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_chars: int, body_links: int) -> float:
     """Composite text density of a node."""
     if not chars:
@@ -143,9 +164,8 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_chars:
     return chars / tags * max(math.log(chars / linked * tags / link_tags), 0.0) / base
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    tree = Tree(page or "")
+def densities(tree: Tree) -> tuple[int, list[int], list[float], list[float]]:
+    """The body, and of every node its characters, its weighted composite density, and the sum of its children's."""
     n = len(tree.tag)
     chars, tags, link_chars, link_tags, in_link = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
@@ -156,6 +176,7 @@ def extract(page: str | None) -> str:
             chars[node] += own
             link_chars[node] += own * in_link[node]
     body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
+    own = list(chars)
     for i in range(n - 1, 0, -1):  # children stand after their parents
         if tree.dropped[i]:
             continue
@@ -164,49 +185,74 @@ def extract(page: str | None) -> str:
         link_chars[p] += link_chars[i]
         tags[p] += tags[i] + 1
         link_tags[p] += link_tags[i] + (tree.tag[i] == "a")
-    dense = [0.0 if tree.dropped[i] else density(chars[i], tags[i], link_chars[i], link_tags[i], chars[body], link_chars[body]) for i in range(n)]
+    dense = [0.0 if tree.dropped[i] else tree.weight[i] * density(chars[i], tags[i], link_chars[i], link_tags[i], chars[body], link_chars[body]) for i in range(n)]
     total = [0.0] * n
-    own_text = [False] * n
+    for i in range(1, n):
+        if tree.tag[i] not in INLINE:
+            total[tree.parent[i]] += dense[i]
+    for i in range(n):  # text that stands in a node itself, between its blocks, is a child without a tag
+        if own[i] and not tree.dropped[i] and tree.tag[i] not in INLINE and total[i]:
+            total[i] += tree.weight[i] * density(own[i], 1, 0, 0, chars[body], link_chars[body])
+        elif own[i] and not tree.dropped[i] and tree.tag[i] not in INLINE:
+            total[i] = dense[i] / 2
+    return body, chars, dense, total
+
+
+def chosen(tree: Tree) -> list[bool]:
+    """Of each node whether its text belongs to the main text."""
+    n = len(tree.tag)
+    body, chars, dense, total = densities(tree)
+    core = max((i for i in range(body, n) if not tree.dropped[i]), key=lambda i: (total[i], -i), default=0)
+    path = list(tree.path(core))
+    if body in path:
+        path = path[: path.index(body) + 1]
+    threshold, above = min((dense[i] for i in path if dense[i] > 0), default=0.0), {body, *path}
+    own_text, after = [False] * n, [0] * n  # after: the next child of the same parent, 0 without one
     for node, text, _ in tree.text:
         own_text[node] = own_text[node] or bool(text.strip())
-    for i in range(1, n):
-        total[tree.parent[i]] += dense[i]
-    inside = [i >= body for i in range(n)]
-    best = max((i for i in range(n) if inside[i] and not tree.dropped[i]), key=lambda i: (total[i] or dense[i] * 0.5 * own_text[i], -i), default=0)
-    path = list(tree.path(best))
-    whole = next((i for i in reversed(path) if tree.marked[i]), None)
-    kept = {whole if whole is not None else best}
-    upward = path[: path.index(body) + 1] if body in path else path
-    threshold = min((dense[i] for i in upward if dense[i] > 0), default=0.0)
-    above = set(upward)
-    for i in range(body + 1, n):
+    newest = [0] * n
+    for i in range(n - 1, 0, -1):
+        after[i], newest[tree.parent[i]] = newest[tree.parent[i]], i
+    keep, headings = [False] * n, []
+    for i in range(body, n):
         p = tree.parent[i]
-        if p in above and p != best and i not in above and not tree.dropped[i] and (dense[i] >= threshold or tree.tag[i] in ("h1", "h2", "h3")) and chars[i]:
-            kept.add(i)
-    keep = [False] * n
-    for i in range(n):
-        keep[i] = not tree.dropped[i] and (i in kept or i > 0 and keep[tree.parent[i]])
+        if tree.dropped[i]:
+            continue
+        if i == core:
+            keep[i] = True
+        elif i in above:  # its children are judged one by one; its own text, if any, with it
+            keep[i] = own_text[i] and dense[i] >= threshold and tree.tag[i] not in ("body", "html")
+        elif p in above and p != core:
+            keep[i] = bool(chars[i]) and dense[i] >= threshold > 0
+            if not keep[i] and chars[i] and tree.tag[i] in ("h1", "h2", "h3") and tree.weight[i] == 1.0:
+                headings.append(i)
+        elif p >= body and keep[p]:
+            keep[i] = tree.weight[i] == tree.weight[p] or dense[i] >= threshold
+    beside = set()
+    for h in reversed(headings):  # a heading goes with what follows it
+        if keep[after[h]] or after[h] in above or after[h] in beside:
+            beside.add(h)
+    for i in range(body, n):
+        if i in beside or tree.parent[i] in beside and not tree.dropped[i]:
+            keep[i] = True
+            beside.add(i)
+    return keep
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page."""
+    tree = Tree(page or "")
+    keep = chosen(tree)
     out, last, seen = [], 0, 1
     for node, text, opened in tree.text:
         if keep[node]:
-            if any(t not in INLINE for t in tree.tag[seen:opened]) or last != node and leaves_block(tree, last, node):
+            if tree.block[last] != tree.block[node] or any(t not in INLINE for t in tree.tag[seen:opened]):
                 out.append(" ")
             out.append(text)
             last, seen = node, opened
     return " ".join("".join(out).split())
 
 
-def leaves_block(tree: Tree, a: int, b: int) -> bool:
-    """Whether a block that holds node a was left before node b."""
-    up_b = set(tree.path(b))
-    for i in tree.path(a):
-        if i in up_b:
-            return False
-        if tree.tag[i] not in INLINE:
-            return True
-    return False
-
-
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
     """key, url, text (the main text) and n_chars (its code points) of every page."""
     bound_batches(pages.sparkSession)

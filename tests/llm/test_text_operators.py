@@ -279,6 +279,113 @@ def test_html_query_finds_the_articles(spark):
         assert r.text == " ".join(h.unescape(article).split())
 
 
+def brute_core(page):
+    """The composite text density by its definition, on well-formed pages: the node of the largest density sum."""
+    import math
+    from html.parser import HTMLParser
+
+    class Builder(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = {"tag": "#", "up": None, "kids": [], "n": 0}
+            self.at = self.root
+
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": tag, "up": self.at, "kids": []}
+            self.at["kids"].append(node)
+            if tag not in html_extract.VOID:
+                self.at = node
+
+        def handle_endtag(self, tag):
+            self.at = self.at["up"]
+
+        def handle_data(self, data):
+            self.at["kids"].append(data)
+
+    builder = Builder()
+    builder.feed(page)
+
+    def counts(node, link=False):
+        if isinstance(node, str):
+            n = len("".join(node.split()))
+            return n, 0, n * link, 0
+        if node["tag"] in html_extract.DROPPED:
+            return 0, -1, 0, 0
+        link = link or node["tag"] == "a"
+        got = [counts(k, link) for k in node["kids"]]
+        inner = sum(not isinstance(k, str) and k["tag"] not in html_extract.DROPPED for k in node["kids"])
+        links = sum(not isinstance(k, str) and k["tag"] == "a" for k in node["kids"])
+        return sum(g[0] for g in got), inner + sum(max(g[1], 0) for g in got), sum(g[2] for g in got), links + sum(g[3] for g in got)
+
+    body = next(k for k in builder.root["kids"][0]["kids"] if k["tag"] == "body")
+    whole = counts(body)
+
+    def density(node):
+        c, t, lc, lt = counts(node)
+        if not c:
+            return 0.0
+        t, lt = max(t, 1), max(lt, 1)
+        return c / t * max(math.log(c / max(lc, 1) * t / lt) / math.log(math.e) / math.log(c / max(c - lc, 1) * lc + whole[2] / whole[0] * c + math.e), 0.0)
+
+    best = (-1.0, None)
+    nodes = [body]
+    while nodes:
+        node = nodes.pop(0)
+        kids = [k for k in node["kids"] if not isinstance(k, str)]
+        total = sum(density(k) for k in kids if k["tag"] not in html_extract.INLINE)
+        if total > best[0] and node["tag"] not in html_extract.DROPPED:
+            best = total, node
+        nodes += kids
+    return best[1]["tag"], best[0]
+
+
+def test_html_core_equals_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()]
+    for page in pages:
+        page = re.sub(r"<(script|style)>.*?</\1>|<!--.*?-->|<!DOCTYPE html>|<div class=\"ad\">.*?</div>", "", page, flags=re.S)
+        page = re.sub(r"</?b>|<br>", "", page).replace("<p><p>", "<p>")
+        page = re.sub(r"(<p>[^<]*)(?=<p>)", r"\1</p>", page)
+        tree = html_extract.Tree(page)
+        _, _, _, total = html_extract.densities(tree)
+        core = max(range(len(total)), key=lambda i: (total[i], -i))
+        assert (tree.tag[core], round(total[core], 6)) == (brute_core(page)[0], round(brute_core(page)[1], 6))
+
+
+def test_html_does_not_need_the_article_element(spark):
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        renamed = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_extract.extract(renamed) == html_extract.extract(r.html)
+
+
+def test_html_names_do_not_decide_alone():
+    long = " ".join(f"word{i}" for i in range(60))
+    kept = [f'<div class="related-work"><p>A {long}</p></div>', f'<p class="side">B {long}</p>', f'<section id="search"><p>C {long}</p></section>']
+    gone = ['<div class="ad">buy</div>', f'<div class="comments"><p>D {long}</p><p>D {long}</p></div>', '<ul class="related-posts"><li>E one</li></ul>']
+    got = html_extract.extract(f"<body><article><h1>T</h1><p>{long}</p>{''.join(kept + gone)}</article></body>")
+    assert all(f"{x} word0" in got for x in "ABC") and not any(x in got for x in ("buy", "D word0", "E one"))
+
+
+def test_html_two_articles_and_text_beside_them():
+    long = " ".join(f"word{i}" for i in range(60))
+    got = html_extract.extract(f"<body><nav>m</nav><article><p>A {long}</p><p>{long}</p></article><article><p>B {long}</p><p>{long}</p></article><p>C {long}</p><footer>f</footer></body>")
+    assert [got.find(f"{x} word0") >= 0 for x in "ABC"] == [True] * 3 and "m " not in got[:2]
+
+
+def test_html_long_deep_and_repeated_pages(spark):
+    import time
+
+    deep = ["<div>word" * n for n in (2000, 16000)]
+    took = []
+    for page in deep:
+        began = time.process_time()
+        assert html_extract.extract(page).split() == ["word"] * page.count("word")
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 1  # linear: 8 times the depth
+    long = "<body><article>" + "<p>some running text of a long page</p>" * 20_000 + "</article></body>"
+    pages = spark.createDataFrame([(1, "u", long), (1, "u", long), (1, "u", None)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_extract.main_text(pages).collect()) == [0] + [33 * 20_000 - 1] * 2
+
+
 def test_html_keeps_text_outside_the_marked_element():
     # The body-path threshold runs on pages with <article>, too.
     p = "<p>" + "Some running text of an article. " * 8 + "</p>"
