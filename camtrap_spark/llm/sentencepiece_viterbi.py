@@ -5,13 +5,14 @@ the largest total score, characters outside the vocabulary counting as their UTF
 equal totals the one with the longer last piece wins. The vocabulary and its scores are read from a model file on
 the driver and broadcast (its size is fixed by the file); nothing is trained.
 
-`stream` keeps a window of as many positions as the longest piece has characters. Whenever all backpointer paths
-that are still alive run through one boundary, everything before it is committed and leaves the window. Two
-boundaries are common to all paths beforehand: before a `\\u2581` that follows another character, as no piece has
-one there (checked when the vocabulary is loaded), and around a character that no piece of several characters
-holds. Arrow batches are cut there, each distinct segment is encoded once, and all segments of ordinary length
-advance together, position by position, in numpy over the same window; segments that are longer, or hold
-characters of several bytes outside the vocabulary, go through `stream` itself.
+All streams of an Arrow slice advance together, one character a step, in numpy. Of each, `Lanes` retains the scores of
+as many positions as the longest piece has characters, and for each of these the boundaries on its best path. When
+the best paths of all of them - those that a later piece can still continue - share a boundary, they agree on
+everything before it: the pieces up to there are committed. What is not committed at a stream's end is committed then.
+
+No piece has a `\\u2581` behind another character (checked when the vocabulary is loaded; else nothing is cut), so
+all paths share the boundary before each such `\\u2581`, whatever came before. A text therefore enters as several
+streams of `STREAM_CHARS` characters or more that begin there, which is all that makes long texts advance in parallel.
 
 Defined results: a null text has null ids; an empty one has no ids. A literal `\\u2581` in a text is encoded in
 bytes, so that decoding gives back every text exactly. Rows are independent; repeated rows repeat.
@@ -34,9 +35,11 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 META = 0x2581
 #: Stands for a literal META inside texts; no code point.
 LITERAL = 0x110000
-#: Segments of more characters are streamed one by one.
-LONG_SEGMENT = 48
-SLICE = 1 << 20
+#: Characters of a stream before the next boundary that all paths share ends it.
+STREAM_CHARS = 256
+#: Positions that a path's boundaries are known for; a boundary further back is committed with a later one.
+HORIZON = 64
+SLICE = 1 << 19
 
 
 @dataclass
@@ -71,152 +74,171 @@ class Vocabulary:
         return Vocabulary(found, byte_ids, lowest - 10.0, decoded, max(map(len, found), default=1), cut_ok, {tuple(map(ord, p)): v for p, v in found.items()})
 
 
-def stream(codes: Iterable[int], vocabulary: Vocabulary) -> Iterator[list[int]]:
-    """The ids of a sequence of code points, in committed runs; memory is bounded by the longest piece."""
-    longest, by_codes = vocabulary.longest, vocabulary.by_codes
-    window: list[int] = []  # the last code points
-    base, at = 0, 0  # positions: committed so far, read so far
-    score = {0: 0.0}
-    back: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-    def path(end: int, start: int) -> list[int]:
-        runs = []
-        while end > start:
-            end, ids = back[end]
-            runs.append(ids)
-        return [i for run in reversed(runs) for i in run]
-
-    for code in codes:
-        window.append(code)
-        at += 1
-        if len(window) > longest:
-            window.pop(0)
-        best, how = -np.inf, None
-        for n in range(min(longest, len(window), at - base), 0, -1):
-            if at - n not in score:
-                continue
-            piece = by_codes.get(tuple(window[-n:]))
-            if piece is None and n == 1:
-                text = "▁" if code == LITERAL else chr(code)
-                piece = None, vocabulary.unknown_score
-                ids = tuple(vocabulary.byte_ids[b] for b in text.encode("utf-8", "surrogatepass"))
-            elif piece is not None:
-                ids = (piece[0],)
-            if piece is not None and score[at - n] + piece[1] > best:
-                best, how = score[at - n] + piece[1], (at - n, ids)
-        score[at], back[at] = best, how
-        # A later piece begins at one of the last `longest` positions: only their paths are alive.
-        alive = {p for p in range(max(base, at - longest + 1), at + 1) if p in score}
-        meet = set(alive)
-        while len(meet) > 1:
-            top = max(meet)
-            if top <= base:
-                break
-            meet.discard(top)
-            meet.add(back[top][0])
-        boundary = meet.pop() if len(meet) == 1 else base
-        if boundary > base:
-            yield path(boundary, base)
-            floor = score[boundary]
-            for p in [p for p in score if p < boundary]:
-                del score[p]
-            for p in [p for p in back if p <= boundary]:
-                del back[p]
-            for p in score:
-                score[p] -= floor  # only differences matter
-            base = boundary
-    if at > base:
-        yield path(at, base)
-
-
 def to_codes(text: str) -> list[int]:
     return [META, *(META if c == " " else LITERAL if c == "▁" else ord(c) for c in text)] if text else []
 
 
-def encode(text: str, vocabulary: Vocabulary) -> list[int]:
-    return [i for run in stream(to_codes(text), vocabulary) for i in run]
-
-
 def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     return b"".join(vocabulary.decoded[i] for i in ids).decode("utf-8", "surrogatepass")[1:]
 
 
-class BatchEncoder:
-    """Tables for whole batches; one for each worker."""
+class Pieces:
+    """The vocabulary as a hash table for whole arrays; one for each worker."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         entries = dict(vocabulary.by_codes)
-        for b in range(128):  # a byte piece stands for one character here
-            entries.setdefault((b,), (vocabulary.byte_ids[b], vocabulary.unknown_score))
         codes = np.concatenate([np.array(c, dtype=np.uint64) for c in entries])
         lengths = np.array([len(c) for c in entries])
         ends = np.cumsum(lengths)
         hashes = span_hashes(running(codes), ends - lengths, ends)
-        self.bits, slots = 18, None
+        self.bits = 19
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         nth = np.arange(len(slot)) - np.searchsorted(slot[order], slot[order])
         self.depth = int(nth.max()) + 1
         self.keys = np.zeros((self.depth, 1 << self.bits), dtype=np.uint64)
         self.ids = np.full((self.depth, 1 << self.bits), -1, dtype=np.int32)
-        values = list(entries.values())
         self.keys[nth, slot[order]] = hashes[order]
-        self.ids[nth, slot[order]] = np.array([v[0] for v in values], dtype=np.int32)[order]
-        self.score_of = np.zeros(len(vocabulary.decoded))
-        for i, s in values:
-            self.score_of[i] = s
-        several = np.zeros(0x110001, dtype=bool)
-        known = np.zeros(0x110001, dtype=bool)
+        self.ids[nth, slot[order]] = np.array([v[0] for v in entries.values()], dtype=np.int32)[order]
+        self.score_of = np.zeros(len(vocabulary.decoded) + 1)
+        for i, score in entries.values():
+            self.score_of[i] = score
+        self.score_of[-1] = vocabulary.unknown_score
+        self.inside = np.zeros(LITERAL + 1, dtype=bool)  # characters of pieces of several characters
         for c in entries:
-            known[c[0]] |= len(c) == 1
             if len(c) > 1:
-                several[list(c)] = True
-        self.alone, self.known = ~several, known
+                self.inside[list(c)] = True
         self.decoded_lengths = np.array([len(d) for d in vocabulary.decoded])
         self.decoded_starts = np.cumsum(self.decoded_lengths) - self.decoded_lengths
         self.decoded = np.frombuffer(b"".join(vocabulary.decoded), dtype=np.uint8)
+        self.byte_ids = np.array(vocabulary.byte_ids, dtype=np.int32)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.where(self.keys[0][slot] == hashes, self.ids[0][slot], -1)
+        """The piece of each hash, or -1."""
+        slot = (hashes >> np.uint64(64 - self.bits)).view(np.int64)
+        out = np.where(self.keys[0].take(slot) == hashes, self.ids[0].take(slot), np.int32(-1))
         for d in range(1, self.depth):
-            out = np.where(self.keys[d][slot] == hashes, self.ids[d][slot], out)
+            rest = np.flatnonzero((out < 0) & (self.ids[d].take(slot) >= 0))
+            if len(rest):
+                out[rest] = np.where(self.keys[d][slot[rest]] == hashes[rest], self.ids[d][slot[rest]], np.int32(-1))
         return out
 
-    def together(self, codes: np.ndarray, sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of segments without unknown characters, sorted by falling length: flat ids, and their number in each."""
-        n, longest, top = len(starts), self.vocabulary.longest, int(lengths[0]) if len(lengths) else 0
-        window = np.full((longest + 1, n), -np.inf)  # scores of the last positions
-        window[0] = 0.0
-        piece = np.full((top + 1, n), -1, dtype=np.int32)
-        size = np.zeros((top + 1, n), dtype=np.int16)
-        for j in range(1, top + 1):
-            m = int(np.searchsorted(-lengths, -j, side="right"))
-            best = np.full(m, -np.inf)
-            for k in range(min(j, longest), 0, -1):
-                begin = starts[:m] + (j - k)
-                found = self.lookup(span_hashes(sums, begin, begin + k))
-                at = np.flatnonzero(found >= 0)
-                if len(at):
-                    value = window[(j - k) % (longest + 1)][at] + self.score_of[found[at]]
-                    better = value > best[at]
-                    at = at[better]
-                    best[at], piece[j, at], size[j, at] = value[better], found[at], k
-            window[j % (longest + 1), :m] = best
-        counts, position, runs = np.zeros(n, dtype=np.int64), lengths.astype(np.int64).copy(), []
-        alive = np.arange(n)
-        while len(alive):
-            p = position[alive]
-            runs.append((alive, piece[p, alive]))
-            counts[alive] += 1
-            position[alive] = p - size[p, alive]
-            alive = alive[position[alive] > 0]
-        ends = np.cumsum(counts)
-        flat = np.zeros(int(ends[-1]) if n else 0, dtype=np.int32)
-        for step, (rows, ids) in enumerate(runs):
-            flat[ends[rows] - 1 - step] = ids
-        return flat, counts
+
+class Lanes:
+    """Streams of one slice that advance together; codes: all characters, streams sorted by falling length."""
+
+    def __init__(self, table: Pieces, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, reach: np.ndarray):
+        self.table, self.starts, self.lengths = table, starts, lengths
+        self.longest = table.vocabulary.longest
+        lanes, top = len(starts), int(lengths[0]) if len(lengths) else 0
+        # The window: scores and paths of the last positions, the newest in row `position % (longest + 1)`.
+        self.scores = np.full((self.longest + 1, lanes), -np.inf)
+        self.paths = np.zeros((self.longest + 1, lanes), dtype=np.uint64)  # bit i: a boundary i positions back
+        self.scores[0], self.paths[0] = 0.0, 1
+        self.base = np.zeros(lanes, dtype=np.int64)  # committed up to here
+        self.piece = np.full(len(codes), -1, dtype=np.int32)  # the best last piece at each position, until it is committed
+        self.size = np.zeros(len(codes), dtype=np.uint8)
+        self.ends = np.zeros(len(codes), dtype=bool)  # committed: a piece ends behind this character
+        self.converged = self.at_end = 0
+        #: Of each step the number of streams that are still running, and of all steps before it together.
+        self.running = np.searchsorted(-lengths, -np.arange(1, top + 1), side="right")
+        self.before = np.concatenate([[0], np.cumsum(self.running)])
+        self.spell(codes, reach)
+
+    def spell(self, codes: np.ndarray, reach: np.ndarray) -> None:
+        """The pieces that end at each character, in the order of the steps, of one character the longest first."""
+        sums, lane = running(codes), np.empty(len(codes), dtype=np.int32)
+        where = ragged(self.starts, self.lengths)
+        lane[where] = np.repeat(np.arange(len(self.starts), dtype=np.int32), self.lengths)
+        step = np.arange(len(codes)) - self.starts[lane]  # from 0
+        place = self.before[step] + lane
+        reach = np.minimum(reach, step + 1)
+        found, here = [], np.arange(len(codes))
+        n = np.ones(len(codes), dtype=np.int32)
+        for k in range(1, self.longest + 1):
+            here = here[reach[here] >= k]
+            piece = self.table.lookup(span_hashes(sums, here + 1 - k, here + 1))
+            if k == 1:
+                found.append((here, piece))
+            else:
+                some = np.flatnonzero(piece >= 0)
+                found.append((here[some], piece[some]))
+                n[here[some]] += 1
+        by_place = np.empty(len(codes), dtype=np.int64)
+        by_place[place] = n
+        self.first = np.concatenate([[0], np.cumsum(by_place)])
+        total = int(self.first[-1])
+        self.m_piece, self.m_size, self.m_lane = np.empty(total, np.int32), np.empty(total, np.uint8), np.empty(total, np.int32)
+        free = self.first[place]
+        for k in range(self.longest, 0, -1):
+            at, piece = found[k - 1]
+            slot = free[at]
+            self.m_piece[slot], self.m_size[slot], self.m_lane[slot] = piece, k, lane[at]
+            free[at] = slot + 1
+
+    def advance(self, j: int, m: int) -> None:
+        """The j-th character of the first m streams."""
+        rows, lanes = self.longest + 1, len(self.starts)
+        first = self.first[self.before[j - 1] : self.before[j]]
+        part = slice(int(first[0]), int(self.first[self.before[j]]))
+        lane, size, piece = self.m_lane[part], self.m_size[part], self.m_piece[part]
+        from_row = (j - np.arange(rows)) % rows * lanes  # of each size, where the position before the piece lies
+        value = self.scores.reshape(-1).take(from_row.take(size) + lane)
+        value += self.table.score_of.take(piece)
+        best = np.maximum.reduceat(value, first - first[0])
+        at = np.flatnonzero(value == best.take(lane))
+        chosen = lane.take(at)
+        at = at[np.concatenate([[True], chosen[1:] != chosen[:-1]])]  # the longest of those with the best total
+        size = size.take(at)
+        here = self.starts[:m] + (j - 1)
+        self.piece[here], self.size[here] = piece.take(at), size
+        path = self.paths.reshape(-1).take(from_row.take(size) + np.arange(m))
+        self.scores[j % rows, :m] = best
+        self.paths[j % rows, :m] = (path << size.astype(np.uint64)) | np.uint64(1)
+
+    def common(self, j: int, m: int) -> np.ndarray:
+        """How far back the newest boundary lies that the best paths of all positions in the window share; -1: none."""
+        rows, shared = self.longest + 1, np.full(m, ~np.uint64(0))
+        for back in range(min(self.longest, j + 1)):
+            path = self.paths[(j - back) % rows, :m]
+            dead = np.isneginf(self.scores[(j - back) % rows, :m])
+            shared &= np.where(dead, ~np.uint64(0), path << np.uint64(back))
+        newest = shared & (~shared + np.uint64(1))
+        return np.where(shared > 0, np.log2(np.maximum(newest, 1).astype(np.float64)).astype(np.int64), -1)
+
+    def commit(self, lanes: np.ndarray, until: np.ndarray) -> int:
+        """Follows the path back from `until` to what is committed already; returns the number of pieces."""
+        n, position, lanes_left = 0, until.copy(), lanes
+        while len(lanes_left):
+            at = self.starts[lanes_left] + position - 1
+            self.ends[at] = True
+            n += len(at)
+            position = position - self.size[at]
+            left = position > self.base[lanes_left]
+            lanes_left, position = lanes_left[left], position[left]
+        self.base[lanes] = until
+        return n
+
+    def run(self) -> None:
+        for j, m in enumerate(self.running.tolist(), 1):
+            self.advance(j, m)
+            ended = np.arange(int(self.running[j]) if j < len(self.running) else 0, m)
+            if len(ended):
+                self.at_end += self.commit(ended, np.full(len(ended), j))
+            if j % self.longest == 0:
+                back = self.common(j, m)
+                until = j - back
+                lanes = np.flatnonzero((back >= 0) & (until > self.base[:m]))
+                self.converged += self.commit(lanes, until[lanes])
+
+
+class BatchEncoder:
+    """Encodes and decodes whole slices; counts the pieces committed by convergence and at a stream's end."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.table = vocabulary, Pieces(vocabulary)
+        self.converged = self.at_end = 0
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each."""
@@ -229,45 +251,56 @@ class BatchEncoder:
         codes[codes == META] = LITERAL
         codes[codes == 32] = META
         codes[firsts] = META
-        alone = self.alone[codes]
-        begins = alone.copy()
-        begins[1:] |= alone[:-1]
+        lanes = Lanes(self.table, codes, *self.streams(codes, firsts))
+        lanes.run()
+        self.converged += lanes.converged
+        self.at_end += lanes.at_end
+        ends = np.flatnonzero(lanes.ends)
+        piece = lanes.piece[ends]
+        unknown = np.flatnonzero(piece < 0)  # characters on their own: as bytes
+        chars = codes[ends[unknown]]
+        chars = np.where(chars == LITERAL, META, chars)
+        width = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+        n = np.ones(len(ends), dtype=np.int64)
+        n[unknown] = width
+        after = np.cumsum(n)
+        out = np.zeros(int(after[-1]), dtype=np.int32)
+        known = piece >= 0
+        out[after[known] - 1] = piece[known]
+        raw = np.frombuffer(chars.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        out[ragged(after[unknown] - width, width)] = self.table.byte_ids[raw]
+        of = np.searchsorted(firsts, ends, side="right") - 1
+        n_ids = np.zeros(len(texts), dtype=np.int64)
+        n_ids[sizes > 0] = np.bincount(of, weights=n, minlength=len(firsts)).astype(np.int64)
+        return out, n_ids
+
+    def streams(self, codes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and lengths of the streams, the longest first; and for each character how long a piece that ends there can be."""
+        at = np.arange(len(codes))
+        begins = np.zeros(len(codes), dtype=bool)
         if self.vocabulary.cut_before_meta:
-            begins[1:] |= (codes[1:] == META) & (codes[:-1] != META)
+            begins[1:] = (codes[1:] == META) & (codes[:-1] != META)
         begins[firsts] = True
-        starts = np.flatnonzero(begins)
+        may = np.flatnonzero(begins)
+        stretch = np.zeros(len(codes), dtype=bool)  # no piece of several characters reaches over these
+        stretch[0] = True
+        stretch[1:] = ~(self.table.inside[codes[1:]] & self.table.inside[codes[:-1]])
+        stretch[may] = True
+        since = np.maximum.accumulate(np.where(stretch, at, 0))
+        reach = np.minimum(at - since + 1, self.vocabulary.longest)
+        text = np.searchsorted(firsts, may, side="right") - 1
+        block = (may - firsts[text]) // STREAM_CHARS
+        starts = may[np.concatenate([[True], (text[1:] != text[:-1]) | (block[1:] != block[:-1])])]
         lengths = np.diff(np.append(starts, len(codes)))
-        sums = running(codes)
-        _, which, back = np.unique(span_hashes(sums, starts, starts + lengths), return_index=True, return_inverse=True)
-        u_starts, u_lengths = starts[which], lengths[which]
-        strange = np.concatenate([[0], np.cumsum(~self.known[codes])])
-        slow = (u_lengths > LONG_SEGMENT) | (strange[u_starts + u_lengths] > strange[u_starts])
-        counts = np.zeros(len(which), dtype=np.int64)
-        quick = np.flatnonzero(~slow)
-        quick = quick[np.argsort(-u_lengths[quick], kind="stable")]
-        flat, counts[quick] = self.together(codes, sums, u_starts[quick], u_lengths[quick])
-        offset = np.zeros(len(which), dtype=np.int64)
-        offset[quick] = np.cumsum(counts[quick]) - counts[quick]
-        extra, filled = [flat], len(flat)
-        for i in np.flatnonzero(slow).tolist():
-            ids = [x for run in stream(codes[u_starts[i] : u_starts[i] + u_lengths[i]].tolist(), self.vocabulary) for x in run]
-            extra.append(np.array(ids, dtype=np.int32))
-            offset[i], counts[i] = filled, len(ids)
-            filled += len(ids)
-        flat = np.concatenate(extra)
-        per_segment = counts[back]
-        out = flat[ragged(offset[back], per_segment)]
-        text_of = np.searchsorted(firsts, starts, side="right") - 1
-        n_ids = np.zeros(len(texts), dtype=np.int64)
-        n_ids[sizes > 0] = np.bincount(text_of, weights=per_segment, minlength=len(firsts)).astype(np.int64)
-        return out, n_ids
+        order = np.argsort(-lengths, kind="stable")
+        return starts[order], lengths[order], reach
 
     def decode(self, ids: np.ndarray, n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all decoded texts one after the other, each with its leading space, and their lengths."""
-        lengths = self.decoded_lengths[ids]
+        lengths = self.table.decoded_lengths[ids]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         until = np.cumsum(n_ids)
-        return self.decoded[ragged(self.decoded_starts[ids], lengths)], ends[until] - ends[until - n_ids]
+        return self.table.decoded[ragged(self.table.decoded_starts[ids], lengths)], ends[until] - ends[until - n_ids]
 
 
 _encoders: dict[int, tuple[Vocabulary, BatchEncoder]] = {}

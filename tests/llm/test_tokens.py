@@ -53,23 +53,47 @@ def test_viterbi_equals_brute_force_and_round_trips(vocabulary):
     ends = np.cumsum(n)
     for text, end, k in zip(texts, ends, n):
         got = ids[end - k : end].tolist()
-        assert got == sp.encode(text, vocabulary) == brute_viterbi(sp.to_codes(text), vocabulary)
+        assert got == brute_viterbi(sp.to_codes(text), vocabulary)
         assert sp.decode(got, vocabulary) == text
 
 
-def test_stream_commits_before_the_end(vocabulary):
-    parts = list(sp.stream(sp.to_codes("the cat sat on the mat " * 50), vocabulary))
-    assert len(parts) > 100
+def test_every_id_is_committed_by_convergence_or_at_the_end(vocabulary, monkeypatch):
+    monkeypatch.setattr(sp, "STREAM_CHARS", 1 << 30)  # a text is one stream
+    text = "the cat sat on the mat " * 50 + "unbroken" * 40
+    encoder = sp.BatchEncoder(vocabulary)
+    ids, _ = encoder.encode([text])
+    assert ids.tolist() == brute_viterbi(sp.to_codes(text), vocabulary)
+    assert encoder.converged + encoder.at_end == len(ids) and encoder.at_end <= 3 * vocabulary.longest < encoder.converged
 
 
-def test_encode_query_round_trips(spark):
+def test_paths_that_do_not_converge(vocabulary):
+    # Phases of one repeated character never agree inside the horizon; they are committed at the end.
+    texts = ["a" * 1000, "=" * 999, "ab" * 300 + "é" * 200, "\u4e00" * 500]
+    encoder = sp.BatchEncoder(vocabulary)
+    ids, n = encoder.encode(texts)
+    ends = np.cumsum(n)
+    assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [brute_viterbi(sp.to_codes(t), vocabulary) for t in texts]
+
+
+def test_encode_query_equals_brute_force_and_round_trips(spark, vocabulary):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     encoded = queries()["op8_sentencepiece"](spark, SMALL)
     assert encoded.count() == docs.count() and encoded.where("not round_trip").count() == 0
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in encoded.collect():
+        assert r.ids == brute_viterbi(sp.to_codes(texts[r.doc_id]), vocabulary) and r.n_ids == len(r.ids)
     again = sp.decode_documents(encoded)
     assert again.join(docs, ["doc_id", "text"]).count() == docs.count()
 
 
+def test_encode_very_long_text_through_the_operator(spark, vocabulary):
+    words = ["alpha", "beta\n", "gämma", "x" * 50]
+    text = " ".join(words[i * i % 4] for i in range(60_000))
+    rows = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    got = sp.encode_documents(rows).collect()
+    assert got[0].ids == got[1].ids == brute_viterbi(sp.to_codes(text), vocabulary) and all(r.round_trip for r in got)
+
+
 def test_encode_edges(spark):
     rows = spark.createDataFrame([(1, None, 9), (2, "", 9), (2, "same", 9), (2, "same", 9), (None, "x", 9)], "doc_id long, text string, ids int")
     got = sorted(((r.doc_id, r.n_ids, r.round_trip, r.ids is None) for r in sp.encode_documents(rows).collect()), key=str)
