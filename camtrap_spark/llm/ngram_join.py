@@ -1,20 +1,30 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Every document's set of word 5-grams (words: runs without white space, A-Z lowered; fewer than five words: all of
-them as one n-gram) is sketched by trees of MinHash values. A tree is a trie over the documents' value sequences;
-two documents meet in it if their sequences share a prefix. Prefixes start at `DEEPEST` values and are shortened
-until the chance that a pair at the threshold meets in some tree reaches the target recall; documents are then
-grouped by the prefixes of that length. Documents of the same n-gram set form a node, so copies are never paired.
-
-Nodes that meet are joined into candidate components (on ids alone). Each component is dealt into blocks of about
-`BLOCK_NGRAMS` n-grams; a task takes two blocks, counts the common n-grams of all their pairs at once, and keeps
-the pairs of Jaccard similarity `threshold` or more: exact, by 64-bit n-gram hashes. It emits for each node the
-number of its links and one link of a spanning forest, never the pairs. The classes are the connected components
-of the links.
+them as one n-gram) is sketched by `TREES` trees. In each, its label is `DEEPEST` MinHash values of one byte. A tree is
+the prefix trie of all labels; it is held as the sorted sequence of labels, in which every prefix is a run. Documents
+of the same n-gram set form a node, so copies are never paired.
+
+Two nodes meet in a tree if their labels share a prefix that is long enough. How long is decided for each node: from
+its size follows the smallest similarity that another set at the threshold or above can have (a set of four n-grams
+has partners at exactly 0.8, one of six at 0.83 only, one of three none at all), and its prefix is shortened from
+`DEEPEST` until a pair of that similarity meets in some tree with the probability `TARGET_RECALL`. Nodes without a
+possible partner never enter the forest. The sorted labels are dealt out by range, so that a run of any length is
+spread over tasks; a task links each node to the first one of its run in the batch, and what runs over the border of
+two tasks is linked by their first and last runs (a few rows of each task).
+
+The first `FIRST_TREES` trees are joined into components before the others are sorted; in these, a node counts as its
+component, and a link inside a component is none. So the links that are looked at are about as many as the nodes.
+
+Each candidate component is dealt into blocks of about `BLOCK_NGRAMS` n-grams and `BLOCK_NODES` nodes; a task takes two
+blocks, counts the common n-grams of all their pairs at once, and keeps the pairs of Jaccard similarity `threshold`
+or more: exact, by 64-bit n-gram hashes. It emits for each node the number of its links and one link of a spanning
+forest, never the pairs. The classes are the connected components of the links.
 
 Defined results: a document without words has no n-gram, links nothing and is a class of its own; so is one with
 null text. Rows without an id take no part and give no row. Rows of the same id and text are copies of each other;
-rows of the same id and different texts are separate rows. Ties: a class is named by its smallest id.
+rows of the same id and different texts are separate rows. Ties: a class is named by its smallest id. Ids are whole
+numbers; other types are an error.
 """
 
 from __future__ import annotations
@@ -23,29 +33,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, checkpoint_dir, discard, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, DEEPEST = 32, 8
+TREES, DEEPEST, FIRST_TREES = 32, 8, 2
 TARGET_RECALL = 0.9995
-BLOCK_NGRAMS = 1 << 19
+#: Sets of more n-grams than this have partners of about the threshold itself.
+SIZED = 256
+BLOCK_NGRAMS, BLOCK_NODES = 1 << 19, 2048
 #: Slots of the filter on ids; a fixed size that is broadcast. Ids that share a slot are told apart by the join behind it.
 FILTER_SLOTS = 1 << 22
 SLICE = 1 << 20
-NODE_ROWS = "doc_id long, node long, n_ngrams long, prefixes array<long>"
-
-
-def forest_depth(trees: int = TREES, deepest: int = DEEPEST, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """The longest prefix with which a pair at the threshold meets in some tree with the target probability."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    return 1
+NODE_ROWS = "doc_id long, node long, n_ngrams long, labels array<long>"
+
+
+def least_similarity(size: int, threshold: float) -> float:
+    """The smallest Jaccard similarity, of those at the threshold or above, of a set of `size` with a different set; 2.0 if there is none."""
+    found = 2.0
+    for common in range(1, size + 1):
+        other = int(common / threshold + 1e-9) - size + common  # the largest set that still reaches it
+        while other >= common and common / (size + other - common) < threshold - 1e-12:
+            other -= 1
+        if other >= common and not other == common == size:
+            found = min(found, common / (size + other - common))
+    return found
+
+
+def forest_depths(trees: int, threshold: float, target: float) -> np.ndarray:
+    """For each set size up to SIZED, the longest prefix with which its pairs meet in some tree with the target probability; 0: no pair is possible."""
+    out = np.zeros(SIZED + 1, dtype=np.int64)
+    for size in range(1, SIZED + 1):
+        similarity = least_similarity(size, threshold) if size < SIZED else threshold
+        if similarity <= 1:
+            out[size] = next((d for d in range(DEEPEST, 1, -1) if 1 - (1 - similarity**d) ** trees >= target), 1)
+    return out
 
 
 def ngram_sets(column: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -88,22 +115,123 @@ def node_ids(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefixes(grams: np.ndarray, sizes: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each text with n-grams, the hashed prefix of `depth` MinHash values in each tree."""
+def labels_of(grams: np.ndarray, sizes: np.ndarray, trees: int) -> np.ndarray:
+    """For each text with n-grams its label in each tree: DEEPEST MinHash values of a byte each, the first one on top."""
     n = int((sizes > 0).sum())
     out = np.zeros((n, trees), dtype=np.uint64)
     state = np.uint64(0x243F6A8885A308D3)
     with np.errstate(over="ignore"):
         for tree in range(trees):
-            value = np.full(n, np.uint64(tree + 1))
-            for _ in range(depth):
+            for _ in range(DEEPEST):
                 state = mix(np.array([state + np.uint64(0x9E3779B97F4A7C15)]))[0]
                 least = per_text(((grams * (state | np.uint64(1))) >> np.uint64(32)).astype(np.uint32), sizes, np.minimum)
-                value = mix(value * np.uint64(0x9E3779B97F4A7C15) + least)
-            out[:, tree] = value
+                out[:, tree] = out[:, tree] << np.uint64(8) | mix(least.astype(np.uint64)) & np.uint64(255)
+    return out
+
+
+LINKS = "a long, b long, task int, at_end int, depth int, prefix long, tree int"
+
+
+def linked_runs(batches: Iterator[pa.RecordBatch], shortest: int, task: int) -> Iterator[pa.RecordBatch]:
+    """Links of rows sorted by tree and label, and the first and last run of each depth in this task.
+
+    Rows: tree, label, node, depth (the prefix length that the node needs). A run is a prefix's rows; its head is the
+    first of them that is content with this length. Holds a batch and the heads of the run that is open.
+    """
+    depths = list(range(shortest, DEEPEST + 1))
+    heads = {d: None for d in depths}  # of the open run: (tree, prefix, node or None)
+    opened = {d: None for d in depths}  # the task's first run
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, label, node, need = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("tree", "label", "node", "depth"))
+        label = label.view(np.uint64)
+        left, right = [], []
+        for d in depths:
+            prefix = (label >> np.uint64(8 * (DEEPEST - d))).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (tree[1:] != tree[:-1])]))
+            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(node))))
+            content, newly = need <= d, need == d
+            place = np.where(content, np.arange(len(node)), len(node))
+            head = np.minimum.reduceat(place, starts)
+            earlier = np.minimum.reduceat(np.where(need < d, np.arange(len(node)), len(node)), starts)
+            # Nodes that need less are linked at a shorter prefix already: the first of them stands for all.
+            joined = newly.copy()
+            joined[earlier[earlier < len(node)]] = True
+            at = np.flatnonzero(joined & (head[run] < np.arange(len(node))))
+            left.append(node[head[run[at]]])
+            right.append(node[at])
+            first = (int(tree[0]), int(prefix[0]), int(node[head[0]]) if head[0] < len(node) else None)
+            before = heads[d]
+            if before is not None and before[:2] == first[:2]:
+                if before[2] is not None and first[2] is not None:
+                    left.append(np.array([before[2]]))
+                    right.append(np.array([first[2]]))
+                first = (*first[:2], before[2] if before[2] is not None else first[2])
+            if opened[d] is None or before is not None and opened[d][:2] == first[:2]:
+                opened[d] = first
+            last = head[-1]
+            heads[d] = first if len(starts) == 1 else (int(tree[-1]), int(prefix[-1]), int(node[last]) if last < len(node) else None)
+        a, b = np.concatenate(left), np.concatenate(right)
+        some = np.flatnonzero(a != b)  # members of one component are linked already
+        pairs = np.unique(np.stack([np.minimum(a[some], b[some]), np.maximum(a[some], b[some])], axis=1), axis=0)
+        k = len(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(pa.nulls(k, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["a", "b", "task", "at_end", "depth", "prefix", "tree"])
+    for at_end, found in enumerate((opened, heads)):
+        rows = [(d, *found[d]) for d in depths if found[d] is not None]
+        k = len(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[3] for r in rows], pa.int64()), pa.nulls(k, pa.int64()), pa.array([task] * k, pa.int32()), pa.array([at_end] * k, pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())],
+            names=["a", "b", "task", "at_end", "depth", "prefix", "tree"],
+        )
+
+
+def border_links(rows: list) -> list[tuple[int, int]]:
+    """Links between the last run of each task and the first one of the next; rows: two of each depth and task."""
+    out = []
+    for depth in {r.depth for r in rows}:
+        carried = None
+        for r in sorted((r for r in rows if r.depth == depth), key=lambda r: (r.task, r.at_end)):
+            here = (r.tree, r.prefix, r.a)
+            if carried is not None and carried[:2] == here[:2]:
+                if carried[2] is not None and here[2] is not None and carried[2] != here[2]:
+                    out.append((carried[2], here[2]))
+                here = (*here[:2], carried[2] if carried[2] is not None else here[2])
+            carried = here
     return out
 
 
+def forest_links(rows: DataFrame, shortest: int) -> DataFrame:
+    """a, b: the links of the sorted tries of rows (tree, label, node, depth)."""
+    spark = rows.sparkSession
+    ordered = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    found = keep(ordered.mapInArrow(lambda batches: linked_runs(batches, shortest, TaskContext.get().partitionId()), LINKS))
+    border = border_links(found.where("b is null").collect())  # a few rows of each task
+    return found.where("b is not null").select("a", "b").unionByName(spark.createDataFrame(border, "a long, b long"))
+
+
+def forest_components(nodes: DataFrame, trees: int, threshold: float, target: float) -> DataFrame:
+    """node, component: candidates that meet in the forest, directly or over others. nodes: node, n_ngrams, labels."""
+    depths = forest_depths(trees, threshold, target)
+    shortest = int(depths[depths > 0].min()) if (depths > 0).any() else DEEPEST
+    size = F.least("n_ngrams", F.lit(SIZED)).cast("int")
+    entered = nodes.withColumn("depth", F.get(F.array(*(F.lit(int(d)) for d in depths)), size)).where("depth > 0")
+
+    def planted(frame: DataFrame, first: int, many: int, name: str) -> DataFrame:
+        return frame.select(F.posexplode(F.slice("labels", first + 1, many)).alias("tree", "label"), F.col(name).alias("node"), "depth").select("tree", "label", "node", "depth")
+
+    first = min(FIRST_TREES, trees)
+    near = components(forest_links(planted(entered, 0, first, "node"), shortest))
+    if first == trees:
+        return near
+    labelled = keep(entered.join(near, "node", "left").select("node", "depth", "labels", F.coalesce("component", "node").alias("component")))
+    wide = components(forest_links(planted(labelled, first, trees - first, "component"), shortest))
+    grown = labelled.select("node", "component").join(wide.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+    placed = grown.select("node", F.coalesce("further", "component").alias("component"))
+    several = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return keep(placed.join(several, "component").select("node", "component"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node that a chain of edges leads to. Labels spread and are doubled until they rest."""
     both = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).where("a <> b").distinct())
@@ -156,7 +284,7 @@ def pair_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np
     rows = [np.repeat(np.arange(len(s)), s) for _, s in (left, right)]
     columns = [place[ids[: len(left[0])]], place[ids[len(left[0]) :]]]
     out = np.zeros((len(left[1]), len(right[1])), dtype=np.float32)
-    step = 1 << 12
+    step = 1 << 11
     sorted_by = [np.argsort(c, kind="stable") for c in columns]
     for first in range(0, len(shared), step):
         dense = []
@@ -230,17 +358,15 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
         yield from done()
 
 
-def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame, threshold: float, trees: int, target: float) -> DataFrame:
     """node, component, texts, documents: every node that has a link, with its class and numbers of links.
 
-    nodes: node, first_id, copies, n_ngrams, prefixes; docs: doc_id, text.
+    nodes: node, first_id, copies, n_ngrams, labels; docs: doc_id, text.
     """
-    met = nodes.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    group = met.groupBy("tree", "prefix").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    edges = met.join(group, ["tree", "prefix"]).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    candidates = components(edges)
+    candidates = forest_components(nodes, trees, threshold, target)
     placed = candidates.join(nodes.select("node", "first_id", "copies", "n_ngrams"), "node")
-    blocks = placed.groupBy("component").agg(F.ceil(F.sum("n_ngrams") / F.lit(BLOCK_NGRAMS)).cast("int").alias("blocks"))
+    many = F.greatest(F.ceil(F.sum("n_ngrams") / F.lit(BLOCK_NGRAMS)), F.ceil(F.count("*") / F.lit(BLOCK_NODES)))
+    blocks = placed.groupBy("component").agg(many.cast("int").alias("blocks"))
     dealt = keep(placed.join(blocks, "component").select("node", "component", "first_id", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     maybe = id_filter(dealt, "first_id")
 
@@ -269,27 +395,28 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents")).join(classes, "node", "left")
 
 
-def classed_nodes(docs: DataFrame, key: str, text: str, threshold: float, trees: int, deepest: int, target: float) -> DataFrame:
+def classed_nodes(docs: DataFrame, key: str, text: str, threshold: float, trees: int, target: float) -> DataFrame:
     """What join_classes gives, with the node of each row (0 without words) and the node that stands for its class."""
     bound_batches(docs.sparkSession)
     checkpoint_dir(docs.sparkSession)
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} is not a whole number: {docs.schema[key].dataType.simpleString()}")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
-    depth = forest_depth(trees, deepest, threshold, target)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", SLICE):
                 grams, sizes = ngram_sets(part.column("text"))
-                flat = prefixes(grams, sizes, trees, depth)
+                flat = labels_of(grams, sizes, trees)
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, trees, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(node_ids(grams, sizes).view(np.int64)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "node", "n_ngrams", "prefixes"],
+                    names=["doc_id", "node", "n_ngrams", "labels"],
                 )
 
     sketched = keep(rows.mapInArrow(sketch, NODE_ROWS))
-    nodes = keep(sketched.where("n_ngrams > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_ngrams").alias("n_ngrams"), F.any_value("prefixes").alias("prefixes")))
-    linked = keep(nodes.select("node", "first_id", "copies").join(links(nodes, rows, threshold), "node"))
+    nodes = keep(sketched.where("n_ngrams > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_ngrams").alias("n_ngrams"), F.any_value("labels").alias("labels")))
+    linked = keep(nodes.select("node", "first_id", "copies").join(links(nodes, rows, threshold, trees, target), "node"))
     named = linked.groupBy("component").agg(F.min(F.struct("first_id", "node")).alias("lead")).select("component", F.col("lead.first_id").alias("class_id"), F.col("lead.node").alias("class_node"))
     # A table of its own, so that the last join is of two plain shuffles, whose large keys (copies) Spark can split.
     known = keep(nodes.select("node", "first_id", "copies").join(linked.join(named, "component").select("node", "texts", "documents", "class_id", "class_node"), "node", "left"))
@@ -304,13 +431,13 @@ def classed_nodes(docs: DataFrame, key: str, text: str, threshold: float, trees:
     )
 
 
-def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET_RECALL) -> DataFrame:
+def join_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET_RECALL) -> DataFrame:
     """doc_id, class_id, copy_id, n_links, n_text_links of every row of docs that has an id.
 
     class_id: the smallest id of the class; copy_id: the smallest id with the same n-gram set; n_links: other
     documents at the threshold or above, copies included; n_text_links: other n-gram sets.
     """
-    return classed_nodes(docs, key, text, threshold, trees, deepest, target).drop("node", "class_node")
+    return classed_nodes(docs, key, text, threshold, trees, target).drop("node", "class_node")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -320,7 +447,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     of the smallest hash. Rows without an id stay. Of rows that agree in id and n-gram set, or without words in id
     and text, one stays, that of the smallest text.
     """
-    found = classed_nodes(docs, key, text, threshold, TREES, DEEPEST, TARGET_RECALL)
+    found = classed_nodes(docs, key, text, threshold, TREES, TARGET_RECALL)
     dropped = keep(found.where("doc_id <> class_id or node <> class_node").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct())
     again = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).count().where("count > 1").select("_id")
     looked_at = keep(dropped.select("_id").unionByName(again))

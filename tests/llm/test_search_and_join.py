@@ -132,9 +132,86 @@ def test_join_edges(spark):
     assert ngram_join.join_classes(df.limit(0)).count() == 0 and ngram_join.keep_one(df.limit(0)).count() == 0
 
 
-def test_forest_depth_reaches_the_recall():
-    d = ngram_join.forest_depth()
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+def test_least_similarity_equals_enumeration():
+    for size in range(1, 40):
+        all_of = [c / (size + m - c) for m in range(1, 60) for c in range(1, min(size, m) + 1) if not c == m == size]
+        want = min((s for s in all_of if s >= 0.8 - 1e-12), default=2.0)
+        assert ngram_join.least_similarity(size, 0.8) == pytest.approx(want)
+
+
+def test_forest_depths_reach_the_recall():
+    depths = ngram_join.forest_depths(ngram_join.TREES, 0.8, ngram_join.TARGET_RECALL)
+    assert (depths[:4] == 0).all() and set(depths[4:]) <= {6, 7, 8}
+    for size in range(4, len(depths)):
+        d, s = int(depths[size]), min(ngram_join.least_similarity(size, 0.8), 0.8 if size == len(depths) - 1 else 1)
+        meets = lambda d: 1 - (1 - s**d) ** ngram_join.TREES
+        assert meets(d) >= ngram_join.TARGET_RECALL and (d == ngram_join.DEEPEST or meets(d + 1) < ngram_join.TARGET_RECALL)
+
+
+def runs_by_hand(rows, shortest):
+    """Components of all pairs that share a prefix that is long enough for both, tree by tree."""
+    root = {n: n for _, _, n, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for t, x, n, d in rows:
+        for u, y, m, e in rows:
+            if t == u and n != m and x >> (8 * (8 - max(d, e))) == y >> (8 * (8 - max(d, e))):
+                a, b = find(n), find(m)
+                root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in root}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_forest_links_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    heads = [rng.randrange(1, 2**62) for _ in range(6)]
+    rows = []
+    for node in range(300):
+        for tree in range(2):
+            label = rng.choice(heads)
+            for level in range(rng.choice([0, 1, 2, 3, 8])):
+                label ^= rng.choice([0, 1, 1]) << (8 * level)
+            rows.append((tree, label, node, [6, 6, 7, 8][node % 4]))
+    df = spark.createDataFrame(rows, "tree int, label long, node long, depth int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")  # runs that go over batches and tasks
+    try:
+        found = {r.node: r.component for r in ngram_join.components(ngram_join.forest_links(df.repartition(5), 6)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = runs_by_hand(rows, 6)
+    assert {n: found.get(n, n) for n in want} == want
+
+
+def test_short_texts_that_share_one_ngram(spark):
+    # 10,000 texts of six words, all with the same first five, and some of eight words with partners at exactly 0.8.
+    rows = [(i, f"a b c d e w{i}") for i in range(10_000)]
+    rows += [(20_000 + i, " ".join(f"{c}{i // 2}" for c in "pqrstuvw") + (" x" if i % 2 else "")) for i in range(400)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (i, 0) for i in range(10_000))
+    assert all(got[20_000 + i] == (20_000 + i // 2 * 2, 1) for i in range(400))
+
+
+def test_join_of_many_near_copies_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 16)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    docs = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            text[rng.randrange(len(text))] = f"x{i}"
+        docs.append((i, " ".join(text)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_join(docs)
+
+
+def test_join_refuses_ids_that_are_no_numbers(spark):
+    with pytest.raises(TypeError):
+        ngram_join.join_classes(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
 
 
 def test_components(spark):
