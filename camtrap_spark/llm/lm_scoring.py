@@ -1,23 +1,30 @@
 """LM scoring by logistic context mixing.
 
-A text is read as its lower-cased (A-Z) UTF-8 bytes and one end symbol. Each symbol is a path of binary decisions
-in a prefix code, and each decision is predicted by several hashed contexts: the last two bytes, the last four
-bytes, and the whole word so far; at the first symbol of a word these are the bytes before it and the word before,
-at later symbols they stay inside the word. Every context owns a table of bit counts with a fixed number of slots;
-their predictions, in the logistic domain, are mixed by a weight vector that a gate chooses (the depth of the
-decision, the class of the byte before, and how sure the word is), and the mix is refined by an adaptive probability map over quantised
-predictions. The weights of each gate are those of a logistic regression over all its bits, found by Newton's
-steps; the map then counts how often each prediction comes true. A text's score is the sum of the log10 probabilities of all its bits, so the probabilities of all texts add up to
-one. As contexts inside a word depend on the word alone, a task evaluates each distinct word of a slice once.
+A text is read as its lower-cased (A-Z) UTF-8 bytes and one end symbol, cut into units: a word, which may be empty, and
+the separator or end after it. Each symbol is a path of binary decisions in a prefix code, and each decision is
+predicted by several hashed contexts: the last two bytes, the last four bytes, and the whole word so far; at the first
+symbol of a unit these are the last bytes and the word of the unit before, at later symbols they stay inside the unit.
+Every context owns a table of bit counts with a fixed number of slots; their predictions, in the logistic domain, are
+mixed by a weight vector that a gate chooses (the depth of the decision, the class of the byte before, and how sure
+the word is), and the mix is refined by an adaptive probability map over quantised predictions. The weights of each
+gate are those of a logistic regression over all its bits, found by Newton's steps; the map then counts how often each
+prediction comes true. As a unit's contexts depend on it and on the unit before alone, a task evaluates each distinct
+unit, and each distinct pair of a unit and the first symbol after it, once.
+
+What the corpus repeats over words is remembered by passages: units up to one whose word and the word before hash to a
+border (`PASSAGE` units on average). All passages of the training texts are counted, in a table that grows with the
+corpus. A passage of c occurrences has the probability (c - 1) / N + V / N * (product of its symbols' probabilities), N
+all passages and V distinct ones: absolute discounting by one, so that what occurs once teaches nothing by itself.
+A text's score is the sum of the log10 probabilities of its passages.
 
 All of it is learned from all training texts, on the executors: symbol counts give the prefix code, one pass counts
-bits (tables of fixed size for each task, summed by block) and tokens (summed by hash), `ROUNDS` passes add up
-gradients and curvatures by gate, and a last one the hits of the map. What reaches the driver of a pass is a table
+bits (tables of fixed size for each task, summed by block), tokens and passages (summed by hash), `ROUNDS` passes add
+up gradients and curvatures by gate, and a last one the hits of the map. What reaches the driver of a pass is a table
 of fixed size. A learned bit is taken out of the counts that predict it.
 
 The base score is exact: tokens are counted by a 64-bit hash over all training texts. The tokens with at least
 N / `FREQUENT` occurrences - there cannot be more than `FREQUENT` of them - are broadcast; the counts of all
-others are joined to the documents that hold them.
+others, and those of the passages, are joined to the documents that hold them.
 
 Defined results: a null text counts as empty: one token, the end. With no training text every token is unknown,
 and N and V are 0. Rows are scored one by one, also those of equal or null keys; other columns are not read.
@@ -37,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import BLOCK, LOWER, NOT_SPACE, bound_batches, keep, narrow, pieces, placed_blocks, ragged, running, span_hashes, table_blocks, utf8, widen
+from .common import BLOCK, LOWER, NOT_SPACE, bound_batches, keep, mix, narrow, pieces, placed_blocks, ragged, running, span_hashes, table_blocks, utf8, widen
 
 END, PAD = 256, 257
 #: Slots of each context's table: bytes of two, bytes of four, word.
@@ -48,7 +55,9 @@ CONTEXTS = len(TABLES)
 ROUNDS, SUM_STEP = 1, 1 << 16
 FREQUENT = 1 << 20
 #: Distinct units of slices that a task holds before it counts them; slices that it holds while it scores.
-KINDS_HELD, SLICES_HELD = 400_000, 8
+KINDS_HELD, SLICES_HELD, UNITS_HELD = 400_000, 8, 4_000_000
+#: Units of a passage, on average.
+PASSAGE = 16
 #: int8 tables hold stretch(p) * TABLE_STEP; the map's cells are MAP_STEP to a unit, up to MAP_HALF.
 TABLE_STEP, MAP_STEP, MAP_HALF = 12.0, 16.0, 192
 CLASSES, DEPTHS, LEVELS = 6, 24, 5
@@ -149,14 +158,14 @@ def contexts_of(last: list[np.ndarray], word: np.ndarray) -> np.ndarray:
         return np.stack([((x * np.uint64(0x9E3779B97F4A7C15 + 2 * k)) >> np.uint64(65 - size.bit_length())).astype(np.int64) for k, (x, size) in enumerate(zip((two, four, word), TABLES))])
 
 
-def first_symbols(u: Units) -> Symbols:
-    """The first symbol of every unit, predicted by the bytes and the word before it in its text."""
-    n, begin = len(u.starts), u.text_starts[u.text]
-    last = [np.where(u.starts - k >= begin, u.stream[np.maximum(u.starts - k, 0)], PAD) for k in range(1, 5)]
-    words = span_hashes(u.sums, u.starts, u.ends - 1)
-    same = np.concatenate([[False], u.text[1:] == u.text[:-1]]) if n else np.zeros(0, bool)
-    before = np.where(same, np.concatenate([words[:1], words[:-1]]), np.uint64(0)) ^ np.uint64(1 << 40)
-    return Symbols(u.stream[u.starts], contexts_of(last, before), BYTE_CLASS[last[0]])
+def first_symbols(u: Units, before: np.ndarray, symbol: np.ndarray) -> Symbols:
+    """A unit's first symbol, predicted by the unit of u before it (-1: none, at a text's start)."""
+    there = before >= 0
+    begin, end = np.where(there, u.starts[before], 0), np.where(there, u.ends[before], 0)
+    last = [np.where(end - k >= begin, u.stream[np.maximum(end - k, 0)], PAD) if len(u.stream) else np.full(len(before), PAD) for k in range(1, 5)]
+    last = [np.where(there, x, PAD) for x in last]
+    word = np.where(there, span_hashes(u.sums, begin, np.maximum(end - 1, begin)), np.uint64(0)) ^ np.uint64(1 << 40)
+    return Symbols(symbol, contexts_of(last, word), BYTE_CLASS[last[0]])
 
 
 def inner_symbols(u: Units, chosen: np.ndarray) -> tuple[Symbols, np.ndarray]:
@@ -330,9 +339,27 @@ class Kinds:
 
     def __init__(self):
         self.hashes, self.symbols, self.lengths, self.times, self.size = [], [], [], [], 0
+        self.places, self.begins, self.units = [], [], 0
+
+    @property
+    def full(self) -> bool:
+        return self.size > KINDS_HELD or self.units > UNITS_HELD
 
     def add(self, u: Units) -> np.ndarray:
         """The place of each unit of u among the kinds of all slices."""
+        self.begins.append(np.concatenate([[True], u.text[1:] != u.text[:-1]]) if len(u.text) else np.zeros(0, bool))
+        self.units += len(u.text)
+        self.places.append(self.placed(u))
+        return self.places[-1]
+
+    def pairs(self, u: Units, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pair_keys of all slices (kinds of the merged u), and how often each occurred."""
+        if not self.places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys = np.concatenate([pair_keys(u, kind[places], begins) for places, begins in zip(self.places, self.begins)])
+        return np.unique(keys, return_counts=True)
+
+    def placed(self, u: Units) -> np.ndarray:
         hashes, which, kind, n = np.unique(span_hashes(u.sums, u.starts, u.ends), return_index=True, return_inverse=True, return_counts=True)
         lengths = u.ends[which] - u.starts[which]
         self.hashes.append(hashes)
@@ -355,6 +382,19 @@ class Kinds:
         return Units(stream, running(stream), ends - lengths[which], ends, ends, ends), kind, times
 
 
+def pair_keys(u: Units, of: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For a run of units, given as kinds of u, the unit before (0: none; begins: a text's first) with the first symbol."""
+    before = np.concatenate([[0], of[:-1] + 1]) if len(of) else of
+    return np.where(begins, 0, before) * (END + 1) + u.stream[u.starts[of]]
+
+
+def some_pairs(u: Units, keys: np.ndarray, size: int = 1 << 17) -> Iterator[tuple[slice, Symbols]]:
+    """The first symbols of distinct pair_keys, in runs that are small enough to lay out."""
+    for at in range(0, len(keys), size):
+        part = slice(at, min(at + size, len(keys)))
+        yield part, first_symbols(u, keys[part] // (END + 1) - 1, keys[part] % (END + 1))
+
+
 def some_kinds(u: Units, size: int = 1 << 14) -> Iterator[np.ndarray]:
     """The units in runs that are small enough to lay out all their symbols."""
     return (np.arange(at, min(at + size, len(u.starts))) for at in range(0, len(u.starts), size))
@@ -391,6 +431,21 @@ def unit_words(u: Units) -> np.ndarray:
     return np.where(u.ends - 1 > u.starts, span_hashes(u.sums, u.starts, u.ends - 1), np.uint64(0))
 
 
+def passages(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """The first unit and the hash of each passage."""
+    if not len(u.starts):
+        return u.starts, np.zeros(0, np.uint64)
+    words = span_hashes(u.sums, u.starts, np.maximum(u.ends - 1, u.starts))
+    ends = np.ones(len(words), dtype=bool)
+    same = u.text[1:] == u.text[:-1]
+    ends[:-1] = ~same
+    with np.errstate(over="ignore"):
+        ends[1:] |= same & (mix(words[1:] + words[:-1] * np.uint64(31)) % np.uint64(PASSAGE) == 0)
+    last = np.flatnonzero(ends)
+    first = np.concatenate([[0], last[:-1] + 1])
+    return first, span_hashes(u.sums, u.starts[first], u.ends[last]) ^ PASSAGE_SALT
+
+
 def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, back = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(back, weights=n, minlength=len(distinct)).astype(np.int64)
@@ -404,14 +459,20 @@ class Scorer:
     ends: int  # training texts
     frequent: np.ndarray  # sorted hashes
     frequent_counts: np.ndarray
+    passages: int  # all of the training texts, and distinct ones
+    passage_kinds: int
 
 
 COUNTS = "block long, slots binary, counts binary"
 #: Token counts travel in buckets of the hash's top bits; bucket b is block -1 - b.
 BUCKET_BITS = 12
+#: Buckets of passages come after those of tokens.
+PASSAGES = 1 << BUCKET_BITS
+#: Keeps passages of one unit apart from tokens.
+PASSAGE_SALT = np.uint64(0x3C6EF372FE94F82B)
 
 
-def token_blocks(hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def token_blocks(hashes: np.ndarray, n: np.ndarray, after: int = 0) -> Iterator[pa.RecordBatch]:
     """Sorted hashes and their counts, a row for each bucket."""
     bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
@@ -419,7 +480,7 @@ def token_blocks(hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(firsts), 512):
         some = list(zip(firsts[at : at + 512].tolist(), lasts[at : at + 512].tolist()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(-1 - bucket[firsts[at : at + 512]]), pa.array([hashes[a:b].tobytes() for a, b in some], pa.binary()), pa.array([narrow(n[a:b]) for a, b in some], pa.binary())],
+            [pa.array(-1 - after - bucket[firsts[at : at + 512]]), pa.array([hashes[a:b].tobytes() for a, b in some], pa.binary()), pa.array([narrow(n[a:b]) for a, b in some], pa.binary())],
             names=["block", "slots", "counts"],
         )
 
@@ -437,9 +498,20 @@ def sum_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if mine[2] > mine[3]:
                 keys, n = add_up(np.concatenate(mine[0]), np.concatenate(mine[1]))
                 held[block] = [[keys], [n], len(keys), 2 * len(keys) + 1024]
-    for hashes, counts, _, _ in held.values():
+    all_passages = distinct = 0
+    for block, (hashes, counts, _, _) in held.items():
         keys, n = add_up(np.concatenate(hashes), np.concatenate(counts))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
+        if block < -PASSAGES:  # of passages those that occur again are kept, and the sums of all
+            all_passages, distinct = all_passages + int(n.sum()), distinct + len(n)
+            keys, n = keys[n > 1], n[n > 1]
+        yield token_rows(keys, n, block < -PASSAGES)
+    if distinct:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([all_passages]), pa.array([True]), pa.array([distinct])], names=["hash", "n", "passage", "distinct"])
+
+
+def token_rows(keys: np.ndarray, n: np.ndarray, passage: bool) -> pa.RecordBatch:
+    k = len(keys)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.full(k, passage)), pa.nulls(k, pa.int64())], names=["hash", "n", "passage", "distinct"])
 
 
 SUMS = "cell int, total long"
@@ -478,18 +550,19 @@ def learned(texts: DataFrame, shape: tuple[int, ...], add, step: int) -> np.ndar
         sums, kinds = np.zeros(shape), Kinds()
 
         def add_kinds() -> None:
-            u, _, times = kinds.merged()
+            u, kind, times = kinds.merged()
             for chosen in some_kinds(u):
                 inner, sizes = inner_symbols(u, chosen)
                 add(sums, inner, np.repeat(times[chosen], sizes))
+            keys, n = kinds.pairs(u, kind)
+            for part, firsts in some_pairs(u, keys):
+                add(sums, firsts, n[part])
 
         for batch in batches:
             for part in pieces(batch, "text", SLICE):
                 data, offsets = utf8(part.column("text"))
-                u = units_of(LOWER[data], offsets)
-                add(sums, first_symbols(u))
-                kinds.add(u)
-                if kinds.size > KINDS_HELD:
+                kinds.add(units_of(LOWER[data], offsets))
+                if kinds.full:
                     add_kinds()
                     kinds = Kinds()
         add_kinds()
@@ -512,32 +585,38 @@ def fit_mixer(texts: DataFrame, code: Code, counts: np.ndarray) -> tuple[np.ndar
 
 
 def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
-    """The model, and the counts of all tokens that are not frequent: hash, n."""
+    """The model; and the counts of all tokens that are not frequent and of all passages that occur again: hash, n, passage."""
     texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     code = Code.of(symbol_counts(texts))
     size = 2 * sum(TABLES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kinds, n_texts = np.zeros(size, dtype=np.int32), Kinds(), 0
+        table, kinds, n_texts, held = np.zeros(size, dtype=np.int32), Kinds(), 0, []
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            u, _, times = kinds.merged()
+            u, kind, times = kinds.merged()
             for chosen in some_kinds(u, 1 << 15):
                 inner, sizes = inner_symbols(u, chosen)
                 count_bits(table, inner, code, np.repeat(times[chosen], sizes))
+            keys, n = kinds.pairs(u, kind)
+            for part, firsts in some_pairs(u, keys):
+                count_bits(table, firsts, code, n[part])
             hashes, n = add_up(unit_words(u), times)
             yield from token_blocks(hashes[hashes > 0], n[hashes > 0])
+            hashes, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            yield from token_blocks(hashes, n, PASSAGES)
 
         for batch in batches:
             for part in pieces(batch, "text", SLICE):
                 data, offsets = utf8(part.column("text"))
                 n_texts += part.num_rows
                 u = units_of(LOWER[data], offsets)
-                count_bits(table, first_symbols(u), code)
                 kinds.add(u)
-                if kinds.size > KINDS_HELD:
+                held.append(passages(u)[1])
+                if kinds.full:
                     yield from hand_on()
                     kinds = Kinds()
+                    held.clear()
         yield from hand_on()
         if n_texts:
             yield from token_blocks(np.array([END_HASH], dtype=np.uint64), np.array([n_texts]))
@@ -555,22 +634,25 @@ def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
                     totals.setdefault(block, np.zeros(BLOCK, dtype=np.int64))[at] += widen(counts, len(at))
                 yield batch.filter(is_token)
 
+        names = ["hash", "n", "passage", "distinct", "block", "total"]
         for found in sum_tokens(tokens_only()):
             k = found.num_rows
-            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=["hash", "n", "block", "total"])
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
         for block, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["hash", "n", "block", "total"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    summed = keep(texts.mapInArrow(count, COUNTS).repartition("block").mapInArrow(both, "hash long, n long, block long, total binary"))
+    summed = keep(texts.mapInArrow(count, COUNTS).repartition("block").mapInArrow(both, "hash long, n long, passage boolean, distinct long, block long, total binary"))
     bits = placed_blocks(summed.where("block is not null").select("block", "total"), size).reshape(-1, 2)
     weights, cost = fit_mixer(texts, code, bits)
-    known = summed.where("hash is not null").select("hash", "n")
+    known = summed.where("hash is not null and not passage").select("hash", "n")
+    seen = summed.where("distinct is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
+    again = summed.where("hash is not null and passage").select("hash", "n", F.lit(True).alias("passage"))
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("hash") == END_HASH, F.col("n"))), F.lit(0)).alias("ends")).first()
     least = max(1, -(-total.n // FREQUENT))
     top = known.where(F.col("n") >= least).toArrow()  # at most FREQUENT rows, as their counts add up to N at most
     hashes = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return Scorer(MixModel(code, stretch_table(bits), weights, cost), int(total.n), int(total.v), int(total.ends), hashes[order], top.column("n").to_numpy()[order].astype(np.uint32 if total.n < 1 << 32 else np.int64)), known.where(F.col("n") < least)
+    return Scorer(MixModel(code, stretch_table(bits), weights, cost), int(total.n), int(total.v), int(total.ends), hashes[order], top.column("n").to_numpy()[order].astype(np.uint32 if total.n < 1 << 32 else np.int64), int(seen.n), int(seen.v)), known.where(F.col("n") < least).withColumn("passage", F.lit(False)).unionByName(again)
 
 
 def lookup(hashes: np.ndarray, scorer: Scorer) -> np.ndarray:
@@ -593,34 +675,42 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     scorer, rare = fit(rows.where("not held_out"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    names = ["row", "hash", "key", "held_out", *(n for n, _ in ROWS)]
+    names = ["row", "hash", "passage", "key", "held_out", *(n for n, _ in ROWS)]
 
     def finish(held: list, kinds: Kinds, row: int) -> Iterator[pa.RecordBatch]:
         """The rows of the held slices: one for each text, and one for each place of a token that is not frequent."""
         scorer = shared.value
         u, kind, _ = kinds.merged()
         inner, hashes = kind_costs(u, scorer.mix), unit_words(u)
+        keys, _ = kinds.pairs(u, kind)
+        firsts = np.zeros(len(keys))
+        for part, symbols in some_pairs(u, keys):
+            firsts[part] = symbol_costs(symbols, scorer.mix)
+        fresh = np.log10(scorer.passage_kinds / scorer.passages) if scorer.passages else 0.0
         c = lookup(hashes, scorer)
         c_end = scorer.ends
         value, is_word, is_rare = np.log10(c + 1.0), hashes > 0, (hashes > 0) & (c == 0)
-        for part, places, unit_text, first, sizes in held:
+        for part, places, begins, unit_text, (passage, passage_hash), sizes in held:
             n_texts, of = part.num_rows, kind[places]
+            first = firsts[np.searchsorted(keys, pair_keys(u, of, begins))]
+            each = np.add.reduceat(inner[of] + first, passage) if len(passage) else np.zeros(0)
             n_words = np.bincount(unit_text, weights=is_word[of], minlength=n_texts)
             known = np.bincount(unit_text, weights=is_word[of] & (c[of] > 0), minlength=n_texts) + (c_end > 0)
             base = np.bincount(unit_text, weights=np.where(is_word[of], value[of], 0.0), minlength=n_texts) + np.log10(c_end + 1.0)
-            total = np.bincount(unit_text, weights=inner[of] + first, minlength=n_texts)
+            total = np.bincount(unit_text[passage], weights=each + fresh, minlength=n_texts)
             ids = np.arange(row, row + n_texts)
             row += n_texts
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.nulls(n_texts, pa.int64()), part.column("key"), part.column("held_out"), pa.array(n_words.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), pa.array(sizes)],
+                [pa.array(ids), pa.nulls(n_texts, pa.int64()), pa.nulls(n_texts, pa.bool_()), part.column("key"), part.column("held_out"), pa.array(n_words.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), pa.array(sizes)],
                 names=names,
             )
             at = np.flatnonzero(is_rare[of])
-            k = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[unit_text[at]]), pa.array(hashes[of[at]].view(np.int64)), pa.nulls(k, part.column("key").type), pa.nulls(k, pa.bool_()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))],
-                names=names,
-            )
+            for rows_of, found, scores in ((unit_text[at], hashes[of[at]], pa.nulls(len(at), pa.float64())), (unit_text[passage], passage_hash, pa.array(each))):
+                k = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[rows_of]), pa.array(found.view(np.int64)), pa.array(np.full(k, found is passage_hash)), pa.nulls(k, part.column("key").type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), scores, pa.nulls(k, pa.int64())],
+                    names=names,
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, held, kinds, n = TaskContext.get().partitionId() << 40, [], Kinds(), 0
@@ -628,7 +718,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             for part in pieces(batch, "text", SLICE):
                 data, offsets = utf8(part.column("text"))
                 u = units_of(LOWER[data], offsets)
-                held.append((part.select(["key", "held_out"]), kinds.add(u), u.text.astype(np.int32), symbol_costs(first_symbols(u), shared.value.mix).astype(np.float32), np.diff(offsets)))
+                held.append((part.select(["key", "held_out"]), kinds.add(u), kinds.begins[-1], u.text.astype(np.int32), passages(u), np.diff(offsets)))
                 n += part.num_rows
                 if len(held) == SLICES_HELD:
                     yield from finish(held, kinds, row)
@@ -636,11 +726,17 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         if held:
             yield from finish(held, kinds, row)
 
-    schema = StructType([StructField("row", LongType()), StructField("hash", LongType()), StructField("key", rows.schema["key"].dataType), StructField("held_out", BooleanType())])
+    schema = StructType([StructField("row", LongType()), StructField("hash", LongType()), StructField("passage", BooleanType()), StructField("key", rows.schema["key"].dataType), StructField("held_out", BooleanType())])
     for name, kind in ROWS:
         schema = schema.add(name, kind)
     every = keep(rows.mapInArrow(run, schema))
-    seen = every.where("hash is not null").select("row", "hash").join(rare, "hash").groupBy("row").agg(F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("more"), F.count("*").alias("more_known"))
+    # What a passage that occurs again adds to the score of its symbols: log10(1 + (c - 1) / V / (product of their probabilities)).
+    times_more = F.log10((F.col("n") - F.lit(1.0)) / F.lit(float(max(1, scorer.passage_kinds)))) - F.col("score")
+    gain = F.when(times_more > 15, times_more).otherwise(F.log10(F.lit(1.0) + F.pow(F.lit(10.0), times_more)))
+    joined = every.where("hash is not null").select("row", "hash", "passage", "score").join(rare, ["hash", "passage"])
+    seen = joined.groupBy("row").agg(
+        F.sum(F.when(~F.col("passage"), F.log10(F.col("n") + F.lit(1.0)))).alias("more"), F.count_if(~F.col("passage")).alias("more_known"), F.sum(F.when(F.col("passage"), gain)).alias("gained")
+    )
     whole = F.lit(float(scorer.tokens + scorer.kinds + 1))
     return (
         every.where("hash is null")
@@ -652,8 +748,8 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
             F.lit(scorer.tokens).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.log10(whole)).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("gained", F.lit(0.0))).alias("score"),
             "n_bytes",
-            (-F.col("score") / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
         )
+        .withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.greatest("n_bytes", F.lit(1)))
     )

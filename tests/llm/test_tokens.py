@@ -204,24 +204,87 @@ def test_bit_probabilities_add_up():
     assert (10 ** lm_scoring.symbol_costs(s, model)).sum() == pytest.approx(1, abs=1e-4)
 
 
-def test_scores_do_not_depend_on_the_batch(spark):
-    texts = ["the cat sat on the mat", "", "a\n\nb  c", "the dog sat"]
-    data = [lm_scoring.utf8(lm_scoring.pa.array([t]))[0] for t in texts]
-    code = lm_scoring.Code.of(np.ones(257))
-    rng = np.random.default_rng(1)
-    gates = lm_scoring.LEVELS * lm_scoring.DEPTHS * lm_scoring.CLASSES
-    model = lm_scoring.MixModel(code, rng.integers(-50, 50, sum(lm_scoring.TABLES)).astype(np.int8), np.full((3, gates), 0.3, np.float32), np.log10(rng.uniform(0.1, 0.9, lm_scoring.CLASSES * (2 * lm_scoring.MAP_HALF + 1) * 2)).astype(np.float32))
-
-    def total(parts):
-        whole, offsets = lm_scoring.utf8(lm_scoring.pa.array(parts))
-        u = lm_scoring.units_of(whole, offsets)
-        kinds = lm_scoring.Kinds()
-        places = kinds.add(u)
-        merged, kind, _ = kinds.merged()
-        return np.bincount(u.text, weights=lm_scoring.kind_costs(merged, model)[kind[places]] + lm_scoring.symbol_costs(lm_scoring.first_symbols(u), model), minlength=len(parts))
-
-    assert np.allclose(total(texts), [total([t])[0] for t in texts])
-    assert len(data) == 4
+def unit_hash(symbols):
+    stream = np.array(symbols, dtype=np.int64)
+    return int(lm_scoring.span_hashes(lm_scoring.running(stream), np.array([0]), np.array([len(stream)]))[0])
+
+
+def brute_score(text, mix, again, passages, kinds):
+    """The score of one text, symbol by symbol and bit by bit; again: the counts of repeated passages by their hash."""
+    data = [c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()] + [lm_scoring.END]
+    units, unit = [], []
+    for c in data:
+        unit.append(c)
+        if c in (9, 10, 11, 12, 13, 32, lm_scoring.END):
+            units.append(unit)
+            unit = []
+
+    def symbol_cost(symbol, last, word):
+        last = (last + [lm_scoring.PAD] * 4)[:4]
+        two = last[0] << 9 | last[1]
+        four = two | last[2] << 18 | last[3] << 27
+        slots = [(x * (0x9E3779B97F4A7C15 + 2 * k) % 2**64) >> (65 - size.bit_length()) for k, (x, size) in enumerate(zip((two, four, word), lm_scoring.TABLES))]
+        cost, start = 0.0, int(mix.code.starts[symbol])
+        for at in range(start, start + int(mix.code.lengths[symbol])):
+            node, bit = int(mix.code.nodes[at]), int(mix.code.bits[at])
+            found = [int(mix.table[lm_scoring.OFFSETS[k] + ((slots[k] + node) & (lm_scoring.TABLES[k] - 1))]) for k in range(3)]
+            before = int(lm_scoring.BYTE_CLASS[last[0]])
+            gate = min(at - start, lm_scoring.DEPTHS - 1) * lm_scoring.CLASSES + before + int(lm_scoring.LEVEL_GATE[found[2] + 128])
+            mixed = np.float32(0)
+            for k in range(3):
+                mixed += np.float32(found[k]) * mix.weights[k][gate]
+            cell = int(np.rint(np.clip(mixed * np.float32(lm_scoring.MAP_STEP / lm_scoring.TABLE_STEP), -lm_scoring.MAP_HALF, lm_scoring.MAP_HALF)))
+            cost += float(mix.cost[(before * lm_scoring.CELLS + lm_scoring.MAP_HALF + cell) * 2 + bit])
+        return cost
+
+    costs = []
+    for i, u in enumerate(units):
+        before = units[i - 1] if i else []
+        word = (unit_hash(before[:-1]) if i else 0) ^ 1 << 40
+        cost = symbol_cost(u[0], before[::-1], word)
+        for j in range(1, len(u)):
+            cost += symbol_cost(u[j], u[:j][::-1], unit_hash(u[:j]))
+        costs.append(cost)
+    words = [unit_hash(u[:-1]) for u in units]
+    total, first = 0.0, 0
+    for i in range(len(units)):
+        border = i and int(lm_scoring.mix(np.array([(words[i] + words[i - 1] * 31) % 2**64], dtype=np.uint64))[0]) % lm_scoring.PASSAGE == 0
+        if i == len(units) - 1 or border:
+            symbols = [c for u in units[first : i + 1] for c in u]
+            c = again.get(unit_hash(symbols) ^ int(lm_scoring.PASSAGE_SALT), 1)
+            own = 10 ** sum(costs[first : i + 1])
+            total += math.log10((c - 1) / passages + kinds / passages * own) if own > 0 else math.log10((c - 1) / passages) if c > 1 else sum(costs[first : i + 1]) + math.log10(kinds / passages)
+            first = i + 1
+    return total
+
+
+def test_lm_score_equals_brute_force(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(1, 8))) for _ in range(80)]
+    texts = [rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(60)]
+    texts += texts[:10] + [None, "", " ", "É 漢字 ABC\tabc", "x" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") % 7 == 3
+    scorer, counts = lm_scoring.fit(df.where(~held), "text")
+    again = {r.hash % 2**64: r.n for r in counts.where("passage").collect()}
+    assert len(again) > 10 and scorer.passage_kinds < scorer.passages
+    for r in lm_scoring.score(df, held).collect():
+        assert r.score == pytest.approx(brute_score(texts[r.doc_id], scorer.mix, again, scorer.passages, scorer.passage_kinds), rel=1e-5, abs=1e-3), r.doc_id
+    # A text that occurs twice among those learned from is more probable than one of the same kind that does not.
+    bits = {r.doc_id: r.bits_per_byte for r in lm_scoring.score(df, held).collect()}
+    assert np.mean([bits[i] for i in range(10) if i % 7 != 3 and (60 + i) % 7 != 3]) < 0.6 * np.mean([bits[i] for i in range(10, 60)])
+
+
+def test_lm_long_text_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SLICE", 2000)
+    monkeypatch.setattr(lm_scoring, "KINDS_HELD", 50)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcd", k=3)) for _ in range(n)) for n in (5000, 3, 900, 700, 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in lm_scoring.score(df, F.lit(False)).collect()}
+    monkeypatch.undo()
+    want = {r.doc_id: r.score for r in lm_scoring.score(df, F.lit(False)).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
 
 
 def test_lm_mixer_learns_from_all_texts(spark):
