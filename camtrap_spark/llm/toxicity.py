@@ -1,19 +1,22 @@
 """Toxicity by a classifier chain.
 
 Features are the hashed words of a text and the hashed byte 5-grams inside them, present or not. On the labelled
-documents (at most `MAX_LABELLED`, the ids of smallest hash) the executors count in how many toxic and clean texts
-each feature occurs; the features most associated with toxic texts are kept. The chain then predicts its categories
-one after the other by regularised linear models: `toxic` (the label), `severe_toxic` (toxic, with at least the
-median number of hits among the toxic), `toxic_junk` (toxic and of low quality). Every later model also sees the
-log-odds of the earlier categories: in training these are out-of-fold predictions, so that it learns from errors of
-the size it will meet. The threshold of the decision is the one of the best F1 on the out-of-fold predictions.
+documents (at most `MAX_LABELLED`, the ids of smallest hash, one text each) the executors count, fold by fold, in how
+many toxic and clean texts each feature occurs; the features most associated with toxic texts are kept. The chain then
+predicts its categories one after the other by regularised linear models: `toxic` (the label), `toxic_junk` (toxic and
+of low quality), `toxic_prose` (toxic and of good quality). Every later model also sees the log-odds of the earlier
+categories: in training these are out-of-fold predictions, by models whose features, too, were chosen without the
+fold, so that it learns from errors of the size it will meet. The threshold of the decision is the one of the best F1
+on the out-of-fold predictions.
 
-The bounded fit (`MAX_LABELLED` rows of `MAX_FEATURES` features at most) runs on the driver; every text is scored.
+The bounded fit (`MAX_LABELLED` rows of `MAX_FEATURES` features for each fold at most) runs on the driver; every text
+is scored.
 
 Defined results: null and empty texts have no feature; their probabilities are those of a text without evidence.
 A category without positive rows has probability 0. Without labels nothing is toxic. Labels that disagree about a
-document count as toxic; null labels and labels without a document are left out. Repeated rows are scored row by
-row; other columns are not read.
+document count as toxic; null labels and labels without a document are left out; of several texts of a labelled id the
+first in order counts. Of features with the same association the one of the smaller hash is kept; of thresholds with
+the same F1 the lowest. Repeated rows are scored row by row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from .common import BLOCK_SCHEMA, LOWER, WORD, bound_batches, cut, gather_table,
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 2048
-SLOT_BITS = 20
+SLOT_BITS = 18
 GRAM = 5
 LEAST_RATIO = 10.0
-CATEGORIES = ("toxic", "severe_toxic", "toxic_junk")
+CATEGORIES = ("toxic", "toxic_junk", "toxic_prose")
 FOLDS = 5
 
 
@@ -93,27 +96,32 @@ def predict_linear(model, rows: np.ndarray, columns: np.ndarray, n: int, more: n
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(rows: np.ndarray, columns: np.ndarray, n: int, width: int, targets: list[np.ndarray], fold: np.ndarray):
-    """The chain's models and the out-of-fold predictions of each category."""
+def fit_chain(rows: np.ndarray, columns: np.ndarray, n: int, chosen: np.ndarray, targets: list[np.ndarray], fold: np.ndarray):
+    """The chain's models and the out-of-fold predictions of each category.
+
+    chosen: of each fold the columns that may be used without it, last those of the whole; bool [FOLDS + 1, columns].
+    """
     more, models, out_of_fold = np.zeros((n, 0)), [], []
+    width = chosen.shape[1]
     for y in targets:
         held = np.zeros(n)
         for f in range(FOLDS):
-            train, test = fold != f, fold == f
+            train, test, may = fold != f, fold == f, chosen[f][columns]
             new_id = np.cumsum(train) - 1
-            use = train[rows]
+            use = train[rows] & may
             model = fit_linear(new_id[rows[use]], columns[use], int(train.sum()), width, more[train], y[train])
             new_id = np.cumsum(test) - 1
-            use = test[rows]
+            use = test[rows] & may
             held[test] = predict_linear(model, new_id[rows[use]], columns[use], int(test.sum()), more[test])
-        models.append(fit_linear(rows, columns, n, width, more, y))
+        use = chosen[FOLDS][columns]
+        models.append(fit_linear(rows[use], columns[use], n, width, more, y))
         out_of_fold.append(held)
         more = np.column_stack([more, log_odds(held)])
     return tuple(models), out_of_fold
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """At most `most` labelled documents: text, toxic, junk, fold."""
+    """At most `most` labelled documents, a row for each id: text, toxic, junk, fold."""
     known = (
         labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col(key).alias("key"))
@@ -123,7 +131,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, mos
     )
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fold = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(FOLDS)).cast("int")
-    return rows.join(F.broadcast(known), "key").select("key", "text", (F.col("toxic") > 0).alias("toxic"), (F.col("quality") == 0).alias("junk"), fold.alias("fold"))
+    one = rows.join(F.broadcast(known), "key").groupBy("key").agg(F.min("text").alias("text"), F.any_value("toxic").alias("toxic"), F.any_value("quality").alias("quality"))
+    return one.select("key", "text", (F.col("toxic") > 0).alias("toxic"), (F.col("quality") == 0).alias("junk"), fold.alias("fold"))
 
 
 def association(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least_ratio: float = LEAST_RATIO) -> np.ndarray:
@@ -132,7 +141,7 @@ def association(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int
     n, c, d = n_toxic + n_clean, n_toxic - a, n_clean - b
 
     def part(x, row, column):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) * n / np.maximum(row * column, 1e-9)), 0.0)
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) * max(n, 1) / np.maximum(row * column, 1e-9)), 0.0)
 
     g = 2 * (part(a, a + b, n_toxic) + part(b, a + b, n_clean) + part(c, c + d, n_toxic) + part(d, c + d, n_clean))
     ratio = (a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1))
@@ -145,45 +154,51 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     slots = 1 << SLOT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * slots + 2, dtype=np.int64)
+        table = np.zeros(2 * FOLDS * (slots + 1), dtype=np.int32)  # by fold and class: each feature, last the texts
         for batch in batches:
             for part in pieces(batch, "text"):
                 slot, row = feature_slots(part.column("text"))
                 pairs = np.unique(row * slots + slot)
-                toxic = np.asarray(part.column("toxic").to_pylist(), dtype=np.int64)
-                np.add.at(table, toxic[pairs // slots] * slots + pairs % slots, 1)
-                table[-2:] += np.bincount(toxic, minlength=2)
+                kind = np.asarray(part.column("fold").to_pylist(), dtype=np.int64) * 2 + np.asarray(part.column("toxic").to_pylist(), dtype=np.int64)
+                np.add.at(table, kind[pairs // slots] * (slots + 1) + pairs % slots, np.int32(1))
+                table[np.arange(2 * FOLDS) * (slots + 1) + slots] += np.bincount(kind, minlength=2 * FOLDS).astype(np.int32)
         yield from table_blocks(table)
 
-    table = gather_table(sample.select("text", "toxic").mapInArrow(count, BLOCK_SCHEMA), 2 * slots + 2)
-    n_clean, n_toxic = int(table[-2]), int(table[-1])
-    g = association(table[slots : 2 * slots], table[:slots], n_toxic, n_clean)
-    g[table[slots : 2 * slots] < min(least_docs, max(1, n_toxic))] = 0.0
-    chosen = np.argsort(-g, kind="stable")[:max_features]
-    chosen = chosen[g[chosen] > 10.83]  # the 0.1 % point of chi-squared
+    size = 2 * FOLDS * (slots + 1)
+    table = gather_table(sample.select("text", "toxic", "fold").mapInArrow(count, BLOCK_SCHEMA), size).reshape(FOLDS, 2, slots + 1)
+    parts = [selected(table.sum(axis=0) - table[f], max_features, least_docs) for f in range(FOLDS)] + [selected(table.sum(axis=0), max_features, least_docs)]
+    union = np.unique(np.concatenate(parts))
     feature_of = np.full(slots, -1, dtype=np.int32)
-    feature_of[chosen] = np.arange(len(chosen))
-    if not n_toxic or not len(chosen):
+    feature_of[union] = np.arange(len(union))
+    if not table[:, 1, slots].sum() or not len(parts[FOLDS]):
         return ToxicityChain(feature_of, (None,) * len(CATEGORIES), 1.0)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                row, feature, hits = present(part.column("text"), feature_of)
+                row, feature, _ = present(part.column("text"), feature_of)
                 cuts = np.searchsorted(row, np.arange(1, part.num_rows))
                 packed = [x.astype(np.int32).tobytes() for x in np.split(feature, cuts)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("toxic"), part.column("junk"), part.column("fold"), pa.array(hits), pa.array(packed, pa.binary())], names=["key", "toxic", "junk", "fold", "hits", "features"])
-
-    schema = sample.drop("text").schema.add("hits", "long").add("features", "binary")
-    found = sample.mapInArrow(evidence, schema).toArrow().sort_by("key")  # max_labelled rows at most
-    parts = [np.frombuffer(x, dtype=np.int32) for x in found.column("features").to_pylist()]
-    rows, columns = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts)
-    toxic, junk, hits, fold = (np.asarray(found.column(c).to_pylist()) for c in ("toxic", "junk", "hits", "fold"))
-    severe = toxic & (hits >= max(1.0, np.median(hits[toxic])))
-    models, held = fit_chain(rows, columns, len(parts), len(chosen), [x.astype(float) for x in (toxic, severe, toxic & junk)], fold)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("toxic"), part.column("junk"), part.column("fold"), pa.array(packed, pa.binary())], names=["key", "toxic", "junk", "fold", "features"])
+
+    found = sample.mapInArrow(evidence, sample.drop("text").schema.add("features", "binary")).toArrow().sort_by("key")  # max_labelled rows at most
+    packed = [np.frombuffer(x, dtype=np.int32) for x in found.column("features").to_pylist()]
+    rows, columns = np.repeat(np.arange(len(packed)), [len(x) for x in packed]), np.concatenate(packed)
+    toxic, junk, fold = (np.asarray(found.column(c).to_pylist()) for c in ("toxic", "junk", "fold"))
+    chosen = np.stack([np.isin(union, part) for part in parts])
+    models, held = fit_chain(rows, columns, len(packed), chosen, [x.astype(float) for x in (toxic, toxic & junk, toxic & ~junk)], fold)
     return ToxicityChain(feature_of, models, best_threshold(held[0], toxic))
 
 
+def selected(counts: np.ndarray, most: int, least_docs: int) -> np.ndarray:
+    """The slots of the features most associated with toxic texts; counts: [clean or toxic, slots and texts]."""
+    clean, toxic, n_clean, n_toxic = counts[0, :-1], counts[1, :-1], int(counts[0, -1]), int(counts[1, -1])
+    g = association(toxic, clean, n_toxic, n_clean)
+    g[toxic < min(least_docs, max(1, n_toxic))] = 0.0
+    best = np.argsort(-g, kind="stable")[:most]
+    return best[g[best] > 10.83]  # the 0.1 % point of chi-squared
+
+
 def best_threshold(p: np.ndarray, truth: np.ndarray) -> float:
     grid = np.arange(0.5, 1.0, 0.02)
     hit = np.array([(p >= t)[truth].sum() for t in grid], dtype=float)

@@ -121,6 +121,53 @@ def test_toxicity_edges(spark):
     assert toxicity.predict(odd.limit(0), chain).count() == 0
 
 
+def test_toxicity_probabilities_equal_brute_force(spark):
+    import math
+
+    docs, labels = labelled(spark)
+    chain = toxicity.fit(docs, labels.where("doc_id < 300"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.predict(docs.where("doc_id >= 350"), chain).collect():
+        words = set(texts[r.doc_id].split())
+        grams = {w[i : i + 5] for w in words for i in range(len(w) - 4)}
+        slots = set()
+        for word in words:
+            slot, _ = toxicity.feature_slots(toxicity.pa.array([word]))
+            slots.add(int(slot[0]))
+        for gram in grams:  # a word of its own, and the 5-gram in it
+            slots.add(int(toxicity.feature_slots(toxicity.pa.array([gram]))[0][1]))
+        features, odds, got = {int(f) for f in chain.feature_of[sorted(slots)] if f >= 0}, [], []
+        for model in chain.models:
+            z = model[2] + sum(model[0][f] for f in features) + sum(w * o for w, o in zip(model[1], odds))
+            p = 1 / (1 + math.exp(-z))
+            got.append(p)
+            p = min(max(p, 1e-6), 1 - 1e-6)
+            odds.append(math.log(p / (1 - p)))
+        assert got == pytest.approx([r.p_toxic, r.p_toxic_junk, r.p_toxic_prose], rel=1e-6, abs=1e-9)
+
+
+def test_out_of_fold_predictions_do_not_see_their_fold():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    n, width = 200, 30
+    present = rng.random((n, width)) < 0.2
+    rows, columns = np.nonzero(present)
+    y, fold = present[:, 0].astype(float), rng.integers(0, toxicity.FOLDS, n)
+    chosen = rng.random((toxicity.FOLDS + 1, width)) < 0.7
+    _, held = toxicity.fit_chain(rows, columns, n, chosen, [y], fold)
+    other = np.where(fold == 2, 1 - y, y)  # the labels of one fold turned round
+    _, again = toxicity.fit_chain(rows, columns, n, chosen, [other], fold)
+    assert np.allclose(held[0][fold == 2], again[0][fold == 2]) and not np.allclose(held[0], again[0])
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs, labels = labelled(spark)
+    many = docs.where("doc_id = 5").join(spark.range(50), how="cross").select(docs.columns)
+    assert toxicity.labelled_sample(many, labels.where("doc_id = 5"), "doc_id", "text", 1).count() == 1
+    assert toxicity.labelled_sample(docs, labels, "doc_id", "text", 7).count() == 7
+
+
 # -- licences ------------------------------------------------------------------------------------------------
 
 
