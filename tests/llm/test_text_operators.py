@@ -285,6 +285,44 @@ def test_matches_are_those_within_the_budget(spark):
     assert decontaminate.remove(docs.limit(0), bench).count() == 0
 
 
+def test_short_equal_and_repeated_items(spark):
+    t = "one item of enough characters for edits"
+    docs = documents(spark, f"x {t} y", f"x {t.replace('enough', 'enouhg')} y", "a tiny thing", "destiny", "Tiny\nThing", t + " " + t, "long " * 20_000 + t)
+    docs = docs.unionByName(docs.where("doc_id = 0"))
+    items = [("b", t), ("b", t), ("b", t.replace("enough", "enouhg")), ("a", "tiny"), ("c", " Tiny  thing "), ("d", " \n"), (None, "thing"), ("e", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block_chars in (1, 50, 10_000):
+        got = sorted((r.doc_id, r.item_id, r.distance, r.start) for r in decontaminate.contaminated(docs, bench, block_chars=block_chars).collect())
+        assert got == [(0, "b", 0, 2), (0, "b", 0, 2), (1, "b", 0, 2), (2, "a", 0, 2), (2, "c", 0, 2), (4, "a", 0, 0), (4, "c", 0, 0), (5, "b", 0, 0), (6, "b", 0, 100_000)]
+        assert sorted(r.doc_id for r in decontaminate.remove(docs, bench, block_chars=block_chars).collect()) == [3]
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    # Semi-global distance of every item and document, a row of the table for all documents' characters at once.
+    import numpy as np
+
+    docs = [(r.doc_id, decontaminate.normal(r.text or "")) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    want = {}
+    for i, t in docs:
+        for k, item in items:
+            # Only pairs that share eight characters of the item in a row can be near; others are far beyond the budget.
+            budget = int(decontaminate.RATE * len(item))
+            if any(item[a : a + 8] in t for a in range(0, len(item) - 8)):
+                row = np.zeros(len(t) + 1, dtype=np.int64)
+                codes = np.array([ord(c) for c in t], dtype=np.int64)
+                steps = np.arange(len(t) + 1)
+                for n, c in enumerate(item, 1):
+                    new = np.empty_like(row)
+                    new[0] = n
+                    new[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+                    row = np.minimum.accumulate(new - steps) + steps
+                if row.min() <= budget:
+                    want[i, k] = int(row.min())
+    got = {(r.doc_id, r.item_id): r.distance for r in queries()["op6_decontaminate"](spark, SMALL).collect()}
+    assert got == want and len(got) >= 3
+
+
 # -- HTML ----------------------------------------------------------------------------------------------------
 
 PAGES = [
