@@ -211,7 +211,7 @@ def forest_links(rows: DataFrame, shortest: int) -> DataFrame:
 
 
 def forest_components(nodes: DataFrame, trees: int, threshold: float, target: float) -> DataFrame:
-    """node, component: candidates that meet in the forest, directly or over others. nodes: node, n_ngrams, labels."""
+    """node, n_ngrams, component of every node that enters the forest: those that meet in it, directly or over others, have one component. nodes: node, n_ngrams, labels."""
     depths = forest_depths(trees, threshold, target)
     shortest = int(depths[depths > 0].min()) if (depths > 0).any() else DEEPEST
     size = F.least("n_ngrams", F.lit(SIZED)).cast("int")
@@ -222,14 +222,12 @@ def forest_components(nodes: DataFrame, trees: int, threshold: float, target: fl
 
     first = min(FIRST_TREES, trees)
     near = components(forest_links(planted(entered, 0, first, "node"), shortest))
+    labelled = keep(entered.join(near, "node", "left").select("node", "n_ngrams", "depth", "labels", F.coalesce("component", "node").alias("component")))
     if first == trees:
-        return near
-    labelled = keep(entered.join(near, "node", "left").select("node", "depth", "labels", F.coalesce("component", "node").alias("component")))
+        return labelled.select("node", "n_ngrams", "component")
     wide = components(forest_links(planted(labelled, first, trees - first, "component"), shortest))
-    grown = labelled.select("node", "component").join(wide.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
-    placed = grown.select("node", F.coalesce("further", "component").alias("component"))
-    several = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return keep(placed.join(several, "component").select("node", "component"))
+    grown = labelled.select("node", "n_ngrams", "component").join(wide.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+    return keep(grown.select("node", "n_ngrams", F.coalesce("further", "component").alias("component")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -363,11 +361,14 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float, trees: int, targe
 
     nodes: node, first_id, copies, n_ngrams, labels; docs: doc_id, text.
     """
-    candidates = forest_components(nodes, trees, threshold, target)
-    placed = candidates.join(nodes.select("node", "first_id", "copies", "n_ngrams"), "node")
+    placed = forest_components(nodes, trees, threshold, target)
     many = F.greatest(F.ceil(F.sum("n_ngrams") / F.lit(BLOCK_NGRAMS)), F.ceil(F.count("*") / F.lit(BLOCK_NODES)))
-    blocks = placed.groupBy("component").agg(many.cast("int").alias("blocks"))
-    dealt = keep(placed.join(blocks, "component").select("node", "component", "first_id", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    blocks = placed.groupBy("component").agg(F.count("*").alias("n"), many.cast("int").alias("blocks")).where("n > 1").drop("n")
+    dealt = keep(
+        placed.join(blocks, "component")
+        .join(nodes.select("node", "first_id", "copies"), "node")
+        .select("node", "component", "first_id", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    )
     maybe = id_filter(dealt, "first_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
