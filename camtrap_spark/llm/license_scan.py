@@ -2,12 +2,14 @@
 
 The index holds, for each word of the licence templates, the templates and positions where it stands. A first
 pass over all documents counts in how many each such word occurs. A second pass looks up every document's licence
-words of high inverse document frequency, all of them, turns each occurrence into votes for (template, start), keeps the starts on which the postings of several words meet, and verifies them against the template and its
-mandatory phrases. Phrases given as `base` are found at every place besides.
+words of high inverse document frequency, all of them, and turns each occurrence into votes for (template, start).
+A start on which the postings of several words meet, within a slack of a twentieth of the template, is verified: its
+mandatory phrases must stand there, and `least` of the template's words at about their places. Phrases given as `base`
+are found at every place besides.
 
 Defined results: a null text counts as empty; empty texts give zero counts, null positions, empty labels and
-score 0.0. Repeated rows are scanned row by row.
-Only the key and text columns are read.
+score 0.0. Repeated rows are scanned row by row. Several starts of one template count as one; of several the highest
+share is the score. Only the key and text columns are read.
 """
 
 from __future__ import annotations
@@ -30,24 +32,73 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Label, template text (public licence notices), phrases that must stand in a match.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions"
+)
+MIT_CONDITION = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+)
+GNU_TERMS = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+ZLIB_TERMS = (
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."
+)
+APACHE_NOTICE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES "
+    "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+BOOST_GRANT = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+    "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"
+)
+UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+    "compiled binary, for any purpose, commercial or non-commercial, and by any means."
+)
+MPL_NOTICE = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+)
+EPL_NOTICE = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+
+# Label, template text (public licence texts and notices), phrases that must stand in a match.
 TEMPLATES = [
     ("mit", "Released under the MIT License", ["mit license"]),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
+    ("mit", MIT_GRANT, ["permission is hereby granted free of charge to any person obtaining", "without restriction"]),
+    ("mit", MIT_CONDITION, ["all copies or substantial portions"]),
     ("apache-2", "Licensed under the Apache License, Version 2.0", ["apache license version 2"]),
-    ("apache-2", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ["except in compliance with the license"]),
+    ("apache-2", APACHE_NOTICE, ["apache license version 2", "except in compliance with the license"]),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license", "version 3"]),
-    ("gpl-3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["gnu general public license", "version 3"]),
-    ("gpl-2", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", ["gnu general public license", "version 2"]),
-    ("lgpl-3", "This work is licensed under the GNU Lesser General Public License, version 3", ["gnu lesser general public license"]),
+    ("gpl-3", GNU_TERMS.format("General Public License", 3), ["gnu general public license", "version 3"]),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2", ["gnu general public license", "version 2"]),
+    ("gpl-2", GNU_TERMS.format("General Public License", 2), ["gnu general public license", "version 2"]),
+    ("lgpl-3", "This work is licensed under the GNU Lesser General Public License, version 3", ["gnu lesser general public license", "version 3"]),
+    ("lgpl-3", GNU_TERMS.format("Lesser General Public License", 3), ["gnu lesser general public license", "version 3"]),
+    ("lgpl-2.1", GNU_TERMS.format("Lesser General Public License", "2.1"), ["gnu lesser general public license", "version 2 1"]),
     ("agpl-3", "This work is licensed under the GNU Affero General Public License, version 3", ["gnu affero general public license"]),
+    ("agpl-3", GNU_TERMS.format("Affero General Public License", 3), ["gnu affero general public license", "version 3"]),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["creative commons attribution noncommercial"]),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike"]),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4"]),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "following conditions are met"]),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
-    ("unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
+    ("bsd-2-clause", f"{BSD_OPENING}: {BSD_SOURCE} {BSD_BINARY}", ["redistribution and use in source and binary forms", "must reproduce the above copyright notice"]),
+    ("bsd-3-clause", f"{BSD_OPENING}: {BSD_SOURCE} {BSD_BINARY} {BSD_NAMES}", ["redistribution and use in source and binary forms", "may be used to endorse or promote products"]),
+    ("bsd", BSD_OPENING, ["redistribution and use in source and binary forms", "following conditions are met"]),
+    ("mpl-2", MPL_NOTICE, ["mozilla public license"]),
+    ("epl-2", EPL_NOTICE, ["eclipse public license"]),
+    ("isc", ISC_GRANT, ["with or without fee is hereby granted provided that"]),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"", ["with or without fee is hereby granted the software is provided"]),
+    ("zlib", ZLIB_TERMS, ["must not be misrepresented"]),
+    ("bsl-1", BOOST_GRANT, ["any person or organization obtaining a copy"]),
+    ("unlicense", UNLICENSE, ["free and unencumbered software"]),
 ]
 
 
@@ -122,36 +173,47 @@ def document_frequency(docs: DataFrame, index: LicenseIndex, text: str = "text")
     return total[:-1], int(total[-1])
 
 
-def matches(ids: np.ndarray, row: np.ndarray, index: LicenseIndex, rare: np.ndarray, slack: int, least: float):
-    """(row, label, share of the template's words that stand where they should) of each verified match."""
+def slack_of(length: int) -> int:
+    """How far a template's words may stand from their places."""
+    return max(2, length // 20)
+
+
+def matches(ids: np.ndarray, row: np.ndarray, index: LicenseIndex, rare: np.ndarray, least: float):
+    """(row, label, share of the template's words that stand about where they should) of each verified start."""
     at = np.flatnonzero(ids >= 0)
     at = at[rare[ids[at]]]
-    votes: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    votes: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
     for pos, word, r in zip(at.tolist(), ids[at].tolist(), row[at].tolist()):
         for template, where in index.postings.get(word, ()):
-            votes[r, template, pos - where].add(word)
-    out, seen = [], set()
-    for (r, template, start), voters in votes.items():
-        near = set().union(voters, *(votes.get((r, template, start + d), ()) for d in range(-slack, slack + 1) if d))
+            votes[r, template][pos - where].add(word)
+    out = []
+    for (r, template), starts in votes.items():
         label, body, keys = index.templates[template]
-        distinct = len({w for w in body.tolist() if rare[w]})
-        if len(near) < min(2, distinct) or (r, label) in seen and len(voters) < 2:
-            continue
-        low, high = max(0, start - slack), min(len(ids), start + len(body) + slack)
-        inside = np.where(row[low:high] == r, ids[low:high], -1)
-        if any(not len(phrase_places(inside, np.zeros(len(inside), np.int8), k)) for k in keys):
-            continue
-        share = max(float(np.mean([0 <= start + d + i - low < len(inside) and inside[start + d + i - low] == w for i, w in enumerate(body.tolist())])) for d in range(-slack, slack + 1))
-        if share >= least:
-            seen.add((r, label))
-            out.append((r, label, share))
+        slack, needed = slack_of(len(body)), min(2, len({w for w in body.tolist() if rare[w]}))
+        done = -slack
+        for start in sorted(starts):
+            if start < done:  # within the slack of a start that was verified: the same place
+                continue
+            near = set().union(*(starts[start + d] for d in range(-slack, slack + 1) if start + d in starts))
+            if len(near) < needed:
+                continue
+            low, high = max(0, start - slack), max(0, min(len(ids), start + len(body) + slack))
+            inside = np.where(row[low:high] == r, ids[low:high], -1)
+            if any(not len(phrase_places(inside, np.zeros(len(inside), np.int8), k)) for k in keys):
+                continue
+            padded = np.full(len(body) + 2 * slack, -1)
+            padded[low - start + slack : low - start + slack + len(inside)] = inside
+            share = float(np.mean(np.any([padded[d : d + len(body)] == body for d in range(2 * slack + 1)], axis=0)))
+            if share >= least:
+                out.append((r, label, share))
+                done = start + slack
     return out
 
 
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", index: LicenseIndex | None = None, rare_share: float = 0.1, slack: int = 2, least: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", index: LicenseIndex | None = None, rare_share: float = 0.1, least: float = 0.6) -> DataFrame:
     """For each row: key, words, base places with the first and last start, base labels, all labels, score.
 
     A word is rare if at most `rare_share` of all documents hold it, or if it is the rarest of a mandatory phrase.
@@ -184,7 +246,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", index: Licens
                 np.minimum.at(low, row[places], places - first[row[places]])
                 np.maximum.at(high, row[places], places - first[row[places]])
                 every, score = [set(b) for b in base], [1.0 if b else 0.0 for b in base]
-                for r, label, share in matches(ids, row, index, rare, slack, least):
+                for r, label, share in matches(ids, row, index, rare, least):
                     every[r].add(label)
                     score[r] = max(score[r], share)
                 none = n_base == 0
