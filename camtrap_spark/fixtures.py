@@ -43,6 +43,8 @@ SELECT CONCAT('model', m) AS model, image_ord, file AS image_path, fn AS image_f
     WHEN 8 THEN CONCAT('```', CHR(10), '{{"score": ', sc, '}}', CHR(10), '```')
     WHEN 9 THEN CONCAT('{{"score": null, "reasoning": "r", "image_filename": "', fn, '"}}')
     WHEN 10 THEN CONCAT('{{"score": ', sc, ', "image_filename": "', fn, '"}}')
+    WHEN 11 THEN CONCAT('{{"score": ', sc, ', "reasoning": "r", "image_filename": ""}}')
+    WHEN 12 THEN CONCAT('{{"score": null, "reasoning": "r", "image_filename": "twice', CAST(FLOOR(image_ord / 500) AS BIGINT), '"}}')
     ELSE CONCAT('{{"score": ', sc, ', "reasoning": "r", "image_filename": "', fn, '"}}') END AS reply
 FROM (SELECT image_ord, file, REPLACE(file, '/', '#') AS fn, m, CAST(CAST((image_ord*7 + m*3) % 21 AS DOUBLE)/2 AS STRING) AS sc
   FROM {fx_images} CROSS JOIN (SELECT 0 AS m UNION ALL SELECT 1 UNION ALL SELECT 2) ms WHERE (image_ord + m) % (m + 4) <> 0) t

@@ -11,15 +11,16 @@ MODES = ("batch", "sync", "local")
 NO_REASONING = "No reasoning provided"
 
 
-def once(value: Column, then) -> Column:
-    """then(value), with the value computed once: a lambda's variable is never replaced by its expression."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+def staged(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once for each row, whoever reads them and whatever is filtered on them later."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def unfenced(reply: Column) -> Column:
-    """Without an opening ```json and a closing ```; a bare opening fence stays."""
-    opened = once(strip(reply), lambda t: F.when(t.startswith("```json"), F.substring(t, 8, 2**31 - 1)).otherwise(t))
-    return strip(once(opened, lambda t: F.when(t.endswith("```"), F.left(t, F.length(t) - 3)).otherwise(t)))
+def unfenced(stripped: Column) -> Column:
+    """A stripped reply without an opening ```json and a closing ```; a bare opening fence stays."""
+    begin = F.when(stripped.startswith("```json"), 8).otherwise(1)
+    left = F.length(stripped) - begin + 1
+    return strip(F.substring(stripped, begin, F.when(stripped.endswith("```") & (left >= 3), left - 3).otherwise(left)))
 
 
 def member(v: Column, name: str) -> Column:
@@ -30,64 +31,65 @@ def as_number(v: Column) -> Column:
     """What a float conversion accepts: numbers, true and false, and text of a number; else null."""
     kind, text = F.schema_of_variant(v), v.try_cast("string")
     boolean = F.when(text == "true", 1.0).otherwise(0.0)
-    number = F.when(kind == "BOOLEAN", boolean).when(kind == "STRING", strip(text).try_cast("double")).when((kind != "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), text.try_cast("double"))
-    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    return F.when(kind == "BOOLEAN", boolean).when(kind == "STRING", strip(text).try_cast("double")).when((kind != "VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), text.try_cast("double"))
 
 
 def parse_responses(replies: DataFrame, mode: str, reply: str = "reply", path_name: str = "image_filename") -> DataFrame:
     """Adds score, reasoning, returned_filename, success and failure_kind to each reply.
 
-    batch: the file name comes from the reply, scores outside 0-10 pass; sync: scores outside 0-10 fail, the name
-    comes from the request; local: a missing score is a successful 0.0, missing reasoning has a standard text. In
-    batch mode rows with a failure are those that the reference format leaves out.
+    batch: the file name comes from the reply and is looked at first, whatever else is wrong with it; an empty one is
+    missing; scores outside 0-10 pass; sync: scores outside 0-10 fail, the name comes from the request; local: a missing
+    score is a successful 0.0, missing reasoning has a standard text. In batch mode rows with a failure are those that
+    the reference format leaves out.
     """
     if mode not in MODES:
         raise ValueError(mode)
-    path = F.col(path_name) if path_name in replies.columns else F.lit(None).cast("string")
-    found = once(unfenced(F.col(reply)), lambda t: once(F.try_parse_json(F.when(t != "", t)), lambda v: _fields(t, v)))
-    rows = replies.withColumn("_out", once(found, lambda r: _judged(r, mode, path)))
-    return rows.select(*replies.columns, *(F.col(f"_out.{c}").alias(c) for c in ("score", "reasoning", "returned_filename", "success", "failure_kind")))
-
-
-def _fields(text: Column, v: Column) -> Column:
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    has = {k: is_object & member(v, k).isNotNull() for k in ("score", "reasoning", "image_filename")}
-    return F.struct(
-        text.alias("text"),
-        is_object.alias("is_object"),
-        *(c.alias(f"has_{k}") for k, c in has.items()),
-        once(member(v, "score"), as_number).alias("score"),
-        F.try_variant_get(v, "$.reasoning", "string").alias("reasoning"),
-        F.try_variant_get(v, "$.image_filename", "string").alias("filename"),
+    rows = staged(replies, _stripped=strip(F.col(reply)))
+    rows = staged(rows, _text=unfenced(F.col("_stripped")))
+    rows = staged(rows, _v=F.try_parse_json(F.when(F.col("_text") != "", F.col("_text"))))
+    v = F.col("_v")
+    rows = staged(
+        rows,
+        _object=F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)),
+        _score=member(v, "score"),
+        _reasoning=member(v, "reasoning").isNotNull(),
+        _said=F.try_variant_get(v, "$.reasoning", "string"),
+        _name=F.try_variant_get(v, "$.image_filename", "string"),
+    )
+    rows = staged(rows, _number=as_number(F.col("_score")))
+    fine = ~F.isnan("_number") & (F.abs("_number") < float("inf"))
+    rows = staged(rows, _kind=_failure(mode, F.when(fine, F.col("_number"))))
+    ok = F.col("_kind").isNull()
+    value = F.coalesce("_number", F.lit(0.0)) if mode == "local" else F.col("_number")
+    reasoning = F.coalesce("_said", F.lit(NO_REASONING)) if mode == "local" else F.col("_said")
+    failed = F.lit(0.0) if mode == "sync" else F.lit(None).cast("double")
+    if mode == "batch":
+        returned = F.when(F.col("_object") & (F.col("_name") != ""), F.col("_name"))
+    else:
+        returned = F.when(ok, F.col(path_name) if path_name in replies.columns else F.lit(None).cast("string"))
+    return rows.select(
+        *replies.columns,
+        F.when(ok, value).otherwise(failed).alias("score"),
+        F.when(ok, reasoning).alias("reasoning"),
+        returned.alias("returned_filename"),
+        ok.alias("success"),
+        F.col("_kind").alias("failure_kind"),
     )
 
 
-def _judged(r: Column, mode: str, path: Column) -> Column:
-    failure = F.when(F.coalesce(r["text"], F.lit("")) == "", "empty").when(~r["is_object"], "bad_json")
+def _failure(mode: str, number: Column) -> Column:
+    has_score = F.col("_object") & F.col("_score").isNotNull()
+    failure = F.when(F.coalesce("_text", F.lit("")) == "", "empty").when(~F.col("_object"), "bad_json")
+    if mode == "batch":
+        failure = failure.when(F.coalesce("_name", F.lit("")) == "", "missing_filename")
     if mode != "local":
-        failure = failure.when(~r["has_score"], "missing_score")
-    failure = failure.when(r["has_score"] & r["score"].isNull(), "bad_score")
+        failure = failure.when(~has_score, "missing_score")
+    failure = failure.when(has_score & number.isNull(), "bad_score")
     if mode == "sync":
-        failure = failure.when(~r["score"].between(0, 10), "out_of_range")
+        failure = failure.when(~number.between(0, 10), "out_of_range")
     if mode != "local":
-        failure = failure.when(~r["has_reasoning"], "missing_reasoning")
-    if mode == "batch":
-        failure = failure.when(~r["has_image_filename"], "missing_filename")
-    value = F.coalesce(r["score"], F.lit(0.0)) if mode == "local" else r["score"]
-    reasoning = F.coalesce(r["reasoning"], F.lit(NO_REASONING)) if mode == "local" else r["reasoning"]
-    failed = F.lit(0.0) if mode == "sync" else F.lit(None).cast("double")
-
-    def result(kind: Column) -> Column:
-        fine = kind.isNull()
-        return F.struct(
-            F.when(fine, value).otherwise(failed).alias("score"),
-            F.when(fine, reasoning).alias("reasoning"),
-            F.when(fine, r["filename"] if mode == "batch" else path).alias("returned_filename"),
-            fine.alias("success"),
-            kind.alias("failure_kind"),
-        )
-
-    return once(failure, result)
+        failure = failure.when(~F.col("_reasoning"), "missing_reasoning")
+    return failure
 
 
 def build_requests(images: DataFrame, prompt: str, kind: str = "batch", model: str = "model", content: str = "content", filename: str = "image_filename") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import link_text
@@ -17,31 +17,38 @@ def sample_filenames(names: DataFrame, sample: int, seed: int = 0, name: str = "
     return rows.orderBy(name)
 
 
-def sample_join(sample: DataFrame, results: DataFrame, position: str = "pos", name: str = "image_filename") -> DataFrame:
-    """For each sampled name the model's last result, or a row that says it is missing."""
-    last = dedupe_last(results, name, position)
-    return _with_missing(F.broadcast(sample.select(F.col(name).alias("_sampled"))), last, F.col("_sampled") == F.col(name), name)
+def sample_join(sample: DataFrame, results: DataFrame, source: str, model: str = "this model", position: str = "pos", name: str = "image_filename") -> DataFrame:
+    """For each sampled name the model's last result, or a row that says it is missing in the label file `source`.
 
+    The sample reduces the results before they are deduplicated (and, if they are parsed replies, before parsing).
+    """
+    picked = sample.select(F.col(name).alias("_sampled"))
+    last = dedupe_last(results.join(picked.distinct(), F.col(name) == F.col("_sampled"), "left_semi"), name, position)
+    return _with_missing(picked, last, F.col("_sampled") == F.col(name), name, F.lit(source), F.lit(model))
 
-def _with_missing(left: DataFrame, right: DataFrame, on, name: str) -> DataFrame:
+
+def _with_missing(left: DataFrame, right: DataFrame, on, name: str, source: Column, model: Column) -> DataFrame:
     rows = left.join(right, on, "left")
     there = F.col(name).isNotNull()
     return rows.select(
         F.col("_sampled").alias(name),
         *([F.col("_model").alias("model")] if "_model" in left.columns else []),
+        F.when(there, F.col("image_path")).otherwise(F.lit("")).alias("image_path"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.when(there, F.col("reasoning")).otherwise(F.lit("No result for this image")).alias("reasoning"),
+        F.when(there, F.col("reasoning")).otherwise(F.concat(F.lit("Image not found in "), model, F.lit(" results"))).alias("reasoning"),
         F.coalesce("success", F.lit(False)).alias("success"),
-        F.when(there, F.col("error")).otherwise(F.lit("missing")).alias("error"),
+        F.when(there, F.col("error")).otherwise(F.concat(F.lit("No results available for this image in "), source)).alias("error"),
         (~there).alias("missing"),
     )
 
 
-def model_grid(sample: DataFrame, results: DataFrame, models: DataFrame, position: str = "pos", name: str = "image_filename") -> DataFrame:
-    """`sample_join` for every model: the grid is models (few) times the sample (limited)."""
-    last = results.groupBy("model", name).agg(F.max_by(F.struct("score", "reasoning", "success", "error"), position).alias("r")).select("model", name, "r.*")
-    grid = F.broadcast(sample.select(F.col(name).alias("_sampled")).crossJoin(models.select(F.col("model").alias("_model"))))
-    return _with_missing(grid, last, (F.col("_sampled") == F.col(name)) & (F.col("_model") == F.col("model")), name)
+def model_grid(sample: DataFrame, results: DataFrame, files: DataFrame, position: str = "pos", name: str = "image_filename") -> DataFrame:
+    """`sample_join` for every model; files: model and the file_name of its labels. The grid is models (few) times the sample (limited)."""
+    picked = sample.select(F.col(name).alias("_sampled"))
+    fields = ("image_path", "score", "reasoning", "success", "error")
+    last = results.join(picked.distinct(), F.col(name) == F.col("_sampled"), "left_semi").groupBy("model", name).agg(F.max_by(F.struct(*fields), position).alias("r")).select("model", name, "r.*")
+    grid = picked.crossJoin(files.select(F.col("model").alias("_model"), F.col("file_name").alias("_source")))
+    return _with_missing(grid, last, (F.col("_sampled") == F.col(name)) & (F.col("_model") == F.col("model")), name, F.col("_source"), F.col("_model"))
 
 
 def display_order(results: DataFrame, by: str = "score", top_only: bool = False, name: str = "image_filename") -> list:

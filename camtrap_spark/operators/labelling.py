@@ -29,13 +29,13 @@ def violations(replies: DataFrame, expected: DataFrame, returned: str = "returne
 def reconcile_responses(parsed: DataFrame, expected: DataFrame, returned: str = "returned_filename", name: str = "image_filename", by: tuple[str, ...] = (), check: bool = True) -> DataFrame:
     """Replies by the name they return, joined to the expected images; unexpected and failed replies are dropped.
 
-    With check, an invalid batch (`violations`) raises.
+    With check, an invalid batch (`violations`) raises; names count there even if the rest of the reply is no good.
     """
-    good = parsed  # failed replies have no name, so the join leaves them out
     if check:
         bad = violations(parsed, expected, returned, by).take(5)
         if bad:
             raise ValueError(f"the batch is not valid: {bad}")
+    good = parsed.where("success")
     wanted = expected.select(*by, F.col(name).alias("_name"), *(c for c in expected.columns if c not in (*by, name)))
     keep = [c for c in good.columns if c not in wanted.columns or c in by]
     return good.select(*keep).join(wanted, [*(good[b] == wanted[b] for b in by), F.col(returned) == F.col("_name")]).select(*(good[c] for c in keep), *(c for c in wanted.columns if c not in (*by, "_name")))

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import keep
 
-def index_quantiles(df: DataFrame, value: Column, positions: dict[str, tuple[int, int]]) -> DataFrame:
-    """One row: for each name the value at 0-based place floor(a * n / b) of the sorted values, min and max.
 
-    Equal values are counted first; the counts are dealt out by range and summed per partition, and only the few
-    rows at the wanted places come out. The rows of a value are never brought together.
+def values_at(rows: DataFrame, places: dict[str, tuple[int, int]], group: str = "measure", value: str = "v") -> DataFrame:
+    """group, place, v, n: in each group of n non-null values the one at the 0-based place floor(a * n / b) of their order.
+
+    Equal values are counted first. The counts are dealt out by range and written with the number of their range, so
+    that every later step sees the same ranges; sums by range tell which range holds a place, and only those few are
+    looked into. The rows of a value, or the values of a group, are never brought together.
     """
-    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id())
-    sizes = ranged.groupBy("p").agg(F.sum("n").alias("size"))
-    before = sizes.agg(F.sort_array(F.collect_list(F.struct("p", "size"))).alias("all"))
-    total = before.select("all", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x.size).alias("total"))
-    placed = ranged.crossJoin(F.broadcast(total)).withColumn("offset", F.aggregate(F.filter("all", lambda x: x.p < F.col("p")), F.lit(0).cast("long"), lambda a, x: a + x.size))
-    upto = placed.withColumn("last", F.col("offset") + F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = [F.min("v").alias("min")]
-    for name, (a, b) in positions.items():
-        at = F.floor(F.col("total") * a / b)
-        out.append(F.max(F.when((F.col("last") > at) & (F.col("last") - F.col("n") <= at), F.col("v"))).alias(name))
-    return upto.agg(*out, F.max("v").alias("max"))
+    counts = rows.select(F.col(group).alias("_group"), F.col(value).alias("v")).where("v is not null").groupBy("_group", "v").agg(F.count("*").alias("n"))
+    ranged = keep(counts.repartitionByRange("_group", "v").withColumn("p", F.spark_partition_id()))
+    by_range = ranged.groupBy("_group", "p").agg(F.sum("n").alias("size"))  # as many rows as ranges
+    whole = Window.partitionBy("_group")
+    sizes = by_range.withColumns({"total": F.sum("size").over(whole), "last": F.sum("size").over(whole.orderBy("p"))})
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("place"), F.lit(a).alias("a"), F.lit(b).alias("b")) for name, (a, b) in places.items())))
+    at = sizes.withColumn("w", wanted).select("_group", "p", "total", (F.col("last") - F.col("size")).alias("before"), "last", "w.place", F.floor(F.col("total") * F.col("w.a") / F.col("w.b")).alias("at"))
+    there = at.where("at >= before and at < last").select("_group", "p", "total", "before", "place", "at")
+    upto = ranged.join(there, ["_group", "p"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("_group", "place").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return upto.where("upto > at and upto - n <= at").select(F.col("_group").alias(group), "place", "v", F.col("total").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import all_animals, animal_detections, size_of, species_in_image
-from .order_stats import index_quantiles
+from .order_stats import values_at
 
 QUARTILES = {"q25": (1, 4), "median": (1, 2), "q75": (3, 4)}
 
@@ -47,15 +47,19 @@ def top_species(counts: DataFrame, n: int = 20) -> DataFrame:
 
 
 def value_quantiles(images: DataFrame) -> DataFrame:
-    """min, q25, median, q75, max by index of box sizes, detection and classification confidences; a row each."""
-    dets = images.select(F.explode(all_animals(F.col("detections"))).alias("d"))
-    cls = dets.select(F.explode("d.classifications").alias("c"))
-    parts = [
-        index_quantiles(dets, size_of(F.col("d")), QUARTILES).withColumn("measure", F.lit("bbox_size")),
-        index_quantiles(dets, F.col("d.conf"), QUARTILES).withColumn("measure", F.lit("detection_conf")),
-        index_quantiles(cls, F.col("c.conf"), QUARTILES).withColumn("measure", F.lit("classification_conf")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """min, q25, median, q75, max by index of box sizes, detection and classification confidences; a row each, from one pass."""
+    animals = all_animals(F.col("detections"))
+    of = lambda measure, v: F.struct(F.lit(measure).alias("measure"), v.alias("v"))
+    every = F.flatten(
+        F.transform(
+            animals,
+            lambda d: F.concat(F.array(of("bbox_size", size_of(d)), of("detection_conf", d.conf)), F.transform(F.coalesce(d.classifications, F.array()), lambda c: of("classification_conf", c.conf))),
+        )
+    )
+    values = images.select(F.inline(every))
+    found = values_at(values, QUARTILES).groupBy("measure").agg(*(F.max(F.when(F.col("place") == q, F.col("v"))).alias(q) for q in QUARTILES))
+    ends = values.where("v is not null").groupBy("measure").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    return ends.join(found, "measure").select("min", *QUARTILES, "max", "measure")
 
 
 def threshold_counts(images: DataFrame, size: float = 0.1, confidence: float = 0.8) -> DataFrame:

@@ -7,11 +7,12 @@ one that appears first.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strata import RULE_ORDER, SelectorConfig
+from ..storage import keep
+from .order_stats import values_at
 
 #: Spark prunes a ranked window per partition up to this rank; beyond, ordered limits do it.
 WINDOW_LIMIT = 1000
@@ -57,24 +58,26 @@ def category_top_k(groups: DataFrame, quotas: dict[str, int]) -> DataFrame:
 
 
 def negatives_mix(groups: DataFrame, quotas: dict[str, int], negatives: tuple[str, ...], seed: int = 0) -> DataFrame:
-    """Quotas for categories of negative examples: q // 2 of the better half, the rest of the other half in hash order."""
-    w = Window.partitionBy("category")
-    order = [F.desc("quality_score"), F.asc("group_ord")]
+    """Quotas for categories of negative examples: q // 2 of the better half, the rest of the other half in hash order.
+
+    The border of the halves is an exact order statistic; both halves are ordered limits, never a sorted category.
+    """
     numbers = {c: i for i, c in enumerate(quotas)}
-    quota = by_number({c: q for c, q in quotas.items() if c in negatives})
-    ranked = (
-        groups.where(F.col("category").isin(*negatives))
-        .withColumn("_n", F.count("*").over(w))
-        .withColumn("_place", F.row_number().over(w.orderBy(*order)))
-        .withColumn("_top", F.col("_place") <= F.floor(F.col("_n") / 2))
-        .withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col("file"))))
-    )
-    half = F.floor(quota / 2).cast("int")
-    nth = F.row_number().over(Window.partitionBy("category", "_top").orderBy(F.when(F.col("_top"), F.lpad(F.col("_place").cast("string"), 19, "0")).otherwise(F.col("_hash")), "group_ord"))
-    chosen = ranked.withColumn("_nth", nth).where(F.when(F.col("_top"), F.col("_nth") <= half).otherwise(F.col("_nth") <= quota - half))
-    top_taken = F.least(half, F.floor(F.col("_n") / 2))
-    rank = F.when(F.col("_top"), F.col("_nth")).otherwise(top_taken + F.col("_nth")).cast("int")
-    return chosen.withColumn("rank", rank).withColumn("category_ord", by_number(numbers)).drop("_n", "_place", "_top", "_hash", "_nth")
+    some = groups.where(F.col("category").isin(*negatives)).withColumn("_v", F.struct((-F.col("quality_score")).alias("q"), F.col("group_ord").alias("o")))
+    border = keep(values_at(some, {"half": (1, 2)}, "category", "_v")).select("category", F.col("v").alias("_border"), F.col("n").alias("_n"))  # a row for each category
+    placed = some.join(F.broadcast(border), "category")
+    parts = None
+    for category in negatives:
+        mine, half = placed.where(F.col("category") == category), quotas[category] // 2
+        better = mine.where("_v < _border").orderBy("_v").limit(half)
+        better = better.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy("_v")))
+        order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("file"))), F.col("group_ord")]
+        other = mine.where("_v >= _border").orderBy(*order).limit(quotas[category] - half)
+        nth = F.row_number().over(Window.partitionBy("category").orderBy(*order))
+        other = other.withColumn("rank", (F.least(F.lit(half), F.floor(F.col("_n") / 2)) + nth).cast("int"))
+        for part in (better, other):
+            parts = part if parts is None else parts.unionByName(part)
+    return parts.withColumn("category_ord", by_number(numbers)).drop("_v", "_border", "_n")
 
 
 def unselected_sequences(groups: DataFrame, selected: DataFrame) -> DataFrame:
@@ -104,10 +107,10 @@ def fill_remaining(groups: DataFrame, selected: DataFrame, total: int, per_seque
 def select(groups: DataFrame, config: SelectorConfig, total: int) -> DataFrame:
     """Quota rows (phase 0), then fill rows (phase 1); rank inside each.
 
-    Quota, missing count, anti join, category order and fill all read the groups, which are computed once and held by
-    Spark (in memory or on disk; lost parts are computed again) until they are no longer used.
+    Quota, missing count, anti join, category order and fill all read the groups, which are computed once and kept in
+    the shared folder.
     """
-    groups = groups.persist(StorageLevel.MEMORY_AND_DISK)
+    groups = keep(groups, "groups")
     quotas = config.quotas(total)
     plain = {c: q for c, q in quotas.items() if c not in config.negatives}
     numbers = {c: i for i, c in enumerate(quotas)}

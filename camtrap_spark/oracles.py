@@ -171,13 +171,15 @@ closed AS (SELECT *, {STRIPPED.format(t="CASE WHEN ends_with(t1, '```') THEN sub
 reply_json AS (SELECT *, CASE WHEN t2 <> '' AND json_valid(t2) AND json_type(t2) = 'OBJECT' THEN CAST(t2 AS JSON) END AS j FROM closed),
 parts AS (
   SELECT *, json_type(j, '$.score') AS score_type, TRY_CAST(json_extract_string(j, '$.score') AS DOUBLE) AS number,
-    json_exists(j, '$.score') AS has_score, json_exists(j, '$.reasoning') AS has_reasoning, json_exists(j, '$.image_filename') AS has_name
+    json_exists(j, '$.score') AS has_score, json_exists(j, '$.reasoning') AS has_reasoning
   FROM reply_json
 )"""
 
 
 def parsed(mode: str) -> str:
     kinds = ["WHEN t2 = '' THEN 'empty'", "WHEN j IS NULL THEN 'bad_json'"]
+    if mode == "batch":
+        kinds.append("WHEN COALESCE(json_extract_string(j, '$.image_filename'), '') = '' THEN 'missing_filename'")
     if mode != "local":
         kinds.append("WHEN NOT has_score THEN 'missing_score'")
     kinds.append("WHEN has_score AND (score_type = 'NULL' OR number IS NULL) THEN 'bad_score'")
@@ -185,11 +187,9 @@ def parsed(mode: str) -> str:
         kinds.append("WHEN number < 0 OR number > 10 THEN 'out_of_range'")
     if mode != "local":
         kinds.append("WHEN NOT has_reasoning THEN 'missing_reasoning'")
-    if mode == "batch":
-        kinds.append("WHEN NOT has_name THEN 'missing_filename'")
     value = "COALESCE(number, 0.0)" if mode == "local" else "number"
     reasoning = "COALESCE(json_extract_string(j, '$.reasoning'), 'No reasoning provided')" if mode == "local" else "json_extract_string(j, '$.reasoning')"
-    name = "json_extract_string(j, '$.image_filename')" if mode == "batch" else "image_filename"
+    name = "NULLIF(json_extract_string(j, '$.image_filename'), '')" if mode == "batch" else "CASE WHEN failure_kind IS NULL THEN image_filename END"
     return (
         _reply_parts()
         + f""",
@@ -197,7 +197,7 @@ judged AS (SELECT *, CASE {" ".join(kinds)} END AS failure_kind FROM parts),
 parsed AS (
   SELECT model, image_ord, image_path, image_filename, reply,
     CASE WHEN failure_kind IS NULL THEN {value} ELSE {"0.0" if mode == "sync" else "NULL"} END AS score,
-    CASE WHEN failure_kind IS NULL THEN {reasoning} END AS reasoning, CASE WHEN failure_kind IS NULL THEN {name} END AS returned_filename,
+    CASE WHEN failure_kind IS NULL THEN {reasoning} END AS reasoning, {name} AS returned_filename,
     failure_kind IS NULL AS success, failure_kind
   FROM judged
 )"""
@@ -211,7 +211,12 @@ SELECT model, COUNT(*) AS total_images, COUNT(*) FILTER (success) AS successful_
 FROM parsed GROUP BY model"""
 
 SAMPLE_CTE = f"names AS (SELECT replace(file, '/', '#') AS image_filename FROM fx_images), sampled AS (SELECT image_filename FROM names ORDER BY md5('42:' || image_filename), image_filename LIMIT {SAMPLE})"
-GRID_FIELDS = "COALESCE(p.score, 0.0) AS score, CASE WHEN p.model IS NULL THEN 'No result for this image' ELSE p.reasoning END AS reasoning, COALESCE(p.success, FALSE) AS success, CASE WHEN p.model IS NULL THEN 'missing' ELSE p.failure_kind END AS error, p.model IS NULL AS missing"
+
+
+def grid_fields(model: str) -> str:
+    gone = "p.model IS NULL"
+    return f"""CASE WHEN {gone} THEN '' ELSE p.image_path END AS image_path, COALESCE(p.score, 0.0) AS score, CASE WHEN {gone} THEN 'Image not found in ' || {model} || ' results' ELSE p.reasoning END AS reasoning,
+  COALESCE(p.success, FALSE) AS success, CASE WHEN {gone} THEN 'No results available for this image in x_labels_' || {model} || '.json' ELSE p.failure_kind END AS error, {gone} AS missing"""
 
 
 def quantiles(measure: str, value: str, source: str) -> str:
@@ -262,7 +267,7 @@ FROM (SELECT *, replace(file, '/', '#') AS fn FROM fx_images)"""),
         "rare_species_join": sql("SELECT has_rare AS has_rare_species, COUNT(*) AS images, CAST(SUM(num_species) AS BIGINT) AS species FROM feat GROUP BY 1"),
         "rarity_lookup": sql("SELECT f.image_ord, round(greatest(0.0, COALESCE(r.bonus, 0.0)), 6) AS rarity FROM feat f LEFT JOIN rarity r USING (image_ord)", HEURISTIC),
         "unselected_sequences": sql("SELECT category, seq_id, file, quality_score FROM groups WHERE seq_id NOT IN (SELECT seq_id FROM chosen)", *SEQ_CHOSEN),
-        "unselected_images": sql("SELECT category, file, quality_score FROM groups WHERE file NOT IN (SELECT file FROM chosen)", candidates("improved", False), IMAGE_GROUPS, quotas("improved"), chosen("improved")),
+        "unselected_images": sql("SELECT category, file, quality_score FROM groups g ANTI JOIN (SELECT DISTINCT file FROM chosen) c ON c.file = g.file", candidates("improved", False), IMAGE_GROUPS, quotas("improved"), chosen("improved")),
         "resume_pending": sql("SELECT image_ord, file AS path FROM fx_images WHERE split_part(file, '/', 2) NOT IN (SELECT split_part(image_path, '/', 2) FROM fx_replies WHERE model = 'model0')"),
         "reconcile_responses": sql("SELECT p.model, r.image_ord, r.image_path, p.score, p.reasoning FROM parsed p JOIN fx_replies r ON r.model = p.model AND r.image_filename = p.returned_filename WHERE p.success", parsed("batch")),
         "response_violations": sql("""
@@ -270,8 +275,8 @@ SELECT model, 'duplicate_filename' AS violation, returned_filename AS subject, C
 UNION ALL
 SELECT g.model, 'reply_count', NULL, g.n FROM (SELECT model, COUNT(*) AS n FROM twice GROUP BY model) g JOIN (SELECT model, COUNT(*) AS n FROM fx_replies GROUP BY model) w ON w.model = g.model AND w.n <> g.n""",
             parsed("batch"), "twice AS (SELECT * FROM parsed UNION ALL SELECT * FROM parsed WHERE image_ord % 97 = 0)"),
-        "sample_join": sql(f"SELECT s.image_filename, {GRID_FIELDS} FROM sampled s LEFT JOIN parsed p ON p.image_filename = s.image_filename AND p.model = 'model1'", parsed("local"), SAMPLE_CTE),
-        "model_grid": sql(f"SELECT s.image_filename, m.model, {GRID_FIELDS} FROM sampled s CROSS JOIN (SELECT DISTINCT model FROM fx_replies) m LEFT JOIN parsed p ON p.image_filename = s.image_filename AND p.model = m.model", parsed("local"), SAMPLE_CTE),
+        "sample_join": sql(f"SELECT s.image_filename, {grid_fields("'model1'")} FROM sampled s LEFT JOIN parsed p ON p.image_filename = s.image_filename AND p.model = 'model1'", parsed("local"), SAMPLE_CTE),
+        "model_grid": sql(f"SELECT s.image_filename, m.model, {grid_fields('m.model')} FROM sampled s CROSS JOIN (SELECT DISTINCT model FROM fx_replies) m LEFT JOIN parsed p ON p.image_filename = s.image_filename AND p.model = m.model", parsed("local"), SAMPLE_CTE),
         "verify_paths": sql("SELECT m.file_name IS NOT NULL AS found, COUNT(*) AS files FROM fx_images i LEFT JOIN fx_metadata m ON m.file_name = i.file GROUP BY 1"),
         "copy_plan": sql("SELECT i.file AS source, 'out/' || replace(i.file, '/', '#') AS target, m.file_name IS NOT NULL AS exists FROM fx_images i LEFT JOIN fx_metadata m ON m.file_name = i.file"),
         "model_run_name": "SELECT p_partkey, 'gemini_batch_labels_v-m' || p_partkey || '_20250102_030405.json' AS name, 'local_vllm_labels_v-m' || p_partkey || '_20250102_030405.tmp.json' AS checkpoint FROM part",

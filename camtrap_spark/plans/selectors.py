@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
@@ -44,16 +44,43 @@ def select_stratified(images: DataFrame, total: int, config: SelectorConfig) ->
 def heuristic_scores(images: DataFrame, scale: int | None = None) -> DataFrame:
     """file, image_ord, score and selection criteria of every image with an animal."""
     frequency = rarity.frequencies(rarity.species_counts(images))
-    kept = images.withColumn("kept", ft.animal_detections(F.col("detections"))).where(F.size("kept") > 0)
-    score = ft.heuristic_score(F.col("kept"), F.col("frequency"))
-    scored = kept.crossJoin(F.broadcast(frequency)).select("image_ord", (score if scale is None else F.round(score, scale)).alias("score"))
-    return ft.image_features(images).join(scored, "image_ord")
+    score = ft.heuristic_score(ft.animal_detections(F.col("detections")), F.col("frequency"))
+    scored = images.crossJoin(F.broadcast(frequency)).withColumn("score", score if scale is None else F.round(score, scale))
+    return ft.image_features(scored.drop("frequency"))
 
 
-#: Pluggable selectors: a name and a function of (features, n) that returns n rows.
+#: Pluggable selectors: a name and a function of (images, n) that returns the rows that it picks, the best of them with `rank` 1.
 Selector = Callable[[DataFrame, int], DataFrame]
-SELECTORS: dict[str, Selector] = {"HeuristicSelector": selection.top_heuristic, "RandomSelector": selection.random_candidates}
+SELECTORS: dict[str, Selector] = {}
 
 
 def register_selector(name: str, selector: Selector) -> None:
+    """Makes a selector known to `select_by` and `select_hybrid` under a name."""
     SELECTORS[name] = selector
+
+
+def select_by(name: str, images: DataFrame, n: int) -> DataFrame:
+    """What the selector of that name picks from images (file, image_ord, detections)."""
+    if name not in SELECTORS:
+        raise ValueError(f"no selector {name!r}; known: {', '.join(sorted(SELECTORS))}")
+    return SELECTORS[name](images, n)
+
+
+def select_hybrid(shares: dict[str, float], images: DataFrame, n: int) -> DataFrame:
+    """Shares of several selectors by name, in their order; of each file the first entry, n rows at most."""
+    return selection.hybrid_candidates([(name, select_by(name, images, n), "rank", weight) for name, weight in shares.items()], n)
+
+
+def _ranked(rows: DataFrame, *order) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # n rows
+
+
+def _preset(name: str) -> Selector:
+    """A stratified preset over images with detections; quota rows first, then fill."""
+    return lambda images, n: _ranked(select_stratified(images, n, PRESETS[name]).drop("rank"), "phase", F.desc("quality_score"), "image_ord")
+
+
+register_selector("HeuristicSelector", lambda images, n: _ranked(selection.top_heuristic(heuristic_scores(images, 6), n), F.desc("score"), "image_ord"))
+register_selector("RandomSelector", lambda images, n: _ranked(selection.random_candidates(ft.image_features(images), n, 7), selection.hash_order(7, F.col("file")), "image_ord"))
+for _name in ("v1", "improved", "campaign", "training"):
+    register_selector(_name, _preset(_name))

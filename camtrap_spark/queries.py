@@ -263,13 +263,14 @@ def _sample(spark, sf_dir):
 
 @query
 def sample_join(spark, sf_dir):
-    return comparison.sample_join(_sample(spark, sf_dir), _results(spark, sf_dir).where("model = 'model1'"))
+    return comparison.sample_join(_sample(spark, sf_dir), _results(spark, sf_dir).where("model = 'model1'"), "x_labels_model1.json", "model1")
 
 
 @query
 def model_grid(spark, sf_dir):
-    r = _results(spark, sf_dir)
-    return comparison.model_grid(_sample(spark, sf_dir), r, r.select("model").distinct())
+    models = fx.replies(spark, sf_dir).select("model").distinct()
+    files = models.select("model", F.concat(F.lit("x_labels_"), "model", F.lit(".json")).alias("file_name"))
+    return comparison.model_grid(_sample(spark, sf_dir), _results(spark, sf_dir), files)
 
 
 @query
@@ -472,10 +473,7 @@ def random_candidates(spark, sf_dir):
 
 @query
 def hybrid_candidates(spark, sf_dir):
-    top, random = _methods(spark, sf_dir)
-    top = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "image_ord")))  # TOTAL rows
-    random = random.withColumn("r", F.row_number().over(Window.orderBy(selection.hash_order(7, F.col("file")), "image_ord")))
-    return selection.hybrid_candidates([("HeuristicSelector", top, "r", 0.7), ("RandomSelector", random, "r", 0.3)], TOTAL).select("file", "source_selector")
+    return selectors.select_hybrid({"HeuristicSelector": 0.7, "RandomSelector": 0.3}, fx.images(spark, sf_dir), TOTAL).select("file", "source_selector")
 
 
 @query

@@ -70,6 +70,27 @@ def test_reconcile(spark):
         labelling.reconcile_responses(parse("a.jpg"), expected)
 
 
+def test_names_count_whatever_else_is_wrong(spark):
+    expected = spark.createDataFrame([("a.jpg", "d/a.jpg"), ("b.jpg", "d/b.jpg")], "image_filename string, path string")
+    parse = lambda *replies: parse_responses(spark.createDataFrame([(r,) for r in replies], "reply string"), "batch")
+    empty = '{"score": 1, "reasoning": "r", "image_filename": ""}'
+    rows = parse(empty, empty)
+    assert [(r.returned_filename, r.success, r.failure_kind) for r in rows.collect()] == [(None, False, "missing_filename")] * 2
+    assert labelling.reconcile_responses(rows, expected).count() == 0  # no duplicate, two replies of two
+    good, bad = '{"score": 1, "reasoning": "r", "image_filename": "a.jpg"}', '{"score": null, "reasoning": "r", "image_filename": "a.jpg"}'
+    with pytest.raises(ValueError, match="duplicate"):
+        labelling.reconcile_responses(parse(good, bad), expected)
+    assert [r.score for r in labelling.reconcile_responses(parse(good, bad), expected, check=False).collect()] == [1.0]
+
+
+def test_each_reply_is_parsed_once(spark):
+    rows = spark.createDataFrame([('{"score": 1, "reasoning": "r", "image_filename": "a.jpg"}',)], "reply string")
+    expected = spark.createDataFrame([("a.jpg", "d/a.jpg")], "image_filename string, path string")
+    joined = labelling.reconcile_responses(parse_responses(rows, "batch"), expected, check=False)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1
+
+
 def test_statistics_without_successes_are_zero(spark):
     rows = spark.createDataFrame([("m", None, False), ("m", None, False), ("n", 4.0, True), ("n", 9.0, True), ("n", 0.0, False)], "model string, score double, success boolean")
     got = {r.model: tuple(r)[1:] for r in labelling.label_stats(rows).collect()}
@@ -79,9 +100,12 @@ def test_statistics_without_successes_are_zero(spark):
 
 def test_sample_join_marks_what_is_missing(spark):
     sample = spark.createDataFrame([("a",), ("b",)], "image_filename string")
-    results = spark.createDataFrame([("a", 1, 3.0, "r", True, None), ("a", 2, 4.0, "s", True, None)], "image_filename string, pos int, score double, reasoning string, success boolean, error string")
-    got = {r.image_filename: (r.score, r.success, r.missing) for r in comparison.sample_join(sample, results).collect()}
-    assert got == {"a": (4.0, True, False), "b": (0.0, False, True)}
+    results = spark.createDataFrame([("a", "d/a", 1, 3.0, "r", True, None), ("a", "d/a", 2, 4.0, "s", True, None)], "image_filename string, image_path string, pos int, score double, reasoning string, success boolean, error string")
+    got = {r.image_filename: tuple(r)[1:] for r in comparison.sample_join(sample, results, "x_labels_m.json", "m").collect()}
+    assert got == {
+        "a": ("d/a", 4.0, "s", True, None, False),
+        "b": ("", 0.0, "Image not found in m results", False, "No results available for this image in x_labels_m.json", True),
+    }
 
 
 def test_display_orders(spark):

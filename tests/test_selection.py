@@ -1,12 +1,13 @@
 import hashlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from camtrap_spark import fixtures as fx
 from camtrap_spark.functions.strata import preset
 from camtrap_spark.operators import selection
-from camtrap_spark.operators.order_stats import index_quantiles
+from camtrap_spark.operators.order_stats import values_at
 from camtrap_spark.plans import selectors
 
 SMALL = "/root/testdata/sf0.001"
@@ -56,11 +57,37 @@ def test_large_quotas_use_ordered_limits(spark):
 
 def test_order_statistics_are_exact(spark):
     values = [((i * 7919) % 1000) / 7 for i in range(5000)] + [3.0] * 700
-    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
-    r = index_quantiles(df, F.col("x"), {"q25": (1, 4), "median": (1, 2), "q75": (3, 4), "p10": (1, 10)}).first()
+    df = spark.createDataFrame([("x", v) for v in values] + [("y", 1.0), ("y", None), ("z", None)], "measure string, v double").repartition(5)
+    places = {"q25": (1, 4), "median": (1, 2), "q75": (3, 4), "p10": (1, 10)}
+    got = {(r.measure, r.place): (r.v, r.n) for r in values_at(df, places).collect()}
     s, n = sorted(values), len(values)
-    assert (r["min"], r.q25, r.median, r.q75, r.p10, r["max"]) == (s[0], s[n // 4], s[n // 2], s[3 * n // 4], s[n // 10], s[-1])
-    assert tuple(index_quantiles(df.limit(0), F.col("x"), {"m": (1, 2)}).first()) == (None, None, None)
+    assert got == {**{("x", p): (s[a * n // b], n) for p, (a, b) in places.items()}, **{("y", p): (1.0, 1) for p in places}}
+    assert values_at(df.limit(0), {"m": (1, 2)}).count() == 0
+
+
+def test_negatives_take_halves(spark):
+    import hashlib
+
+    rows = [("single_tiny", f"f{i}", i, (i * 37 % 10) / 10) for i in range(41)] + [("single_huge", "g", 99, 0.5), ("other", "h", 3, 0.5)]
+    groups = spark.createDataFrame(rows, "category string, file string, group_ord long, quality_score double")
+    got = [(r.category, r.rank, r.file) for r in selection.negatives_mix(groups, {"single_tiny": 9, "single_huge": 5}, ("single_tiny", "single_huge"), 3).collect()]
+    order = sorted([r for r in rows if r[0] == "single_tiny"], key=lambda r: (-r[3], r[2]))
+    rest = sorted(order[20:], key=lambda r: (hashlib.md5(f"3:{r[1]}".encode()).hexdigest(), r[2]))
+    want = [("single_tiny", i + 1, r[1]) for i, r in enumerate(order[:4] + rest[:5])] + [("single_huge", 1, "g")]
+    assert sorted(got) == sorted(want)
+
+
+def test_selectors_by_name(spark):
+    images = fx.images(spark, SMALL)
+    selectors.register_selector("Smallest", lambda rows, n: rows.where("detections is not null").orderBy("image_ord").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("image_ord"))))
+    try:
+        assert selectors.select_by("Smallest", images, 5).count() == 5
+        got = selectors.select_hybrid({"Smallest": 1, "improved": 2, "HeuristicSelector": 1}, images, 20).collect()
+        assert len(got) <= 20 and {r.source_selector for r in got} == {"Smallest", "improved", "HeuristicSelector"} and len({r.file for r in got}) == len(got)
+    finally:
+        del selectors.SELECTORS["Smallest"]
+    with pytest.raises(ValueError, match="RandomSelector"):
+        selectors.select_by("none", images, 5)
 
 
 def test_hybrid_keeps_the_first_source(spark):
