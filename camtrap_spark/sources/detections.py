@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schemas import DETECTION_DOCUMENT, IMAGES, RAW_IMAGE, SEQUENCE_DOCUMENT
 
 
+KEY = '"file"'
+
+
 def typed_detections(raw: Column) -> Column:
     """Detections with their [species, confidence] pairs as structs."""
     return F.transform(
@@ -26,63 +26,47 @@ def typed_detections(raw: Column) -> Column:
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document with an `images` array; image_ord keeps the order of the array.
+    """JSON documents with an `images` array; image_ord keeps the order of the array, and of the documents by name.
 
-    A document is one row for the reader: for large ones split it first (`split_document`) and use `read_image_rows`.
+    Where `file` is the first key of every image, as detectors write it, the text is cut at that key, so that Spark
+    deals one document over many tasks. Documents of another order are read whole, a row each (`read_whole_documents`).
     """
+    pieces = spark.read.option("lineSep", KEY).text(path)
+    # A piece after a key holds the rest of its image and the opening of the next one; the last one the document's end.
+    cut = pieces.select(F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    images = cut.where(F.col("value").rlike(r"^\s*:"))
+    # The second pass sees the same blocks and places: they follow from the files alone.
+    sizes = images.groupBy("document", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.count_if(~F.col("value").rlike(r"\{\s*$")).alias("ends"))
+    blocks = Window.orderBy("document", "block")  # a row for each block of a file
+    offsets = sizes.withColumn("before", F.sum("n").over(blocks) - F.col("n")).collect()
+    ends: dict[str, int] = {}
+    for r in offsets:
+        ends[r.document] = ends.get(r.document, 0) + r.ends
+    if any(n > 1 for n in ends.values()):
+        return read_whole_documents(spark, path)
+    by_block = spark.createDataFrame([(r.document, r.block, r.before) for r in offsets], "document string, block long, before long")
+    ranked = images.join(F.broadcast(by_block), ["document", "block"]).withColumn("nth", F.row_number().over(Window.partitionBy("document", "block").orderBy("place")))
+    image = F.from_json(F.concat(F.lit("{" + KEY), F.col("value")), RAW_IMAGE)
+    rows = ranked.select((F.col("before") + F.col("nth") - 1).alias("image_ord"), image.alias("image"))
+    return rows.select("image.file", "image_ord", typed_detections(F.col("image.detections")).alias("detections"))
+
+
+def read_whole_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The same, a document a row: for keys in any order, and documents that fit into a task."""
     document = spark.read.schema(DETECTION_DOCUMENT).option("multiLine", True).json(path)
-    rows = document.select(F.posexplode("images").alias("image_ord", "image"))
-    return rows.select("image.file", F.col("image_ord").cast("long").alias("image_ord"), typed_detections(F.col("image.detections")).alias("detections"))
+    rows = document.select(F.col("_metadata.file_path").alias("document"), F.posexplode("images").alias("pos", "image"))
+    sizes = rows.groupBy("document").agg(F.count("*").alias("n"))
+    before = sizes.select("document", (F.sum("n").over(Window.orderBy("document")) - F.col("n")).alias("before"))  # a row for each document
+    placed = rows.join(F.broadcast(before), "document")
+    return placed.select("image.file", (F.col("before") + F.col("pos")).alias("image_ord"), typed_detections(F.col("image.detections")).alias("detections"))
 
 
 def read_image_rows(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of one image each, with image_ord where the splitter wrote it; splittable."""
+    """JSON lines of one image each, with image_ord; splittable."""
     rows = spark.read.schema(StructType([*RAW_IMAGE.fields, StructField("image_ord", LongType())])).json(path)
     return rows.select("file", "image_ord", typed_detections(F.col("detections")).alias("detections"))
 
 
-def split_document(source, target, chunk: int = 1 << 20) -> int:
-    """Writes the elements of the document's `images` array as JSON lines with their position; returns their number.
-
-    source and target are open text files (of any file system); one pass that holds one element at a time.
-    """
-    count = 0
-    for element in _array_elements(source, "images", chunk):
-        element["image_ord"] = count
-        target.write(json.dumps(element, ensure_ascii=False) + "\n")
-        count += 1
-    return count
-
-
-def _array_elements(source, name: str, chunk: int) -> Iterator[dict]:
-    decoder, text, at, inside = json.JSONDecoder(), "", 0, False
-    needle = f'"{name}"'
-    while True:
-        more = source.read(chunk)
-        text, at = text[at:] + more, 0
-        if not inside:
-            found = text.find(needle)
-            start = text.find("[", found) if found >= 0 else -1
-            if start < 0:
-                if not more:
-                    return
-                at = max(0, found if found >= 0 else len(text) - len(needle))
-                continue
-            inside, at = True, start + 1
-        while True:
-            while at < len(text) and text[at] in " \t\r\n,":
-                at += 1
-            if at < len(text) and text[at] == "]":
-                return
-            try:
-                element, at = decoder.raw_decode(text, at)
-            except ValueError:
-                break  # the element goes on in the next chunk
-            yield element
-        if not more:
-            return
-
-
 def read_sequence_metadata(spark: SparkSession, path: str) -> DataFrame:
     """file_name with its sequence fields; of several entries for a file the last one counts."""
     document = spark.read.schema(SEQUENCE_DOCUMENT).option("multiLine", True).json(path)
@@ -103,4 +87,4 @@ def with_chunk(images: DataFrame, size: int = 100_000) -> DataFrame:
     return images.withColumn("chunk_id", F.floor(F.col("image_ord") / size))
 
 
-__all__ = ["IMAGES", "head_subset", "last_per_file", "read_detections", "read_image_rows", "read_sequence_metadata", "split_document", "typed_detections", "with_chunk"]
+__all__ = ["IMAGES", "head_subset", "last_per_file", "read_detections", "read_image_rows", "read_sequence_metadata", "read_whole_documents", "typed_detections", "with_chunk"]

@@ -1,11 +1,18 @@
-"""Candidates, labels and copies as written tables."""
+"""Candidates, labels, documents and copies as written tables and files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import basename, flattened_name, sanitize_model
+from ..operators.labelling import label_stats
+from ..operators.profile import category_distribution, selection_summary, size_distribution
 
 CANDIDATE_FIELDS = ("original_path", "flattened_filename", "category", "quality_score", "seq_id", "frame_num", "seq_num_frames", "max_size", "max_confidence", "num_animals", "num_species")
 
@@ -16,12 +23,16 @@ def candidate_rows(selected: DataFrame) -> DataFrame:
 
 
 def write_candidates(selected: DataFrame, path: str, form: str = "parquet") -> None:
-    candidate_rows(selected).write.format(form).save(path)
+    """The candidates and, beside them, their summaries: `candidates`, `summary`, `categories` and `sizes` below path."""
+    candidate_rows(selected).write.format(form).save(f"{path}/candidates")
+    for name, table in (("summary", selection_summary(selected)), ("categories", category_distribution(selected)), ("sizes", size_distribution(selected))):
+        table.coalesce(1).write.format(form).save(f"{path}/{name}")
 
 
-def write_labels(results: DataFrame, path: str) -> None:
-    """Results by model, one folder each."""
-    results.write.partitionBy("model").parquet(path)
+def write_labels(results: DataFrame, path: str, time: str | None = None) -> None:
+    """Results by model, one folder each, and `labeling_info` with the totals of each model."""
+    results.write.partitionBy("model").parquet(f"{path}/results")
+    label_stats(results, time=time).coalesce(1).write.parquet(f"{path}/labeling_info")
 
 
 def append_checkpoint(results: DataFrame, path: str) -> None:
@@ -29,6 +40,60 @@ def append_checkpoint(results: DataFrame, path: str) -> None:
     results.write.mode("append").parquet(path)
 
 
+def label_document(results: DataFrame, info: Column, by: list[str], position: str = "pos") -> DataFrame:
+    """A label file a row, as JSON text: `labeling_info` and the results in order. A group of `by` must fit into a file."""
+    fields = F.struct("image_path", "image_filename", F.col("score").alias("aesthetic_score"), "reasoning", "success", "error")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("pos"), fields.alias("r")))), lambda x: x.r)
+    return results.groupBy(*by).agg(ordered.alias("results")).select(*by, F.to_json(F.struct(info.alias("labeling_info"), "results")).alias("content"))
+
+
+def write_documents(rows: DataFrame, path: str, head: str, tail: str, element: str = "value") -> None:
+    """One text document a partition: head, the partition's elements with commas between them, tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_pydict({"value": [(head if first and i == 0 else ",") + line for i, line in enumerate(lines)]})
+                first = False
+        if not first:
+            yield pa.RecordBatch.from_pydict({"value": [tail]})
+
+    rows.select(element).mapInArrow(run, "value string").write.text(path)
+
+
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it; a bare path is a local one. Names may hold any character."""
+    scheme, colon, rest = path.partition(":/")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else path
+    authority, _, inside = rest.lstrip("/").partition("/")
+    there, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return there, f"{root.rstrip('/')}/{inside}"
+
+
+def write_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """A file for each row, whole or not at all: written beside its place and moved there. Gives path and bytes when it is run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [put(p, data) for p, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return files.select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).mapInArrow(run, "path string, bytes long")
+
+
+def put(path: str, data: bytes) -> int:
+    there, at = _open(path)
+    beside = f"{at}.{uuid.uuid4().hex}.part"
+    there.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with there.open_output_stream(beside) as out:
+        out.write(data)
+    there.move(beside, at)
+    return len(data)
+
+
 def copy_plan(candidates: DataFrame, listing: DataFrame, target: str, file: str = "file") -> DataFrame:
     """source, target and whether the source is there, for each candidate; listing: path."""
     there = listing.select(F.col("path").alias("there")).distinct()
@@ -36,8 +101,30 @@ def copy_plan(candidates: DataFrame, listing: DataFrame, target: str, file: str
     return plan.join(there, F.col("source") == F.col("there"), "left").select("source", "target", F.col("there").isNotNull().alias("exists"))
 
 
-def copy_counts(plan: DataFrame) -> DataFrame:
-    return plan.agg(F.count_if("exists").alias("copied"), F.count_if(~F.col("exists")).alias("failed"))
+def copy_files(plan: DataFrame, root: str = "") -> DataFrame:
+    """Copies what is there, file by file in the tasks; gives source, target and copied (false: absent or unreadable) when it is run."""
+
+    def one(source: str, target: str, exists: bool) -> bool:
+        if not exists:
+            return False
+        try:
+            there, at = _open(f"{root}{source}")
+            with there.open_input_stream(at) as data:
+                put(target, data.read())
+            return True
+        except OSError:
+            return False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [one(*row) for row in zip(*(batch.column(n).to_pylist() for n in ("source", "target", "exists")))]
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("target"), pa.array(done, pa.bool_())], names=["source", "target", "copied"])
+
+    return plan.mapInArrow(run, "source string, target string, copied boolean")
+
+
+def copy_counts(done: DataFrame, copied: str = "exists") -> DataFrame:
+    return done.agg(F.count_if(copied).alias("copied"), F.count_if(~F.col(copied)).alias("failed"))
 
 
 def run_name(method, model, stamp, checkpoint: bool = False):

@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions.names import basename
 from ..functions.replies import parse_responses
 from ..operators.labelling import label_stats, resume_pending
+from ..sources.images import strip
 
 SCORED = "path string, image_filename string, reply string, failure_kind string"
 #: Builds a client once per partition; the client takes a path and returns the reply's text.
@@ -45,29 +46,25 @@ def to_results(scored: DataFrame, model: str, mode: str = "local") -> DataFrame:
     )
 
 
-def existing_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Results written so far; none before the first batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def stream_label(spark: SparkSession, source: str, results: str, checkpoint: str, make_client: MakeClient, model: str, mode: str = "local", files_per_trigger: int = 1000, concurrency: int | None = None):
+def stream_label(
+    spark: SparkSession, source: str, results: str, checkpoint: str, make_client: MakeClient, model: str, mode: str = "local", files_per_trigger: int = 1000, concurrency: int | None = None, existing: DataFrame | None = None
+):
     """Labels the paths in the text files that arrive in `source`; runs over what is there, then ends.
 
-    Each micro-batch leaves out images that have a result, so a batch that is repeated after a crash adds nothing twice.
+    A path is labelled once: the stream's state remembers it over restarts. Each micro-batch writes its own folder
+    (`batch=<number>`) and overwrites it if it is repeated after a crash, so nothing is added twice and no earlier
+    result is read. existing: results of other runs (image_filename), whose images are left out.
     """
-    paths = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(source).select(F.col("value").alias("path"))
+    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(source)
+    paths = lines.select(strip(F.col("value")).alias("path")).where("path <> ''").dropDuplicates(["path"])
 
-    def append(batch: DataFrame, _: int) -> None:
-        once = batch.dropDuplicates(["path"])
-        schema = to_results(score_images(once.limit(0), make_client), model, mode).schema
-        pending = resume_pending(once, existing_results(batch.sparkSession, results, schema))
-        to_results(score_images(pending, make_client, concurrency), model, mode).write.mode("append").parquet(results)
+    def add(batch: DataFrame, number: int) -> None:
+        pending = batch if existing is None else resume_pending(batch, existing)
+        to_results(score_images(pending, make_client, concurrency), model, mode).write.mode("overwrite").parquet(f"{results}/batch={number}")
 
-    return paths.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return paths.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_label_stats(results: DataFrame) -> DataFrame:
-    """Running statistics by model of a stream of results; write it in complete mode."""
-    return label_stats(results)
+def stream_label_stats(spark: SparkSession, results: str, schema: StructType) -> DataFrame:
+    """Running statistics by model of the results of `stream_label`, as a stream; write it in complete mode."""
+    return label_stats(spark.readStream.schema(schema).parquet(results))

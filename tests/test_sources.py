@@ -1,7 +1,7 @@
-import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from camtrap_spark.functions.names import basename
 from camtrap_spark.sources import detections, images, labels, sinks
@@ -27,15 +27,29 @@ def test_detection_document(spark, tmp_path):
     assert rows[1].detections is None and rows[2].detections is None and rows[3].detections == []
 
 
-@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 16])
-def test_split_document(spark, tmp_path, chunk):
-    out = io.StringIO()
-    assert detections.split_document(io.StringIO(json.dumps(DOCUMENT, indent=1)), out, chunk) == 4
-    (tmp_path / "rows.json").write_text(out.getvalue())
-    split = detections.read_image_rows(spark, str(tmp_path / "rows.json")).orderBy("image_ord").collect()
-    (tmp_path / "d.json").write_text(json.dumps(DOCUMENT))
-    whole = detections.read_detections(spark, str(tmp_path / "d.json")).orderBy("image_ord").collect()
-    assert split == whole
+@pytest.mark.parametrize("layout", ["compact", "indented", "other order", "several"])
+def test_documents_are_cut_at_their_images(spark, tmp_path, layout):
+    images_of = [{"file": f"a/{i}.jpg", "detections": [{"category": "1", "conf": i / 7, "bbox": [0.1, 0.2, 0.3, 0.4], "classifications": [["file", 0.5]] if i % 3 else None}] * (i % 4)} for i in range(2000)]
+    if layout == "other order":
+        images_of = [{k: image[k] for k in ("detections", "file")} for image in images_of]
+    document = {"info": {"v": 1}, "images": images_of, "detection_categories": {"1": "animal"}}
+    target = tmp_path / "d.json"
+    if layout == "several":
+        target.mkdir()
+        for k in range(3):
+            (target / f"p{k}.json").write_text(json.dumps({**document, "images": images_of[k * 700 : (k + 1) * 700]}))
+    else:
+        target.write_text(json.dumps(document, indent=1 if layout == "indented" else None))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = detections.read_detections(spark, str(target)).orderBy("image_ord").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.image_ord, r.file) for r in rows] == [(i, f"a/{i}.jpg") for i in range(2000)]
+    assert [len(r.detections) for r in rows] == [i % 4 for i in range(2000)]
+    assert [d.conf for r in rows for d in r.detections] == [i / 7 for i in range(2000) for _ in range(i % 4)]
+    if layout != "several":
+        assert rows == detections.read_whole_documents(spark, str(target)).orderBy("image_ord").collect()
 
 
 def test_last_metadata_entry_counts(spark, tmp_path):
@@ -79,11 +93,19 @@ def test_manifest_and_sinks(spark, tmp_path):
     plan = sinks.copy_plan(spark.createDataFrame([("d/a.jpg",), ("d/b.jpg",)], "file string"), spark.createDataFrame([("d/a.jpg",)], "path string"), "t")
     assert {tuple(r) for r in plan.collect()} == {("d/a.jpg", "t/d#a.jpg", True), ("d/b.jpg", "t/d#b.jpg", False)}
     assert tuple(sinks.copy_counts(plan).first()) == (1, 1)
-    results = spark.createDataFrame([("m", "a.jpg", 4.0)], "model string, image_filename string, score double")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.jpg").write_bytes(b"abc")
+    plan = plan.withColumn("target", F.concat(F.lit(f"{tmp_path}/"), "target"))
+    done = sinks.copy_files(plan, f"{tmp_path}/")
+    assert {(r.source, r.copied) for r in done.collect()} == {("d/a.jpg", True), ("d/b.jpg", False)}
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["d#a.jpg"] and (tmp_path / "t/d#a.jpg").read_bytes() == b"abc"
+    assert sinks.copy_files(plan.withColumn("exists", F.lit(True)), f"{tmp_path}/").where("copied").count() == 1
+    results = spark.createDataFrame([("m", "a.jpg", 4.0, True)], "model string, image_filename string, score double, success boolean")
     sinks.write_labels(results, str(tmp_path / "labels"))
     sinks.append_checkpoint(results, str(tmp_path / "check"))
     sinks.append_checkpoint(results, str(tmp_path / "check"))
-    assert spark.read.parquet(str(tmp_path / "labels")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "labels/results")).count() == 1
+    assert tuple(spark.read.parquet(str(tmp_path / "labels/labeling_info")).first())[:5] == ("m", 1, 1, 0, 100.0)
     assert spark.read.parquet(str(tmp_path / "check")).count() == 2
 
 
@@ -120,7 +142,9 @@ def test_streaming_labels_each_image_once(spark, tmp_path):
     got = {(r.image_filename, r.success, r.score) for r in spark.read.parquet(str(results)).collect()}
     assert got == {("a.jpg", True, 6.0), ("bad.jpg", False, None), ("b.jpg", True, 6.0)}
     assert spark.read.parquet(str(results)).count() == 3
-    stream = spark.readStream.schema(spark.read.parquet(str(results)).schema).parquet(str(results))
-    query = stream_label_stats(stream).writeStream.format("memory").queryName("stats").outputMode("complete").trigger(availableNow=True).start()
+    query = stream_label_stats(spark, str(results), spark.read.parquet(str(results)).schema).writeStream.format("memory").queryName("stats").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert tuple(spark.table("stats").first()[:4]) == ("m", 3, 2, 1)
+    existing = spark.createDataFrame([("b.jpg",)], "image_filename string")
+    stream_label(spark, str(source), str(tmp_path / "o2"), str(tmp_path / "c2"), clients(), "m", existing=existing).awaitTermination()
+    assert {r.image_filename for r in spark.read.parquet(str(tmp_path / "o2")).collect()} == {"a.jpg", "bad.jpg"}
