@@ -7,7 +7,6 @@ the number of rows that Spark puts into a batch.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,18 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: Bytes of text that one vectorised step takes at a time.
 SLICE_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is set (tests), a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at is None:
-        at = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+    """The shared folder that the cluster names in spark.checkpoint.dir."""
+    return shared_dir(spark)
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -110,25 +106,23 @@ LOWER = lower_table()
 #: An odd multiplier; its inverse modulo 2**64 lets every word's hash be read off one running sum.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: A slice and its separators.
-KEPT_POWERS = SLICE_BYTES * 5 // 4
-_powers: dict[str, np.ndarray] = {}
+#: Powers are made of two small tables: of the last POWER_BITS bits of an exponent, and of the bits above.
+POWER_BITS = 12
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse; kept in the worker up to KEPT_POWERS."""
-    if len(_powers.get("up", ())) >= n:
-        return _powers["up"][:n], _powers["down"][:n]
-    size = max(n, KEPT_POWERS)
-    with np.errstate(over="ignore"):
+def power_tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of base below 2^POWER_BITS, and those of its 2^POWER_BITS-th power that exponents below n need."""
+    many = (n >> POWER_BITS) + 1
+    if int(base) not in _powers or len(_powers[int(base)][1]) < many:
         made = []
-        for base in (BASE, INVERSE):
-            run = np.full(size, base, dtype=np.uint64)
-            run[0] = 1
-            made.append(np.cumprod(run, dtype=np.uint64))
-    if size <= KEPT_POWERS:
-        _powers["up"], _powers["down"] = made
-    return made[0][:n], made[1][:n]
+        with np.errstate(over="ignore"):
+            for step, size in ((base, 1 << POWER_BITS), (np.uint64(pow(int(base), 1 << POWER_BITS, 1 << 64)), max(many, 512))):
+                run = np.full(size, step, dtype=np.uint64)
+                run[0] = 1
+                made.append(np.cumprod(run, dtype=np.uint64))
+        _powers[int(base)] = made[0], made[1]
+    return _powers[int(base)]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -141,16 +135,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def running(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums of the values, one longer than data."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    n = len(data)
+    out = np.zeros(n + 1, dtype=np.uint64)
+    low, high = power_tables(BASE, n)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+        up = (high[: (n >> POWER_BITS) + 1, None] * low[None, :]).reshape(-1)[:n]
+        up *= data.astype(np.uint64) + np.uint64(1)
+        np.cumsum(up, out=out[1:])
     return out
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span; equal spans have equal hashes wherever they stand."""
+    low, high = power_tables(INVERSE, len(sums))
     with np.errstate(over="ignore"):
-        return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        down = low.take(starts & ((1 << POWER_BITS) - 1)) * high.take(starts >> POWER_BITS)
+        return mix((sums[ends] - sums[starts]) * down + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,10 +17,11 @@ corpus. A passage of c occurrences has the probability (c - 1) / N + V / N * (pr
 all passages and V distinct ones: absolute discounting by one, so that what occurs once teaches nothing by itself.
 A text's score is the sum of the log10 probabilities of its passages.
 
-All of it is learned from all training texts, on the executors: symbol counts give the prefix code, one pass counts
-bits (tables of fixed size for each task, summed by block), tokens and passages (summed by hash), `ROUNDS` passes add
-up gradients and curvatures by gate, and a last one the hits of the map. What reaches the driver of a pass is a table
-of fixed size. A learned bit is taken out of the counts that predict it.
+All of it is learned from all training texts, on the executors. One pass over the texts counts tokens and passages
+(summed by hash) and writes, for each run of slices, its distinct units and pairs and how often each occurred. The
+other passes read these: symbol counts give the prefix code, bits are counted (tables of fixed size for each task,
+summed by block), `ROUNDS` passes add up gradients and curvatures by gate, and a last one the hits of the map. What
+reaches the driver of a pass is a table of fixed size. A learned bit is taken out of the counts that predict it.
 
 The base score is exact: tokens are counted by a 64-bit hash over all training texts. The tokens with at least
 N / `FREQUENT` occurrences - there cannot be more than `FREQUENT` of them - are broadcast; the counts of all
@@ -38,13 +39,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import BLOCK, LOWER, NOT_SPACE, bound_batches, keep, mix, narrow, pieces, placed_blocks, ragged, running, span_hashes, table_blocks, utf8, widen
+from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, discard, gather_table, keep, mix, narrow, pieces, ragged, running, span_hashes, table_blocks, utf8, widen
 
 END, PAD = 256, 257
 #: Slots of each context's table: bytes of two, bytes of four, word.
@@ -531,55 +531,68 @@ def added(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def symbol_counts(texts: DataFrame) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(END + 1, dtype=np.int64)
-        for batch in batches:
-            for part in pieces(batch, "text", SLICE):
-                n[:END] += np.bincount(LOWER[utf8(part.column("text"))[0]], minlength=END)
-                n[END] += part.num_rows
-        yield from sum_rows(n)
+KINDS = "symbols binary, lengths binary, times binary, pairs binary, pair_times binary"
 
-    return added(texts.mapInArrow(count, SUMS), END + 1)
 
+def kinds_row(kinds: Kinds) -> tuple[Units, np.ndarray, pa.RecordBatch]:
+    """The merged units, how often each occurred, and a row that holds them with their pairs."""
+    u, kind, times = kinds.merged()
+    keys, n = kinds.pairs(u, kind)
+    cells = (u.stream.astype(np.uint16), (u.ends - u.starts).astype(np.int32), times, keys, n)
+    return u, times, pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], names=["symbols", "lengths", "times", "pairs", "pair_times"])
 
-def learned(texts: DataFrame, shape: tuple[int, ...], add, step: int) -> np.ndarray:
-    """What `add`(sums, symbols, times) adds up over all symbols of all texts; each distinct unit of a task is looked at once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, kinds = np.zeros(shape), Kinds()
+def kinds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Units, np.ndarray, np.ndarray, np.ndarray]]:
+    """Units, their times, pair_keys and their times of each row that kinds_row made."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            symbols, lengths, times, keys, n = (np.frombuffer(batch.column(name)[row].as_buffer(), t) for name, t in (("symbols", np.uint16), ("lengths", np.int32), ("times", np.int64), ("pairs", np.int64), ("pair_times", np.int64)))
+            ends = np.cumsum(lengths.astype(np.int64))
+            stream = symbols.astype(np.int64)
+            yield Units(stream, running(stream), ends - lengths, ends, ends, ends), times, keys, n
 
-        def add_kinds() -> None:
-            u, kind, times = kinds.merged()
-            for chosen in some_kinds(u):
-                inner, sizes = inner_symbols(u, chosen)
-                add(sums, inner, np.repeat(times[chosen], sizes))
-            keys, n = kinds.pairs(u, kind)
-            for part, firsts in some_pairs(u, keys):
-                add(sums, firsts, n[part])
 
-        for batch in batches:
-            for part in pieces(batch, "text", SLICE):
-                data, offsets = utf8(part.column("text"))
-                kinds.add(units_of(LOWER[data], offsets))
-                if kinds.full:
-                    add_kinds()
-                    kinds = Kinds()
-        add_kinds()
+def symbols_of(batches: Iterator[pa.RecordBatch], size: int = 1 << 14) -> Iterator[tuple[Symbols, np.ndarray]]:
+    """All distinct symbols in their contexts, in runs, and how often each occurred."""
+    for u, times, keys, n in kinds_of(batches):
+        for chosen in some_kinds(u, size):
+            inner, sizes = inner_symbols(u, chosen)
+            yield inner, np.repeat(times[chosen], sizes)
+        for part, firsts in some_pairs(u, keys):
+            yield firsts, n[part]
+
+
+def symbol_counts(kinds: DataFrame) -> np.ndarray:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(END + 1, dtype=np.int64)
+        for u, times, _, _ in kinds_of(batches):
+            total += np.bincount(u.stream, weights=np.repeat(times, u.ends - u.starts), minlength=END + 1).astype(np.int64)
+        yield from sum_rows(total)
+
+    return added(kinds.mapInArrow(count, SUMS), END + 1)
+
+
+def learned(kinds: DataFrame, shape: tuple[int, ...], add, step: int) -> np.ndarray:
+    """What `add`(sums, symbols, times) adds up over all symbols of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(shape)
+        for symbols, times in symbols_of(batches):
+            add(sums, symbols, times)
         yield from sum_rows(sums, step)
 
-    return added(texts.mapInArrow(run, SUMS), int(np.prod(shape))).reshape(shape) / step
+    return added(kinds.mapInArrow(run, SUMS), int(np.prod(shape))).reshape(shape) / step
 
 
-def fit_mixer(texts: DataFrame, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fit_mixer(kinds: DataFrame, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cost table, learned over all texts; each bit is taken out of the counts that predict it."""
-    context = texts.sparkSession.sparkContext
+    context = kinds.sparkSession.sparkContext
     fixed = context.broadcast((code, stretch_without(counts)))
     weights = np.full((CONTEXTS, GATES), START_WEIGHT, dtype=np.float32)
     for _ in range(ROUNDS):
-        sums = learned(texts, (CONTEXTS + len(PAIRS), GATES), lambda *a, w=weights: Learner(*fixed.value, w).add_slopes(*a), SUM_STEP)
+        sums = learned(kinds, (CONTEXTS + len(PAIRS), GATES), lambda *a, w=weights: Learner(*fixed.value, w).add_slopes(*a), SUM_STEP)
         weights = Learner(code, np.zeros(0, np.int8), weights).stepped(sums)
-    hits = learned(texts, (CLASSES * CELLS * 2,), lambda *a: Learner(*fixed.value, weights).add_hits(*a), 1)
+    hits = learned(kinds, (CLASSES * CELLS * 2,), lambda *a: Learner(*fixed.value, weights).add_hits(*a), 1)
     fixed.unpersist()
     return weights, map_costs(hits)
 
@@ -587,24 +600,23 @@ def fit_mixer(texts: DataFrame, code: Code, counts: np.ndarray) -> tuple[np.ndar
 def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
     """The model; and the counts of all tokens that are not frequent and of all passages that occur again: hash, n, passage."""
     texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    code = Code.of(symbol_counts(texts))
-    size = 2 * sum(TABLES)
+    names = ["block", "slots", "counts", "symbols", "lengths", "times", "pairs", "pair_times"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kinds, n_texts, held = np.zeros(size, dtype=np.int32), Kinds(), 0, []
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of token and passage counts, and rows of kinds."""
+        kinds, n_texts, held = Kinds(), 0, []
+
+        def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in rows:
+                yield pa.RecordBatch.from_arrays([*r.columns, *(pa.nulls(r.num_rows, pa.binary()) for _ in range(5))], names=names)
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            u, kind, times = kinds.merged()
-            for chosen in some_kinds(u, 1 << 15):
-                inner, sizes = inner_symbols(u, chosen)
-                count_bits(table, inner, code, np.repeat(times[chosen], sizes))
-            keys, n = kinds.pairs(u, kind)
-            for part, firsts in some_pairs(u, keys):
-                count_bits(table, firsts, code, n[part])
+            u, times, row = kinds_row(kinds)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *row.columns], names=names)
             hashes, n = add_up(unit_words(u), times)
-            yield from token_blocks(hashes[hashes > 0], n[hashes > 0])
+            yield from counted(token_blocks(hashes[hashes > 0], n[hashes > 0]))
             hashes, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            yield from token_blocks(hashes, n, PASSAGES)
+            yield from counted(token_blocks(hashes, n, PASSAGES))
 
         for batch in batches:
             for part in pieces(batch, "text", SLICE):
@@ -617,33 +629,26 @@ def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
                     yield from hand_on()
                     kinds = Kinds()
                     held.clear()
-        yield from hand_on()
+        if kinds.units:
+            yield from hand_on()
         if n_texts:
-            yield from token_blocks(np.array([END_HASH], dtype=np.uint64), np.array([n_texts]))
+            yield from counted(token_blocks(np.array([END_HASH], dtype=np.uint64), np.array([n_texts])))
+
+    gathered = keep(texts.mapInArrow(gather, f"{COUNTS}, {KINDS}"))
+    kinds = gathered.where("block is null").select("symbols", "lengths", "times", "pairs", "pair_times")
+    code = Code.of(symbol_counts(kinds))
+    size = 2 * sum(TABLES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, dtype=np.int32)
+        for symbols, times in symbols_of(batches, 1 << 15):
+            count_bits(table, symbols, code, times)
         yield from table_blocks(table)
 
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of the table's blocks as rows of one block, of the tokens as rows of one hash."""
-        totals: dict[int, np.ndarray] = {}
-
-        def tokens_only() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                is_token = pc.less(batch.column("block"), 0)
-                for block, slots, counts in zip(*(c.to_pylist() for c in batch.filter(pc.invert(is_token)).columns)):
-                    at = np.frombuffer(slots, np.uint16)
-                    totals.setdefault(block, np.zeros(BLOCK, dtype=np.int64))[at] += widen(counts, len(at))
-                yield batch.filter(is_token)
-
-        names = ["hash", "n", "passage", "distinct", "block", "total"]
-        for found in sum_tokens(tokens_only()):
-            k = found.num_rows
-            yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
-        for block, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.array([block], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=names)
-
-    summed = keep(texts.mapInArrow(count, COUNTS).repartition("block").mapInArrow(both, "hash long, n long, passage boolean, distinct long, block long, total binary"))
-    bits = placed_blocks(summed.where("block is not null").select("block", "total"), size).reshape(-1, 2)
-    weights, cost = fit_mixer(texts, code, bits)
+    bits = gather_table(kinds.mapInArrow(count, BLOCK_SCHEMA), size).reshape(-1, 2)
+    weights, cost = fit_mixer(kinds, code, bits)
+    summed = keep(gathered.where("block is not null").select("block", "slots", "counts").repartition("block").mapInArrow(sum_tokens, "hash long, n long, passage boolean, distinct long"))
+    discard(gathered)
     known = summed.where("hash is not null and not passage").select("hash", "n")
     seen = summed.where("distinct is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     again = summed.where("hash is not null and passage").select("hash", "n", F.lit(True).alias("passage"))
