@@ -343,6 +343,48 @@ WHERE k = 1 ORDER BY position LIMIT {TOTAL}""", METHODS),
         "limit_images": sql("SELECT file AS path FROM fx_images ORDER BY file LIMIT 1000"),
         "write_candidates": sql("SELECT file AS original_path, replace(file, '/', '#') AS flattened_filename, category, quality_score, seq_id, frame_num, seq_num_frames, round(max_size, 8) AS max_size, max_confidence, num_animals, num_species FROM sel", *SEQ_SELECTED),
     }
+    supplier = "SELECT s_suppkey, s_name, 'n' || s_nationkey || '/sup' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '.png' ELSE '.txt' END AS path FROM supplier"
+    fields = "image_path, image_filename, score AS aesthetic_score, reasoning, success, failure_kind AS error"
+    labelled = f"""
+SELECT 'm1' AS model, file AS path, split_part(file, '/', 2) AS image_filename, CASE WHEN image_ord % 9 <> 0 AND image_ord % 10 <> 0 THEN CAST(image_ord % 11 AS DOUBLE) END AS score,
+  image_ord % 9 <> 0 AND image_ord % 10 <> 0 AS success, CASE WHEN image_ord % 9 = 0 THEN 'OSError: unreadable' WHEN image_ord % 10 = 0 THEN 'bad_json' END AS error FROM fx_images"""
+    scored = sql(f"SELECT path, image_filename, score, success, error FROM ({labelled})")
+    chunked = f"chunked AS (SELECT *, 'x_labels_' || model || '_' || (image_ord // 1000) || '.json' AS file_name, row_number() OVER (PARTITION BY model, image_ord // 1000 ORDER BY image_ord) - 1 AS pos FROM parsed)"
+    out |= {
+        "read_detections": sql("""
+SELECT i.place AS image_ord, i.file, CAST(d.det_ord AS BIGINT) AS nth, d.category, d.conf, round(d.w * d.h, 8) AS size, CASE WHEN d.image_ord IS NOT NULL THEN concat_ws(',', d.sp1, d.sp2) END AS species, CASE WHEN sp1 IS NOT NULL THEN c1 WHEN sp2 IS NOT NULL THEN c2 END AS first_conf
+FROM (SELECT *, row_number() OVER (ORDER BY image_ord) - 1 AS place FROM fx_images) i LEFT JOIN fx_detections d USING (image_ord)"""),
+        "list_images": f"SELECT path, CAST(strlen(s_name) AS BIGINT) AS length FROM ({supplier}) WHERE s_suppkey % 4 < 3",
+        "copy_images": f"""
+WITH i AS (SELECT path, strlen(s_name) AS length FROM ({supplier}) WHERE s_suppkey % 4 < 3)
+SELECT path AS source, TRUE AS copied, replace(path, '/', '#') AS target, length FROM i UNION ALL SELECT path || '.gone', FALSE, NULL, NULL FROM i""",
+        "list_from_text": sql("SELECT file AS path FROM fx_images WHERE image_ord % 7 <> 0 AND image_ord % 11 <> 0"),
+        "list_from_json": sql("SELECT file AS path FROM fx_images WHERE image_ord % 7 <> 0 AND image_ord % 11 <> 0"),
+        "read_label_files": sql("SELECT file_name, model AS model_used, COUNT(*) AS total_images, COUNT(*) AS results FROM chunked GROUP BY 1, 2", parsed("local"), chunked),
+        "label_results": sql(f"SELECT file_name, pos, {fields} FROM chunked", parsed("local"), chunked),
+        "read_batch_manifest": sql("SELECT 'job' || (image_ord // 1000) AS job_name, row_number() OVER (PARTITION BY image_ord // 1000 ORDER BY image_ord) - 1 AS pos, image_ord AS index, file AS path, replace(file, '/', '#') AS filename FROM fx_images"),
+        "build_requests_batch": sql("""
+SELECT image_ord, fn AS image_filename, '{"contents":[{"parts":[{"text":"Rate the image.\\n\\nImage filename: ' || fn || '"},{"inline_data":{"mime_type":"image/jpeg","data":"' || base64(encode(file)) || '"}}]}],"generation_config":{"temperature":0.1,"max_output_tokens":300}}' AS request
+FROM (SELECT *, replace(file, '/', '#') AS fn FROM fx_images)"""),
+        "build_requests_chat": sql("""
+SELECT image_ord, fn AS image_filename, '{"model":"m1","temperature":0.1,"max_tokens":300,"messages":[{"role":"user","content":[{"type":"text","text":"Rate the image.\\n\\nImage filename: ' || fn || '"},{"type":"image_url","image_url":{"url":"data:image/jpeg;base64,' || base64(encode(file)) || '"}}]}]}' AS request
+FROM (SELECT *, replace(file, '/', '#') AS fn FROM fx_images)"""),
+        "select_by_name": sql(f"""
+SELECT file, source_selector FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY position) AS k FROM (
+    SELECT file, 'LargestAnimals' AS source_selector, r AS position FROM top_l WHERE r <= {TOTAL // 2}
+    UNION ALL SELECT file, 'RandomSelector', {TOTAL + 1} + r FROM top_r WHERE r <= {TOTAL // 2}))
+WHERE k = 1 ORDER BY position LIMIT {TOTAL}""", METHODS, "top_l AS (SELECT *, row_number() OVER (ORDER BY round(max_size, 8) DESC, image_ord) AS r FROM feat)"),
+        "write_candidate_summaries": sql("""
+SELECT category, COUNT(*) AS n, round(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM sel), 6) AS percent, (SELECT COUNT(*) FROM sel) AS total_candidates, (SELECT COUNT(DISTINCT seq_id) FROM sel) AS unique_sequences
+FROM sel GROUP BY category""", *SEQ_SELECTED),
+        "write_labels": sql("SELECT model, image_ord, image_filename, score, success FROM parsed", parsed("sync")),
+        "write_label_info": sql(STATS, parsed("sync")),
+        "append_checkpoint": sql("SELECT model, image_ord AS pos, score, success FROM parsed", parsed("local")),
+        "score_images": scored,
+        "stream_label": scored,
+        "stream_label_stats": sql(STATS, f"parsed AS ({labelled})"),
+    }
     for name in ("v1", "improved", "training"):
         out[f"assign_categories_{name}"] = sql("SELECT image_ord, category FROM cand", candidates(name, False))
         out[f"quality_score_{name}"] = sql("SELECT image_ord, category, quality_score FROM cand", candidates(name, False))

@@ -14,7 +14,10 @@ from .functions.strata import preset
 from .operators import comparison, labelling, profile, rarity, selection
 from .plans import selectors
 from .sources import detections as sources
-from .sources import sinks
+from .sources import images as image_sources
+from .sources import labels, sinks
+from .storage import keep, scratch
+from .streaming import labelling as streaming
 
 TOTAL = 500
 SAMPLE = 200
@@ -32,7 +35,110 @@ def rounded(df: DataFrame, *columns: str, scale: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(c, scale) for c in columns})
 
 
-# -- sources and features ------------------------------------------------------------------------------------
+# -- sources: the views are written as files to the shared folder and read back -------------------------------
+
+
+def _documents(rows, path, head, tail):
+    """rows: image_ord, value. A document a partition, in order."""
+    sinks.write_documents(rows.repartitionByRange("image_ord").sortWithinPartitions("image_ord").select("value"), path, head, tail)
+
+
+@query
+def read_detections(spark, sf_dir):
+    at = scratch(spark, "detections")
+    pairs = F.transform("detections", lambda d: F.struct(d.category.alias("category"), d.conf.alias("conf"), d.bbox.alias("bbox"), F.transform(d.classifications, lambda c: F.array(c.species_id, c.conf.cast("string"))).alias("classifications")))
+    element = F.to_json(F.struct("file", pairs.alias("detections")))
+    _documents(fx.images(spark, sf_dir).select("image_ord", element.alias("value")), at, '{"info": {"version": "1"}, "images": [', '], "detection_categories": {"1": "animal"}}')
+    read = sources.read_detections(spark, at).select("image_ord", "file", F.posexplode_outer("detections").alias("nth", "d"))
+    named = F.array_join(F.transform("d.classifications", lambda c: c.species_id), ",")
+    return rounded(read.select("image_ord", "file", "nth", "d.category", "d.conf", ft.size_of(F.col("d")).alias("size"), named.alias("species"), F.get("d.classifications", F.lit(0)).conf.alias("first_conf")), "size")
+
+
+def _image_files(spark, sf_dir, at):
+    """A file for each supplier, some of them images, in folders by nation."""
+    ends = F.array(*(F.lit(e) for e in (".jpg", ".JPEG", ".png", ".txt")))
+    name = F.concat(F.lit("sup"), F.col("s_suppkey").cast("string"), F.element_at(ends, (F.col("s_suppkey") % 4 + 1).cast("int")))
+    rows = fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit(f"{at}/n"), F.col("s_nationkey").cast("string"), F.lit("/"), name).alias("path"), F.col("s_name").alias("content"))
+    sinks.write_files(rows).agg(F.sum("bytes")).collect()
+
+
+def _below(path, at):
+    return F.substring_index(path, f"{at.rsplit('/', 1)[1]}/", -1)
+
+
+@query
+def list_images(spark, sf_dir):
+    at = scratch(spark, "images")
+    _image_files(spark, sf_dir, at)
+    return image_sources.list_images(spark, at, recursive=True).select(_below(F.col("path"), at).alias("path"), "length")
+
+
+@query
+def copy_images(spark, sf_dir):
+    at, to = scratch(spark, "images"), scratch(spark, "copies")
+    _image_files(spark, sf_dir, at)
+    listing = image_sources.list_images(spark, at, recursive=True).select(_below(F.col("path"), at).alias("path"))
+    wanted = listing.unionByName(listing.select(F.concat(F.col("path"), F.lit(".gone")).alias("path"))).withColumnRenamed("path", "file")
+    done = keep(sinks.copy_files(sinks.copy_plan(wanted, listing, to), f"{at}/"))
+    there = image_sources.list_images(spark, to).select(_below(F.col("path"), to).alias("target"), "length")
+    return done.select("source", "copied", _below(F.col("target"), to).alias("target")).join(there, "target", "left").select("source", "copied", F.when(F.col("copied"), F.col("target")).alias("target"), "length")
+
+
+@query
+def list_from_text(spark, sf_dir):
+    at = scratch(spark, "paths")
+    line = F.when(F.col("image_ord") % 7 == 0, F.concat(F.lit("# "), F.col("file"))).when(F.col("image_ord") % 11 == 0, F.lit(" \t")).otherwise(F.concat(F.lit("  "), F.col("file"), F.lit(" ")))
+    fx.image_list(spark, sf_dir).select(line.alias("value")).write.text(at)
+    return image_sources.list_from_text(spark, at)
+
+
+@query
+def list_from_json(spark, sf_dir):
+    at = scratch(spark, "paths")
+    element = F.when(F.col("image_ord") % 7 == 0, F.col("image_ord").cast("string")).when(F.col("image_ord") % 11 == 0, F.lit('{"a": "b"}')).otherwise(F.concat(F.lit('"'), F.col("file"), F.lit('"')))
+    _documents(fx.image_list(spark, sf_dir).select("image_ord", element.alias("value")), at, "[", "]")
+    return image_sources.list_from_json(spark, at).select("path")
+
+
+CHUNK = 1000
+
+
+def _label_files(spark, sf_dir, at):
+    """A label file for each model and CHUNK images; in every third one the totals stand in `checkpoint_info`."""
+    r = _results(spark, sf_dir).withColumn("chunk", F.floor(F.col("pos") / CHUNK))
+    info = F.struct(F.col("model").alias("model_used"), F.size("results").alias("total_images"))
+    files = sinks.label_document(r, info, ["model", "chunk"])
+    content = F.when(F.col("chunk") % 3 == 2, F.replace(F.col("content"), F.lit('"labeling_info"'), F.lit('"checkpoint_info"'))).otherwise(F.col("content"))
+    name = F.concat(F.lit("x_labels_"), F.col("model"), F.lit("_"), F.col("chunk").cast("string"), F.lit(".json"))
+    sinks.write_files(files.select(F.concat(F.lit(f"{at}/"), name).alias("path"), content.alias("content"))).agg(F.sum("bytes")).collect()
+
+
+@query
+def read_label_files(spark, sf_dir):
+    at = scratch(spark, "labels")
+    _label_files(spark, sf_dir, at)
+    return labels.read_label_files(spark, at).select("file_name", "info.model_used", F.col("info.total_images").cast("long").alias("total_images"), F.size("results").cast("long").alias("results"))
+
+
+@query
+def label_results(spark, sf_dir):
+    at = scratch(spark, "labels")
+    _label_files(spark, sf_dir, at)
+    return labels.label_results(labels.read_label_files(spark, at)).select("file_name", F.col("pos").cast("long").alias("pos"), "image_path", "image_filename", "aesthetic_score", "reasoning", "success", "error")
+
+
+@query
+def read_batch_manifest(spark, sf_dir):
+    at = scratch(spark, "manifests")
+    rows = fx.image_list(spark, sf_dir).withColumn("chunk", F.floor(F.col("image_ord") / CHUNK))
+    one = F.struct(F.col("image_ord").cast("int").alias("index"), F.col("file").alias("path"), names.flattened_name(F.col("file")).alias("filename"))
+    job = F.struct(F.concat(F.lit("job"), F.col("chunk").cast("string")).alias("job_name"))
+    files = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(one)).alias("image_list"))  # CHUNK images at most
+    sinks.write_files(files.select(F.concat(F.lit(f"{at}/"), F.col("chunk").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct(job.alias("batch_info"), "image_list")).alias("content"))).agg(F.sum("bytes")).collect()
+    return labels.read_batch_manifest(spark, at).select("job_name", F.col("pos").cast("long").alias("pos"), F.col("index").cast("long").alias("index"), "path", "filename")
+
+
+# -- features ------------------------------------------------------------------------------------------------
 
 
 @query
@@ -183,10 +289,18 @@ for _mode in replies.MODES:
     _parsed(_mode)
 
 
-@query
-def build_requests(spark, sf_dir):
-    images = fx.image_list(spark, sf_dir).select("image_ord", names.flattened_name(F.col("file")).alias("image_filename"), F.col("file").cast("binary").alias("content"))
-    return replies.build_requests(images, "Rate the image.", "generate", "m1").select("image_ord", "image_filename", "request")
+def _requests(kind, name):
+    def run(spark, sf_dir):
+        images = fx.image_list(spark, sf_dir).select("image_ord", names.flattened_name(F.col("file")).alias("image_filename"), F.col("file").cast("binary").alias("content"))
+        return replies.build_requests(images, "Rate the image.", kind, "m1").select("image_ord", "image_filename", "request")
+
+    run.__name__ = name
+    return query(run)
+
+
+_requests("generate", "build_requests")
+_requests("batch", "build_requests_batch")
+_requests("chat", "build_requests_chat")
 
 
 # -- joins ---------------------------------------------------------------------------------------------------
@@ -496,9 +610,97 @@ def limit_images(spark, sf_dir):
     return first(fx.image_list(spark, sf_dir).select(F.col("file").alias("path")), 1000)
 
 
+@query
+def select_by_name(spark, sf_dir):
+    """A selector of the caller's beside the known ones: the largest animals."""
+    selectors.register_selector("LargestAnimals", largest_animals)
+    return selectors.select_hybrid({"LargestAnimals": 0.5, "RandomSelector": 0.5}, fx.images(spark, sf_dir), TOTAL).select("file", "source_selector")
+
+
+def largest_animals(images, n):
+    top = rounded(ft.image_features(images), "max_size").orderBy(F.desc("max_size"), "image_ord").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("max_size"), "image_ord")))  # n rows
+
+
+# -- sinks and streams ---------------------------------------------------------------------------------------
+
+
 @query
 def write_candidates(spark, sf_dir):
-    return rounded(sinks.candidate_rows(_selected(spark, sf_dir)), "max_size")
+    at = scratch(spark, "candidates")
+    sinks.write_candidates(_selected(spark, sf_dir), at)
+    return rounded(spark.read.parquet(f"{at}/candidates"), "max_size")
+
+
+@query
+def write_candidate_summaries(spark, sf_dir):
+    at = scratch(spark, "candidates")
+    sinks.write_candidates(_selected(spark, sf_dir), at)
+    return spark.read.parquet(f"{at}/categories").crossJoin(F.broadcast(spark.read.parquet(f"{at}/summary").select("total_candidates", "unique_sequences")))
+
+
+@query
+def write_labels(spark, sf_dir):
+    at = scratch(spark, "labels")
+    sinks.write_labels(_results(spark, sf_dir, "sync"), at)
+    return spark.read.parquet(f"{at}/results").select("model", F.col("pos").alias("image_ord"), "image_filename", "score", "success")
+
+
+@query
+def write_label_info(spark, sf_dir):
+    at = scratch(spark, "labels")
+    sinks.write_labels(_results(spark, sf_dir, "sync"), at)
+    return spark.read.parquet(f"{at}/labeling_info")
+
+
+@query
+def append_checkpoint(spark, sf_dir):
+    at, rows = scratch(spark, "checkpoint"), _results(spark, sf_dir).select("model", "pos", "score", "success")
+    for part in (0, 1, 2):
+        sinks.append_checkpoint(rows.where(F.col("pos") % 3 == part), at)
+    return spark.read.parquet(at)
+
+
+def make_client():
+    """A scorer for the fixture's paths: the image's number decides; every ninth one cannot be read."""
+
+    def client(path):
+        number = int(path.rsplit("/", 1)[1].split(".")[0])
+        if number % 9 == 0:
+            raise OSError("unreadable")
+        return f'{{"score": {number % 11}, "reasoning": "r"}}' if number % 10 else "no JSON"
+
+    return client
+
+
+@query
+def score_images(spark, sf_dir):
+    scored = streaming.score_images(fx.image_list(spark, sf_dir).select(F.col("file").alias("path")), make_client)
+    return streaming.to_results(scored, "m1").select("path", "image_filename", "score", "success", "error")
+
+
+def _streamed(spark, sf_dir):
+    """Two drops of paths, some of them in both, with a restart between them; the place and schema of the results."""
+    source, results, checkpoint = (scratch(spark, n) for n in ("arriving", "labelled", "progress"))
+    paths = fx.image_list(spark, sf_dir).select("image_ord", F.col("file").alias("value"))
+    for drop in (paths.where("image_ord % 2 = 0"), paths.where("image_ord % 2 = 1 or image_ord % 10 = 0")):
+        drop.select("value").write.mode("append").text(source)
+        streaming.stream_label(spark, source, results, checkpoint, make_client, "m1").awaitTermination()
+    return results, spark.read.parquet(results).schema
+
+
+@query
+def stream_label(spark, sf_dir):
+    results, schema = _streamed(spark, sf_dir)
+    return spark.read.schema(schema).parquet(results).select("path", "image_filename", "score", "success", "error")
+
+
+@query
+def stream_label_stats(spark, sf_dir):
+    results, schema = _streamed(spark, sf_dir)
+    name = "stats_" + results.rsplit("-", 1)[1]
+    streaming.stream_label_stats(spark, results, schema).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)  # a row for each model
 
 
 def queries() -> dict[str, Query]:

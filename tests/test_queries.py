@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("orders", "lineitem", "part"):
+    for t in ("orders", "lineitem", "part", "supplier"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return c
 
