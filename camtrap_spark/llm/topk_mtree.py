@@ -3,15 +3,17 @@
 The tree is a table. Routing objects are vectors of a bounded sample; every vector goes to its nearest one, and the
 vectors of one routing object, nearest first, are its pages, each with a covering radius and every vector's
 distance to the routing object (its parent). Pages of neighbouring routing objects are packed into subtrees of at
-most about `SUBTREE_ROWS` vectors, a row each; a routing object with more (copies, hot regions) is dealt over
-several subtrees. Queries, in packed blocks, are joined to the subtrees that can still hold a result: from
-d(q, parent) and the covering radius, q.x <= (|q|^2 + |x|^2 - (d(q, parent) - radius)^2) / 2 and q.x <= q.parent +
-|q| radius. Inside a subtree each query takes its pages best bound first, stops when the best bound is below its
-k-th score, and skips vectors by the same two bounds with their stored parent distances. The first k-th score of a
-query comes from the sample. Bounds are widened by a rounding margin, so the result is exact.
-
-Components are floor(256 * x), within +-2^27. Defined results: vectors that are null, empty, or hold null or
-non-finite components take no part, nor do rows without an id; vectors of another length than the query's are no
+most about `SUBTREE_ROWS` vectors, a row each. A routing object with more is split by distance into rings, a subtree
+each (`BINS` counts of distances for each routing object tell where); only vectors of one distance, such as copies, are
+dealt over several subtrees. Queries, in packed blocks, are joined to the subtrees that can still hold a result: from
+d(q, parent) and the ring, q.x <= (|q|^2 + |x|^2 - d(q, ring)^2) / 2 and q.x <= q.parent + |q| radius. Inside a
+subtree each query takes its pages best bound first, stops when the best bound is below its k-th score, and skips
+vectors by the same two bounds with their stored parent distances. The first k-th score of a query comes from the
+sample. Bounds are widened by more than all rounding, so the result is exact.
+
+Components are floor(256 * x) and scores are exact whole numbers of any size; a score that is in the result and does
+not fit into a long is an error, as for any sum in Spark. Defined results: vectors that are null, empty, or hold null
+or non-finite components take no part, nor do rows without an id; vectors of another length than the query's are no
 candidates of it. Rows with the query's own id are no candidates; other repeated rows are candidates each. Equal
 scores are ranked by smaller id. A query with fewer candidates than k gets them all.
 """
@@ -29,57 +31,66 @@ from pyspark.sql import functions as F
 from .common import keep
 
 SCALE = 256.0
-LARGEST = 1 << 27
 SAMPLE_ROWS = 4096
 MOST_ROUTING = 1024
 ROUTING_ROWS = 512
 PAGE_ROWS = 128
 SUBTREE_ROWS = 4096
 QUERY_BLOCK = 256
+#: Distances to a routing object are counted in this many bins, to cut a large one into rings.
+BINS = 256
+#: How far a bound is widened, as a share of |q|^2 + |x|^2; float64 rounds by less than 1e-15 of it, distances by 1e-8.
+MARGIN = 1e-7
 PACKED = "subtree long, ids binary, vectors binary, norms binary, distances binary, routing binary, sizes binary"
 
 
 def integers(vectors: list) -> np.ndarray:
-    """floor(256 * x) of equally long vectors, as float64 (exact: below 2^53)."""
-    return np.clip(np.floor(SCALE * np.array(vectors, dtype=np.float64)), -LARGEST, LARGEST)
+    """floor(256 * x) of equally long vectors, as float64 (exact whole numbers: a float's product by 256 is exact)."""
+    return np.floor(SCALE * np.array(vectors, dtype=np.float64))
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of all rows of a and b."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
+    """Exact inner products of all rows of a and b: int64, or Python's whole numbers where they may be too large for it."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    if most < 2**53:
         return np.rint(a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = lambda x: np.array([[int(v) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+    return whole(a) @ whole(b).T
 
 
 def distances(a: np.ndarray, a_norms: np.ndarray, b: np.ndarray, b_norms: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(a_norms[:, None] + b_norms[None, :] - 2 * (a @ b.T), 0))
+    squares = a_norms[:, None] + b_norms[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(np.where(np.isnan(squares), np.inf, squares), 0))
 
 
-def upper(q_norm, c_norm, d, product, radius, x_norm):
-    """The most q.x can be for |x|^2 <= x_norm and d(x, c) <= radius; d = d(q, c), product = q.c."""
-    by_distance = (q_norm + x_norm - np.maximum(d - radius, 0) ** 2) / 2
-    by_angle = product + np.sqrt(q_norm) * radius
-    return np.minimum(by_distance, by_angle) * (1 + 1e-9) + 1e-6 * (q_norm + c_norm) ** 0.5 + 1e-3 + np.abs(by_distance) * 1e-9
-
-
-def upper_of(q_norm, d, product, x_distance, x_norm):
-    """The most q.x can be for a vector whose distance to the parent is known: |d(q, c) - d(x, c)| <= d(q, x)."""
-    by_distance = (q_norm + x_norm - (d - x_distance) ** 2) / 2
-    return np.minimum(by_distance + np.abs(by_distance) * 1e-9, product + np.sqrt(q_norm) * x_distance * (1 + 1e-9)) + 1e-3
+def upper(q_norm, d, product, low, high, x_norm):
+    """The most q.x can be for |x|^2 <= x_norm and low <= d(x, c) <= high; d = d(q, c), product = q.c."""
+    apart = np.maximum(np.maximum(d - high, low - d), 0)
+    by_distance = (q_norm + x_norm - apart**2) / 2
+    by_angle = product + np.sqrt(q_norm) * high
+    out = np.minimum(by_distance, by_angle) + MARGIN * (q_norm + x_norm) + 1.0
+    return np.where(np.isnan(out), np.inf, out)  # beyond float64 nothing is known
 
 
 @dataclass(frozen=True)
 class Routing:
-    """What every task knows of the tree's upper levels; of bounded size."""
+    """What every task knows of the tree's upper levels: routing objects and sample of bounded size, and a few numbers for each subtree's rings."""
 
     vectors: np.ndarray
     norms: np.ndarray
     sample: np.ndarray
     sample_ids: np.ndarray
-    first: np.ndarray | None = None  # of each routing object: its first subtree, the number of its subtrees,
+    #: Of each ring: its routing object, its subtree and the number of subtrees that it is dealt over, distances, largest norm.
+    owner: np.ndarray | None = None
+    subtree: np.ndarray | None = None
     shares: np.ndarray | None = None
-    radius: np.ndarray | None = None  # its covering radius, and its vectors' largest norm
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
     most: np.ndarray | None = None
+    #: The ring of each routing object and bin.
+    ring_of: np.ndarray | None = None
 
 
 def vectors_of(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -89,29 +100,47 @@ def vectors_of(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(fine)
 
 
-def plan_subtrees(routing: Routing, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbouring routing objects share a subtree while they fit; large ones get several of their own."""
-    first, shares, subtree, filled = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
-    order, left = [], set(range(len(counts)))
-    near = distances(routing.vectors, routing.norms, routing.vectors, routing.norms) if len(counts) else np.zeros((0, 0))
-    at = 0
-    while left:  # a chain of nearest neighbours
-        left.discard(at)
+def neighbours(routing: Routing) -> list[int]:
+    """The routing objects as a chain of nearest neighbours."""
+    n = len(routing.vectors)
+    near = distances(routing.vectors, routing.norms, routing.vectors, routing.norms)
+    order, at, left = [], 0, np.ones(n, dtype=bool)
+    for _ in range(n):
         order.append(at)
-        if left:
-            rest = np.fromiter(left, dtype=np.int64)
-            at = int(rest[np.argmin(near[at, rest])])
-    for p in order:
-        if counts[p] > SUBTREE_ROWS:
-            shares[p] = -(-counts[p] // SUBTREE_ROWS)
-            subtree += filled > 0
-            first[p], subtree, filled = subtree, subtree + shares[p], 0
-            continue
-        if filled and filled + counts[p] > SUBTREE_ROWS:
-            subtree, filled = subtree + 1, 0
-        first[p] = subtree
-        filled += max(1, counts[p])
-    return first, shares
+        left[at] = False
+        at = int(np.argmin(np.where(left, near[at], np.inf)))
+    return order
+
+
+def plan_rings(routing: Routing, found: list) -> Routing:
+    """Cuts each routing object's bins into rings of SUBTREE_ROWS at most, and packs small ones of neighbours together.
+
+    found: rows of routing, bin, n, low, high, most; as many as routing objects times BINS at most.
+    """
+    bins: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: (r.routing, r.bin)):
+        bins.setdefault(r.routing, []).append(r)
+    rings, ring_of = [], np.full((len(routing.vectors), BINS), -1)
+    subtree, filled = 0, 0
+    for p in neighbours(routing) if len(routing.vectors) else []:
+        groups, size = [], 0
+        for r in bins.get(p, []):
+            if not groups or size + r.n > SUBTREE_ROWS:
+                groups.append([])
+                size = 0
+            groups[-1].append(r)
+            size += r.n
+        for group in groups:
+            n = sum(r.n for r in group)
+            shares = -(-n // SUBTREE_ROWS)  # several only where one bin has too many
+            if filled and filled + n > SUBTREE_ROWS:
+                subtree, filled = subtree + 1, 0
+            for r in group:
+                ring_of[p, r.bin] = len(rings)
+            rings.append((p, subtree, shares, min(r.low for r in group), max(r.high for r in group), max(r.most for r in group)))
+            subtree, filled = (subtree + shares, 0) if shares > 1 else (subtree, filled + n)
+    columns = [np.array([r[j] for r in rings], dtype=t) for j, t in enumerate((np.int64, np.int64, np.int64, float, float, float))]
+    return Routing(routing.vectors, routing.norms, routing.sample, routing.sample_ids, *columns, ring_of)
 
 
 def share_of(ids: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -137,25 +166,36 @@ def build(vectors: DataFrame, n: int) -> tuple[DataFrame, Routing, DataFrame]:
                 x = integers(part.column("v").to_pylist())
                 d = distances(x, (x**2).sum(axis=1), r.vectors, r.norms)
                 p = d.argmin(axis=1)
-                exact = np.sqrt(((x - r.vectors[p]) ** 2).sum(axis=1))
+                exact = np.minimum(np.sqrt(((x - r.vectors[p]) ** 2).sum(axis=1)), np.finfo(float).max)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(p), pa.array(exact), pa.array((x**2).sum(axis=1)), pa.array([row.tobytes() for row in x.astype(np.int32)], pa.binary())],
+                    [part.column("key"), pa.array(p), pa.array(exact), pa.array((x**2).sum(axis=1)), pa.array([row.tobytes() for row in x], pa.binary())],
                     names=["key", "routing", "distance", "norm", "vector"],
                 )
 
     assigned = keep(vectors.mapInArrow(assign, "key long, routing long, distance double, norm double, vector binary"))
-    known = {r.routing: r for r in assigned.groupBy("routing").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("most")).collect()}
-    every = range(len(chosen))
-    counts = np.array([known[p].n if p in known else 0 for p in every])
-    first, shares = plan_subtrees(routing, counts)
-    routing = Routing(routing.vectors, routing.norms, routing.sample, routing.sample_ids, first, shares, np.array([known[p].radius if p in known else -1.0 for p in every]), np.array([known[p].most if p in known else 0.0 for p in every]))
-    plan = spark.sparkContext.broadcast((first, shares))
+    radii = {r.routing: r.radius for r in assigned.groupBy("routing").agg(F.max("distance").alias("radius")).collect()}  # routing objects at most
+    width = np.array([max(radii.get(p, 0.0), 1e-300) / BINS for p in range(len(chosen))])
+    widths = spark.sparkContext.broadcast(width)
+
+    def bins_of(p: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        return np.minimum(distance / widths.value[p], BINS - 1).astype(np.int64)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, distance = batch.column("routing").to_numpy(), batch.column("distance").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("routing"), pa.array(bins_of(p, distance)), batch.column("distance"), batch.column("norm")], names=["routing", "bin", "distance", "norm"])
+
+    measured = assigned.mapInArrow(measure, "routing long, bin long, distance double, norm double")
+    found = measured.groupBy("routing", "bin").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"), F.max("norm").alias("most")).collect()  # routing objects times BINS at most
+    routing = plan_rings(routing, found)
+    plan = spark.sparkContext.broadcast((routing.ring_of, routing.subtree, routing.shares))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, shares = plan.value
+        ring_of, first, shares = plan.value
         for batch in batches:
             p = batch.column("routing").to_numpy()
-            subtree = first[p] + share_of(batch.column("key").to_numpy(), shares[p])
+            ring = ring_of[p, bins_of(p, batch.column("distance").to_numpy())]
+            subtree = first[ring] + share_of(batch.column("key").to_numpy(), shares[ring])
             yield pa.RecordBatch.from_arrays([pa.array(subtree), *batch.columns], names=["subtree", *batch.schema.names])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +234,8 @@ def build(vectors: DataFrame, n: int) -> tuple[DataFrame, Routing, DataFrame]:
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best: higher score, then smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
     if len(scores) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         some = np.flatnonzero(scores >= least)
@@ -204,7 +246,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search(subtree: dict, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, routing: Routing, k: int) -> list[tuple[int, int, int]]:
     """Best-first search of one subtree for a block of queries: (query, id, score), at most k for each."""
     ids, norms, away = (np.frombuffer(subtree[n], t) for n, t in (("ids", np.int64), ("norms", np.float64), ("distances", np.float64)))
-    vectors = np.frombuffer(subtree["vectors"], np.int32).reshape(len(ids), -1).astype(np.float64)
+    vectors = np.frombuffer(subtree["vectors"], np.float64).reshape(len(ids), -1)
     owner, sizes = (np.frombuffer(subtree[n], np.int64) for n in ("routing", "sizes"))
     pages = []  # first, last, routing object; pages of one routing object lie in rings around it
     at = 0
@@ -218,9 +260,7 @@ def search(subtree: dict, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r
     radius = np.array([away[b - 1] for _, b, _ in pages])
     least = np.array([away[a] for a, _, _ in pages])
     most = np.array([norms[a:b].max() for a, b, _ in pages])
-    bound = upper(q_norms[:, None], routing.norms[centre][None, :], d, product, radius[None, :], most[None, :])
-    inside = np.maximum(least[None, :] - d, 0)  # the query is nearer to the parent than the whole ring
-    bound = np.minimum(bound, (q_norms[:, None] + most[None, :] - inside**2) / 2 * (1 + 1e-9) + 1e-3)
+    bound = upper(q_norms[:, None], d, product, least[None, :], radius[None, :], most[None, :])
     order = np.argsort(-bound, axis=1)
     limit = floor.astype(np.float64).copy()
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
@@ -232,20 +272,20 @@ def search(subtree: dict, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r
         for page in np.unique(nth[active]).tolist():
             who = active[nth[active] == page]
             a, b, _ = pages[page]
-            may = upper_of(q_norms[who][:, None], d[who, page][:, None], product[who, page][:, None], away[None, a:b], norms[None, a:b]) >= limit[who][:, None]
+            may = upper(q_norms[who][:, None], d[who, page][:, None], product[who, page][:, None], away[None, a:b], away[None, a:b], norms[None, a:b]) >= limit[who][:, None]
             columns = np.flatnonzero(may.any(axis=0))
             if not len(columns):
                 continue
             scores = inner(q[who], vectors[a:b][columns])
             some = ids[a:b][columns]
-            good = may[:, columns] & (scores >= limit[who][:, None]) & (some[None, :] != q_ids[who][:, None])
+            good = may[:, columns] & (scores >= limit[who][:, None] * 1.0).astype(bool) & (some[None, :] != q_ids[who][:, None])
             for i in np.flatnonzero(good.any(axis=1)).tolist():
                 w = who[i]
                 s, x = np.concatenate([found[w][0], scores[i, good[i]]]), np.concatenate([found[w][1], some[good[i]]])
                 top = best(s, x, k)
                 found[w] = s[top], x[top]
                 if len(top) == k:
-                    limit[w] = max(limit[w], float(s[top].min()))
+                    limit[w] = max(limit[w], np.nextafter(float(min(s[top].tolist())), -np.inf))  # not above the exact score
     return [(int(q_ids[i]), int(x), int(s)) for i, (ss, xs) in enumerate(found) for s, x in zip(ss, xs)]
 
 
@@ -271,26 +311,27 @@ def top_k_of_length(vectors: DataFrame, n: int, is_query: Column, k: int) -> Dat
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block of queries goes, packed, to the subtrees that may hold one of its results."""
         r = shared.value
-        last = r.first + r.shares
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(at, QUERY_BLOCK)
                 ids = part.column("key").to_numpy()
-                q = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.int32).reshape(len(ids), -1).astype(np.float64)
+                q = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(len(ids), -1)
                 q_norms = (q**2).sum(axis=1)
-                scores = inner(q, r.sample).astype(np.float64)
-                scores[ids[:, None] == r.sample_ids[None, :]] = -np.inf
+                scores = q @ r.sample.T
+                scores = scores - MARGIN * (q_norms[:, None] + (r.sample**2).sum(axis=1)[None, :])  # never above the exact score
+                scores[np.isnan(scores) | (ids[:, None] == r.sample_ids[None, :])] = -np.inf
                 floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-                bound = upper(q_norms[:, None], r.norms[None, :], distances(q, q_norms, r.vectors, r.norms), q @ r.vectors.T, r.radius[None, :], r.most[None, :])
-                may = (bound >= floor[:, None]) & (r.radius >= 0)[None, :]
+                d, product = distances(q, q_norms, r.vectors, r.norms), q @ r.vectors.T
+                bound = upper(q_norms[:, None], d[:, r.owner], product[:, r.owner], r.low[None, :], r.high[None, :], r.most[None, :])
+                may = bound >= floor[:, None]
                 wanted: dict[int, np.ndarray] = {}
-                for p in np.flatnonzero(may.any(axis=0)).tolist():
-                    for s in range(int(r.first[p]), int(last[p])):
-                        wanted[s] = wanted[s] | may[:, p] if s in wanted else may[:, p]
+                for ring in np.flatnonzero(may.any(axis=0)).tolist():
+                    for s in range(int(r.subtree[ring]), int(r.subtree[ring] + r.shares[ring])):
+                        wanted[s] = wanted[s] | may[:, ring] if s in wanted else may[:, ring]
                 if wanted:
                     some = [np.flatnonzero(w) for w in wanted.values()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(wanted), pa.int64()), *(pa.array([x[w].tobytes() for w in some], pa.binary()) for x in (ids, q.astype(np.int32), floor))],
+                        [pa.array(list(wanted), pa.int64()), *(pa.array([x[w].tobytes() for w in some], pa.binary()) for x in (ids, q, floor))],
                         names=["subtree", "q_ids", "queries", "floors"],
                     )
 
@@ -300,7 +341,7 @@ def top_k_of_length(vectors: DataFrame, n: int, is_query: Column, k: int) -> Dat
             for row in range(batch.num_rows):
                 cell = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
                 q_ids = np.frombuffer(cell["q_ids"], np.int64)
-                q = np.frombuffer(cell["queries"], np.int32).reshape(len(q_ids), -1).astype(np.float64)
+                q = np.frombuffer(cell["queries"], np.float64).reshape(len(q_ids), -1)
                 found = search(cell, q_ids, q, np.frombuffer(cell["floors"], np.float64), r, k)
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 

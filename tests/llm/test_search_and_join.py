@@ -45,6 +45,42 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shape):
     assert got == brute_top(vectors, 5, 50)
 
 
+@pytest.mark.parametrize("size", [1e5, 1e6, 1.5e6])
+def test_top_k_is_exact_for_large_components(spark, monkeypatch, size):
+    monkeypatch.setattr(topk_mtree, "SUBTREE_ROWS", 100)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 4)) * size
+    x[::7] = rng.normal(size=4)  # small ones and copies between them
+    vectors = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(1000, [size, 1.0, 0.0, 0.0]), (1001, [size, 0.0, 0.0, 0.0]), (1002, [2 * size, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk_mtree.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()}
+    duck = duckdb.connect()
+    table = df.toPandas()
+    duck.register("embeddings", table)
+    assert got == set(duck.execute(TOP_K_SQL).fetchall())
+
+
+def test_top_k_refuses_scores_beyond_a_long(spark):
+    rows = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 1.0]), (2, [-1e200, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OverflowError|too big|too large"):
+        topk_mtree.top_k(rows, F.col("vec_id") % 50 == 0, 5).collect()
+
+
+def test_large_routing_objects_are_cut_by_distance(spark, monkeypatch):
+    monkeypatch.setattr(topk_mtree, "SUBTREE_ROWS", 50)
+    monkeypatch.setattr(topk_mtree, "MOST_ROUTING", 2)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(900, 6)), np.tile(rng.normal(size=6), (300, 1))])
+    vectors = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    subtrees, routing, _ = topk_mtree.build(topk_mtree.vectors_of(df, "vec_id", "embedding"), len(vectors))
+    sizes = [len(r.ids) // 8 for r in subtrees.collect()]
+    assert sum(sizes) == len(vectors) and max(sizes) < 150 and len(routing.owner) > 8
+    rings = sorted((o, a, b) for o, a, b in zip(routing.owner, routing.low, routing.high))
+    assert all(b <= c for (o, _, b), (p, c, _) in zip(rings, rings[1:]) if o == p)  # they do not overlap
+    assert {tuple(r) for r in topk_mtree.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()} == brute_top(vectors, 5, 50)
+
+
 def test_top_k_edges(spark):
     vectors = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [3.0, 1.0]), (6, [3.0, 1.0]), (None, [9.0, 9.0]), (7, [1.0, 1.0, 1.0]), (50, [-1.0, 0.5])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("key", F.lit(1)).withColumn("v", F.lit(2)).withColumn("rank", F.lit(3))
