@@ -4,6 +4,10 @@
 block); `predict` broadcasts the log-probability matrix, whose size is orders x buckets x languages, and scores
 Arrow batches in numpy, gathering only the rows of the n-grams that a text has.
 
+With `familiar`, `fit` also notes how probable the n-grams of each language's own texts are on average, so that
+`remove` can tell texts of languages and scripts that were never learned: by their posterior alone these are as sure
+as any other.
+
 Defined results: a null text, or one without a letter, is `und` with score 0.0, as is any text if nothing was
 learned. Rows with null text or language teach nothing. Ties go to the language first in alphabetical order.
 Repeated rows are predicted row by row; other columns of the input are never read by `predict`.
@@ -12,7 +16,7 @@ Repeated rows are predicted row by row; other columns of the input are never rea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,12 @@ class LanguageModel:
     log_prior: np.ndarray
     orders: tuple[int, ...]
     buckets: int
+    #: Of each language the mean log-probability of an n-gram that its texts reach, if fitted so.
+    least: np.ndarray | None = None
 
 
+#: Bins of mean log-probabilities, to a unit and in all; the share of a language's own texts below, and how far below these a text is unfamiliar.
+BINS, ALL_BINS, LOW_SHARE, MARGIN = 32, 1024, 0.001, 1.0
 _letters: list[np.ndarray] = []
 
 
@@ -74,8 +82,8 @@ def ngrams(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[lis
     return out, has_letter
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, alpha: float = 0.1) -> LanguageModel:
-    """Learns from every row that has a text and a language."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, alpha: float = 0.1, familiar: bool = False) -> LanguageModel:
+    """Learns from every row that has a text and a language; familiar: in a second pass, what texts of each are like."""
     bound_batches(docs.sparkSession)
     train = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     by_lang = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
@@ -97,31 +105,69 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[i
     counts = gather_table(train.mapInArrow(count, BLOCK_SCHEMA), size).reshape(len(orders), buckets, len(langs)).astype(np.float64)
     log_prob = np.log(counts + alpha) - np.log(counts.sum(axis=1, keepdims=True) + alpha * buckets)
     n = np.array([by_lang[x] for x in langs], dtype=np.float64)
-    return LanguageModel(langs, log_prob.reshape(-1, len(langs)).astype(np.float32), np.log(n / n.sum()), orders, buckets)
+    model = LanguageModel(langs, log_prob.reshape(-1, len(langs)).astype(np.float32), np.log(n / n.sum()), orders, buckets)
+    return replace(model, least=least_familiar(train, model)) if familiar else model
 
 
-def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability of each text."""
-    given = ["" if t is None else t for t in texts]
-    if not model.langs:
-        return [UND] * len(given), np.zeros(len(given))
-    grams, has_letter = ngrams(given, model.orders, model.buckets)
-    total = np.tile(model.log_prior, (len(given), 1))
+def least_familiar(train: DataFrame, model: LanguageModel) -> np.ndarray:
+    """Of each language the mean log-probability that all but LOW_SHARE of its texts reach, less MARGIN."""
+    shared, size = train.sparkSession.sparkContext.broadcast(model), ALL_BINS * len(model.langs)
+    code = {x: i for i, x in enumerate(model.langs)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                label = np.array([code[x] for x in part.column("lang").to_pylist()])
+                total, n, has_letter = totals(part.column("text").to_pylist(), shared.value)
+                mean = (total - shared.value.log_prior)[np.arange(len(label)), label] / np.maximum(n, 1)
+                bins = np.clip(-mean * BINS, 0, ALL_BINS - 1).astype(np.int64)
+                table += np.bincount((label * ALL_BINS + bins)[has_letter], minlength=size)
+        yield from table_blocks(table)
+
+    counts = gather_table(train.mapInArrow(count, BLOCK_SCHEMA), size).reshape(-1, ALL_BINS)
+    beyond = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1]  # texts in this bin or a less probable one
+    last = np.array([int(np.flatnonzero(b > LOW_SHARE * max(1, b[0]))[-1]) if b[0] else ALL_BINS for b in beyond])
+    return -(last + 1) / BINS - MARGIN
+
+
+def totals(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the log-probability with each language, its n-grams, and whether it has a letter."""
+    grams, has_letter = ngrams(texts, model.orders, model.buckets)
+    total, n = np.tile(model.log_prior, (len(texts), 1)), np.zeros(len(texts), dtype=np.int64)
     for slots, rows in grams:
         if len(rows):
             firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
             total[rows[firsts]] += np.add.reduceat(model.log_prob[slots], firsts, axis=0, dtype=np.float64)
+            n += np.bincount(rows, minlength=len(texts))
+    return total, n, has_letter
+
+
+def judged(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, posterior probability and familiarity (whether the text is like those of the language) of each text."""
+    given = ["" if t is None else t for t in texts]
+    if not model.langs:
+        return [UND] * len(given), np.zeros(len(given)), np.ones(len(given), dtype=bool)
+    total, n, has_letter = totals(given, model)
     best = total.argmax(axis=1)
-    odds = np.exp(total - total[np.arange(len(given)), best][:, None])
-    score = np.where(has_letter, 1.0 / odds.sum(axis=1), 0.0)
-    return [model.langs[b] if ok else UND for b, ok in zip(best, has_letter)], score
+    top = total[np.arange(len(given)), best]
+    score = np.where(has_letter, 1.0 / np.exp(total - top[:, None]).sum(axis=1), 0.0)
+    familiar = np.ones(len(given), dtype=bool)
+    if model.least is not None:
+        familiar = (top - model.log_prior[best]) / np.maximum(n, 1) >= model.least[best]
+    return [model.langs[b] if ok else UND for b, ok in zip(best, has_letter)], score, familiar
+
+
+def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
+    """Language and posterior probability of each text."""
+    return judged(texts, model)[:2]
 
 
 def predictor(model: LanguageModel, docs: DataFrame):
-    """A function from a list of texts to their predictions that takes the broadcast model to the executors."""
+    """A function from a list of texts to what `judged` says of them, that takes the broadcast model to the executors."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return lambda texts: score_texts(texts, shared.value)
+    return lambda texts: judged(texts, shared.value)
 
 
 def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
@@ -132,7 +178,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                lang, score = scorer(part.column("text").to_pylist())
+                lang, score, _ = scorer(part.column("text").to_pylist())
                 kept = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "text"]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
@@ -143,7 +189,8 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
 def remove(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows whose language is told with a probability of `least` or more, with all their columns.
 
-    Rows that are `und` go. If nothing was learned, only rows without a letter go.
+    Rows that are `und` go, and rows that are unlike the texts of their language, if the model knows that (`familiar`).
+    If nothing was learned, only rows without a letter go.
     """
     scorer, learned = predictor(model, docs), bool(model.langs)
 
@@ -152,8 +199,8 @@ def remove(docs: DataFrame, model: LanguageModel, text: str = "text", least: flo
             for part in pieces(batch, text):
                 texts = part.column(text).to_pylist()
                 if learned:
-                    lang, score = scorer(texts)
-                    fine = [x != UND and s >= least for x, s in zip(lang, score)]
+                    lang, score, familiar = scorer(texts)
+                    fine = [x != UND and s >= least and f for x, s, f in zip(lang, score, familiar)]
                 else:
                     fine = [t is not None and any(c.isalpha() for c in t) for t in texts]
                 yield part.filter(pa.array(fine, pa.bool_()))

@@ -73,6 +73,26 @@ def test_nothing_learned_and_empty_table(spark):
     assert {r.doc_id for r in language_id.remove(documents(spark, "text", "12", None), model).collect()} == {0}
 
 
+def test_unlearned_languages_and_junk_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs, familiar=True)
+    strange = documents(spark, "これは学んでいない言語の文章です。" * 5, "Это предложение на другом языке, которого не было. " * 5, "xqzjk vvkqx zzxqj wqkzx jjqxv " * 8, None, "123")
+    assert language_id.remove(strange, model).count() == 0
+    n = docs.where("text is not null").count()
+    assert language_id.remove(docs, model).count() >= 0.995 * n
+    for lang in model.langs:  # clean texts of each language stay
+        mine = docs.where(F.col("lang") == lang).where("n_chars > 200")
+        assert language_id.remove(mine, model).count() >= 0.998 * mine.count()
+
+
+def test_language_ties_repeats_and_long_texts(spark):
+    same = spark.createDataFrame([(1, "abc abc", "x"), (2, "abc abc", "w")], DOCS)
+    assert [r.lang_pred for r in language_id.predict(documents(spark, "abc", "abc"), language_id.fit(same)).collect()] == ["w", "w"]
+    model = language_id.fit(two_languages(spark))
+    got = language_id.predict(documents(spark, "the house that was built " * 40_000, "nicht der hund " * 40_000), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["en", "de"] and all(r.score > 0.99 for r in got)
+
+
 def test_language_query_is_accurate_on_held_out_documents(spark):
     got = queries()["op2_language_id"](spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
