@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The model is fitted on the languages that docs name; texts of no certain language go."""
-    return language_id.remove(docs, language_id.fit(docs))
+    """The model is fitted on the languages that docs name; texts of no certain language, or unlike it, go."""
+    return language_id.remove(docs, language_id.fit(docs, familiar=True))
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
