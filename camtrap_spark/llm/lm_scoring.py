@@ -17,11 +17,12 @@ corpus. A passage of c occurrences has the probability (c - 1) / N + V / N * (pr
 all passages and V distinct ones: absolute discounting by one, so that what occurs once teaches nothing by itself.
 A text's score is the sum of the log10 probabilities of its passages.
 
-All of it is learned from all training texts, on the executors. One pass over the texts counts tokens and passages
-(summed by hash) and writes, for each run of slices, its distinct units and pairs and how often each occurred. The
-other passes read these: symbol counts give the prefix code, bits are counted (tables of fixed size for each task,
-summed by block), `ROUNDS` passes add up gradients and curvatures by gate, and a last one the hits of the map. What
-reaches the driver of a pass is a table of fixed size. A learned bit is taken out of the counts that predict it.
+All of it is learned from all training texts, on the executors. One pass over the texts finds the distinct units, pairs
+and passages of each task; they are added up over all tasks in buckets of the word's hash and written, once each, with
+how often each occurred. The other passes read these: symbol counts give the prefix code, bits are counted (tables of
+fixed size for each task, summed by block), `ROUNDS` passes add up gradients and curvatures by gate, and a last one the
+hits of the map. What reaches the driver of a pass is a table of fixed size. A learned bit is taken out of the counts
+that predict it.
 
 The base score is exact: tokens are counted by a 64-bit hash over all training texts. The tokens with at least
 N / `FREQUENT` occurrences - there cannot be more than `FREQUENT` of them - are broadcast; the counts of all
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, discard, gather_table, keep, mix, narrow, pieces, ragged, running, span_hashes, table_blocks, utf8, widen
+from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, gather_table, keep, mix, narrow, pieces, ragged, running, span_hashes, table_blocks, utf8, widen
 
 END, PAD = 256, 257
 #: Slots of each context's table: bytes of two, bytes of four, word.
@@ -62,7 +63,6 @@ PASSAGE = 16
 TABLE_STEP, MAP_STEP, MAP_HALF = 12.0, 16.0, 192
 CLASSES, DEPTHS, LEVELS = 6, 24, 5
 GATES, CELLS = LEVELS * DEPTHS * CLASSES, 2 * MAP_HALF + 1
-END_HASH = 0x5A17E6D3C0FFEE11
 SLICE = 1 << 20
 
 
@@ -463,55 +463,168 @@ class Scorer:
     passage_kinds: int
 
 
-COUNTS = "block long, slots binary, counts binary"
-#: Token counts travel in buckets of the hash's top bits; bucket b is block -1 - b.
+#: Units travel in buckets of their word's hash, passages in buckets of their own hash; passage bucket b is bucket -1 - b.
 BUCKET_BITS = 12
-#: Buckets of passages come after those of tokens.
-PASSAGES = 1 << BUCKET_BITS
 #: Keeps passages of one unit apart from tokens.
 PASSAGE_SALT = np.uint64(0x3C6EF372FE94F82B)
+#: Stands for END in a byte; no byte of UTF-8.
+END_BYTE = 255
+PARTS = ("symbols", "lengths", "times", "before", "follow", "pair_times")
+BUCKETS = "bucket long, " + ", ".join(f"{n} binary" for n in PARTS)
 
 
-def token_blocks(hashes: np.ndarray, n: np.ndarray, after: int = 0) -> Iterator[pa.RecordBatch]:
+def packed(n: np.ndarray) -> bytes:
+    return narrow(n) if len(n) else b""
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return widen(data, n).astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+@dataclass
+class Counted:
+    """Units of one bucket (or of several), and pairs of a unit (from 1; 0: a text's start) and the symbol after it."""
+
+    symbols: np.ndarray  # uint8, END as END_BYTE
+    lengths: np.ndarray
+    times: np.ndarray
+    before: np.ndarray
+    follow: np.ndarray  # uint8
+    pair_times: np.ndarray
+
+    def cells(self) -> tuple[bytes, ...]:
+        return self.symbols.tobytes(), packed(self.lengths), packed(self.times), packed(self.before), self.follow.tobytes(), packed(self.pair_times)
+
+    @staticmethod
+    def read(cells) -> Counted:
+        symbols, follow = np.frombuffer(cells[0], np.uint8), np.frombuffer(cells[4], np.uint8)
+        n = int((symbols == END_BYTE).sum() + np.isin(symbols, SEPARATOR_BYTES).sum())  # a unit ends with each
+        return Counted(symbols, unpacked(cells[1], n), unpacked(cells[2], n), unpacked(cells[3], len(follow)), follow, unpacked(cells[5], len(follow)))
+
+    def units(self) -> Units:
+        stream = self.symbols.astype(np.int64)
+        stream[stream == END_BYTE] = END
+        ends = np.cumsum(self.lengths)
+        return Units(stream, running(stream), ends - self.lengths, ends, ends, ends)
+
+    def keys(self) -> np.ndarray:
+        follow = self.follow.astype(np.int64)
+        follow[follow == END_BYTE] = END
+        return self.before * (END + 1) + follow
+
+
+SEPARATOR_BYTES = np.flatnonzero(~NOT_SPACE).astype(np.uint8)
+
+
+def one_after_other(parts: list[Counted]) -> Counted:
+    shift = np.cumsum([0] + [len(p.lengths) for p in parts])
+    before = [np.where(p.before > 0, p.before + k, 0) for p, k in zip(parts, shift)]
+    return Counted(*(np.concatenate(x) for x in ([p.symbols for p in parts], [p.lengths for p in parts], [p.times for p in parts], before, [p.follow for p in parts], [p.pair_times for p in parts])))
+
+
+def merged(parts: list[Counted]) -> tuple[Counted, np.ndarray]:
+    """Each unit and pair once, with the sums of their times; and the units' word hashes."""
+    c = one_after_other(parts)
+    u = c.units()
+    _, which, kind = np.unique(span_hashes(u.sums, u.starts, u.ends), return_index=True, return_inverse=True)
+    times = np.bincount(kind, weights=c.times, minlength=len(which)).astype(np.int64)
+    keys, back = np.unique(np.where(c.before > 0, kind[c.before - 1] + 1, 0) * (END_BYTE + 1) + c.follow, return_inverse=True)
+    n = np.bincount(back, weights=c.pair_times, minlength=len(keys)).astype(np.int64)
+    lengths = c.lengths[which]
+    out = Counted(c.symbols[ragged(u.starts[which], lengths)], lengths, times, keys // (END_BYTE + 1), (keys % (END_BYTE + 1)).astype(np.uint8), n)
+    return out, np.where(lengths > 1, span_hashes(u.sums, u.starts[which], u.ends[which] - 1), np.uint64(0))
+
+
+def bucket_rows(kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    """The units and pairs of a run of slices, a row for each bucket."""
+    u, kind, times = kinds.merged()
+    keys, n = kinds.pairs(u, kind)
+    bucket = (unit_words(u) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    bucket, lengths = bucket[order], (u.ends - u.starts)[order]
+    symbols = u.stream[ragged(u.starts[order], lengths)]
+    symbols = np.where(symbols == END, END_BYTE, symbols).astype(np.uint8)
+    before, follow = keys // (END + 1), keys % (END + 1)
+    place = np.where(before > 0, rank[before - 1], -1) if len(rank) else before - 1
+    sort = np.argsort(place, kind="stable")
+    place, n, follow = place[sort], n[sort], np.where(follow[sort] == END, END_BYTE, follow[sort]).astype(np.uint8)
+    firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+    bounds = np.append(firsts, len(bucket))
+    chars = np.concatenate([[0], np.cumsum(lengths)])[bounds]
+    pairs = np.searchsorted(place, bounds)
+    pairs[:1] = 0  # texts' starts go with the first bucket
+    times, rows = times[order], []
+    for i in range(len(firsts)):
+        a, b, p, q = bounds[i], bounds[i + 1], pairs[i], pairs[i + 1]
+        part = Counted(symbols[chars[i] : chars[i + 1]], lengths[a:b], times[a:b], np.maximum(place[p:q] - a + 1, 0), follow[p:q], n[p:q])
+        rows.append((int(bucket[a]), *part.cells()))
+        if len(rows) == 512 or i == len(firsts) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], names=["bucket", *PARTS])
+            rows = []
+
+
+def passage_rows(hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted hashes and their counts, a row for each bucket."""
     bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
     lasts = np.append(firsts[1:], len(bucket))
     for at in range(0, len(firsts), 512):
         some = list(zip(firsts[at : at + 512].tolist(), lasts[at : at + 512].tolist()))
+        k = len(some)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(-1 - after - bucket[firsts[at : at + 512]]), pa.array([hashes[a:b].tobytes() for a, b in some], pa.binary()), pa.array([narrow(n[a:b]) for a, b in some], pa.binary())],
-            names=["block", "slots", "counts"],
+            [pa.array(-1 - bucket[firsts[at : at + 512]]), pa.array([hashes[a:b].tobytes() for a, b in some], pa.binary()), pa.nulls(k, pa.binary()), pa.array([narrow(n[a:b]) for a, b in some], pa.binary()), *(pa.nulls(k, pa.binary()) for _ in range(3))],
+            names=["bucket", *PARTS],
         )
 
 
-def sum_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams over the buckets of its share and sums the counts of each hash; holds the distinct hashes of its share."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for block, slots, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            hashes = np.frombuffer(slots, np.uint64)
-            mine = held.setdefault(block, [[], [], 0, 1024])
-            mine[0].append(hashes)
-            mine[1].append(widen(counts, len(hashes)))
-            mine[2] += len(hashes)
-            if mine[2] > mine[3]:
-                keys, n = add_up(np.concatenate(mine[0]), np.concatenate(mine[1]))
-                held[block] = [[keys], [n], len(keys), 2 * len(keys) + 1024]
-    all_passages = distinct = 0
-    for block, (hashes, counts, _, _) in held.items():
-        keys, n = add_up(np.concatenate(hashes), np.concatenate(counts))
-        if block < -PASSAGES:  # of passages those that occur again are kept, and the sums of all
-            all_passages, distinct = all_passages + int(n.sum()), distinct + len(n)
-            keys, n = keys[n > 1], n[n > 1]
-        yield token_rows(keys, n, block < -PASSAGES)
-    if distinct:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([all_passages]), pa.array([True]), pa.array([distinct])], names=["hash", "n", "passage", "distinct"])
+SUMMED = "hash long, n long, passage boolean, distinct long, " + ", ".join(f"{n} binary" for n in PARTS)
 
 
-def token_rows(keys: np.ndarray, n: np.ndarray, passage: bool) -> pa.RecordBatch:
-    k = len(keys)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.full(k, passage)), pa.nulls(k, pa.int64())], names=["hash", "n", "passage", "distinct"])
+def sum_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the rows of its buckets: merged units and pairs (a row for each bucket), tokens, passages that occur again, and the sums of all passages.
+
+    Holds the distinct units and passages of its share, and never more than as much again of parts that wait to be merged.
+    """
+    units: dict[int, list] = {}
+    hashes: dict[int, list] = {}
+    names = ["hash", "n", "passage", "distinct", *PARTS]
+    for batch in batches:
+        for bucket, *cells in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket < 0:
+                keys = np.frombuffer(cells[0], np.uint64)
+                mine, part, size = hashes.setdefault(bucket, [[], 0, 1024]), (keys, widen(cells[2], len(keys))), len(keys)
+            else:
+                part = Counted.read(cells)
+                mine, size = units.setdefault(bucket, [[], 0, 1024]), len(part.lengths) + len(part.before)
+            mine[0].append(part)
+            mine[1] += size
+            if mine[1] > mine[2]:
+                if bucket < 0:
+                    mine[0] = [add_up(np.concatenate([k for k, _ in mine[0]]), np.concatenate([n for _, n in mine[0]]))]
+                    mine[1] = len(mine[0][0][0])
+                else:
+                    mine[0] = [merged(mine[0])[0]]
+                    mine[1] = len(mine[0][0].lengths) + len(mine[0][0].before)
+                mine[2] = 2 * mine[1] + 1024
+
+    def counted(keys: np.ndarray, n: np.ndarray, passage: bool) -> pa.RecordBatch:
+        k = len(keys)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(np.full(k, passage)), pa.nulls(k, pa.int64()), *(pa.nulls(k, pa.binary()) for _ in PARTS)], names=names)
+
+    for parts, _, _ in units.values():
+        all_of, words = merged(parts)
+        keys, n = add_up(words, all_of.times)
+        yield counted(keys[keys > 0], n[keys > 0], False)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), *(pa.array([x], pa.binary()) for x in all_of.cells())], names=names)
+    every = distinct = 0
+    for parts, _, _ in hashes.values():
+        keys, n = add_up(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+        every, distinct = every + int(n.sum()), distinct + len(n)
+        yield counted(keys[n > 1], n[n > 1], True)
+    if distinct:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([every]), pa.array([True]), pa.array([distinct]), *(pa.nulls(1, pa.binary()) for _ in PARTS)], names=names)
 
 
 SUMS = "cell int, total long"
@@ -531,25 +644,22 @@ def added(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-KINDS = "symbols binary, lengths binary, times binary, pairs binary, pair_times binary"
-
+def kinds_of(batches: Iterator[pa.RecordBatch], size: int = 1 << 15) -> Iterator[tuple[Units, np.ndarray, np.ndarray, np.ndarray]]:
+    """Units, their times, pair_keys and their times, of several buckets at once."""
+    held: list[Counted] = []
 
-def kinds_row(kinds: Kinds) -> tuple[Units, np.ndarray, pa.RecordBatch]:
-    """The merged units, how often each occurred, and a row that holds them with their pairs."""
-    u, kind, times = kinds.merged()
-    keys, n = kinds.pairs(u, kind)
-    cells = (u.stream.astype(np.uint16), (u.ends - u.starts).astype(np.int32), times, keys, n)
-    return u, times, pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in cells], names=["symbols", "lengths", "times", "pairs", "pair_times"])
+    def handed() -> tuple[Units, np.ndarray, np.ndarray, np.ndarray]:
+        c = one_after_other(held)
+        held.clear()
+        return c.units(), c.times, c.keys(), c.pair_times
 
-
-def kinds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Units, np.ndarray, np.ndarray, np.ndarray]]:
-    """Units, their times, pair_keys and their times of each row that kinds_row made."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            symbols, lengths, times, keys, n = (np.frombuffer(batch.column(name)[row].as_buffer(), t) for name, t in (("symbols", np.uint16), ("lengths", np.int32), ("times", np.int64), ("pairs", np.int64), ("pair_times", np.int64)))
-            ends = np.cumsum(lengths.astype(np.int64))
-            stream = symbols.astype(np.int64)
-            yield Units(stream, running(stream), ends - lengths, ends, ends, ends), times, keys, n
+        for cells in zip(*(c.to_pylist() for c in batch.columns)):
+            held.append(Counted.read(cells))
+            if sum(len(c.lengths) for c in held) >= size:
+                yield handed()
+    if held:
+        yield handed()
 
 
 def symbols_of(batches: Iterator[pa.RecordBatch], size: int = 1 << 14) -> Iterator[tuple[Symbols, np.ndarray]]:
@@ -600,28 +710,17 @@ def fit_mixer(kinds: DataFrame, code: Code, counts: np.ndarray) -> tuple[np.ndar
 def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
     """The model; and the counts of all tokens that are not frequent and of all passages that occur again: hash, n, passage."""
     texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    names = ["block", "slots", "counts", "symbols", "lengths", "times", "pairs", "pair_times"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of token and passage counts, and rows of kinds."""
-        kinds, n_texts, held = Kinds(), 0, []
-
-        def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for r in rows:
-                yield pa.RecordBatch.from_arrays([*r.columns, *(pa.nulls(r.num_rows, pa.binary()) for _ in range(5))], names=names)
+        kinds, held = Kinds(), []
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            u, times, row = kinds_row(kinds)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *row.columns], names=names)
-            hashes, n = add_up(unit_words(u), times)
-            yield from counted(token_blocks(hashes[hashes > 0], n[hashes > 0]))
-            hashes, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            yield from counted(token_blocks(hashes, n, PASSAGES))
+            yield from bucket_rows(kinds)
+            yield from passage_rows(*np.unique(np.concatenate(held), return_counts=True))
 
         for batch in batches:
             for part in pieces(batch, "text", SLICE):
                 data, offsets = utf8(part.column("text"))
-                n_texts += part.num_rows
                 u = units_of(LOWER[data], offsets)
                 kinds.add(u)
                 held.append(passages(u)[1])
@@ -631,12 +730,11 @@ def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
                     held.clear()
         if kinds.units:
             yield from hand_on()
-        if n_texts:
-            yield from counted(token_blocks(np.array([END_HASH], dtype=np.uint64), np.array([n_texts])))
 
-    gathered = keep(texts.mapInArrow(gather, f"{COUNTS}, {KINDS}"))
-    kinds = gathered.where("block is null").select("symbols", "lengths", "times", "pairs", "pair_times")
-    code = Code.of(symbol_counts(kinds))
+    summed = keep(texts.mapInArrow(gather, BUCKETS).repartition("bucket").mapInArrow(sum_buckets, SUMMED))
+    kinds = summed.where("symbols is not null").select(*PARTS)
+    n_symbols = symbol_counts(kinds)
+    code = Code.of(n_symbols)
     size = 2 * sum(TABLES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -647,17 +745,17 @@ def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
 
     bits = gather_table(kinds.mapInArrow(count, BLOCK_SCHEMA), size).reshape(-1, 2)
     weights, cost = fit_mixer(kinds, code, bits)
-    summed = keep(gathered.where("block is not null").select("block", "slots", "counts").repartition("block").mapInArrow(sum_tokens, "hash long, n long, passage boolean, distinct long"))
-    discard(gathered)
     known = summed.where("hash is not null and not passage").select("hash", "n")
     seen = summed.where("distinct is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     again = summed.where("hash is not null and passage").select("hash", "n", F.lit(True).alias("passage"))
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("hash") == END_HASH, F.col("n"))), F.lit(0)).alias("ends")).first()
-    least = max(1, -(-total.n // FREQUENT))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ends = int(n_symbols[END])  # the end is a token of its own, one of each text
+    tokens, distinct = int(total.n) + ends, int(total.v) + (ends > 0)
+    least = max(1, -(-tokens // FREQUENT))
     top = known.where(F.col("n") >= least).toArrow()  # at most FREQUENT rows, as their counts add up to N at most
     hashes = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return Scorer(MixModel(code, stretch_table(bits), weights, cost), int(total.n), int(total.v), int(total.ends), hashes[order], top.column("n").to_numpy()[order].astype(np.uint32 if total.n < 1 << 32 else np.int64), int(seen.n), int(seen.v)), known.where(F.col("n") < least).withColumn("passage", F.lit(False)).unionByName(again)
+    return Scorer(MixModel(code, stretch_table(bits), weights, cost), tokens, distinct, ends, hashes[order], top.column("n").to_numpy()[order].astype(np.uint32 if tokens < 1 << 32 else np.int64), int(seen.n), int(seen.v)), known.where(F.col("n") < least).withColumn("passage", F.lit(False)).unionByName(again)
 
 
 def lookup(hashes: np.ndarray, scorer: Scorer) -> np.ndarray:
