@@ -74,11 +74,11 @@ def crc_of(value, divisor: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % divisor
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch whose texts hold `most` bytes at most together, or of one row."""
+def pieces(batch: pa.RecordBatch, *columns: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch whose texts in these columns hold `most` bytes at most together, or of one row."""
     if not batch.num_rows:
         return
-    lengths = np.array([0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
+    lengths = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     ends, first = np.cumsum(lengths), 0
     while first < batch.num_rows:
         before = ends[first - 1] if first else 0

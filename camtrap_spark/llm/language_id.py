@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import BLOCK_SCHEMA, bound_batches, gather_table, pieces, table_blocks
 
 UND = "und"
+#: More languages than this are an error: table and matrix grow with them.
+MOST_LANGUAGES = 256
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[i
     """Learns from every row that has a text and a language; familiar: in a second pass, what texts of each are like."""
     bound_batches(docs.sparkSession)
     train = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    by_lang = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
+    by_lang = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(by_lang) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang}")
     langs = tuple(sorted(by_lang))
     if not langs:
         return LanguageModel((), np.zeros((len(orders) * buckets, 0), np.float32), np.zeros(0), orders, buckets)

@@ -719,7 +719,7 @@ def fit(train: DataFrame, text: str) -> tuple[Scorer, DataFrame]:
             yield from passage_rows(*np.unique(np.concatenate(held), return_counts=True))
 
         for batch in batches:
-            for part in pieces(batch, "text", SLICE):
+            for part in pieces(batch, "text", most=SLICE):
                 data, offsets = utf8(part.column("text"))
                 u = units_of(LOWER[data], offsets)
                 kinds.add(u)
@@ -818,7 +818,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, held, kinds, n = TaskContext.get().partitionId() << 40, [], Kinds(), 0
         for batch in batches:
-            for part in pieces(batch, "text", SLICE):
+            for part in pieces(batch, "text", most=SLICE):
                 data, offsets = utf8(part.column("text"))
                 u = units_of(LOWER[data], offsets)
                 held.append((part.select(["key", "held_out"]), kinds.add(u), kinds.begins[-1], u.text.astype(np.int32), passages(u), np.diff(offsets)))

@@ -375,7 +375,7 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float, trees: int, targe
         """The n-gram sets of documents that may be in a component; most others stop here."""
         for batch in batches:
             batch = batch.filter(pa.array(maybe(batch.column("doc_id"))))
-            for part in pieces(batch, "text", SLICE):
+            for part in pieces(batch, "text", most=SLICE):
                 grams, sizes = ngram_sets(part.column("text"))
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
@@ -406,7 +406,7 @@ def classed_nodes(docs: DataFrame, key: str, text: str, threshold: float, trees:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", SLICE):
+            for part in pieces(batch, "text", most=SLICE):
                 grams, sizes = ngram_sets(part.column("text"))
                 flat = labels_of(grams, sizes, trees)
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, trees, 0))]).astype(np.int32)
@@ -460,7 +460,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
     def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch.filter(pa.array(maybe(batch.column(key)))), text, SLICE):
+            for part in pieces(batch.filter(pa.array(maybe(batch.column(key)))), text, most=SLICE):
                 filled = part.column(text).fill_null("")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node_ids(*ngram_sets(filled)).view(np.int64))], names=[*part.schema.names, "_node"])
 

@@ -59,6 +59,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_classes(table(spark, sf_dir, "documents"))
 
 
+def lm_scoring_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op1, which SQL can express; the sum of logarithms rounded."""
+    return op1_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def license_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 about its fixed phrases."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -71,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_token_counts": op9_token_counts,
         "op10_ngram_join": op10_ngram_join,
+        "lm_scoring_base": lm_scoring_base,
+        "license_scan_base": license_scan_base,
     }
 
 
@@ -93,5 +105,34 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: crc32 of the id as text: a table of 256 made by its rule, then a step for each digit.
+LM_BASE_SQL = rf"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), docs AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS words,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295) % 7 = 2 AS held_out
+  FROM documents, crc_table
+), tokens AS (
+  SELECT doc_id, held_out, unnest(list_append(words, NULL)) AS word FROM docs
+), counts AS (SELECT word, COUNT(*) AS c FROM tokens WHERE NOT held_out GROUP BY word),
+totals AS (SELECT CAST(coalesce(SUM(c), 0) AS BIGINT) AS n, COUNT(*) AS v FROM counts)
+SELECT t.doc_id, t.held_out, COUNT(*) AS n_tokens, COUNT(c.c) AS n_known, n AS train_tokens, round(SUM(log10((coalesce(c.c, 0) + 1.0::DOUBLE) / (n + v + 1))), 4) AS base_score
+FROM tokens t LEFT JOIN counts c ON c.word IS NOT DISTINCT FROM t.word CROSS JOIN totals GROUP BY t.doc_id, t.held_out, n, v
+"""
+
+LICENSE_BASE_SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+phrases AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {", ".join(f"('{p}', '{label}')" for p, label in license_scan.BASE_PHRASES.items())}) t(phrase, label)),
+places AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(words) - len(p) + 2), lambda i: words[i] = p[1] AND words[i : i + len(p) - 1] = p)) - 1 AS place
+  FROM docs, phrases WHERE list_has_all(words, p)
+), found AS (SELECT doc_id, COUNT(*) AS n, MIN(place) AS low, MAX(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, low AS first_word, high AS last_word, coalesce(labels, '') AS base_labels FROM docs d LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk_mtree": TOP_K_SQL}
+    return {"op5_topk_mtree": TOP_K_SQL, "lm_scoring_base": LM_BASE_SQL, "license_scan_base": LICENSE_BASE_SQL}

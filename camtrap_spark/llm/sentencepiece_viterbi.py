@@ -324,7 +324,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
         for batch in batches:
-            for part in pieces(batch, "text", SLICE):
+            for part in pieces(batch, "text", most=SLICE):
                 texts = part.column("text").to_pylist()
                 ids, n_ids = encoder.encode(texts)
                 data, sizes = encoder.decode(ids, n_ids)

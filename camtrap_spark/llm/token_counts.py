@@ -110,7 +110,7 @@ def section_tokens(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",), fields:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
         for batch in batches:
-            for part in pieces(batch, f"field{len(fields) - 1}"):
+            for part in pieces(batch, *(f"field{j}" for j in range(len(fields)))):
                 at, section, field, start, end, n, crossing = [], [], [], [], [], [], []
                 for i, values in enumerate(zip(*(part.column(f"field{j}").to_pylist() for j in range(len(fields))))):
                     text, bounds, of = section_starts(list(values), separator, by_line)

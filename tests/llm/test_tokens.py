@@ -6,13 +6,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from camtrap_spark.llm import lm_scoring, token_counts
 from camtrap_spark.llm import sentencepiece_viterbi as sp
-from camtrap_spark.llm.queries import queries
+from camtrap_spark.llm.queries import oracle_sql, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -145,6 +146,13 @@ def test_fields_and_edges(spark):
     assert token_counts.section_tokens(rows.limit(0), ("id",), ("role", "text")).count() == 0
 
 
+def test_long_fields_in_any_place(spark):
+    long = "word " * 500_000
+    rows = spark.createDataFrame([(i, long if i % 2 else "x", "y" if i % 2 else long) for i in range(4)], "id long, role string, text string")
+    got = token_counts.section_tokens(rows, ("id",), ("role", "text"), by_line=False).groupBy("id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert len({r.n for r in got}) == 1 and got[0].n > 500_000
+
+
 # -- LM scores -----------------------------------------------------------------------------------------------
 
 
@@ -172,6 +180,15 @@ def test_lm_query_has_the_exact_base(spark):
     assert all(r.score < 0 and r.bits_per_byte < 8 for r in rows if r.n_bytes > 50)
 
 
+@pytest.mark.parametrize("name", ["lm_scoring_base", "license_scan_base"])
+def test_base_queries_equal_sql(spark, name):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    found = duck.execute(oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    assert {tuple(r) for r in queries()[name](spark, SMALL).select(*columns).collect()} == set(found.fetchall())
+
+
 @pytest.mark.parametrize("frequent", [1, 4, 1 << 20])
 def test_lm_base_with_few_frequent_tokens(spark, monkeypatch, frequent):
     monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
