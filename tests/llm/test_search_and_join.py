@@ -280,6 +280,42 @@ def test_pipeline_stages_take_effect(spark):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()} and out.where("not round_trip").count() == 0
 
 
+def test_pipeline_equals_brute_force(spark):
+    from test_text_operators import brute_chain, brute_items
+    from test_tokens import brute_viterbi
+
+    from camtrap_spark.llm import decontaminate, language_id, toxicity
+    from camtrap_spark.llm import sentencepiece_viterbi as sp
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    chain = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = [(i, t) for i, t in kept if brute_chain(t, chain)[0] < chain.threshold]
+    model = language_id.fit(docs.where(F.col("doc_id").isin([i for i, _ in kept])), familiar=True)
+    one = {i: [x[0] for x in language_id.judged([t], model)] for i, t in kept}
+    kept = [(i, t) for i, t in kept if one[i][0] != "und" and one[i][1] >= 0.5 and one[i][2]]
+    classes = brute_join(kept)
+    kept = [(i, t) for i, t in kept if classes[i][0] == i]
+    items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    kept = [(i, t) for i, t in kept if not brute_items(t, items)]
+    vocabulary = sp.Vocabulary.load()
+    want = {i: brute_viterbi(sp.to_codes(t), vocabulary) for i, t in kept}
+    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SMALL).collect()} == want and len(want) > 100
+
+
+def test_pipeline_on_long_texts_and_ties(spark, tmp_path):
+    long = " ".join(f"word{i % 977} text{i % 53}" for i in range(60_000))
+    rows = [(4, long, "en"), (2, long, "en"), (9, long + " more words", "en"), (7, "a short text of some words in a row", "en"), (7, "a short text of some words in a row", "en"), (3, "a short text of some words in a row", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such item in any of these texts")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.keep(stage(spark, kept, str(tmp_path)))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert {r.doc_id: r.round_trip for r in corpus_pipeline.encode(spark, kept, str(tmp_path)).collect()} == {2: True, 3: True}
+
+
 def test_pipeline_stages_on_odd_documents(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (3, "words in a row " * 9, "en", None, 1), (3, "words in a row " * 9, "en", None, 1), (None, "other words here", "en", "s", 2)], schema)

@@ -140,29 +140,52 @@ def test_toxicity_edges(spark):
     assert toxicity.predict(odd.limit(0), chain).count() == 0
 
 
-def test_toxicity_probabilities_equal_brute_force(spark):
+def brute_chain(text, chain):
+    """The probabilities of all categories, feature by feature."""
     import math
 
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+    grams = {w[i : i + 5] for w in words for i in range(len(w) - 4)}
+    slots = set()
+    for found, which in ((set(words), 0), (grams, 1)):
+        for word in found:
+            data = np.frombuffer(word, np.uint8)
+            h = int(toxicity.span_hashes(toxicity.running(data), np.array([0]), np.array([len(data)]))[0])
+            slots.add((h ^ (0x5A5A << 40 if which else 0)) >> (64 - toxicity.SLOT_BITS))
+    features, odds, out = {int(f) for f in chain.feature_of[sorted(slots)] if f >= 0}, [], []
+    for model in chain.models:
+        z = -math.inf if model is None else model[2] + sum(model[0][f] for f in features) + sum(w * o for w, o in zip(model[1], odds))
+        p = 0.0 if model is None else 1 / (1 + math.exp(-z))
+        out.append(p)
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        odds.append(math.log(p / (1 - p)))
+    return out
+
+
+def test_toxicity_probabilities_equal_brute_force(spark):
     docs, labels = labelled(spark)
     chain = toxicity.fit(docs, labels.where("doc_id < 300"))
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in toxicity.predict(docs.where("doc_id >= 350"), chain).collect():
-        words = set(texts[r.doc_id].split())
-        grams = {w[i : i + 5] for w in words for i in range(len(w) - 4)}
-        slots = set()
-        for word in words:
-            slot, _ = toxicity.feature_slots(toxicity.pa.array([word]))
-            slots.add(int(slot[0]))
-        for gram in grams:  # a word of its own, and the 5-gram in it
-            slots.add(int(toxicity.feature_slots(toxicity.pa.array([gram]))[0][1]))
-        features, odds, got = {int(f) for f in chain.feature_of[sorted(slots)] if f >= 0}, [], []
-        for model in chain.models:
-            z = model[2] + sum(model[0][f] for f in features) + sum(w * o for w, o in zip(model[1], odds))
-            p = 1 / (1 + math.exp(-z))
-            got.append(p)
-            p = min(max(p, 1e-6), 1 - 1e-6)
-            odds.append(math.log(p / (1 - p)))
-        assert got == pytest.approx([r.p_toxic, r.p_toxic_junk, r.p_toxic_prose], rel=1e-6, abs=1e-9)
+    for r in toxicity.predict(docs.where("doc_id >= 300"), chain).collect():
+        assert brute_chain(texts[r.doc_id], chain) == pytest.approx([r.p_toxic, r.p_toxic_junk, r.p_toxic_prose], rel=1e-6, abs=1e-9)
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    chain = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries()["op3_toxicity"](spark, SMALL).collect():
+        want = brute_chain(texts[r.doc_id], chain)
+        assert want == pytest.approx([r.p_toxic, r.p_toxic_junk, r.p_toxic_prose], rel=1e-6, abs=1e-9) and r.toxic == (want[0] >= chain.threshold)
+
+
+def test_toxicity_ties_and_repeats(spark):
+    docs, labels = labelled(spark)
+    twice = docs.where("doc_id < 5").unionByName(docs.where("doc_id < 5"))
+    chain = toxicity.fit(docs, labels)
+    rows = toxicity.predict(twice, chain).collect()
+    assert len(rows) == 10 and len({tuple(r) for r in rows}) == 5
+    assert toxicity.best_threshold(np.array([0.9, 0.9, 0.1]), np.array([True, True, False])) == 0.5
 
 
 def test_out_of_fold_predictions_do_not_see_their_fold():
@@ -362,26 +385,27 @@ def test_short_equal_and_repeated_items(spark):
         assert sorted(r.doc_id for r in decontaminate.remove(docs, bench, block_chars=block_chars).collect()) == [3]
 
 
+def brute_items(text, items):
+    """Id and distance of every item within its budget: the whole table of edit distances, a row at a time."""
+    t, found = decontaminate.normal(text or ""), {}
+    codes, steps = np.array([ord(c) for c in t], dtype=np.int64), np.arange(len(t) + 1)
+    for k, item in items:
+        # Only pairs that share eight characters in a row can be near; others are far beyond the budget.
+        if any(item[a : a + 8] in t for a in range(0, len(item) - 8)):
+            row = np.zeros(len(t) + 1, dtype=np.int64)
+            for n, c in enumerate(item, 1):
+                new = np.empty_like(row)
+                new[0] = n
+                new[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+                row = np.minimum.accumulate(new - steps) + steps
+            if row.min() <= int(decontaminate.RATE * len(item)):
+                found[k] = int(row.min())
+    return found
+
+
 def test_decontamination_query_equals_brute_force(spark):
-    # Semi-global distance of every item and document, a row of the table for all documents' characters at once.
-    docs = [(r.doc_id, decontaminate.normal(r.text or "")) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    want = {}
-    for i, t in docs:
-        for k, item in items:
-            # Only pairs that share eight characters of the item in a row can be near; others are far beyond the budget.
-            budget = int(decontaminate.RATE * len(item))
-            if any(item[a : a + 8] in t for a in range(0, len(item) - 8)):
-                row = np.zeros(len(t) + 1, dtype=np.int64)
-                codes = np.array([ord(c) for c in t], dtype=np.int64)
-                steps = np.arange(len(t) + 1)
-                for n, c in enumerate(item, 1):
-                    new = np.empty_like(row)
-                    new[0] = n
-                    new[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
-                    row = np.minimum.accumulate(new - steps) + steps
-                if row.min() <= budget:
-                    want[i, k] = int(row.min())
+    want = {(r.doc_id, k): d for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() for k, d in brute_items(r.text, items).items()}
     got = {(r.doc_id, r.item_id): r.distance for r in queries()["op6_decontaminate"](spark, SMALL).collect()}
     assert got == want and len(got) >= 3
 
