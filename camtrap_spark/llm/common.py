@@ -133,13 +133,19 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of base."""
+    low, high = power_tables(base, n)
+    with np.errstate(over="ignore"):
+        return (high[: (n >> POWER_BITS) + 1, None] * low[None, :]).reshape(-1)[:n]
+
+
 def running(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums of the values, one longer than data."""
     n = len(data)
     out = np.zeros(n + 1, dtype=np.uint64)
-    low, high = power_tables(BASE, n)
+    up = powers(BASE, n)
     with np.errstate(over="ignore"):
-        up = (high[: (n >> POWER_BITS) + 1, None] * low[None, :]).reshape(-1)[:n]
         up *= data.astype(np.uint64) + np.uint64(1)
         np.cumsum(up, out=out[1:])
     return out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import bound_batches, pieces, ragged, running, span_hashes
+from .common import INVERSE, bound_batches, pieces, powers, ragged, running
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 META = 0x2581
@@ -91,16 +91,17 @@ class Pieces:
         codes = np.concatenate([np.array(c, dtype=np.uint64) for c in entries])
         lengths = np.array([len(c) for c in entries])
         ends = np.cumsum(lengths)
-        hashes = span_hashes(running(codes), ends - lengths, ends)
+        values = span_values(running(codes), powers(INVERSE, len(codes)), ends - lengths, lengths)
         self.bits = 19
-        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        slot = self.slots(values)
         order = np.argsort(slot, kind="stable")
         nth = np.arange(len(slot)) - np.searchsorted(slot[order], slot[order])
         self.depth = int(nth.max()) + 1
         self.keys = np.zeros((self.depth, 1 << self.bits), dtype=np.uint64)
         self.ids = np.full((self.depth, 1 << self.bits), -1, dtype=np.int32)
-        self.keys[nth, slot[order]] = hashes[order]
+        self.keys[nth, slot[order]] = values[order]
         self.ids[nth, slot[order]] = np.array([v[0] for v in entries.values()], dtype=np.int32)[order]
+        self.taken = (self.ids[0] >= 0).astype(np.uint8)  # small enough to stay near
         self.score_of = np.zeros(len(vocabulary.decoded) + 1)
         for i, score in entries.values():
             self.score_of[i] = score
@@ -114,15 +115,27 @@ class Pieces:
         self.decoded = np.frombuffer(b"".join(vocabulary.decoded), dtype=np.uint8)
         self.byte_ids = np.array(vocabulary.byte_ids, dtype=np.int32)
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """The piece of each hash, or -1."""
-        slot = (hashes >> np.uint64(64 - self.bits)).view(np.int64)
-        out = np.where(self.keys[0].take(slot) == hashes, self.ids[0].take(slot), np.int32(-1))
-        for d in range(1, self.depth):
-            rest = np.flatnonzero((out < 0) & (self.ids[d].take(slot) >= 0))
-            if len(rest):
-                out[rest] = np.where(self.keys[d][slot[rest]] == hashes[rest], self.ids[d][slot[rest]], np.int32(-1))
-        return out
+    def slots(self, values: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((values * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def lookup(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the values that are pieces, and the pieces."""
+        slot = self.slots(values)
+        at = np.flatnonzero(self.taken.take(slot))
+        slot, values = slot.take(at), values.take(at)
+        out = np.full(len(at), -1, dtype=np.int32)
+        for d in range(self.depth):
+            hit = np.flatnonzero(self.keys[d].take(slot) == values)
+            out[hit] = self.ids[d].take(slot.take(hit))
+        found = np.flatnonzero(out >= 0)
+        return at.take(found), out.take(found)
+
+
+def span_values(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """A 64-bit value of each span by its characters and length, not scrambled."""
+    with np.errstate(over="ignore"):
+        return (sums.take(starts + length) - sums.take(starts)) * inverse.take(starts) + np.uint64(0x9E6C63D0876A9A75) * np.asarray(length, dtype=np.uint64)
 
 
 class Lanes:
@@ -148,23 +161,26 @@ class Lanes:
 
     def spell(self, codes: np.ndarray, reach: np.ndarray) -> None:
         """The pieces that end at each character, in the order of the steps, of one character the longest first."""
-        sums, lane = running(codes), np.empty(len(codes), dtype=np.int32)
+        sums, inverse, lane = running(codes), powers(INVERSE, len(codes)), np.empty(len(codes), dtype=np.int32)
         where = ragged(self.starts, self.lengths)
         lane[where] = np.repeat(np.arange(len(self.starts), dtype=np.int32), self.lengths)
         step = np.arange(len(codes)) - self.starts[lane]  # from 0
         place = self.before[step] + lane
-        reach = np.minimum(reach, step + 1)
+        reach = np.minimum(reach, step + 1).astype(np.int8)
         found, here = [], np.arange(len(codes))
         n = np.ones(len(codes), dtype=np.int32)
         for k in range(1, self.longest + 1):
-            here = here[reach[here] >= k]
-            piece = self.table.lookup(span_hashes(sums, here + 1 - k, here + 1))
-            if k == 1:
-                found.append((here, piece))
+            if k > 1:
+                here = here.take(np.flatnonzero(reach.take(here) >= k))
+            some, piece = self.table.lookup(span_values(sums, inverse, here + (1 - k), k))
+            if k == 1:  # a character on its own always stands, known or not
+                alone = np.full(len(codes), -1, dtype=np.int32)
+                alone[some] = piece
+                found.append((here, alone))
             else:
-                some = np.flatnonzero(piece >= 0)
-                found.append((here[some], piece[some]))
-                n[here[some]] += 1
+                at = here.take(some)
+                found.append((at, piece))
+                n[at] += 1
         by_place = np.empty(len(codes), dtype=np.int64)
         by_place[place] = n
         self.first = np.concatenate([[0], np.cumsum(by_place)])
