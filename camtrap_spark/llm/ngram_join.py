@@ -34,11 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
-from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, checkpoint_dir, discard, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
+from .common import LOWER, NOT_SPACE, bound_batches, checkpoint_dir, discard, keep, mix, pieces, running, span_hashes, utf8, words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -231,20 +231,26 @@ def forest_components(nodes: DataFrame, trees: int, threshold: float, target: fl
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: the smallest node that a chain of edges leads to. Labels spread and are doubled until they rest."""
+    """node, component: the smallest node that a chain of edges leads to.
+
+    Each round, one job, a node takes the smallest label next to it, and what that label's own node was called in the
+    round before; until no label changes.
+    """
     both = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).where("a <> b").distinct())
-    start = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    labels, held = start, start
+    held = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
+        labels = held.select("node", "component")
         spread = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        near = keep(labels.join(spread, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component")))
-        far = near.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = keep(near.join(far, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        discard(near, held)
-        labels, held = moved.select("node", "component"), moved
-        if moved.where("component <> was").isEmpty():
+        near = labels.join(spread, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
+        far = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        seen = Observation()
+        moved = near.join(far, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
+        moved = keep(moved.observe(seen, F.count_if(F.col("component") != F.col("was")).alias("changed")))
+        discard(held)
+        held = moved
+        if not seen.get["changed"]:
             discard(both)
-            return labels
+            return held.select("node", "component")
 
 
 def id_slots(ids: pa.Array) -> np.ndarray:
@@ -252,16 +258,33 @@ def id_slots(ids: pa.Array) -> np.ndarray:
 
 
 def id_filter(ids: DataFrame, key: str):
-    """A function that tells for each id of an Arrow column whether it may be among `ids` (never wrongly no)."""
+    """A function that tells for each id of an Arrow column whether it may be among `ids` (never wrongly no).
+
+    A bit for each of FILTER_SLOTS slots, put together by block on the executors; half a megabyte comes to the driver.
+    """
+    block = 1 << 15
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(FILTER_SLOTS, dtype=np.int64)
+        table = np.zeros(FILTER_SLOTS, dtype=bool)
         for batch in batches:
-            table[id_slots(batch.column(0))] = 1
-        yield from table_blocks(table)
+            table[id_slots(batch.column(0))] = True
+        used = np.flatnonzero(table.reshape(-1, block).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([np.packbits(table[k * block : (k + 1) * block]).tobytes() for k in used.tolist()], pa.binary())], names=["block", "bits"])
 
-    used = gather_table(ids.select(F.col(key).cast("long")).mapInArrow(mark, BLOCK_SCHEMA), FILTER_SLOTS) > 0
-    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(used))
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(k, np.zeros(block // 8, dtype=np.uint8))
+                held[k] |= np.frombuffer(bits, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "bits"])
+
+    schema = "block long, bits binary"
+    found = ids.select(F.col(key).cast("long")).mapInArrow(mark, schema).repartition("block").mapInArrow(united, schema).toArrow()
+    packed = np.zeros(FILTER_SLOTS // 8, dtype=np.uint8)
+    for k, bits in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+        packed[k * (block // 8) : (k + 1) * (block // 8)] = np.frombuffer(bits, np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(packed)
 
     def maybe(column: pa.Array) -> np.ndarray:
         slots = id_slots(column)
