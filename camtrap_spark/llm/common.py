@@ -235,7 +235,7 @@ def table_blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams over the rows of its blocks; holds one array of BLOCK counts for each block of its share."""
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -253,7 +253,7 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gather_table(blocks: DataFrame, size: int) -> np.ndarray:
     """The sum of all partial tables: summed by block on the executors, then `size` numbers (a fixed bound) come here."""
-    summed = blocks.repartition(F.col("block")).mapInArrow(_sum_blocks, "block long, total binary")
+    summed = blocks.repartition(F.col("block")).mapInArrow(sum_blocks, "block long, total binary")
     return placed_blocks(summed, size)
 
 

@@ -26,18 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, LOWER, WORD, bound_batches, cut, gather_table, pieces, running, span_hashes, table_blocks, utf8, words
+from .common import BLOCK, BLOCK_SCHEMA, LOWER, WORD, bound_batches, cut, pieces, running, span_hashes, sum_blocks, table_blocks, utf8, words
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 2048
-SLOT_BITS = 18
+SLOT_BITS = 20
 GRAM = 5
 LEAST_RATIO = 10.0
 CATEGORIES = ("toxic", "toxic_junk", "toxic_prose")
 FOLDS = 5
+#: Places of a feature's counts in the table, by fold and class; a power of two, so that a block holds whole features.
+KINDS = 16
 
 
 def feature_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,23 +156,41 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     slots = 1 << SLOT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(2 * FOLDS * (slots + 1), dtype=np.int32)  # by fold and class: each feature, last the texts
+        table = np.zeros(slots * KINDS, dtype=np.uint16 if max_labelled < 1 << 16 else np.uint32)  # of each feature, by fold and class, the texts
         for batch in batches:
             for part in pieces(batch, "text"):
                 slot, row = feature_slots(part.column("text"))
                 pairs = np.unique(row * slots + slot)
                 kind = np.asarray(part.column("fold").to_pylist(), dtype=np.int64) * 2 + np.asarray(part.column("toxic").to_pylist(), dtype=np.int64)
-                np.add.at(table, kind[pairs // slots] * (slots + 1) + pairs % slots, np.int32(1))
-                table[np.arange(2 * FOLDS) * (slots + 1) + slots] += np.bincount(kind, minlength=2 * FOLDS).astype(np.int32)
+                np.add.at(table, pairs % slots * KINDS + kind[pairs // slots], table.dtype.type(1))
         yield from table_blocks(table)
 
-    size = 2 * FOLDS * (slots + 1)
-    table = gather_table(sample.select("text", "toxic", "fold").mapInArrow(count, BLOCK_SCHEMA), size).reshape(FOLDS, 2, slots + 1)
-    parts = [selected(table.sum(axis=0) - table[f], max_features, least_docs) for f in range(FOLDS)] + [selected(table.sum(axis=0), max_features, least_docs)]
+    texts = np.zeros(KINDS, dtype=np.int64)
+    for r in sample.groupBy("fold", "toxic").count().collect():  # ten rows at most
+        texts[r.fold * 2 + int(r.toxic)] = r["count"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up the tables of its blocks and gives the features that are associated, without each fold and over all."""
+        for batch in sum_blocks(batches):
+            for block, total in zip(batch.column("block").to_pylist(), batch.column("total").to_pylist()):
+                counts = np.frombuffer(total, np.int64).reshape(-1, KINDS)
+                for fold in range(FOLDS + 1):
+                    use = [k for k in range(2 * FOLDS) if k // 2 != fold]
+                    toxic, clean = (counts[:, [k for k in use if k % 2 == c]].sum(axis=1) for c in (1, 0))
+                    n_toxic, n_clean = (int(texts[[k for k in use if k % 2 == c]].sum()) for c in (1, 0))
+                    g = association(toxic, clean, n_toxic, n_clean)
+                    g[toxic < min(least_docs, max(1, n_toxic))] = 0.0
+                    at = np.flatnonzero(g > 10.83)  # the 0.1 % point of chi-squared
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), fold, np.int32)), pa.array(at + block * (BLOCK // KINDS)), pa.array(g[at])], names=["fold", "slot", "g"])
+
+    candidates = sample.select("text", "toxic", "fold").mapInArrow(count, BLOCK_SCHEMA).repartition("block").mapInArrow(choose, "fold int, slot long, g double")
+    best = Window.partitionBy("fold").orderBy(F.desc("g"), "slot")
+    found = candidates.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= max_features).collect()  # max_features for each fold at most
+    parts = [np.array([r.slot for r in found if r.fold == f], dtype=np.int64) for f in range(FOLDS + 1)]
     union = np.unique(np.concatenate(parts))
     feature_of = np.full(slots, -1, dtype=np.int32)
     feature_of[union] = np.arange(len(union))
-    if not table[:, 1, slots].sum() or not len(parts[FOLDS]):
+    if not texts[1::2].sum() or not len(parts[FOLDS]):
         return ToxicityChain(feature_of, (None,) * len(CATEGORIES), 1.0)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,15 +210,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return ToxicityChain(feature_of, models, best_threshold(held[0], toxic))
 
 
-def selected(counts: np.ndarray, most: int, least_docs: int) -> np.ndarray:
-    """The slots of the features most associated with toxic texts; counts: [clean or toxic, slots and texts]."""
-    clean, toxic, n_clean, n_toxic = counts[0, :-1], counts[1, :-1], int(counts[0, -1]), int(counts[1, -1])
-    g = association(toxic, clean, n_toxic, n_clean)
-    g[toxic < min(least_docs, max(1, n_toxic))] = 0.0
-    best = np.argsort(-g, kind="stable")[:most]
-    return best[g[best] > 10.83]  # the 0.1 % point of chi-squared
-
-
 def best_threshold(p: np.ndarray, truth: np.ndarray) -> float:
     grid = np.arange(0.5, 1.0, 0.02)
     hit = np.array([(p >= t)[truth].sum() for t in grid], dtype=float)
