@@ -56,10 +56,8 @@ def value_quantiles(images: DataFrame) -> DataFrame:
             lambda d: F.concat(F.array(of("bbox_size", size_of(d)), of("detection_conf", d.conf)), F.transform(F.coalesce(d.classifications, F.array()), lambda c: of("classification_conf", c.conf))),
         )
     )
-    values = images.select(F.inline(every))
-    found = values_at(values, QUARTILES).groupBy("measure").agg(*(F.max(F.when(F.col("place") == q, F.col("v"))).alias(q) for q in QUARTILES))
-    ends = values.where("v is not null").groupBy("measure").agg(F.min("v").alias("min"), F.max("v").alias("max"))
-    return ends.join(found, "measure").select("min", *QUARTILES, "max", "measure")
+    found = values_at(images.select(F.inline(every)), QUARTILES)
+    return found.groupBy("measure").agg(F.max("low").alias("min"), *(F.max(F.when(F.col("place") == q, F.col("v"))).alias(q) for q in QUARTILES), F.max("high").alias("max"))
 
 
 def threshold_counts(images: DataFrame, size: float = 0.1, confidence: float = 0.8) -> DataFrame:

@@ -558,7 +558,7 @@ for _name in ("v1", "improved", "campaign", "training"):
 @query
 def negatives_mix(spark, sf_dir):
     config = preset("training", score_scale=6)
-    groups = selection.image_groups(_candidates(spark, sf_dir, config, False))
+    groups = keep(selection.image_groups(_candidates(spark, sf_dir, config, False)))
     rows = selection.negatives_mix(groups, config.quotas(TOTAL), config.negatives)
     return rows.select("category", "file", "quality_score", F.col("rank").cast("long").alias("rank"))
 
