@@ -11,8 +11,9 @@ need no padding. A document's place then follows from its number among all of it
 nothing is sorted, and no length is brought together, whatever share of the documents has it.
 
 Encoding by units: the vocabulary's rules never reach over ASCII white space, so the ids of a text are those of its
-white-space separated units one after the other; each distinct unit is encoded once by the tokenizer and remembered
-(at most `MEMO_UNITS`, then anew).
+white-space separated units one after the other; a plain unit is cut further into its letters, digits and other
+characters, as the rules do. Each distinct segment is encoded once by the tokenizer in each worker and remembered
+(at most `MEMO_UNITS` and a slice's, then anew).
 
 Defined results: a null text is empty; every row, also one with a null id, has its end id and so at least one piece;
 repeated rows are packed each. Longest texts are cut like others. Empty tables give no rows.
@@ -30,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, bound_batches, keep, pieces, ragged, running, span_hashes, utf8, words
+from .common import LOWER, NOT_SPACE, bound_batches, keep, pieces, ragged, running, span_hashes, utf8, words
 
 WINDOW = 2048
 END_ID = 1
-MEMO_UNITS = 1 << 19
+MEMO_UNITS = 1 << 20
+#: Hashes are looked up by their upper 21 bits first.
+NEAR_SHIFT = np.uint64(43)
 #: Rows (task, length) of first numbers that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 STEPS = 200
@@ -43,8 +46,53 @@ STEPS = 200
 # -- encoding ------------------------------------------------------------------------------------------------
 
 
+def segment_classes() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte its class (0 white space, 1 letter, 2 digit, 3 other), and whether its unit is encoded as a whole."""
+    kind = np.full(256, 3, np.uint8)
+    kind[ord("a") : ord("z") + 1] = kind[ord("A") : ord("Z") + 1] = kind[0x80:] = 1
+    kind[ord("0") : ord("9") + 1] = 2
+    kind[~NOT_SPACE] = 0
+    whole = np.zeros(256, dtype=bool)
+    whole[:0x20] = whole[0x7F] = whole[0xC9:] = whole[0xC0:0xC3] = True
+    whole[[ord("'"), ord("<")]] = True  # contractions, special tokens
+    return kind, whole & NOT_SPACE
+
+
+KIND, WHOLE = segment_classes()
+
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes to encode, and starts, ends, text and wholeness of the segments of all units.
+
+    A unit of ASCII and of Latin letters of two bytes falls into runs of letters, single digits and runs of other
+    characters, each a word to the vocabulary's rules, without regard to case. Other units, and those with an
+    apostrophe or the begin of a special token, are one segment, as they are.
+    """
+    starts, ends, of = words(data, offsets, NOT_SPACE)
+    odd = WHOLE[data]
+    two = np.flatnonzero(data == 0xC3)  # the signs of multiplication and division, and a letter whose lower case is two
+    odd[two] = np.isin(data[np.minimum(two + 1, len(data) - 1)], (0x97, 0xB7))
+    two = np.flatnonzero(data == 0xC4)
+    odd[two] = data[np.minimum(two + 1, len(data) - 1)] == 0xB0
+    whole = np.zeros(len(starts), dtype=bool)
+    whole[np.searchsorted(starts, np.flatnonzero(odd), side="right") - 1] = True
+    kind = KIND[data]
+    begin = (kind != 0) & ((kind == 2) | np.append(True, kind[1:] != kind[:-1]))
+    begin[starts] = True
+    at = np.flatnonzero(begin)
+    first = np.zeros(len(data), dtype=bool)
+    first[starts] = True
+    unit = np.cumsum(first[at]) - 1
+    kept = first[at] | ~whole[unit]
+    at, unit = at[kept], unit[kept]
+    text = LOWER[data]
+    raw = ragged(starts[whole], (ends - starts)[whole])
+    text[raw] = data[raw]
+    return text, at, np.minimum(np.append(at[1:], len(data)), ends[unit]), of[unit], whole[unit]
+
+
 class UnitEncoder:
-    """Ids of texts, each distinct white-space separated unit encoded once."""
+    """Ids of texts, each distinct segment of a white-space separated unit encoded once."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,38 +100,70 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # whether an id ends a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Slot 0 is of no segment."""
+        self.hash, self.first, self.size = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int32)
         self.ids = np.zeros(0, self.type)
-
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        begin = len(self.ids)
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], self.type)])
-        self.slot = np.concatenate([self.slot, len(self.first) + np.arange(len(found))])
-        self.first, self.size = np.concatenate([self.first, begin + np.cumsum(size) - size]), np.concatenate([self.size, size])
-        self.known = np.concatenate([self.known, hashes])
-        order = np.argsort(self.known)
-        self.known, self.slot = self.known[order], self.slot[order]
+        self.known, self.slot = np.zeros(1, np.uint64), np.zeros(1, np.int64)  # hashes in order, and their slots
+        self.near = np.zeros(1 << (64 - int(NEAR_SHIFT)), np.int64)  # the first slot of a hash's upper bits
+
+    def one_by_one(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        return np.array([i for x in found for i in x], self.type), np.array([len(x) for x in found], np.int32)
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single words, encoded together and cut after each id that ends a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(texts).decode(), add_special_tokens=False).ids, self.type)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return (ids, np.diff(ends, prepend=0).astype(np.int32)) if len(ends) == len(texts) else self.one_by_one(texts)
+
+    def learn(self, places: np.ndarray, hashes: np.ndarray, texts: list[bytes], whole: np.ndarray) -> np.ndarray:
+        """The slots of new segments; places: where their hashes belong among the known ones."""
+        size, parts = np.zeros(len(texts), np.int32), []
+        order = np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)])
+        simple, at = len(texts) - int(whole.sum()), 0
+        while at < len(order):
+            some = order[at : min(at + 4096, simple if at < simple else len(order))]
+            found = (self.words if at < simple else self.one_by_one)([texts[i] for i in some.tolist()])
+            parts.append(found[0])
+            size[some] = found[1]
+            at += len(some)
+        begin, slots = len(self.ids), len(self.first) + np.argsort(order)
+        self.ids = np.concatenate([self.ids, *parts])
+        self.known, self.slot = np.insert(self.known, places, hashes), np.insert(self.slot, places, slots)
+        self.hash = np.concatenate([self.hash, hashes[order]])
+        self.first = np.concatenate([self.first, begin + np.cumsum(size[order]) - size[order]])
+        self.size = np.concatenate([self.size, size[order]])
+        free = self.near[hashes >> NEAR_SHIFT] == 0
+        self.near[hashes[free] >> NEAR_SHIFT] = slots[free]
+        return slots
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of each text's."""
-        starts, ends, of = words(data, offsets, NOT_SPACE)
-        if not len(starts):
+        if not len(data):
             return np.zeros(0, self.type), np.zeros(len(offsets) - 1, np.int64)
-        hashes, where, inverse = np.unique(span_hashes(running(data), starts, ends), return_index=True, return_inverse=True)
+        text, starts, ends, of, whole = segments(data, offsets)
+        every = span_hashes(running(text), starts, ends)
         if len(self.known) > MEMO_UNITS:
             self.forget()
-        at = np.searchsorted(self.known, hashes)
-        new = (at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != hashes) if len(self.known) else np.ones(len(hashes), bool)
-        if new.any():
-            self.learn(hashes[new], [data[starts[i] : ends[i]].tobytes().decode() for i in where[new].tolist()])
-            at = np.searchsorted(self.known, hashes)
-        slots = self.slot[at][inverse]
+        slots = self.near[every >> NEAR_SHIFT]
+        missed = np.flatnonzero(self.hash[slots] != every)
+        at = np.searchsorted(self.known, every[missed])
+        found = self.known[np.minimum(at, len(self.known) - 1)] == every[missed]
+        slots[missed[found]] = self.slot[at[found]]
+        if not found.all():
+            unknown = missed[~found]
+            hashes, where, inverse = np.unique(every[unknown], return_index=True, return_inverse=True)
+            places, where = at[~found][where], unknown[where]
+            raw = text.tobytes()
+            new = self.learn(places, hashes, [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())], whole[where])
+            slots[unknown] = new[inverse]
         sizes = self.size[slots]
         return self.ids[ragged(self.first[slots], sizes)], np.bincount(of, weights=sizes, minlength=len(offsets) - 1).astype(np.int64)
 
