@@ -38,6 +38,10 @@ def rounded(df: DataFrame, *columns: str, scale: int = 8) -> DataFrame:
 # -- sources: the views are written as files to the shared folder and read back -------------------------------
 
 
+#: Bytes of a range of a document: small, so that the given tables make several.
+RANGE = 256 << 10
+
+
 def _documents(rows, path, head, tail):
     """rows: image_ord, value. A document a partition, in order."""
     sinks.write_documents(rows.repartitionByRange("image_ord").sortWithinPartitions("image_ord").select("value"), path, head, tail)
@@ -47,9 +51,11 @@ def _documents(rows, path, head, tail):
 def read_detections(spark, sf_dir):
     at = scratch(spark, "detections")
     pairs = F.transform("detections", lambda d: F.struct(d.category.alias("category"), d.conf.alias("conf"), d.bbox.alias("bbox"), F.transform(d.classifications, lambda c: F.array(c.species_id, c.conf.cast("string"))).alias("classifications")))
-    element = F.to_json(F.struct("file", pairs.alias("detections")))
-    _documents(fx.images(spark, sf_dir).select("image_ord", element.alias("value")), at, '{"info": {"version": "1"}, "images": [', '], "detection_categories": {"1": "animal"}}')
-    read = sources.read_detections(spark, at).select("image_ord", "file", F.posexplode_outer("detections").alias("nth", "d"))
+    # Keys in both orders, quotes and brackets in strings, and a `file` and an `images` elsewhere in the document.
+    other = F.struct(F.lit('a "]" and [{').alias("note"), pairs.alias("detections"), "file")
+    element = F.when(F.col("image_ord") % 3 == 0, F.to_json(other)).otherwise(F.to_json(F.struct("file", pairs.alias("detections"))))
+    _documents(fx.images(spark, sf_dir).select("image_ord", element.alias("value")), at, '{"info": {"file": "model.pt", "images": [{"file": "no"}]}, "images": [\n', '\n], "detection_categories": {"1": "animal"}, "rest": [{"file": "x\\\\"}]}')
+    read = sources.read_detections(spark, at, RANGE).select("image_ord", "file", F.posexplode_outer("detections").alias("nth", "d"))
     named = F.array_join(F.transform("d.classifications", lambda c: c.species_id), ",")
     return rounded(read.select("image_ord", "file", "nth", "d.category", "d.conf", ft.size_of(F.col("d")).alias("size"), named.alias("species"), F.get("d.classifications", F.lit(0)).conf.alias("first_conf")), "size")
 
@@ -97,7 +103,18 @@ def list_from_json(spark, sf_dir):
     at = scratch(spark, "paths")
     element = F.when(F.col("image_ord") % 7 == 0, F.col("image_ord").cast("string")).when(F.col("image_ord") % 11 == 0, F.lit('{"a": "b"}')).otherwise(F.concat(F.lit('"'), F.col("file"), F.lit('"')))
     _documents(fx.image_list(spark, sf_dir).select("image_ord", element.alias("value")), at, "[", "]")
-    return image_sources.list_from_json(spark, at).select("path")
+    return image_sources.list_from_json(spark, at, RANGE).select("path")
+
+
+@query
+def read_sequence_metadata(spark, sf_dir):
+    at = scratch(spark, "metadata")
+    entries = fx.metadata(spark, sf_dir).withColumn("image_ord", F.regexp_extract("file_name", r"(\d+)\.jpg", 1).cast("long"))
+    again = entries.where("frame_num % 3 = 0").withColumn("location", F.lit("moved"))
+    last = again.agg(F.max("image_ord").alias("most")).first().most or 0
+    rows = entries.unionByName(again.withColumn("image_ord", F.col("image_ord") + last + 1))
+    _documents(rows.select("image_ord", F.to_json(F.struct("file_name", "seq_id", "frame_num", "seq_num_frames", "location")).alias("value")), at, '{"annotations": [{"images": []}], "images": [', "]}")
+    return sources.read_sequence_metadata(spark, at, RANGE)
 
 
 CHUNK = 1000
@@ -141,13 +158,6 @@ def read_batch_manifest(spark, sf_dir):
 # -- features ------------------------------------------------------------------------------------------------
 
 
-@query
-def read_sequence_metadata(spark, sf_dir):
-    entries = fx.metadata(spark, sf_dir).withColumn("pos", F.col("frame_num"))
-    again = entries.where("frame_num % 3 = 0").withColumn("pos", F.col("frame_num") + 1000).withColumn("location", F.lit("moved"))
-    return sources.last_per_file(entries.unionByName(again))
-
-
 @query
 def head_subset(spark, sf_dir):
     return sources.with_chunk(sources.head_subset(fx.image_list(spark, sf_dir), 10_000), 1000).select("image_ord", "file", "chunk_id")

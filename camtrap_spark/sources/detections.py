@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..schemas import DETECTION_DOCUMENT, IMAGES, RAW_IMAGE, SEQUENCE_DOCUMENT
-
-
-KEY = '"file"'
+from ..schemas import DETECTION_DOCUMENT, IMAGES, RAW_IMAGE, SEQUENCE
+from .json_elements import RANGE_BYTES, read_elements
 
 
 def typed_detections(raw: Column) -> Column:
@@ -25,34 +23,17 @@ def typed_detections(raw: Column) -> Column:
     )
 
 
-def read_detections(spark: SparkSession, path: str) -> DataFrame:
+def read_detections(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """JSON documents with an `images` array; image_ord keeps the order of the array, and of the documents by name.
 
-    Where `file` is the first key of every image, as detectors write it, the text is cut at that key, so that Spark
-    deals one document over many tasks. Documents of another order are read whole, a row each (`read_whole_documents`).
+    Each document is dealt over tasks by byte ranges, whatever the order of its keys and whatever stands beside the array.
     """
-    pieces = spark.read.option("lineSep", KEY).text(path)
-    # A piece after a key holds the rest of its image and the opening of the next one; the last one the document's end.
-    cut = pieces.select(F.col("_metadata.file_path").alias("document"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
-    images = cut.where(F.col("value").rlike(r"^\s*:"))
-    # The second pass sees the same blocks and places: they follow from the files alone.
-    sizes = images.groupBy("document", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.count_if(~F.col("value").rlike(r"\{\s*$")).alias("ends"))
-    blocks = Window.orderBy("document", "block")  # a row for each block of a file
-    offsets = sizes.withColumn("before", F.sum("n").over(blocks) - F.col("n")).collect()
-    ends: dict[str, int] = {}
-    for r in offsets:
-        ends[r.document] = ends.get(r.document, 0) + r.ends
-    if any(n > 1 for n in ends.values()):
-        return read_whole_documents(spark, path)
-    by_block = spark.createDataFrame([(r.document, r.block, r.before) for r in offsets], "document string, block long, before long")
-    ranked = images.join(F.broadcast(by_block), ["document", "block"]).withColumn("nth", F.row_number().over(Window.partitionBy("document", "block").orderBy("place")))
-    image = F.from_json(F.concat(F.lit("{" + KEY), F.col("value")), RAW_IMAGE)
-    rows = ranked.select((F.col("before") + F.col("nth") - 1).alias("image_ord"), image.alias("image"))
+    rows = read_elements(spark, path, "images", range_bytes).select(F.col("ord").alias("image_ord"), F.from_json("element", RAW_IMAGE).alias("image"))
     return rows.select("image.file", "image_ord", typed_detections(F.col("image.detections")).alias("detections"))
 
 
 def read_whole_documents(spark: SparkSession, path: str) -> DataFrame:
-    """The same, a document a row: for keys in any order, and documents that fit into a task."""
+    """The same by Spark's own reader, a document a row: for documents that fit into a task, in any store that Spark reads."""
     document = spark.read.schema(DETECTION_DOCUMENT).option("multiLine", True).json(path)
     rows = document.select(F.col("_metadata.file_path").alias("document"), F.posexplode("images").alias("pos", "image"))
     sizes = rows.groupBy("document").agg(F.count("*").alias("n"))
@@ -67,10 +48,10 @@ def read_image_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "image_ord", typed_detections(F.col("detections")).alias("detections"))
 
 
-def read_sequence_metadata(spark: SparkSession, path: str) -> DataFrame:
+def read_sequence_metadata(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """file_name with its sequence fields; of several entries for a file the last one counts."""
-    document = spark.read.schema(SEQUENCE_DOCUMENT).option("multiLine", True).json(path)
-    return last_per_file(document.select(F.posexplode("images").alias("pos", "entry")).select("pos", "entry.*"))
+    entries = read_elements(spark, path, "images", range_bytes).select(F.col("ord").alias("pos"), F.from_json("element", SEQUENCE).alias("entry"))
+    return last_per_file(entries.select("pos", "entry.*"))
 
 
 def last_per_file(entries: DataFrame, position: str = "pos") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_elements import RANGE_BYTES, read_elements
+
 EXTENSIONS = (".jpg", ".jpeg", ".png")
 
 
@@ -44,11 +46,9 @@ def list_from_text(spark: SparkSession, path: str, comments: bool = True) -> Dat
     return lines.where(~F.col("path").startswith("#")) if comments else lines
 
 
-def list_from_json(spark: SparkSession, path: str) -> DataFrame:
+def list_from_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The strings of a JSON array, in order; other elements are dropped, another document is an error."""
-    document = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    checked = document.select(F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.raise_error(F.lit("a JSON array of paths is expected"))).alias("v"))
-    elements = checked.select(F.posexplode(F.col("v").cast("array<variant>")).alias("pos", "element"))
+    elements = read_elements(spark, path, range_bytes=range_bytes).select(F.col("ord").alias("pos"), F.parse_json("element").alias("element"))
     return elements.where(F.schema_of_variant("element") == "STRING").select("pos", F.col("element").cast("string").alias("path"))
 
 

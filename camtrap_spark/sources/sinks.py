@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import basename, flattened_name, sanitize_model
 from ..operators.labelling import label_stats
 from ..operators.profile import category_distribution, selection_summary, size_distribution
+from .files import file_system
 
 CANDIDATE_FIELDS = ("original_path", "flattened_filename", "category", "quality_score", "seq_id", "frame_num", "seq_num_frames", "max_size", "max_confidence", "num_animals", "num_species")
 
@@ -63,16 +63,6 @@ def write_documents(rows: DataFrame, path: str, head: str, tail: str, element: s
     rows.select(element).mapInArrow(run, "value string").write.text(path)
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, and the path in it; a bare path is a local one. Names may hold any character."""
-    scheme, colon, rest = path.partition(":/")
-    if not colon or scheme == "file":
-        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if colon else path
-    authority, _, inside = rest.lstrip("/").partition("/")
-    there, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
-    return there, f"{root.rstrip('/')}/{inside}"
-
-
 def write_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """A file for each row, whole or not at all: written beside its place and moved there. Gives path and bytes when it is run."""
 
@@ -85,7 +75,7 @@ def write_files(files: DataFrame, path: str = "path", content: str = "content")
 
 
 def put(path: str, data: bytes) -> int:
-    there, at = _open(path)
+    there, at = file_system(path)
     beside = f"{at}.{uuid.uuid4().hex}.part"
     there.create_dir(at.rsplit("/", 1)[0], recursive=True)
     with there.open_output_stream(beside) as out:
@@ -108,7 +98,7 @@ def copy_files(plan: DataFrame, root: str = "") -> DataFrame:
         if not exists:
             return False
         try:
-            there, at = _open(f"{root}{source}")
+            there, at = file_system(f"{root}{source}")
             with there.open_input_stream(at) as data:
                 put(target, data.read())
             return True

@@ -1,10 +1,13 @@
+import gzip
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from camtrap_spark.functions.names import basename
-from camtrap_spark.sources import detections, images, labels, sinks
+from camtrap_spark.sources import detections, images, json_elements, labels, sinks
 from camtrap_spark.streaming.labelling import score_images, stream_label, stream_label_stats
 
 DOCUMENT = {
@@ -27,12 +30,14 @@ def test_detection_document(spark, tmp_path):
     assert rows[1].detections is None and rows[2].detections is None and rows[3].detections == []
 
 
-@pytest.mark.parametrize("layout", ["compact", "indented", "other order", "several"])
-def test_documents_are_cut_at_their_images(spark, tmp_path, layout):
+@pytest.mark.parametrize("layout", ["compact", "indented", "other order", "several", "other files"])
+def test_documents_are_cut_into_ranges(spark, tmp_path, layout):
     images_of = [{"file": f"a/{i}.jpg", "detections": [{"category": "1", "conf": i / 7, "bbox": [0.1, 0.2, 0.3, 0.4], "classifications": [["file", 0.5]] if i % 3 else None}] * (i % 4)} for i in range(2000)]
     if layout == "other order":
         images_of = [{k: image[k] for k in ("detections", "file")} for image in images_of]
     document = {"info": {"v": 1}, "images": images_of, "detection_categories": {"1": "animal"}}
+    if layout == "other files":
+        document = {"info": {"file": "model.pt", "images": [{"file": "no"}]}, **document, "rest": [{"file": 'x"[\\'}]}
     target = tmp_path / "d.json"
     if layout == "several":
         target.mkdir()
@@ -40,11 +45,9 @@ def test_documents_are_cut_at_their_images(spark, tmp_path, layout):
             (target / f"p{k}.json").write_text(json.dumps({**document, "images": images_of[k * 700 : (k + 1) * 700]}))
     else:
         target.write_text(json.dumps(document, indent=1 if layout == "indented" else None))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        rows = detections.read_detections(spark, str(target)).orderBy("image_ord").collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = detections.read_detections(spark, str(target), 20_000)
+    assert found.rdd.getNumPartitions() >= 8
+    rows = found.orderBy("image_ord").collect()
     assert [(r.image_ord, r.file) for r in rows] == [(i, f"a/{i}.jpg") for i in range(2000)]
     assert [len(r.detections) for r in rows] == [i % 4 for i in range(2000)]
     assert [d.conf for r in rows for d in r.detections] == [i / 7 for i in range(2000) for _ in range(i % 4)]
@@ -52,6 +55,46 @@ def test_documents_are_cut_at_their_images(spark, tmp_path, layout):
         assert rows == detections.read_whole_documents(spark, str(target)).orderBy("image_ord").collect()
 
 
+TEXT = st.text(st.sampled_from('ab"\\[]{},: é\n'), max_size=6)
+VALUE = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-9, 99), TEXT), lambda inner: st.one_of(st.lists(inner, max_size=3), st.dictionaries(TEXT, inner, max_size=3)), max_leaves=6)
+
+
+def elements_by_range(path, size, key, length):
+    begin = json_elements.AFTER_KEY if key is None else json_elements.OUTSIDE
+    rows = [(i, path, a, min(a + size, length), False, 0, begin, 0) for i, a in enumerate(range(0, max(1, length), size))]
+    placed = json_elements.with_depths(rows, {r[0]: json_elements.change(*r[1:4]) for r in rows})
+    rows = json_elements.with_numbers(placed, {r[0]: json_elements.count(*r[1:6], key) for r in placed})
+    found = {}
+    for _, document, a, b, in_string, depth, state, first in rows:
+        for n, element in enumerate(json_elements.elements(document, a, b, in_string, depth, state, key)):
+            assert first + n not in found
+            found[first + n] = json.loads(element)
+    assert sorted(found) == list(range(len(found)))
+    return [found[i] for i in range(len(found))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(VALUE, max_size=5), st.dictionaries(TEXT, VALUE, max_size=3), st.dictionaries(TEXT, VALUE, max_size=2), st.integers(1, 40), st.sampled_from([None, 1]), st.sampled_from([(", ", ": "), (",", ":"), (" ,\n", " :  ")]), st.integers(1, 30), st.booleans())
+def test_ranges_of_any_size_give_the_elements(tmp_path_factory, array, before, after, size, indent, separators, chunk, ascii_only):
+    path = tmp_path_factory.getbasetemp() / "ranges.json"
+    document = {**before, "images": array, **{k: v for k, v in after.items() if k not in before and k != "images"}}
+    for content, key, want in ((document, "images", document["images"]), (array, None, array), ({"images": {"a": array}, "x": array}, "images", []), ({"a": {"images": array}}, "images", [])):
+        text = json.dumps(content, indent=indent, separators=separators, ensure_ascii=ascii_only).encode()
+        path.write_bytes(text)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(json_elements, "CHUNK_BYTES", chunk)
+            assert elements_by_range(str(path), size, key, len(text)) == want
+
+
+def test_arrays_in_unusual_documents(spark, tmp_path):
+    read = lambda text, key="images": (tmp_path / "u.json").write_bytes(text) and [r.element for r in json_elements.read_elements(spark, str(tmp_path / "u.json"), key, 7).orderBy("ord").collect()]
+    assert read(b'\xef\xbb\xbf {"im\\u0061ges" : [ 1, "a\\"]" ,{"b":[2]}] , "x": 3}') == ["1", '"a\\"]"', '{"b":[2]}']
+    assert read(b'{"images": []}') == read(b'{"images": null, "a": [1]}') == read(b"{}") == read(b'{"images": [  ]}') == []
+    assert read(b'\xef\xbb\xbf["a", "b"]', None) == ['"a"', '"b"']
+    (tmp_path / "z.json.gz").write_bytes(gzip.compress(b'{"images": [1, 2]}'))
+    assert json_elements.read_elements(spark, str(tmp_path / "z.json.gz"), "images", 3).count() == 2
+
+
 def test_last_metadata_entry_counts(spark, tmp_path):
     entry = lambda f, s: {"file_name": f, "seq_id": s, "frame_num": 0, "seq_num_frames": 1, "location": "l"}
     (tmp_path / "m.json").write_text(json.dumps({"images": [entry("a", "1"), entry("b", "2"), entry("a", "3")]}))
