@@ -83,13 +83,12 @@ def selection_criteria() -> Column:
     )
 
 
-def heuristic_score(kept: Column, frequency: Column) -> Column:
-    """The composite score of an image; frequency: map of species to its share of all confident classifications."""
+def heuristic_score(kept: Column, rarity: Column) -> Column:
+    """The composite score of an image; rarity: of its rarest species, from 0 to 1."""
     best_size = F.greatest(F.lit(0.0), F.array_max(F.transform(kept, lambda d: F.log10(size_of(d) + 0.0001) + 4)))
     best_centre = F.greatest(F.lit(0.0), F.array_max(F.transform(kept, lambda d: 1 - centre_distance(d))))
     confidence = F.greatest(F.lit(0.0), F.array_max(F.transform(kept, lambda d: d.conf)))
     n, species = F.size(kept), species_in_image(kept)
     several = F.when(n > 1, F.least(F.log2(n.cast("double")), F.lit(2.0))).otherwise(0.0)
     kinds = F.when(F.size(species) > 1, F.least(F.size(species) * 0.5, F.lit(2.0))).otherwise(0.0)
-    rarity = F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform(species, lambda s: 1 - frequency[s])), F.lit(0.0)))
     return best_size * 3 + best_centre * 2 + confidence + several * 1.5 + kinds * 2 + rarity

@@ -94,11 +94,18 @@ def category_appearance(groups: DataFrame) -> DataFrame:
     return groups.groupBy("category").agg(F.min("group_ord").alias("_first")).withColumn("_rule", by_number(places))
 
 
-def fill_remaining(groups: DataFrame, selected: DataFrame, total: int, per_sequence: bool) -> DataFrame:
-    """The best groups that are not selected, as many as are missing from `total`; ranked from 1."""
+def fill_remaining(groups: DataFrame, selected: DataFrame, total: int, per_sequence: bool, strict: bool = False) -> DataFrame:
+    """The best groups that are not selected, as many as are missing from `total`; ranked from 1.
+
+    strict: of each burst the best group alone, found before the cut, so that `total` is reached if there are bursts enough.
+    """
     rest = unselected_sequences(groups, selected) if per_sequence else unselected_images(groups, selected)
+    rest = rest.join(F.broadcast(category_appearance(groups)), "category")  # a row for each category
+    if strict and per_sequence:
+        order = F.struct((-F.col("quality_score")).alias("q"), "_first", "_rule", "group_ord")
+        rest = rest.groupBy(F.col("seq_id").alias("_burst")).agg(F.min_by(F.struct(*rest.columns), order).alias("r")).select("r.*")
     order = [F.desc("quality_score"), F.asc("_first"), F.asc("_rule"), F.asc("group_ord")]
-    top = rest.join(F.broadcast(category_appearance(groups)), "category").orderBy(*order).limit(total)  # no more can be missing
+    top = rest.orderBy(*order).limit(total)  # no more can be missing
     missing = selected.agg((F.lit(total) - F.count("*")).alias("_missing"))
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # `total` rows at most
     return ranked.crossJoin(F.broadcast(missing)).where(F.col("rank") <= F.col("_missing")).drop("_missing", "_first", "_rule")
@@ -121,9 +128,7 @@ def select(groups: DataFrame, config: SelectorConfig, total: int) -> DataFrame:
     if config.strict_unique_sequences and config.per_sequence:
         first = Window.partitionBy("seq_id").orderBy("category_ord", "rank")
         chosen = chosen.withColumn("_once", F.row_number().over(first)).where("_once = 1").drop("_once")
-    fill = fill_remaining(groups, chosen, total, config.per_sequence)
-    if config.strict_unique_sequences and config.per_sequence:
-        fill = fill.withColumn("_once", F.row_number().over(Window.partitionBy("seq_id").orderBy("rank"))).where("_once = 1").drop("_once")
+    fill = fill_remaining(groups, chosen, total, config.per_sequence, config.strict_unique_sequences)
     fill = fill.withColumn("category_ord", by_number(numbers)).withColumn("phase", F.lit(1))
     return chosen.unionByName(fill.select(chosen.columns))
 

@@ -116,17 +116,19 @@ chosen AS (SELECT * FROM picked UNION ALL SELECT * FROM mixed)"""
     )
 
 
-def filled(name: str, total: int = TOTAL) -> str:
+def filled(name: str, total: int = TOTAL, strict: bool = False) -> str:
     key = "seq_id" if PRESETS[name].per_sequence else "file"
     rules = ", ".join(f"('{c}', {i})" for i, c in enumerate(RULE_ORDER))
+    once = "WHERE once = 1" if strict else ""
     return f"""
 rules AS (SELECT * FROM (VALUES {rules}) t(category, rule)),
 appearance AS (SELECT category, MIN(group_ord) AS first_seen FROM groups GROUP BY category),
 fill AS (
   SELECT * FROM (
-    SELECT g.*, row_number() OVER (ORDER BY quality_score DESC, first_seen, rule, group_ord) AS rank
-    FROM groups g JOIN appearance USING (category) JOIN rules USING (category)
-    WHERE g.{key} NOT IN (SELECT {key} FROM chosen)) WHERE rank <= {total} - (SELECT COUNT(*) FROM chosen)
+    SELECT * EXCLUDE (once), row_number() OVER (ORDER BY quality_score DESC, first_seen, rule, group_ord) AS rank FROM (
+      SELECT g.*, first_seen, rule, row_number() OVER (PARTITION BY {key} ORDER BY quality_score DESC, first_seen, rule, group_ord) AS once
+      FROM groups g JOIN appearance USING (category) JOIN rules USING (category)
+      WHERE g.{key} NOT IN (SELECT {key} FROM chosen)) {once}) WHERE rank <= {total} - (SELECT COUNT(*) FROM chosen)
 )"""
 
 
@@ -140,6 +142,16 @@ SEQ = (candidates("sequence", True), SEQUENCE_GROUPS)
 SEQ_CHOSEN = (*SEQ, quotas("sequence"), chosen("sequence"))
 SEQ_SELECTED = (*SEQ_CHOSEN, filled("sequence"), selected("sequence", SEQ_EXTRA))
 
+#: A burst once: the first of its quota rows, then the best group of each burst that is left.
+STRICT_TOTAL = 900
+SEQ_STRICT = (
+    *SEQ,
+    quotas("sequence", STRICT_TOTAL),
+    chosen("sequence").replace("SELECT * FROM picked", "SELECT * EXCLUDE (once) FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY category_ord, rank) AS once FROM picked) WHERE once = 1"),
+    filled("sequence", STRICT_TOTAL, strict=True),
+    selected("sequence", ", seq_id"),
+)
+
 
 def image_selection(name: str) -> tuple[str, ...]:
     return candidates(name, False), IMAGE_GROUPS, quotas(name), chosen(name), filled(name), selected(name)
@@ -325,6 +337,7 @@ SELECT model || '_labels_x.json' AS file_name, CASE model WHEN 'model0' THEN 'Ge
         "sequence_size": sql("SELECT category, sequence_size, COUNT(*) AS groups FROM groups GROUP BY 1, 2", *SEQ),
         "category_top_k": sql("SELECT category, rank, seq_id, file, quality_score FROM chosen", *SEQ_CHOSEN),
         "fill_remaining": sql("SELECT category, seq_id, file, rank, quality_score FROM fill", *SEQ, quotas("sequence", TOTAL // 2), chosen("sequence"), filled("sequence")),
+        "select_sequence_aware_strict": sql("SELECT phase, category, file, seq_id, quality_score, rank FROM sel", *SEQ_STRICT),
         "select_sequence_aware": sql("SELECT phase, category, file, quality_score, round(max_size, 8) AS max_size, num_animals, num_species, rank, seq_id, frame_num, seq_num_frames, sequence_size, max_confidence FROM sel", *SEQ_SELECTED),
         "negatives_mix": sql("SELECT category, file, quality_score, rank FROM mixed", candidates("training", False), IMAGE_GROUPS, quotas("training"), chosen("training")),
         "dedupe_last": sql("SELECT image_filename, pos, model, score FROM (SELECT *, row_number() OVER (PARTITION BY image_filename ORDER BY pos DESC) AS k FROM p2) WHERE k = 1", parsed("local"), "p2 AS (SELECT *, image_ord * 3 + CAST(substr(model, 6, 1) AS INT) AS pos FROM parsed)"),

@@ -43,10 +43,10 @@ def select_stratified(images: DataFrame, total: int, config: SelectorConfig) ->
 
 def heuristic_scores(images: DataFrame, scale: int | None = None) -> DataFrame:
     """file, image_ord, score and selection criteria of every image with an animal."""
-    frequency = rarity.frequencies(rarity.species_counts(images))
-    score = ft.heuristic_score(ft.animal_detections(F.col("detections")), F.col("frequency"))
-    scored = images.crossJoin(F.broadcast(frequency)).withColumn("score", score if scale is None else F.round(score, scale))
-    return ft.image_features(scored.drop("frequency"))
+    kept = ft.animal_detections(F.col("detections"))
+    rows = rarity.with_rarity(images.withColumn("_species", ft.species_in_image(kept)), rarity.species_counts(images), "_species")
+    score = ft.heuristic_score(kept, F.col("rarity"))
+    return ft.image_features(rows.withColumn("score", score if scale is None else F.round(score, scale)).drop("_species", "rarity"))
 
 
 #: Pluggable selectors: a name and a function of (images, n) that returns the rows that it picks, the best of them with `rank` 1.

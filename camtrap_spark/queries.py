@@ -83,9 +83,11 @@ def list_images(spark, sf_dir):
 def copy_images(spark, sf_dir):
     at, to = scratch(spark, "images"), scratch(spark, "copies")
     _image_files(spark, sf_dir, at)
-    listing = image_sources.list_images(spark, at, recursive=True).select(_below(F.col("path"), at).alias("path"))
-    wanted = listing.unionByName(listing.select(F.concat(F.col("path"), F.lit(".gone")).alias("path"))).withColumnRenamed("path", "file")
-    done = keep(sinks.copy_files(sinks.copy_plan(wanted, listing, to), f"{at}/"))
+    listing = image_sources.list_images(spark, at, recursive=True).select(_below(F.col("path"), at).alias("path"), "length")
+    wanted = listing.select("path").unionByName(listing.select(F.concat(F.col("path"), F.lit(".gone")).alias("path"))).withColumnRenamed("path", "file")
+    plan = keep(sinks.copy_plan(wanted, listing, to))
+    sinks.copy_files(plan.where("crc32(source) % 3 = 0"), f"{at}/").agg(F.sum("moved")).collect()  # a run that did not get far
+    done = keep(sinks.copy_files(plan, f"{at}/", tasks=8))
     there = image_sources.list_images(spark, to).select(_below(F.col("path"), to).alias("target"), "length")
     return done.select("source", "copied", _below(F.col("target"), to).alias("target")).join(there, "target", "left").select("source", "copied", F.when(F.col("copied"), F.col("target")).alias("target"), "length")
 
@@ -331,9 +333,8 @@ def rare_species_join(spark, sf_dir):
 @query
 def rarity_lookup(spark, sf_dir):
     images = fx.images(spark, sf_dir)
-    frequency = rarity.frequencies(rarity.species_counts(images))
-    f = ft.image_features(images).crossJoin(F.broadcast(frequency))
-    return f.select("image_ord", F.round(rarity.rarity_bonus(F.col("species_list"), F.col("frequency")), 6).alias("rarity"))
+    f = rarity.with_rarity(ft.image_features(images), rarity.species_counts(images))
+    return f.select("image_ord", F.round("rarity", 6).alias("rarity"))
 
 
 def _groups(spark, sf_dir):
@@ -552,6 +553,16 @@ def select_sequence_aware(spark, sf_dir):
     return rows.select(*PICKED, F.col("rank").cast("long").alias("rank"), "seq_id", "frame_num", "seq_num_frames", "sequence_size", "max_confidence")
 
 
+STRICT_TOTAL = 900
+
+
+@query
+def select_sequence_aware_strict(spark, sf_dir):
+    """A burst once over all categories."""
+    rows = selectors.select_sequence_aware(fx.images(spark, sf_dir), fx.metadata(spark, sf_dir), STRICT_TOTAL, preset("sequence", score_scale=6, strict_unique_sequences=True))
+    return rows.select("phase", "category", "file", "seq_id", "quality_score", F.col("rank").cast("long").alias("rank"))
+
+
 def _stratified(name):
     def run(spark, sf_dir):
         rows = selectors.select_stratified(fx.images(spark, sf_dir), TOTAL, preset(name, score_scale=6))

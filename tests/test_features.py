@@ -49,6 +49,21 @@ def test_rarity_counts_all_animals_and_ties_are_rare(spark):
     assert rarity.rare_species(rarity.species_counts(images(spark, None))).collect() == []
 
 
+def test_many_species_are_joined_with_the_same_result(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id").alias("image_ord"), F.transform(F.sequence(F.lit(0), F.col("id") % 4), lambda i: F.concat(F.lit("s"), (F.col("id") * (i + 1) % 7001).cast("string"))).alias("species_list"))
+    rows = rows.unionByName(spark.createDataFrame([(50_000, [])], "image_ord long, species_list array<string>"))
+    counts = rows.select(F.explode("species_list").alias("species")).groupBy("species").agg(F.count("*").alias("n"))
+    found = []
+    for few in (50_000, 10):
+        monkeypatch.setattr(rarity, "FEW_SPECIES", few)
+        rare = rarity.rare_species(counts)
+        marked = rarity.with_rarity(rarity.mark_rare(rows, rare), counts)
+        assert ("_shares" in marked._jdf.queryExecution().optimizedPlan().toString()) == (few > 10)
+        found.append((sorted(map(tuple, rare.collect())), sorted(map(tuple, marked.select("image_ord", "has_rare_species", "rarity").collect()))))
+    assert found[0] == found[1] and len(found[0][1]) == 20_001
+    assert {r[1] for r in found[0][1]} == {True, False} and found[0][1][-1] == (50_000, False, 0.0)
+
+
 def test_threshold_is_number_n_div_5(spark):
     counts = spark.createDataFrame([(f"s{i}", i) for i in range(1, 12)], "species string, n long")  # 11 kinds: place 2
     assert {r.species for r in rarity.rare_species(counts).collect()} == {"s1", "s2", "s3"}
@@ -94,8 +109,7 @@ def test_quota_truncates():
 
 def test_heuristic_uses_the_best_of_any_detection(spark):
     df = images(spark, [det(0.5, (0.45, 0.45, 0.1, 0.1), cls=[("a", 0.9)]), det(0.9, (0, 0, 0.5, 0.5), cls=[("b", 0.6)])])
-    frequency = F.create_map(F.lit("a"), F.lit(0.25), F.lit("b"), F.lit(0.75))
-    got = df.select(ft.heuristic_score(ft.animal_detections(F.col("detections")), frequency)).first()[0]
+    got = df.select(ft.heuristic_score(ft.animal_detections(F.col("detections")), F.lit(0.75))).first()[0]
     want = 3 * (math.log10(0.2501) + 4) + 2 * 1.0 + 0.9 + 1.5 * 1.0 + 2 * 1.0 + 0.75
     assert got == pytest.approx(want)
 

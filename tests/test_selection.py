@@ -47,6 +47,18 @@ def test_quota_and_fill(spark):
     assert len({r.seq_id for r in once}) == len(once)
 
 
+def test_strict_fill_reaches_the_total_where_bursts_are_enough(spark):
+    rows = [(c, f"s{i}", f"f{i}{c}", 2 * i + j, 1 - i / 100 - j / 1000) for i in range(20) for j, c in enumerate(("multi_same_species", "high_action"))]
+    rows += [("rare_species", None, "n", 90, 0.99)]
+    groups = selection.best_per_sequence(spark.createDataFrame(rows, GROUP))
+    config = preset("sequence", shares={"multi_same_species": 0.2, "high_action": 0.2}, strict_unique_sequences=True)
+    got = selection.select(groups, config, 15).collect()
+    assert len(got) == 15 == len({r.seq_id for r in got})
+    assert len(selection.select(groups, config, 40).collect()) == 21
+    fill = sorted((r for r in got if r.phase == 1), key=lambda r: r.rank)
+    assert [r.rank for r in fill] == list(range(1, len(fill) + 1)) and fill[0].file == "n"
+
+
 def test_large_quotas_use_ordered_limits(spark):
     rows = [("multi_same_species", f"s{i}", f"f{i}", i, (i * 7919 % 3000) / 3000) for i in range(3000)]
     groups = selection.best_per_sequence(spark.createDataFrame(rows, GROUP))

@@ -191,3 +191,67 @@ def test_streaming_labels_each_image_once(spark, tmp_path):
     existing = spark.createDataFrame([("b.jpg",)], "image_filename string")
     stream_label(spark, str(source), str(tmp_path / "o2"), str(tmp_path / "c2"), clients(), "m", existing=existing).awaitTermination()
     assert {r.image_filename for r in spark.read.parquet(str(tmp_path / "o2")).collect()} == {"a.jpg", "bad.jpg"}
+
+
+def test_tables_appear_together_or_not_at_all(spark, tmp_path, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        runs.add(1)
+        return x
+
+    fields = "file string, category string, quality_score double, seq_id string, frame_num int, seq_num_frames int, max_size double, max_confidence double, num_animals int, num_species int, sequence_size long"
+    rows = spark.createDataFrame([(f"d/{i}.jpg", "c", 0.5, f"s{i}", 0, 1, 0.1 * i, 0.9, 1, 1, i) for i in range(1, 7)], fields)
+    selected = rows.withColumn("file", counted("file"))
+    assert sinks.write_candidates(selected, str(tmp_path / "a")) == {"total_candidates": 6, "max_sequence_size": 6}
+    assert runs.value == 6
+    assert sorted(p.name for p in (tmp_path / "a").iterdir()) == ["candidates", "categories", "sizes", "summary"]
+    with pytest.raises(FileExistsError):
+        sinks.write_candidates(selected, str(tmp_path / "a"))
+    monkeypatch.setattr(sinks, "size_distribution", lambda df: df.select(F.raise_error(F.lit("no summary"))))
+    with pytest.raises(Exception, match="no summary"):
+        sinks.write_candidates(selected, str(tmp_path / "b"))
+    results = spark.createDataFrame([("m", "a.jpg", 4.0, True), ("n", "a.jpg", None, False)], "model string, image_filename string, score double, success boolean")
+    assert sinks.write_labels(results, str(tmp_path / "l")) == {"total_images": 2, "successful_labels": 1}
+    monkeypatch.setattr(sinks, "label_stats", lambda df, time: df.select(F.raise_error(F.lit("no totals"))))
+    with pytest.raises(Exception, match="no totals"):
+        sinks.write_labels(results, str(tmp_path / "k"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "l"]
+
+
+def test_uneven_files_are_dealt_by_bytes_and_copied_once(spark, tmp_path, monkeypatch):
+    sizes = [4_000_000, 2_500_000] + [10_000 + i for i in range(200)]
+    (tmp_path / "i").mkdir()
+    for i, n in enumerate(sizes):
+        (tmp_path / f"i/{i}.jpg").write_bytes(bytes([i % 251]) * n)
+    at = f"file:{tmp_path}/i/"
+    listing = images.list_images(spark, str(tmp_path / "i")).select(F.replace("path", F.lit(at), F.lit("")).alias("path"), "length")
+    plan = sinks.copy_plan(listing.withColumnRenamed("path", "file"), listing, f"{tmp_path}/o")
+    loads = sinks.dealt_by_bytes(plan, 4).groupBy(F.spark_partition_id().alias("p")).agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in loads) == len(sizes) and len(loads) == 4
+    others = sorted(r.b for r in loads)
+    assert others[-1] < 4_100_000 and others[0] > 400_000
+    monkeypatch.setattr(sinks, "CHUNK_BYTES", 1000)
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o/7.jpg").write_bytes(b"x" * sizes[7])  # finished, by its size
+    (tmp_path / "o/8.jpg").write_bytes(b"x")
+    done = sinks.copy_files(plan, at, tasks=4).collect()
+    assert all(r.copied for r in done) and sum(r.moved for r in done) == sum(sizes) - sizes[7]
+    assert all((tmp_path / f"o/{i}.jpg").read_bytes() == (tmp_path / f"i/{i}.jpg").read_bytes() for i in range(len(sizes)) if i != 7)
+    assert sum(r.moved for r in sinks.copy_files(plan, at, tasks=4).collect()) == 0
+    assert len(list((tmp_path / "o").iterdir())) == len(sizes)
+
+
+def test_directories_are_walked_by_levels(spark, tmp_path):
+    for name in ("a.jpg", "x/b.png", "x/y/z/c.JPEG", ".hidden/d.jpg", "x/_e.jpg", "w/f.txt", "n o/é #%.jpg"):
+        path = tmp_path / "i" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"xy")
+    (tmp_path / "i/empty").mkdir()
+    (tmp_path / "i/loop").symlink_to(tmp_path / "i")
+    (tmp_path / "i/link.jpg").symlink_to(tmp_path / "i/a.jpg")
+    got = {(r.path.split("/i/", 1)[1], r.length) for r in images.list_images(spark, str(tmp_path / "i"), True).collect()}
+    assert got == {(n, 2) for n in ("a.jpg", "link.jpg", "x/b.png", "x/y/z/c.JPEG", "n o/é #%.jpg")}
+    assert {r.path for r in images.list_images(spark, str(tmp_path / "i")).collect()} == {f"file:{tmp_path}/i/a.jpg", f"file:{tmp_path}/i/link.jpg"}
+    assert images.image_bytes(spark, str(tmp_path / "i/x")).count() == 1
