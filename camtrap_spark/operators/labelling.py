@@ -58,6 +58,32 @@ def label_stats(results: DataFrame, by: tuple[str, ...] = ("model",), time: str
     return results.groupBy(*by).agg(*out)
 
 
+PARTIALS = "model string, total long, successful long, scored long, sum_score double, min_score double, max_score double"
+
+
+def label_partials(results: DataFrame) -> DataFrame:
+    """What `merged_stats` needs of a part of the results: counts, sum and bounds by model."""
+    score = F.when(F.col("success"), F.col("score"))
+    return results.groupBy("model").agg(
+        F.count("*").alias("total"), F.count_if("success").alias("successful"), F.count(score).alias("scored"), F.sum(score).alias("sum_score"), F.min(score).alias("min_score"), F.max(score).alias("max_score")
+    )
+
+
+def merged_stats(partials: DataFrame) -> DataFrame:
+    """The statistics of `label_stats` from partial ones."""
+    total, good = F.sum("total"), F.sum("successful")
+    zero = F.lit(0.0)
+    return partials.groupBy("model").agg(
+        total.alias("total_images"),
+        good.alias("successful_labels"),
+        (total - good).alias("failed_labels"),
+        F.round(F.coalesce(F.try_divide(good * 100.0, total), zero), 6).alias("success_rate"),
+        F.round(F.coalesce(F.try_divide(F.sum("sum_score"), F.sum("scored")), zero), 6).alias("avg_score"),
+        F.coalesce(F.min("min_score"), zero).alias("min_score"),
+        F.coalesce(F.max("max_score"), zero).alias("max_score"),
+    )
+
+
 def response_audit(parsed: DataFrame, reply: str = "reply", by: tuple[str, ...] = ("model",)) -> DataFrame:
     """What came back: replies, with text, readable, by kind of failure; names returned, once and more often."""
     names = parsed.where("returned_filename is not null").groupBy(*by, "returned_filename").agg(F.count("*").alias("times"))

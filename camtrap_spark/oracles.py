@@ -395,6 +395,9 @@ FROM sel GROUP BY category""", *SEQ_SELECTED),
         "write_label_info": sql(STATS, parsed("sync")),
         "append_checkpoint": sql("SELECT model, image_ord AS pos, score, success FROM parsed", parsed("local")),
         "score_images": scored,
+        "score_images_in_windows": sql(f"""
+SELECT path, image_filename, CASE WHEN NOT hangs THEN score END AS score, success AND NOT hangs AS success, CASE WHEN hangs THEN 'timeout' ELSE error END AS error
+FROM (SELECT *, CAST(regexp_extract(path, '([0-9]+)[.]jpg', 1) AS BIGINT) % 700 = 0 AS hangs FROM ({labelled}))"""),
         "stream_label": scored,
         "stream_label_stats": sql(STATS, f"parsed AS ({labelled})"),
     }

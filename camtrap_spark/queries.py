@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from .sources import images as image_sources
 from .sources import labels, sinks
 from .storage import keep, scratch
 from .streaming import labelling as streaming
+from .streaming.calls import CallPolicy
 
 TOTAL = 500
 SAMPLE = 200
@@ -701,27 +703,53 @@ def score_images(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir):
-    """Two drops of paths, some of them in both, with a restart between them; the place and schema of the results."""
-    source, results, checkpoint = (scratch(spark, n) for n in ("arriving", "labelled", "progress"))
+    """Two drops of paths, some of them in both, with a restart between them; the places of results and statistics, and the results' schema."""
+    source, results, checkpoint, statistics = (scratch(spark, n) for n in ("arriving", "labelled", "progress", "statistics"))
     paths = fx.image_list(spark, sf_dir).select("image_ord", F.col("file").alias("value"))
     for drop in (paths.where("image_ord % 2 = 0"), paths.where("image_ord % 2 = 1 or image_ord % 10 = 0")):
         drop.select("value").write.mode("append").text(source)
-        streaming.stream_label(spark, source, results, checkpoint, make_client, "m1").awaitTermination()
-    return results, spark.read.parquet(results).schema
+        streaming.stream_label(spark, source, results, checkpoint, make_client, "m1", statistics=statistics).awaitTermination()
+    return results, spark.read.parquet(results).schema, statistics
 
 
 @query
 def stream_label(spark, sf_dir):
-    results, schema = _streamed(spark, sf_dir)
+    results, schema, _ = _streamed(spark, sf_dir)
     return spark.read.schema(schema).parquet(results).select("path", "image_filename", "score", "success", "error")
 
 
 @query
 def stream_label_stats(spark, sf_dir):
-    results, schema = _streamed(spark, sf_dir)
-    name = "stats_" + results.rsplit("-", 1)[1]
-    streaming.stream_label_stats(spark, results, schema).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)  # a row for each model
+    return streaming.stream_label_stats(spark, _streamed(spark, sf_dir)[2])
+
+
+#: Paths whose first call has failed, in a worker.
+TRIED: set[str] = set()
+
+
+def make_slow_client():
+    """As make_client, but every 700th image hangs, and the first call of every 50th fails."""
+    client = make_client()
+
+    def slow(path):
+        number = int(path.rsplit("/", 1)[1].split(".")[0])
+        if number % 700 == 0:
+            time.sleep(30)
+        if number % 50 == 0 and path not in TRIED:
+            TRIED.add(path)
+            raise OSError("busy")
+        return client(path)
+
+    return slow
+
+
+@query
+def score_images_in_windows(spark, sf_dir):
+    """Several calls at a time, with a deadline that some overrun and a retry that some need."""
+    policy = CallPolicy(window=32, deadline=2.0, retries=1, backoff=0.01)
+    scored = streaming.score_images(fx.image_list(spark, sf_dir).select(F.col("file").alias("path")), make_slow_client, 4, policy)
+    rows = streaming.to_results(scored, "m1")
+    return rows.select("path", "image_filename", "score", "success", F.when(F.startswith("error", F.lit("TimeoutError")), "timeout").otherwise(F.col("error")).alias("error"))
 
 
 def queries() -> dict[str, Query]:

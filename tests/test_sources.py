@@ -1,5 +1,7 @@
 import gzip
 import json
+import threading
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from camtrap_spark.functions.names import basename
+from camtrap_spark.operators.labelling import label_stats
 from camtrap_spark.sources import detections, images, json_elements, labels, sinks
+from camtrap_spark.streaming import labelling
+from camtrap_spark.streaming.calls import CallPolicy, Calls
 from camtrap_spark.streaming.labelling import score_images, stream_label, stream_label_stats
 
 DOCUMENT = {
@@ -185,9 +190,6 @@ def test_streaming_labels_each_image_once(spark, tmp_path):
     got = {(r.image_filename, r.success, r.score) for r in spark.read.parquet(str(results)).collect()}
     assert got == {("a.jpg", True, 6.0), ("bad.jpg", False, None), ("b.jpg", True, 6.0)}
     assert spark.read.parquet(str(results)).count() == 3
-    query = stream_label_stats(spark, str(results), spark.read.parquet(str(results)).schema).writeStream.format("memory").queryName("stats").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert tuple(spark.table("stats").first()[:4]) == ("m", 3, 2, 1)
     existing = spark.createDataFrame([("b.jpg",)], "image_filename string")
     stream_label(spark, str(source), str(tmp_path / "o2"), str(tmp_path / "c2"), clients(), "m", existing=existing).awaitTermination()
     assert {r.image_filename for r in spark.read.parquet(str(tmp_path / "o2")).collect()} == {"a.jpg", "bad.jpg"}
@@ -255,3 +257,100 @@ def test_directories_are_walked_by_levels(spark, tmp_path):
     assert got == {(n, 2) for n in ("a.jpg", "link.jpg", "x/b.png", "x/y/z/c.JPEG", "n o/é #%.jpg")}
     assert {r.path for r in images.list_images(spark, str(tmp_path / "i")).collect()} == {f"file:{tmp_path}/i/a.jpg", f"file:{tmp_path}/i/link.jpg"}
     assert images.image_bytes(spark, str(tmp_path / "i/x")).count() == 1
+
+
+def test_a_batch_repeated_after_a_crash_counts_once(spark, tmp_path, monkeypatch):
+    source, results, statistics = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "stats")
+    source.mkdir()
+    run = lambda: stream_label(spark, str(source), results, str(tmp_path / "c"), clients(), "m", statistics=statistics).awaitTermination()
+    (source / "1.txt").write_text("d/a.jpg\nd/bad.jpg\n")
+    run()
+    whole = labelling.label_batch
+
+    def crash(*batch):
+        whole(*batch)
+        raise RuntimeError("between write and commit")
+
+    (source / "2.txt").write_text("d/b.jpg\nd/a.jpg\nd/c.jpg\n")
+    monkeypatch.setattr(labelling, "label_batch", crash)
+    with pytest.raises(Exception, match="between write and commit"):
+        run()
+    assert spark.read.parquet(results).count() == 4  # written, not committed
+    monkeypatch.setattr(labelling, "label_batch", whole)
+    run()
+    run()
+    found = spark.read.parquet(results)
+    assert sorted(r.path for r in found.collect()) == ["d/a.jpg", "d/b.jpg", "d/bad.jpg", "d/c.jpg"]
+    want = [tuple(r) for r in label_stats(found).collect()]
+    assert [tuple(r) for r in stream_label_stats(spark, statistics).collect()] == want == [("m", 4, 3, 1, 75.0, 6.0, 6.0, 6.0)]
+
+
+def test_state_is_on_disk_and_does_not_grow_in_memory(spark, tmp_path):
+    source = str(tmp_path / "in")
+    held = []
+    for n in (2_000, 100_000):
+        spark.range(n).selectExpr("concat('d/', id, '.jpg') AS value").coalesce(2).write.mode("append").text(source)
+        with labelling.disk_state(spark):
+            stream = spark.readStream.schema("value string").text(source).dropDuplicates(["value"])
+            run = stream.writeStream.foreachBatch(lambda batch, number: batch.write.format("noop").mode("overwrite").save()).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        held.append(run.lastProgress["stateOperators"][0])
+    assert held[1]["numRowsTotal"] == 100_000
+    assert held[1]["customMetrics"]["rocksdbSstFileSize"] is not None
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != labelling.DISK_STATE["spark.sql.streaming.stateStore.providerClass"]
+
+
+def test_calls_keep_order_deadlines_and_retries():
+    made, tried, lock = [], {}, threading.Lock()
+
+    def make():
+        made.append(1)
+        busy = threading.Lock()
+
+        def client(path):
+            assert busy.acquire(blocking=False)  # one call at a time
+            try:
+                with lock:
+                    tried[path] = tried.get(path, 0) + 1
+                if path == "hang":
+                    time.sleep(5)
+                time.sleep(0.02)
+                if path.startswith("twice") and tried[path] < 2 or path == "never":
+                    raise OSError("busy")
+                return path.upper()
+            finally:
+                busy.release()
+
+        return client
+
+    paths = [f"p{i}" for i in range(100)]
+    paths[10], paths[20], paths[30], paths[31] = "hang", "never", "twice1", "twice2"
+    began = time.monotonic()
+    got = list(Calls(make, CallPolicy(window=10, deadline=0.4, retries=1, backoff=0.05)).run(iter(paths)))
+    took = time.monotonic() - began
+    assert [r for r, _ in got] == [None if p in ("hang", "never") else p.upper() for p in paths]
+    assert got[10][1].startswith("TimeoutError") and got[20][1] == "OSError: busy"
+    assert tried["hang"] == 2 and tried["never"] == 2 and tried["twice1"] == 2 and tried["p1"] == 1
+    assert took < 2.0 and len(made) <= 13  # one by one it would be over 2 seconds without the hanging ones
+    began = time.monotonic()
+    assert len(list(Calls(make, CallPolicy(window=4, interval=0.05)).run(iter(paths[:9])))) == 9
+    assert time.monotonic() - began >= 8 * 0.05
+    assert list(Calls(make, CallPolicy()).run(iter([]))) == []
+
+
+def test_hanging_calls_leave_the_others_results(spark):
+    def make_client():
+        def client(path):
+            if path.endswith("7.jpg"):
+                time.sleep(20)
+            return '{"score": 6, "reasoning": "r"}'
+
+        return client
+
+    rows = spark.createDataFrame([(f"d/{i:03}.jpg",) for i in range(60)], "path string")
+    got = score_images(rows, make_client, 2, CallPolicy(window=4, deadline=0.5)).collect()
+    assert sorted(r.path for r in got) == [f"d/{i:03}.jpg" for i in range(60)]
+    assert {r.path for r in got if r.failure_kind} == {f"d/{i:03}.jpg" for i in range(7, 60, 10)}
+    assert all(r.reply for r in got if not r.failure_kind)
+    with pytest.raises(ValueError, match="concurrency"):
+        score_images(rows, make_client, rate=5.0)
