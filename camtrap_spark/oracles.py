@@ -279,7 +279,11 @@ FROM (SELECT *, replace(file, '/', '#') AS fn FROM fx_images)"""),
         "rare_species_join": sql("SELECT has_rare AS has_rare_species, COUNT(*) AS images, CAST(SUM(num_species) AS BIGINT) AS species FROM feat GROUP BY 1"),
         "rarity_lookup": sql("SELECT f.image_ord, round(greatest(0.0, COALESCE(r.bonus, 0.0)), 6) AS rarity FROM feat f LEFT JOIN rarity r USING (image_ord)", HEURISTIC),
         "unselected_sequences": sql("SELECT category, seq_id, file, quality_score FROM groups WHERE seq_id NOT IN (SELECT seq_id FROM chosen)", *SEQ_CHOSEN),
-        "unselected_images": sql("SELECT category, file, quality_score FROM groups g ANTI JOIN (SELECT DISTINCT file FROM chosen) c ON c.file = g.file", candidates("improved", False), IMAGE_GROUPS, quotas("improved"), chosen("improved")),
+        "unselected_images": sql("""
+SELECT category, file, quality_score FROM (
+  SELECT category, file, quality_score, bool_or(place <= coalesce(quota, 0)) OVER (PARTITION BY file) AS taken FROM (
+    SELECT g.category, g.file, g.quality_score, q.quota, row_number() OVER (PARTITION BY g.category ORDER BY g.quality_score DESC, g.group_ord) AS place FROM groups g LEFT JOIN quotas q ON q.category = g.category))
+WHERE NOT taken""", candidates("improved", False), IMAGE_GROUPS.replace("groups AS (", "groups AS MATERIALIZED ("), quotas("improved")),
         "resume_pending": sql("SELECT image_ord, file AS path FROM fx_images WHERE split_part(file, '/', 2) NOT IN (SELECT split_part(image_path, '/', 2) FROM fx_replies WHERE model = 'model0')"),
         "reconcile_responses": sql("SELECT p.model, r.image_ord, r.image_path, p.score, p.reasoning FROM parsed p JOIN fx_replies r ON r.model = p.model AND r.image_filename = p.returned_filename WHERE p.success", parsed("batch")),
         "response_violations": sql("""
