@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, bound_batches, keep, pieces, ragged, running, span_hashes, utf8, words
+from .common import LOWER, NOT_SPACE, SLICE_BYTES, bound_batches, keep, pieces, ragged, running, span_hashes, utf8, words
 
 WINDOW = 2048
 END_ID = 1
@@ -110,8 +110,8 @@ class UnitEncoder:
         """Slot 0 is of no segment."""
         self.hash, self.first, self.size = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int32)
         self.ids = np.zeros(0, self.type)
-        self.known, self.slot = np.zeros(1, np.uint64), np.zeros(1, np.int64)  # hashes in order, and their slots
-        self.near = np.zeros(1 << (64 - int(NEAR_SHIFT)), np.int64)  # the first slot of a hash's upper bits
+        self.known, self.slot = np.zeros(1, np.uint64), np.zeros(1, np.int32)  # hashes in order, and their slots
+        self.near = np.zeros(1 << (64 - int(NEAR_SHIFT)), np.int32)  # the first slot of a hash's upper bits
 
     def one_by_one(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
@@ -134,7 +134,7 @@ class UnitEncoder:
             parts.append(found[0])
             size[some] = found[1]
             at += len(some)
-        begin, slots = len(self.ids), len(self.first) + np.argsort(order)
+        begin, slots = len(self.ids), (len(self.first) + np.argsort(order)).astype(np.int32)
         self.ids = np.concatenate([self.ids, *parts])
         self.known, self.slot = np.insert(self.known, places, hashes), np.insert(self.slot, places, slots)
         self.hash = np.concatenate([self.hash, hashes[order]])
@@ -190,7 +190,7 @@ def encoded(rows: DataFrame, key: str, text: str, definition: str, window: int,
         encoder, task = encoder_of(shared), TaskContext.get().partitionId()
         so_far = np.zeros(window + 1, np.int64)  # of each length; of whole windows at `window`
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", most=SLICE_BYTES // 2):
                 ids, n = encoder.encode(*utf8(part.column("text")))
                 ends = np.cumsum(n)
                 last = np.array([end_id], encoder.type).tobytes()
