@@ -6,10 +6,12 @@ of its children's densities tells how much of a node is running text. The node o
 text; the smallest density on its path to the body is the threshold: going down from the body, every node whose
 density reaches it and that is no part of the core belongs to the text too, with the headings before them.
 
-Elements that are never part of an article (menus, footers, sidebars, forms, scripts, styles; told by element, role
-or `hidden`) are left out before anything is counted. Class and id words never decide alone: they multiply the density
-of a container by `NOISE_WEIGHT`, and a node inside the text goes only if its weighted density stays below the
-threshold. `<article>` and `<main>` have no part in the choice.
+Elements that are never part of an article (menus, footers, sidebars, forms, scripts, styles, hidden ones; told by
+element, role, style or `hidden`) are left out before anything is counted. Class and id words never decide alone: they
+multiply the density of a container by `NOISE_WEIGHT`, and a node inside the text goes only if its weighted density
+stays below the threshold. They do not count for a container with most of the page's plain text (for one that names
+readers' comments: with all of it), nor is a form of that size left out. `<article>` and `<main>` have no part in the
+choice.
 
 Defined results: null and empty pages, and pages without text, give ''. Broken markup is read as far as it goes
 (open paragraphs and list items end where browsers end them; unmatched end tags are ignored). Of nodes with the
@@ -34,7 +36,7 @@ from .common import bound_batches, pieces
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas audio video map menu dialog title noembed noframes".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select textarea input iframe object embed svg canvas audio video map menu dialog title noembed noframes".split())
 #: An opening tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: An opening tag ends an open one of these, up to the nearest of the second set.
@@ -48,14 +50,21 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMED = frozenset("div section ul ol dl table article header details blockquote fieldset figure center".split())
 #: Words of class or id that stand alone, and words that make one together with a word of the second set.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr newsletter subscribe subscription comment comments "
-    "commentlist disqus replies sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social popup modal overlay toolbar pagination pager login signup copyright".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent privacy gdpr newsletter subscribe subscription "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar share sharing social popup modal overlay toolbar pagination pager login signup copyright".split()
 )
-NOISE_PAIRS = frozenset("related recommended popular latest more side site page skip top bottom search notice header".split())
-PAIRED = frozenset("post posts article articles link links story stories bar menu nav navigation header footer box banner form widget widgets notice notices list".split())
+#: Words of class or id for what readers wrote.
+READER_WORDS = frozenset("comment comments commentlist disqus replies discussion discussions responses respond reviews".split())
+#: Words that say of a paragraph that it is an advert.
+AD_WORDS = frozenset("ad ads advert advertisement sponsored promo".split())
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+NOISE_PAIRS = frozenset("related recommended popular latest more side site page skip top bottom search notice header read up".split())
+PAIRED = frozenset("post posts article articles link links story stories bar menu nav navigation header footer box banner form widget widgets notice notices list next".split())
 NOISE_WEIGHT = 0.02
+#: A named container, or a form, that holds so much of the page's plain text is the page's text, whatever its name.
+MOST_OF_PAGE = 0.8
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 class Tree:
@@ -63,6 +72,7 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.dropped, self.weight = ["#root"], [-1], [False], [1.0]
+        self.named: dict[int, bool] = {}  # containers of a noise word, and whether it is one for what readers wrote
         self.block = [0]  # of each node the nearest one, itself or above, that is a block
         self.text: list[tuple[int, str, int]] = []  # node, text, nodes opened so far
         self.stack, self.open_p, self.in_text, self.n_open = [0], [-1], [False], {}
@@ -88,6 +98,7 @@ class Tree:
                 self.cut(len(self.stack) - 1)
             elif name in VOID or m[3].endswith("/") and name not in ENDS_P and name not in INLINE:
                 self.cut(len(self.stack) - 1)
+        self.judge_names()
 
     def add_text(self, raw: str) -> None:
         self.text.append((self.stack[-1], html.unescape(raw) if "&" in raw else raw, len(self.tag)))
@@ -127,7 +138,9 @@ class Tree:
         self.tag.append(name)
         self.parent.append(parent)
         self.dropped.append(self.dropped[parent] or self.is_dropped(name, hints))
-        self.weight.append(self.weight[parent] * (NOISE_WEIGHT if name in NAMED and is_noise(hints) else 1.0))
+        self.weight.append(1.0)
+        if name in NAMED and (kind := noise_kind(hints)) is not None:
+            self.named[node] = kind
         self.block.append(self.block[parent] if name in INLINE else node)
         self.open_p.append(len(self.stack) if name == "p" else -1 if name in P_SCOPE else self.open_p[-1])
         self.in_text.append(self.in_text[-1] or name in ("article", "main"))
@@ -135,23 +148,48 @@ class Tree:
         self.n_open[name] = self.n_open.get(name, 0) + 1
 
     def is_dropped(self, name: str, hints: dict[str, str]) -> bool:
-        if name in DROPPED or "hidden" in hints or hints.get("aria-hidden") == "true" or hints.get("role") in ROLES:
+        if name in DROPPED or "hidden" in hints or hints.get("aria-hidden") == "true" or hints.get("role") in ROLES or HIDING.search(hints.get("style", "")):
+            return True
+        if name == "p" and not AD_WORDS.isdisjoint(f"{hints.get('class', '')} {hints.get('id', '')}".split()):
             return True
         return name == "header" and not self.in_text[-1]  # a page's header; an article's own holds its title
 
+    def judge_names(self) -> None:
+        """Drops forms and weighs containers by their names, but none that holds most of the page's plain text.
+
+        What readers wrote stays beside the text unless the page has no other.
+        """
+        n = len(self.tag)
+        plain, in_link = [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = in_link[self.parent[i]] or self.tag[i] == "a"
+        for node, text, _ in self.text:
+            if not self.dropped[node] and not in_link[node]:
+                plain[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.parent[i]] += plain[i]
+        for i in range(1, n):
+            p = self.parent[i]
+            self.dropped[i] = self.dropped[i] or self.dropped[p] or self.tag[i] == "form" and plain[i] < MOST_OF_PAGE * plain[0]
+            least = (plain[0] if self.named[i] else MOST_OF_PAGE * plain[0]) if i in self.named else 0
+            self.weight[i] = self.weight[p] * (NOISE_WEIGHT if i in self.named and plain[i] < least else 1.0)
+
     def path(self, node: int) -> Iterator[int]:
         while node > 0:
             yield node
             node = self.parent[node]
 
 
-def is_noise(hints: dict[str, str]) -> bool:
-    """Whether a class or id names something beside the text: a noise word, alone, doubled, or before one of PAIRED."""
+def noise_kind(hints: dict[str, str]) -> bool | None:
+    """Whether a class or id names what readers wrote; None if it names nothing beside the text: no noise word, alone, doubled, or before one of PAIRED."""
+    found = None
     for word in f"{hints.get('class', '')} {hints.get('id', '')}".split():
         parts = [p for p in re.split(r"[-_]+", word) if p]
-        if parts and (parts[0] in NOISE_WORDS or parts[-1] in NOISE_WORDS or len(parts) > 1 and parts[0] in NOISE_PAIRS and parts[-1] in PAIRED):
+        if parts and (parts[0] in READER_WORDS or parts[-1] in READER_WORDS):
             return True
-    return False
+        if parts and (parts[0] in NOISE_WORDS or parts[-1] in NOISE_WORDS or len(parts) > 1 and parts[0] in NOISE_PAIRS and parts[-1] in PAIRED):
+            found = False
+    return found
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, body_chars: int, body_links: int) -> float:

@@ -565,3 +565,24 @@ def test_html_keeps_text_outside_the_marked_element():
     page = f"<body><article>{p}<p>{'The first one ends here. ' * 8}</p></article><article>{p * 9}</article><section><p>{'Text outside of them. ' * 20}</p></section>{links}</body>"
     got = html_extract.extract(page)
     assert "The first one ends" in got and "Text outside of them" in got and "a link" not in got
+
+
+LONG = "<p>" + "The long text of an article goes on here, with commas, and with words. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><article class="banner-story">{LONG}{LONG}</article></body>',
+    f'<body><article class="subscription-story">{LONG}{LONG}</article><p>One unnamed sentence of forty letters.</p></body>',
+    f'<body><form id="page-form">{LONG}{LONG}<input name="x"><button>Send</button></form></body>',
+    f'<body><div class="comments">{LONG}{LONG}</div></body>',
+    f'<body><div class="a">{LONG}{LONG}<p class="ad">Buy now, really buy.</p></div><section class="discussion"><p>I think that all this is wrong, and more.</p></section></body>',
+    f'<body><div class="a">{LONG}{LONG}</div><div id="responses"><p>No, it is right, dear friend of the text.</p></div><form><p>Write to us, please, about the text.</p></form></body>',
+    f'<body><div class="a">{LONG}{LONG}</div><section class="user-reviews"><p>Five stars, I read it all, and twice.</p></section><div class="read-next"><p>Another story, which is longer than this.</p></div></body>',
+    f'<body><div class="a">{LONG}<p style="display: none">Hidden words are here.</p>{LONG}</div><div class="privacy"><p>We use cookies, and more cookies, for you.</p></div></body>',
+])
+def test_html_keeps_articles_and_drops_what_stands_beside_them(page):
+    from camtrap_spark.llm.html_extract import extract
+
+    wanted = " ".join("The long text of an article goes on here, with commas, and with words." for _ in range(6))
+    found = extract(page)
+    assert found.replace("One unnamed sentence of forty letters.", "").strip() == wanted
