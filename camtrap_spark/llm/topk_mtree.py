@@ -5,8 +5,8 @@ vectors of one routing object, nearest first, are its pages, each with a coverin
 distance to the routing object (its parent). Pages of neighbouring routing objects are packed into subtrees of at
 most about `SUBTREE_ROWS` vectors, a row each. A routing object with more is split by distance into rings, a subtree
 each (`BINS` counts of distances for each routing object tell where); only vectors of one distance, such as copies, are
-dealt over several subtrees. Queries, in packed blocks, are joined to the subtrees that can still hold a result: from
-d(q, parent) and the ring, q.x <= (|q|^2 + |x|^2 - d(q, ring)^2) / 2 and q.x <= q.parent + |q| radius. Inside a
+dealt over several subtrees. Queries are broadcast in rounds of bounded size, and each task takes them through those of
+its subtrees that can still hold a result, with the k-th scores found so far: from d(q, parent) and the ring, q.x <= (|q|^2 + |x|^2 - d(q, ring)^2) / 2 and q.x <= q.parent + |q| radius. Inside a
 subtree each query takes its pages best bound first, stops when the best bound is below its k-th score, and skips
 vectors by the same two bounds with their stored parent distances. The first k-th score of a query comes from the
 sample. Bounds are widened by more than all rounding, so the result is exact.
@@ -20,6 +20,7 @@ scores are ranked by smaller id. A query with fewer candidates than k gets them
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import checkpoint_dir, keep
 
 SCALE = 256.0
 SAMPLE_ROWS = 4096
@@ -37,10 +38,12 @@ ROUTING_ROWS = 512
 PAGE_ROWS = 128
 SUBTREE_ROWS = 4096
 QUERY_BLOCK = 256
+ROUND_QUERIES = 4096
 #: Distances to a routing object are counted in this many bins, to cut a large one into rings.
 BINS = 256
 #: How far a bound is widened, as a share of |q|^2 + |x|^2; float64 rounds by less than 1e-15 of it, distances by 1e-8.
 MARGIN = 1e-7
+FOUND = "query_id long, vec_id long, score long"
 PACKED = "subtree long, ids binary, vectors binary, norms binary, distances binary, routing binary, sizes binary"
 
 
@@ -244,7 +247,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search(subtree: dict, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, routing: Routing, k: int) -> list[tuple[int, int, int]]:
-    """Best-first search of one subtree for a block of queries: (query, id, score), at most k for each."""
+    """Best-first search of one subtree for a block of queries: (number of the query, id, score), at most k for each."""
     ids, norms, away = (np.frombuffer(subtree[n], t) for n, t in (("ids", np.int64), ("norms", np.float64), ("distances", np.float64)))
     vectors = np.frombuffer(subtree["vectors"], np.float64).reshape(len(ids), -1)
     owner, sizes = (np.frombuffer(subtree[n], np.int64) for n in ("routing", "sizes"))
@@ -286,7 +289,7 @@ def search(subtree: dict, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r
                 found[w] = s[top], x[top]
                 if len(top) == k:
                     limit[w] = max(limit[w], np.nextafter(float(min(s[top].tolist())), -np.inf))  # not above the exact score
-    return [(int(q_ids[i]), int(x), int(s)) for i, (ss, xs) in enumerate(found) for s, x in zip(ss, xs)]
+    return [(i, int(x), int(s)) for i, (ss, xs) in enumerate(found) for s, x in zip(ss, xs)]
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -294,59 +297,91 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
 
     is_query: a condition on the column `key` (the id).
     """
-    vectors = vectors_of(rows, key, vector)
-    out = None
+    spark, vectors = rows.sparkSession, vectors_of(rows, key, vector)
+    at = f"{checkpoint_dir(spark)}/top-{uuid.uuid4().hex}"  # a folder for each round
+    spark.createDataFrame([], FOUND).write.parquet(f"{at}/length=0/round=0")
     for length, n in sorted((r.length, r.n) for r in vectors.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).collect()):
-        one = top_k_of_length(vectors.where(F.size("v") == length), n, is_query, k)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out
+        one = vectors.where(F.size("v") == length)
+        for r, found in enumerate(rounds(one, n, is_query, k)):
+            found.write.mode("overwrite").parquet(f"{at}/length={length}/round={r}")
+    found = spark.read.schema(FOUND).option("recursiveFileLookup", True).parquet(at)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k_of_length(vectors: DataFrame, n: int, is_query: Column, k: int) -> DataFrame:
-    subtrees, routing, assigned = build(vectors, n)
-    shared = vectors.sparkSession.sparkContext.broadcast(routing)
+def with_floors(queries: DataFrame, shared, k: int) -> DataFrame:
+    """vec_id, vector and floor: the k-th best score among the sample, or less."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block of queries goes, packed, to the subtrees that may hold one of its results."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 part = batch.slice(at, QUERY_BLOCK)
-                ids = part.column("key").to_numpy()
+                ids = part.column("vec_id").to_numpy()
                 q = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(len(ids), -1)
-                q_norms = (q**2).sum(axis=1)
                 scores = q @ r.sample.T
-                scores = scores - MARGIN * (q_norms[:, None] + (r.sample**2).sum(axis=1)[None, :])  # never above the exact score
+                scores = scores - MARGIN * ((q**2).sum(axis=1)[:, None] + (r.sample**2).sum(axis=1)[None, :])  # never above the exact score
                 scores[np.isnan(scores) | (ids[:, None] == r.sample_ids[None, :])] = -np.inf
                 floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-                d, product = distances(q, q_norms, r.vectors, r.norms), q @ r.vectors.T
-                bound = upper(q_norms[:, None], d[:, r.owner], product[:, r.owner], r.low[None, :], r.high[None, :], r.most[None, :])
-                may = bound >= floor[:, None]
-                wanted: dict[int, np.ndarray] = {}
-                for ring in np.flatnonzero(may.any(axis=0)).tolist():
-                    for s in range(int(r.subtree[ring]), int(r.subtree[ring] + r.shares[ring])):
-                        wanted[s] = wanted[s] | may[:, ring] if s in wanted else may[:, ring]
-                if wanted:
-                    some = [np.flatnonzero(w) for w in wanted.values()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(wanted), pa.int64()), *(pa.array([x[w].tobytes() for w in some], pa.binary()) for x in (ids, q, floor))],
-                        names=["subtree", "q_ids", "queries", "floors"],
-                    )
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cell = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
-                q_ids = np.frombuffer(cell["q_ids"], np.int64)
-                q = np.frombuffer(cell["queries"], np.float64).reshape(len(q_ids), -1)
-                found = search(cell, q_ids, q, np.frombuffer(cell["floors"], np.float64), r, k)
-                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
-
-    queries = assigned.withColumnRenamed("key", "vec_id").where(is_query).select(F.col("vec_id").alias("key"), "vector")
-    sent = queries.mapInArrow(send, "subtree long, q_ids binary, queries binary, floors binary")
-    found = sent.join(subtrees, "subtree").mapInArrow(look, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("vector"), pa.array(floor, pa.float64())], names=["vec_id", "vector", "floor"])
+
+    return queries.mapInArrow(run, "vec_id long, vector binary, floor double")
+
+
+def reach(r: Routing, q: np.ndarray) -> np.ndarray:
+    """The most that a row of each subtree can score, by query and subtree."""
+    q_norms = (q**2).sum(axis=1)
+    d, product = distances(q, q_norms, r.vectors, r.norms), q @ r.vectors.T
+    by_ring = upper(q_norms[:, None], d[:, r.owner], product[:, r.owner], r.low[None, :], r.high[None, :], r.most[None, :])
+    many = int((r.subtree + r.shares).max(initial=0))
+    out = np.full((len(q), many), -np.inf)
+    for ring in range(len(r.owner)):
+        some = slice(int(r.subtree[ring]), int(r.subtree[ring] + r.shares[ring]))
+        out[:, some] = np.maximum(out[:, some], by_ring[:, ring : ring + 1])
+    return out
+
+
+def rounds(vectors: DataFrame, n: int, is_query: Column, k: int) -> Iterator[DataFrame]:
+    """query_id, vec_id, score of what the tasks find, k rows for a query and task at most; a round of queries at a time.
+
+    Queries go to the subtrees, not the other way: ROUND_QUERIES of them are broadcast, and each task takes them through
+    its subtrees and carries every query's k-th score from one to the next.
+    """
+    spark = vectors.sparkSession
+    subtrees, routing, assigned = build(vectors, n)
+    shared = spark.sparkContext.broadcast(routing)
+    chosen = assigned.withColumnRenamed("key", "vec_id").where(is_query).select("vec_id", "vector")
+    queries = keep(with_floors(chosen, shared, k).withColumn("nth", F.monotonically_increasing_id()))
+    many = -(-queries.count() // ROUND_QUERIES)
+
+    for r in range(many):
+        some = queries.where(F.pmod(F.xxhash64("nth"), F.lit(many)) == r).collect()  # ROUND_QUERIES, more or less
+        if not some:
+            continue
+        ids = np.array([s.vec_id for s in some], np.int64)
+        block = spark.sparkContext.broadcast((ids, np.frombuffer(b"".join(bytes(s.vector) for s in some), np.float64).reshape(len(some), -1), np.array([s.floor for s in some])))
+
+        def look(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            (q_ids, q, floor), tree = block.value, shared.value
+            floor, top = floor.copy(), {}
+            most = None
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    if most is None:
+                        most = reach(tree, q)
+                    cell = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+                    who = np.flatnonzero(most[:, cell["subtree"]] >= floor)
+                    for at in range(0, len(who), QUERY_BLOCK):
+                        part = who[at : at + QUERY_BLOCK]
+                        for i, x, score in search(cell, q_ids[part], q[part], floor[part], tree, k):
+                            top.setdefault(int(part[i]), []).append((-score, x))
+                    for i in who.tolist():
+                        if len(top.get(i, ())) >= k:
+                            top[i] = sorted(top[i])[:k]
+                            floor[i] = max(floor[i], np.nextafter(float(-top[i][-1][0]), -np.inf))  # not above the exact score
+            rows = [(int(q_ids[i]), x, -s) for i, found in top.items() for s, x in found]
+            for at in range(0, len(rows), 10_000):
+                part = rows[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in part], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+
+        yield subtrees.mapInArrow(look, FOUND)
