@@ -41,7 +41,7 @@ def rounded(df: DataFrame, *columns: str, scale: int = 8) -> DataFrame:
 
 
 #: Bytes of a range of a document: small, so that the given tables make several.
-RANGE = 256 << 10
+RANGE = 1 << 20
 
 
 def _documents(rows, path, head, tail):

@@ -242,9 +242,9 @@ def with_numbers(rows: list[tuple], counted: dict[int, tuple[list[int], list[int
     return out
 
 
-def _over_ranges(spark: SparkSession, rows: list[tuple], run, schema: str) -> DataFrame:
+def _over_ranges(spark: SparkSession, rows: list[tuple], tasks: int, run, schema: str) -> DataFrame:
     ranges = spark.createDataFrame(rows, RANGES)
-    return (ranges.repartitionByRange(len(rows), "i") if len(rows) > 1 else ranges).mapInArrow(run, schema)
+    return (ranges.repartitionByRange(tasks, "i") if len(rows) > 1 else ranges).mapInArrow(run, schema)
 
 
 def read_elements(spark: SparkSession, path: str, key: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -260,6 +260,8 @@ def read_elements(spark: SparkSession, path: str, key: str | None = None, range_
     if not cut:
         return spark.createDataFrame([], "document string, ord long, element string")
     begin = OUTSIDE if key is not None else AFTER_KEY
+    # A range a task; of many small documents several.
+    tasks = min(len(cut), max(spark.sparkContext.defaultParallelism, -(-sum(length for _, length in files) // range_bytes)))
 
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +270,7 @@ def read_elements(spark: SparkSession, path: str, key: str | None = None, range_
                 yield pa.RecordBatch.from_pylist([{"i": r["i"], "parity": parity, "outside": outside, "inside": inside}])
 
     rows = [(i, d, a, b, False, 0, begin, 0) for i, (d, a, b) in enumerate(cut)]
-    changed = {r.i: (r.parity, r.outside, r.inside) for r in _over_ranges(spark, rows, changes, "i long, parity boolean, outside long, inside long").collect()}  # a row for each range
+    changed = {r.i: (r.parity, r.outside, r.inside) for r in _over_ranges(spark, rows, tasks, changes, "i long, parity boolean, outside long, inside long").collect()}  # a row for each range
     placed = with_depths(rows, changed)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +279,7 @@ def read_elements(spark: SparkSession, path: str, key: str | None = None, range_
                 found, states = count(r["document"], r["start"], r["end"], r["in_string"], r["depth"], key)
                 yield pa.RecordBatch.from_arrays([pa.array([r["i"]], pa.int64()), pa.array([found], pa.list_(pa.int64())), pa.array([states], pa.list_(pa.int64()))], names=["i", "found", "states"])
 
-    counted = {r.i: (r.found, r.states) for r in _over_ranges(spark, placed, counts, "i long, found array<long>, states array<long>").collect()}
+    counted = {r.i: (r.found, r.states) for r in _over_ranges(spark, placed, tasks, counts, "i long, found array<long>, states array<long>").collect()}
     numbered = with_numbers(placed, counted)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +295,7 @@ def read_elements(spark: SparkSession, path: str, key: str | None = None, range_
                 if held:
                     yield _batch(r["document"], n, held)
 
-    return _over_ranges(spark, numbered, rows_of, "document string, ord long, element string")
+    return _over_ranges(spark, numbered, tasks, rows_of, "document string, ord long, element string")
 
 
 def _batch(document: str, first: int, held: list[str]) -> pa.RecordBatch:
