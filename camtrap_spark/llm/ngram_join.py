@@ -16,8 +16,15 @@ two tasks is linked by their first and last runs (a few rows of each task).
 The first `FIRST_TREES` trees are joined into components before the others are sorted; in these, a node counts as its
 component, and a link inside a component is none. So the links that are looked at are about as many as the nodes.
 
-Each candidate component is dealt into blocks of about `BLOCK_NGRAMS` n-grams and `BLOCK_NODES` nodes; a task takes two
-blocks, counts the common n-grams of all their pairs at once, and keeps the pairs of Jaccard similarity `threshold`
+A candidate component of more than one block (below) is split first: meetings by chance, of texts that share a
+boilerplate and no more, chain such components together. Two sets at the threshold share one of their rarest n-grams
+(of a fifth of the set and one more, at 0.8), whatever order ranks the n-grams, as long as it is one for all. So only
+nodes that share such an n-gram, directly or over others, stay together; no pair at the threshold is parted. Rarity is
+counted over these components in a table of `COUNT_SLOTS` slots; n-grams that share a slot rank alike, which costs
+work, not links.
+
+What is left of a component is dealt into blocks of about `BLOCK_NGRAMS` n-grams and `BLOCK_NODES` nodes; a task takes
+two blocks, counts the common n-grams of all their pairs at once, and keeps the pairs of Jaccard similarity `threshold`
 or more: exact, by 64-bit n-gram hashes. It emits for each node the number of its links and one link of a spanning
 forest, never the pairs. The classes are the connected components of the links.
 
@@ -38,7 +45,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
-from .common import LOWER, NOT_SPACE, bound_batches, checkpoint_dir, discard, keep, mix, pieces, running, span_hashes, utf8, words
+from .common import BLOCK_SCHEMA, LOWER, NOT_SPACE, bound_batches, checkpoint_dir, discard, gather_table, keep, mix, pieces, running, span_hashes, table_blocks, utf8, words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -47,6 +54,8 @@ TARGET_RECALL = 0.9995
 #: Sets of more n-grams than this have partners of about the threshold itself.
 SIZED = 256
 BLOCK_NGRAMS, BLOCK_NODES = 1 << 19, 2048
+#: Slots of the counts that rank n-grams by rarity; a fixed size that is broadcast. Any counts give right results.
+COUNT_SLOTS = 1 << 21
 #: Slots of the filter on ids; a fixed size that is broadcast. Ids that share a slot are told apart by the join behind it.
 FILTER_SLOTS = 1 << 22
 SLICE = 1 << 20
@@ -379,23 +388,12 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
         yield from done()
 
 
-def links(nodes: DataFrame, docs: DataFrame, threshold: float, trees: int, target: float) -> DataFrame:
-    """node, component, texts, documents: every node that has a link, with its class and numbers of links.
-
-    nodes: node, first_id, copies, n_ngrams, labels; docs: doc_id, text.
-    """
-    placed = forest_components(nodes, trees, threshold, target)
-    many = F.greatest(F.ceil(F.sum("n_ngrams") / F.lit(BLOCK_NGRAMS)), F.ceil(F.count("*") / F.lit(BLOCK_NODES)))
-    blocks = placed.groupBy("component").agg(F.count("*").alias("n"), many.cast("int").alias("blocks")).where("n > 1").drop("n")
-    dealt = keep(
-        placed.join(blocks, "component")
-        .join(nodes.select("node", "first_id", "copies"), "node")
-        .select("node", "component", "first_id", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    )
-    maybe = id_filter(dealt, "first_id")
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `wanted` (node, first_id and more) with doc_id for first_id and `grams`, the n-gram set. docs: doc_id, text."""
+    maybe = id_filter(wanted, "first_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-gram sets of documents that may be in a component; most others stop here."""
+        """The n-gram sets of documents that may be wanted; most others stop here."""
         for batch in batches:
             batch = batch.filter(pa.array(maybe(batch.column("doc_id"))))
             for part in pieces(batch, "text", most=SLICE):
@@ -406,7 +404,78 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float, trees: int, targe
                     names=["doc_id", "node", "grams"],
                 )
 
-    loaded = docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, node long, grams binary").join(dealt.withColumnRenamed("first_id", "doc_id"), ["doc_id", "node"])
+    found = docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, node long, grams binary")
+    return found.join(wanted.withColumnRenamed("first_id", "doc_id"), ["doc_id", "node"])
+
+
+def count_slots(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)
+
+
+def rarest(grams: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest n-grams of a set, so many that of two sets at the threshold each holds one of the common ones."""
+    most = len(grams) - int(np.ceil(threshold * len(grams) - 1e-9)) + 1
+    return grams[np.lexsort((grams, counts[count_slots(grams)]))[:most]]
+
+
+def split_components(held: DataFrame, threshold: float) -> DataFrame:
+    """node, component: the parts of components whose nodes share one of their rarest n-grams, directly or over others.
+
+    held: node, component, grams. Nodes that share none have no row.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNT_SLOTS, dtype=np.int64)
+        for batch in batches:
+            for grams in batch.column(0).to_pylist():
+                np.add.at(table, count_slots(np.frombuffer(grams, np.uint64)), 1)
+        yield from table_blocks(table)
+
+    counts = gather_table(held.select("grams").mapInArrow(count, BLOCK_SCHEMA), COUNT_SLOTS)
+    shared = held.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
+
+    def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each node a row for each of its rarest n-grams, whose labels differ between components."""
+        for batch in batches:
+            for component, node, grams in zip(*(batch.column(n).to_pylist() for n in ("component", "node", "grams"))):
+                labels = mix(rarest(np.frombuffer(grams, np.uint64), shared.value, threshold) ^ mix(np.array([component]).view(np.uint64)))
+                k = len(labels)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(k, np.int32)), pa.array(labels.view(np.int64)), pa.array(np.full(k, node)), pa.array(np.full(k, DEEPEST, np.int32))], names=["tree", "label", "node", "depth"]
+                )
+
+    return components(forest_links(keep(held.select("component", "node", "grams").mapInArrow(planted, "tree int, label long, node long, depth int")), DEEPEST))
+
+
+def in_blocks(placed: DataFrame) -> DataFrame:
+    """component, blocks: into how many blocks each component of several nodes is dealt. placed: component, n_ngrams."""
+    many = F.greatest(F.ceil(F.sum("n_ngrams") / F.lit(BLOCK_NGRAMS)), F.ceil(F.count("*") / F.lit(BLOCK_NODES)))
+    return placed.groupBy("component").agg(F.count("*").alias("n"), many.cast("int").alias("blocks")).where("n > 1").drop("n")
+
+
+def candidates(nodes: DataFrame, docs: DataFrame, threshold: float, trees: int, target: float) -> DataFrame:
+    """node, component, first_id, copies, n_ngrams, blocks of all nodes whose pairs within the component are to be verified."""
+    placed = forest_components(nodes, trees, threshold, target)
+    columns = ["node", "component", "first_id", "copies", "n_ngrams", "blocks"]
+    met = keep(placed.join(in_blocks(placed), "component").join(nodes.select("node", "first_id", "copies"), "node").select(columns))
+    large = met.where("blocks > 1")
+    if large.isEmpty():
+        return met
+    held = keep(sets_of(docs, large.select("node", "first_id", "component")))
+    parts = keep(large.drop("component", "blocks").join(split_components(held, threshold), "node"))
+    discard(held)
+    out = keep(met.where("blocks = 1").unionByName(parts.join(in_blocks(parts), "component").select(columns)))
+    discard(met, parts)
+    return out
+
+
+def links(nodes: DataFrame, docs: DataFrame, threshold: float, trees: int, target: float) -> DataFrame:
+    """node, component, texts, documents: every node that has a link, with its class and numbers of links.
+
+    nodes: node, first_id, copies, n_ngrams, labels; docs: doc_id, text.
+    """
+    dealt = candidates(nodes, docs, threshold, trees, target).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    loaded = sets_of(docs, dealt.drop("n_ngrams"))
     pairs = loaded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "grams"
     )
