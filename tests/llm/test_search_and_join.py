@@ -245,38 +245,6 @@ def test_join_of_many_near_copies_in_small_blocks(spark, monkeypatch):
     assert got == brute_join(docs)
 
 
-@pytest.mark.parametrize("many", [400, 800])
-def test_shared_boilerplate_makes_no_pairs(spark, monkeypatch, many):
-    # A boilerplate of 60 words before 44 words of each text's own (0.39 by Jaccard), and a near copy of every tenth.
-    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 32)
-    shared = " ".join(f"b{k}" for k in range(60))
-    docs = [(i, f"{shared} " + " ".join(f"w{i}x{k}" for k in range(44))) for i in range(many)]
-    docs += [(many + i, docs[i][1] + f" more{i}") for i in range(0, many, 10)]  # linked to text i
-    verified = []
-    plain = ngram_join.candidates
-
-    def counted(*given):
-        found = plain(*given)
-        verified.extend(r["count"] * (r["count"] - 1) // 2 for r in found.groupBy("component").count().collect())
-        return found
-
-    monkeypatch.setattr(ngram_join, "candidates", counted)
-    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = {i: (i % many, int(i >= many or i % 10 == 0)) for i, _ in docs}
-    assert got == want and sum(verified) <= 2 * many
-
-
-def test_rarest_ngrams_part_no_pair_at_the_threshold():
-    rng = np.random.default_rng(4)
-    counts = rng.integers(0, 5, ngram_join.COUNT_SLOTS).astype(np.uint32)
-    for _ in range(300):
-        common, left, right = rng.integers(1, 60), rng.integers(0, 8), rng.integers(0, 8)
-        grams = rng.integers(1, 2**63, common + left + right).astype(np.uint64)
-        a, b = grams[: common + left], np.concatenate([grams[:common], grams[common + left :]])
-        if common / (common + left + right) >= 0.8:
-            assert np.intersect1d(ngram_join.rarest(a, counts, 0.8), ngram_join.rarest(b, counts, 0.8)).size
-
-
 def test_join_refuses_ids_that_are_no_numbers(spark):
     with pytest.raises(TypeError):
         ngram_join.join_classes(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
