@@ -11,8 +11,11 @@ the best paths of all of them - those that a later piece can still continue - sh
 everything before it: the pieces up to there are committed. What is not committed at a stream's end is committed then.
 
 No piece has a `\\u2581` behind another character (checked when the vocabulary is loaded; else nothing is cut), so
-all paths share the boundary before each such `\\u2581`, whatever came before. A text therefore enters as several
-streams of `STREAM_CHARS` characters or more that begin there, which is all that makes long texts advance in parallel.
+all paths share the boundary before each such `\\u2581`, whatever came before. So they do wherever no piece of the
+text reaches over. A text therefore enters as several streams of `STREAM_CHARS` characters or more that begin there:
+before words and, where words are longer (base64, scripts without spaces), inside them; which is all that makes long
+texts advance in parallel. Texts of over `WINDOW_CHARS` characters are encoded window by window, each ending at such a
+boundary, so that the arrays of a task are bounded but where pieces overlap throughout a whole window.
 
 Defined results: a null text has null ids; an empty one has no ids. A literal `\\u2581` in a text is encoded in
 bytes, so that decoding gives back every text exactly. Rows are independent; repeated rows repeat.
@@ -37,8 +40,8 @@ META = 0x2581
 LITERAL = 0x110000
 #: Characters of a stream before the next boundary that all paths share ends it.
 STREAM_CHARS = 256
-#: Positions that a path's boundaries are known for; a boundary further back is committed with a later one.
-HORIZON = 64
+#: Characters encoded together, but where no boundary is shared for longer.
+WINDOW_CHARS = 1 << 20
 SLICE = 1 << 19
 
 
@@ -139,9 +142,9 @@ def span_values(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, lengt
 
 
 class Lanes:
-    """Streams of one slice that advance together; codes: all characters, streams sorted by falling length."""
+    """Streams of one slice that advance together; n: all characters, streams sorted by falling length."""
 
-    def __init__(self, table: Pieces, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, reach: np.ndarray):
+    def __init__(self, table: Pieces, n: int, starts: np.ndarray, lengths: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]):
         self.table, self.starts, self.lengths = table, starts, lengths
         self.longest = table.vocabulary.longest
         lanes, top = len(starts), int(lengths[0]) if len(lengths) else 0
@@ -150,38 +153,26 @@ class Lanes:
         self.paths = np.zeros((self.longest + 1, lanes), dtype=np.uint64)  # bit i: a boundary i positions back
         self.scores[0], self.paths[0] = 0.0, 1
         self.base = np.zeros(lanes, dtype=np.int64)  # committed up to here
-        self.piece = np.full(len(codes), -1, dtype=np.int32)  # the best last piece at each position, until it is committed
-        self.size = np.zeros(len(codes), dtype=np.uint8)
-        self.ends = np.zeros(len(codes), dtype=bool)  # committed: a piece ends behind this character
+        self.piece = np.full(n, -1, dtype=np.int32)  # the best last piece at each position, until it is committed
+        self.size = np.zeros(n, dtype=np.uint8)
+        self.ends = np.zeros(n, dtype=bool)  # committed: a piece ends behind this character
         self.converged = self.at_end = 0
         #: Of each step the number of streams that are still running, and of all steps before it together.
         self.running = np.searchsorted(-lengths, -np.arange(1, top + 1), side="right")
         self.before = np.concatenate([[0], np.cumsum(self.running)])
-        self.spell(codes, reach)
+        self.arrange(n, found)
 
-    def spell(self, codes: np.ndarray, reach: np.ndarray) -> None:
+    def arrange(self, chars: int, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """The pieces that end at each character, in the order of the steps, of one character the longest first."""
-        sums, inverse, lane = running(codes), powers(INVERSE, len(codes)), np.empty(len(codes), dtype=np.int32)
+        lane = np.empty(chars, dtype=np.int32)
         where = ragged(self.starts, self.lengths)
         lane[where] = np.repeat(np.arange(len(self.starts), dtype=np.int32), self.lengths)
-        step = np.arange(len(codes)) - self.starts[lane]  # from 0
+        step = np.arange(chars) - self.starts[lane]  # from 0
         place = self.before[step] + lane
-        reach = np.minimum(reach, step + 1).astype(np.int8)
-        found, here = [], np.arange(len(codes))
-        n = np.ones(len(codes), dtype=np.int32)
-        for k in range(1, self.longest + 1):
-            if k > 1:
-                here = here.take(np.flatnonzero(reach.take(here) >= k))
-            some, piece = self.table.lookup(span_values(sums, inverse, here + (1 - k), k))
-            if k == 1:  # a character on its own always stands, known or not
-                alone = np.full(len(codes), -1, dtype=np.int32)
-                alone[some] = piece
-                found.append((here, alone))
-            else:
-                at = here.take(some)
-                found.append((at, piece))
-                n[at] += 1
-        by_place = np.empty(len(codes), dtype=np.int64)
+        n = np.ones(chars, dtype=np.int32)
+        for at, _ in found[1:]:
+            n[at] += 1
+        by_place = np.empty(chars, dtype=np.int64)
         by_place[place] = n
         self.first = np.concatenate([[0], np.cumsum(by_place)])
         total = int(self.first[-1])
@@ -261,13 +252,39 @@ class BatchEncoder:
         joined = "".join("▁" + t for t in texts if t)
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+        n_ids = np.zeros(len(texts), np.int64)
         if not len(codes):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), n_ids
         firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
         codes[codes == META] = LITERAL
         codes[codes == 32] = META
         codes[firsts] = META
-        lanes = Lanes(self.table, codes, *self.streams(codes, firsts))
+        out, counts, low, width = [], np.zeros(len(firsts), np.int64), 0, WINDOW_CHARS
+        while low < len(codes):
+            high = min(len(codes), low + width)
+            part = codes[low:high]
+            mine = firsts[(firsts >= low) & (firsts < high)] - low
+            begins, reach = self.reaches(part, mine)
+            found = self.spell(part, reach)
+            shared = self.shared(begins, found)
+            if high < len(codes):  # pieces may reach over the window's end: only boundaries well before it are known
+                shared = shared[shared <= len(part) - self.vocabulary.longest]
+                if not len(shared) or not shared[-1]:
+                    width *= 2
+                    continue
+                high = low + int(shared[-1])
+                part, mine, shared = part[: high - low], mine[mine < high - low], shared[:-1]
+                found = [(at[at < high - low], piece[at < high - low]) for at, piece in found]
+            ids, ends, n = self.encode_window(part, mine, shared, found)
+            out.append(ids)
+            counts += np.bincount(np.searchsorted(firsts, ends + low, side="right") - 1, weights=n, minlength=len(firsts)).astype(np.int64)
+            low, width = high, WINDOW_CHARS
+        n_ids[sizes > 0] = counts
+        return np.concatenate(out), n_ids
+
+    def encode_window(self, codes: np.ndarray, firsts: np.ndarray, shared: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, the last character of each piece, and its number of ids."""
+        lanes = Lanes(self.table, len(codes), *self.streams(len(codes), firsts, shared), found)
         lanes.run()
         self.converged += lanes.converged
         self.at_end += lanes.at_end
@@ -285,31 +302,57 @@ class BatchEncoder:
         out[after[known] - 1] = piece[known]
         raw = np.frombuffer(chars.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), dtype=np.uint8)
         out[ragged(after[unknown] - width, width)] = self.table.byte_ids[raw]
-        of = np.searchsorted(firsts, ends, side="right") - 1
-        n_ids = np.zeros(len(texts), dtype=np.int64)
-        n_ids[sizes > 0] = np.bincount(of, weights=n, minlength=len(firsts)).astype(np.int64)
-        return out, n_ids
+        return out, ends, n
 
-    def streams(self, codes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and lengths of the streams, the longest first; and for each character how long a piece that ends there can be."""
+    def reaches(self, codes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin, and for each character how long a piece that ends there can be."""
         at = np.arange(len(codes))
         begins = np.zeros(len(codes), dtype=bool)
         if self.vocabulary.cut_before_meta:
             begins[1:] = (codes[1:] == META) & (codes[:-1] != META)
+        begins[0] = True
         begins[firsts] = True
-        may = np.flatnonzero(begins)
         stretch = np.zeros(len(codes), dtype=bool)  # no piece of several characters reaches over these
-        stretch[0] = True
         stretch[1:] = ~(self.table.inside[codes[1:]] & self.table.inside[codes[:-1]])
-        stretch[may] = True
+        stretch[begins] = True
         since = np.maximum.accumulate(np.where(stretch, at, 0))
-        reach = np.minimum(at - since + 1, self.vocabulary.longest)
-        text = np.searchsorted(firsts, may, side="right") - 1
-        block = (may - firsts[text]) // STREAM_CHARS
-        starts = may[np.concatenate([[True], (text[1:] != text[:-1]) | (block[1:] != block[:-1])])]
-        lengths = np.diff(np.append(starts, len(codes)))
+        return begins, np.minimum(at - since + 1, self.vocabulary.longest).astype(np.int8)
+
+    def spell(self, codes: np.ndarray, reach: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each length the last characters of all pieces of the text, and the pieces; of length 1 all characters, known (else -1) or not."""
+        sums, inverse, here = running(codes), powers(INVERSE, len(codes)), np.arange(len(codes))
+        found = []
+        for k in range(1, self.vocabulary.longest + 1):
+            if k > 1:
+                here = here.take(np.flatnonzero(reach.take(here) >= k))
+            some, piece = self.table.lookup(span_values(sums, inverse, here + (1 - k), k))
+            if k == 1:
+                alone = np.full(len(codes), -1, dtype=np.int32)
+                alone[some] = piece
+                found.append((here, alone))
+            else:
+                found.append((here.take(some), piece))
+        return found
+
+    def shared(self, begins: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Boundaries that all paths share: where words begin and, if some words are long, where no piece reaches over."""
+        may = np.flatnonzero(begins)
+        if np.diff(np.append(may, len(begins))).max() <= 2 * STREAM_CHARS:
+            return may
+        over = np.zeros(len(begins) + 1, dtype=np.int64)
+        for k, (at, _) in enumerate(found[1:], 2):
+            over += np.bincount(at + (2 - k), minlength=len(over)) - np.bincount(at + 1, minlength=len(over))
+        return np.flatnonzero(begins | (np.cumsum(over)[:-1] == 0))
+
+    def streams(self, chars: int, firsts: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the streams, the longest first."""
+        origins = np.union1d(firsts, [0])
+        text = np.searchsorted(origins, shared, side="right") - 1
+        block = (shared - origins[text]) // STREAM_CHARS
+        starts = shared[np.concatenate([[True], (text[1:] != text[:-1]) | (block[1:] != block[:-1])])]
+        lengths = np.diff(np.append(starts, chars))
         order = np.argsort(-lengths, kind="stable")
-        return starts[order], lengths[order], reach
+        return starts[order], lengths[order]
 
     def decode(self, ids: np.ndarray, n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all decoded texts one after the other, each with its leading space, and their lengths."""

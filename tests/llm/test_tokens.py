@@ -76,6 +76,33 @@ def test_paths_that_do_not_converge(vocabulary):
     assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [brute_viterbi(sp.to_codes(t), vocabulary) for t in texts]
 
 
+def unspaced_texts(n):
+    rng = random.Random(1)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    words = "".join(rng.choice(["the", "station", "ing", "work", "house", "and"]) for _ in range(n // 4))
+    return [letters, words, letters[: n // 2].upper() + "+/9" * (n // 6), "\u65e5\u672c\u8a9e\u6f22" * (n // 8), "a" * (n // 4), "thecat" * (n // 20)]
+
+
+def test_texts_without_spaces_are_cut_where_no_piece_reaches_over(vocabulary):
+    encoder = sp.BatchEncoder(vocabulary)
+    for text in unspaced_texts(6000):
+        assert encoder.encode([text])[0].tolist() == brute_viterbi(sp.to_codes(text), vocabulary)
+    letters = unspaced_texts(1_000_000)[0]
+    codes = np.array(sp.to_codes(letters), dtype=np.uint32)
+    begins, reach = encoder.reaches(codes, np.array([0]))
+    _, lengths = encoder.streams(len(codes), np.array([0]), encoder.shared(begins, encoder.spell(codes, reach)))
+    assert len(lengths) > 1000 and lengths.sum() == len(codes) and lengths[0] < 4 * sp.STREAM_CHARS
+
+
+@pytest.mark.parametrize("window", [64, 300, 2000])
+def test_windows_do_not_change_ids(vocabulary, monkeypatch, window):
+    monkeypatch.setattr(sp, "WINDOW_CHARS", window)
+    texts = [*odd_texts(), *unspaced_texts(2400), None, "ab " * 500]
+    ids, n = sp.BatchEncoder(vocabulary).encode(texts)
+    for text, end, k in zip(texts, np.cumsum(n), n):
+        assert ids[end - k : end].tolist() == brute_viterbi(sp.to_codes(text or ""), vocabulary)
+
+
 def test_encode_query_equals_brute_force_and_round_trips(spark, vocabulary):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     encoded = queries()["op8_sentencepiece"](spark, SMALL)
