@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 `fit` counts n-grams of every training text on the executors (one table of fixed size for each task, summed by
-block); `predict` broadcasts the log-probability matrix, whose size is orders x buckets x languages, and scores
-Arrow batches in numpy, gathering only the rows of the n-grams that a text has.
+block), a pass for each `LANGUAGES_A_PASS` languages; `predict` broadcasts the log-probability matrix and scores Arrow
+batches in numpy, gathering only the rows of the n-grams that a text has. The matrix holds orders x buckets x languages
+floats: it grows with the set of languages (393 KB each), not with the data.
 
 With `familiar`, `fit` also notes how probable the n-grams of each language's own texts are on average, so that
 `remove` can tell texts of languages and scripts that were never learned: by their posterior alone these are as sure
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import BLOCK_SCHEMA, bound_batches, gather_table, pieces, table_blocks
 
 UND = "und"
-#: More languages than this are an error: table and matrix grow with them.
-MOST_LANGUAGES = 256
+#: Languages whose n-grams a task counts at a time: its table grows with them.
+LANGUAGES_A_PASS = 64
+#: Cells of the matrix that are gathered at a time.
+GATHERED = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -88,12 +91,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[i
     """Learns from every row that has a text and a language; familiar: in a second pass, what texts of each are like."""
     bound_batches(docs.sparkSession)
     train = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    by_lang = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(by_lang) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang}")
+    by_lang = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = tuple(sorted(by_lang))
     if not langs:
         return LanguageModel((), np.zeros((len(orders) * buckets, 0), np.float32), np.zeros(0), orders, buckets)
+    log_prob = np.empty((len(orders) * buckets, len(langs)), dtype=np.float32)
+    for a in range(0, len(langs), LANGUAGES_A_PASS):
+        some = langs[a : a + LANGUAGES_A_PASS]
+        part = train if len(some) == len(langs) else train.where(F.col("lang").isin(*some))
+        counts = ngram_counts(part, some, orders, buckets).reshape(len(orders), buckets, len(some)).astype(np.float64)
+        log_prob[:, a : a + len(some)] = (np.log(counts + alpha) - np.log(counts.sum(axis=1, keepdims=True) + alpha * buckets)).reshape(-1, len(some))
+    n = np.array([by_lang[x] for x in langs], dtype=np.float64)
+    model = LanguageModel(langs, log_prob, np.log(n / n.sum()), orders, buckets)
+    return replace(model, least=least_familiar(train, model)) if familiar else model
+
+
+def ngram_counts(train: DataFrame, langs: tuple[str, ...], orders: tuple[int, ...], buckets: int) -> np.ndarray:
+    """How often the n-grams of each slot stand in the texts of each of these languages."""
     size = len(orders) * buckets * len(langs)
     code = {x: i for i, x in enumerate(langs)}
 
@@ -106,11 +120,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[i
                     np.add.at(table, slots * len(langs) + labels[rows], 1) if len(slots) < 4096 else table.__iadd__(np.bincount(slots * len(langs) + labels[rows], minlength=size))
         yield from table_blocks(table)
 
-    counts = gather_table(train.mapInArrow(count, BLOCK_SCHEMA), size).reshape(len(orders), buckets, len(langs)).astype(np.float64)
-    log_prob = np.log(counts + alpha) - np.log(counts.sum(axis=1, keepdims=True) + alpha * buckets)
-    n = np.array([by_lang[x] for x in langs], dtype=np.float64)
-    model = LanguageModel(langs, log_prob.reshape(-1, len(langs)).astype(np.float32), np.log(n / n.sum()), orders, buckets)
-    return replace(model, least=least_familiar(train, model)) if familiar else model
+    return gather_table(train.mapInArrow(count, BLOCK_SCHEMA), size)
 
 
 def least_familiar(train: DataFrame, model: LanguageModel) -> np.ndarray:
@@ -139,11 +149,13 @@ def totals(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarr
     """Of each text the log-probability with each language, its n-grams, and whether it has a letter."""
     grams, has_letter = ngrams(texts, model.orders, model.buckets)
     total, n = np.tile(model.log_prior, (len(texts), 1)), np.zeros(len(texts), dtype=np.int64)
+    step = max(1, GATHERED // len(model.langs))
     for slots, rows in grams:
-        if len(rows):
-            firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            total[rows[firsts]] += np.add.reduceat(model.log_prob[slots], firsts, axis=0, dtype=np.float64)
-            n += np.bincount(rows, minlength=len(texts))
+        for a in range(0, len(rows), step):
+            here = rows[a : a + step]
+            firsts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+            total[here[firsts]] += np.add.reduceat(model.log_prob[slots[a : a + step]], firsts, axis=0, dtype=np.float64)
+        n += np.bincount(rows, minlength=len(texts))
     return total, n, has_letter
 
 
