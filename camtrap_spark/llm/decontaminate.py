@@ -3,8 +3,8 @@
 A test item of m characters may differ from a passage by k = floor(rate * m) edits. It is split into k + 1
 pieces; a passage within k edits holds at least one piece unchanged. One automaton finds all pieces of all items
 in each document; the text around a hit is verified with Myers' bit-parallel distance. Texts and items are
-lower-cased and runs of white space become one space. Items shorter than `least_chars` are too short for edits: they
-are found where they stand unchanged as whole words.
+lower-cased and runs of white space become one space. Items that the rate allows no edit (of less than 1 / rate
+characters) are found where they stand unchanged as whole words.
 
 The items are taken in blocks of a bounded number of characters, each broadcast by itself, so that a benchmark
 of any size works with one block on the driver at a time; documents are never collected or shuffled.
@@ -28,7 +28,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import bound_batches, pieces
 
 RATE = 0.08
-LEAST_CHARS = 24
 BLOCK_CHARS = 4_000_000
 
 
@@ -77,9 +76,9 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """The pieces of a block of items; built once in each worker."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float, least_chars: int = LEAST_CHARS):
-        budget = [int(rate * len(text)) if len(text) >= least_chars else 0 for _, text in items]
-        self.items = [(key, text, k, masks_of(text), masks_of(text[::-1]), len(text) < least_chars) for (key, text), k in zip(items, budget)]
+    def __init__(self, items: list[tuple[object, str]], rate: float):
+        budget = [int(rate * len(text)) for _, text in items]
+        self.items = [(key, text, k, masks_of(text), masks_of(text[::-1])) for (key, text), k in zip(items, budget)]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text) in enumerate(items):
             for offset, piece in cut_item(text, budget[i]):
@@ -94,7 +93,7 @@ class Matcher:
         """Distance, start and end of the best passage of the window."""
         if (i, window) in self.seen:
             return self.seen[i, window]
-        _, text, _, masks, back, _ = self.items[i]
+        _, text, _, masks, back = self.items[i]
         exact = window.find(text)
         if exact >= 0:
             out = 0, exact, exact + len(text)
@@ -113,9 +112,9 @@ class Matcher:
         spans: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.automaton.iter(text):
             for i, offset in places:
-                key, item, k, _, _, short = self.items[i]
+                key, item, k, _, _ = self.items[i]
                 start = end + 1 - length - offset
-                if short:
+                if not k:
                     if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
                         best[key] = min(best.get(key, (1, 0, 0)), (0, start, end + 1))
                     continue
@@ -128,7 +127,7 @@ class Matcher:
                 else:
                     mine.append([low, high, start + k])
         for i, windows in spans.items():
-            key, item, k, _, _, _ = self.items[i]
+            key, item, k, _, _ = self.items[i]
             for low, high, _ in windows:
                 if high - low < len(item) - k:
                     continue
@@ -158,16 +157,16 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, block_chars: int) ->
 _matchers: dict[int, tuple[list, Matcher]] = {}
 
 
-def matcher_of(shared, rate: float, least_chars: int) -> Matcher:
+def matcher_of(shared, rate: float) -> Matcher:
     """The worker's matcher for this block; the block is kept with it, so that its id stays its own."""
     block = shared.value
     if id(block) not in _matchers:
         _matchers.clear()
-        _matchers[id(block)] = block, Matcher(block, rate, least_chars)
+        _matchers[id(block)] = block, Matcher(block, rate)
     return _matchers[id(block)][1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item found in it: key, item_id, distance, start and end in the normalised text."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
@@ -178,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher, item_ids = matcher_of(shared, rate, least_chars), to_arrow_type(item_type)
+            matcher, item_ids = matcher_of(shared, rate), to_arrow_type(item_type)
             for batch in batches:
                 for part in pieces(batch, "text"):
                     at, found = [], []
@@ -194,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; rows without text stay."""
     bound_batches(docs.sparkSession)
     out = docs
@@ -202,7 +201,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: floa
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = matcher_of(shared, rate, least_chars)
+            matcher = matcher_of(shared, rate)
             for batch in batches:
                 for part in pieces(batch, text):
                     yield part.filter(pa.array([t is None or not matcher.match(t) for t in part.column(text).to_pylist()], pa.bool_()))
