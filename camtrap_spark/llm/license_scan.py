@@ -4,8 +4,9 @@ The index holds, for each word of the licence templates, the templates and posit
 pass over all documents counts in how many each such word occurs. A second pass looks up every document's licence
 words of high inverse document frequency, all of them, and turns each occurrence into votes for (template, start).
 A start on which the postings of several words meet, within a slack of a twentieth of the template, is verified: its
-mandatory phrases must stand there, and `least` of the template's words at about their places. Phrases given as `base`
-are found at every place besides.
+mandatory phrases must stand there, and `least` of the template's words at about their places. In short notices a
+phrase with a negation among the `NEGATED` words before it does not count. Phrases given as `base` are found at every
+place besides, negated or not.
 
 Defined results: a null text counts as empty; empty texts give zero counts, null positions, empty labels and
 score 0.0. Repeated rows are scanned row by row. Several starts of one template count as one; of several the highest
@@ -99,8 +100,47 @@ TEMPLATES = [
     ("zlib", ZLIB_TERMS, ["must not be misrepresented"]),
     ("bsl-1", BOOST_GRANT, ["any person or organization obtaining a copy"]),
     ("unlicense", UNLICENSE, ["free and unencumbered software"]),
+    ("mit", "The MIT License (MIT)", ["the mit license mit"]),
+    ("apache-2", "Apache License Version 2.0, January 2004", ["apache license version 2 0 january 2004"]),
+    ("gpl-3", "GNU General Public License Version 3, 29 June 2007", ["gnu general public license version 3 29 june 2007"]),
+    ("gpl-2", "GNU General Public License Version 2, June 1991", ["gnu general public license version 2 june 1991"]),
+    ("lgpl-3", "GNU Lesser General Public License Version 3, 29 June 2007", ["gnu lesser general public license version 3 29 june 2007"]),
+    ("lgpl-2.1", "GNU Lesser General Public License Version 2.1, February 1999", ["gnu lesser general public license version 2 1 february 1999"]),
+    ("agpl-3", "GNU Affero General Public License Version 3, 19 November 2007", ["gnu affero general public license version 3 19 november 2007"]),
+    ("mpl-2", "Mozilla Public License Version 2.0", ["mozilla public license version 2"]),
+    ("epl-2", "Eclipse Public License - v 2.0", ["eclipse public license v 2"]),
 ]
 
+# Public licence identifiers, without "-only" and "-or-later", and their labels.
+IDENTIFIERS = {
+    "MIT": "mit",
+    "Apache-2.0": "apache-2",
+    "GPL-3.0": "gpl-3",
+    "GPL-2.0": "gpl-2",
+    "LGPL-3.0": "lgpl-3",
+    "LGPL-2.1": "lgpl-2.1",
+    "AGPL-3.0": "agpl-3",
+    "CC-BY-NC-4.0": "cc-by-nc",
+    "CC-BY-SA-4.0": "cc-by-sa",
+    "CC-BY-4.0": "cc-by",
+    "CC0-1.0": "cc0",
+    "BSD-2-Clause": "bsd-2-clause",
+    "BSD-3-Clause": "bsd-3-clause",
+    "MPL-2.0": "mpl-2",
+    "EPL-2.0": "epl-2",
+    "ISC": "isc",
+    "0BSD": "0bsd",
+    "Zlib": "zlib",
+    "BSL-1.0": "bsl-1",
+    "Unlicense": "unlicense",
+}
+TEMPLATES += [(label, f"SPDX-License-Identifier: {name}", [f"spdx license identifier {name}"]) for name, label in IDENTIFIERS.items()]
+
+# Words that negate what follows (of "isn't" and its like the part behind the apostrophe).
+NEGATIONS = ["not", "never", "neither", "nor", "t"]
+#: How many words before a phrase are looked at for a negation, and the longest template, in words, in which they are.
+NEGATED, NOTICE_WORDS = 4, 16
+
 
 def word_hashes(text: str) -> np.ndarray:
     data, offsets = utf8(pa.array([text]))
@@ -113,19 +153,20 @@ class LicenseIndex:
     vocabulary: np.ndarray  # sorted hashes of the templates' and phrases' words
     base: tuple[tuple[tuple[int, ...], str], ...]
     templates: tuple[tuple[str, np.ndarray, tuple[np.ndarray, ...]], ...]
+    negations: np.ndarray
     postings: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
 
     @staticmethod
     def build(templates=TEMPLATES, base=BASE_PHRASES) -> LicenseIndex:
-        texts = [t for _, t, _ in templates] + [k for _, _, ks in templates for k in ks] + list(base)
-        vocabulary = np.unique(np.concatenate([word_hashes(t) for t in texts])) if texts else np.zeros(0, np.uint64)
+        texts = [t for _, t, _ in templates] + [k for _, _, ks in templates for k in ks] + list(base) + NEGATIONS
+        vocabulary = np.unique(np.concatenate([word_hashes(t) for t in texts]))
         ids = lambda t: np.searchsorted(vocabulary, word_hashes(t))
         made = tuple((label, ids(t), tuple(ids(k) for k in ks)) for label, t, ks in templates)
         postings = defaultdict(list)
         for at, (_, body, _) in enumerate(made):
             for pos, word in enumerate(body.tolist()):
                 postings[word].append((at, pos))
-        return LicenseIndex(vocabulary, tuple((tuple(ids(p).tolist()), label) for p, label in base.items()), made, dict(postings))
+        return LicenseIndex(vocabulary, tuple((tuple(ids(p).tolist()), label) for p, label in base.items()), made, ids(" ".join(NEGATIONS)), dict(postings))
 
 
 def licence_words(part: pa.RecordBatch, vocabulary: np.ndarray):
@@ -178,6 +219,12 @@ def slack_of(length: int) -> int:
     return max(2, length // 20)
 
 
+def negated(ids: np.ndarray, row: np.ndarray, place: int, index: LicenseIndex) -> bool:
+    """Whether a negation is among the words before this one."""
+    before = slice(max(0, place - NEGATED), place)
+    return bool(np.isin(ids[before][row[before] == row[place]], index.negations).any())
+
+
 def matches(ids: np.ndarray, row: np.ndarray, index: LicenseIndex, rare: np.ndarray, least: float):
     """(row, label, share of the template's words that stand about where they should) of each verified start."""
     at = np.flatnonzero(ids >= 0)
@@ -199,7 +246,10 @@ def matches(ids: np.ndarray, row: np.ndarray, index: LicenseIndex, rare: np.ndar
                 continue
             low, high = max(0, start - slack), max(0, min(len(ids), start + len(body) + slack))
             inside = np.where(row[low:high] == r, ids[low:high], -1)
-            if any(not len(phrase_places(inside, np.zeros(len(inside), np.int8), k)) for k in keys):
+            places = [phrase_places(inside, np.zeros(len(inside), np.int8), k) + low for k in keys]
+            if len(body) <= NOTICE_WORDS:
+                places = [[p for p in ps.tolist() if not negated(ids, row, p, index)] for ps in places]
+            if not all(len(ps) for ps in places):
                 continue
             padded = np.full(len(body) + 2 * slack, -1)
             padded[low - start + slack : low - start + slack + len(inside)] = inside

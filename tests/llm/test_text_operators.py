@@ -93,6 +93,26 @@ def test_language_ties_repeats_and_long_texts(spark):
     assert [r.lang_pred for r in got] == ["en", "de"] and all(r.score > 0.99 for r in got)
 
 
+def test_many_languages(spark, monkeypatch):
+    rng = random.Random(5)
+    words = {f"l{i:03}": ["".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(5)) for _ in range(4)] for i in range(300)}
+    rows = spark.createDataFrame([(k, " ".join(rng.choices(words[lang], k=6)), lang) for k, lang in enumerate(sorted(words) * 2)], DOCS)
+    model = language_id.fit(rows, buckets=1 << 12)
+    assert len(model.langs) == 300 and model.log_prob.shape == (3 << 12, 300)
+    got = language_id.predict(rows, model).join(rows, "doc_id")
+    assert got.where("lang_pred = lang").count() == got.count() == 600
+    monkeypatch.setattr(language_id, "LANGUAGES_A_PASS", 7)
+    few = rows.where("lang < 'l030'")
+    small = language_id.fit(few, buckets=64)
+    monkeypatch.setattr(language_id, "LANGUAGES_A_PASS", 64)
+    monkeypatch.setattr(language_id, "GATHERED", 30 * 4)
+    assert np.array_equal(small.log_prob, language_id.fit(few, buckets=64).log_prob)
+    texts = [r.text for r in few.collect()]
+    pieces = language_id.totals(texts, small)[0]
+    monkeypatch.setattr(language_id, "GATHERED", 1 << 24)
+    assert pieces == pytest.approx(language_id.totals(texts, small)[0], rel=1e-9)
+
+
 def test_language_query_is_accurate_on_held_out_documents(spark):
     got = queries()["op2_language_id"](spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -270,8 +290,10 @@ def brute_labels(text, rare):
                 continue
             if len({w for i, w in enumerate(body) if w in rare and w in here[i]}) < needed:
                 continue
-            part = words[max(0, start - slack) : max(0, start + len(body) + slack)]
-            if all(any(part[j : j + len(k)] == k for j in range(len(part))) for k in map(words_of, keys)) and sum(w in here[i] for i, w in enumerate(body)) >= 0.6 * len(body):
+            low, high = max(0, start - slack), max(0, start + len(body) + slack)
+            part = words[low:high]
+            plain = lambda j: len(body) > license_scan.NOTICE_WORDS or not set(words[max(0, low + j - license_scan.NEGATED) : low + j]) & set(license_scan.NEGATIONS)
+            if all(any(part[j : j + len(k)] == k and plain(j) for j in range(len(part))) for k in map(words_of, keys)) and sum(w in here[i] for i, w in enumerate(body)) >= 0.6 * len(body):
                 labels.add(label)
     return labels
 
@@ -283,7 +305,7 @@ def test_license_labels_equal_brute_force(spark):
         words = " ".join(t for _, t, _ in rng.sample(license_scan.TEMPLATES, rng.randint(1, 3))).split()
         for _ in range(rng.choice([0, 1, 3, 10, 40])):  # words lost, added and changed
             at = rng.randrange(len(words))
-            words[at : at + rng.randint(0, 1)] = rng.choice([[], ["software"], ["word"], ["the", "license"]])
+            words[at : at + rng.randint(0, 1)] = rng.choice([[], ["software"], ["word"], ["not"], ["the", "license"]])
             words = words or ["word"]
         texts.append("some words before " * rng.randint(0, 3) + " ".join(words))
     texts += ["", None, "the license of the software", "word " * 30_000 + texts[0]]
@@ -292,7 +314,7 @@ def test_license_labels_equal_brute_force(spark):
     got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in license_scan.scan(docs).collect()}
     frequency, n = license_scan.document_frequency(docs, index)
     is_rare = lambda w: frequency[np.searchsorted(index.vocabulary, license_scan.word_hashes(w)[0])] <= 0.1 * n
-    every = {w.lower() for _, t, _ in license_scan.TEMPLATES for w in re.findall(r"[A-Za-z0-9]+", t)}
+    every = set(license_scan.NEGATIONS) | {w.lower() for _, t, _ in license_scan.TEMPLATES for w in re.findall(r"[A-Za-z0-9]+", t)}
     rare = {w for w in every if is_rare(w)}
     assert len(rare) == len(every)  # so that the words of phrases need no rule of their own
     for i, t in enumerate(texts[:-1]):
@@ -300,6 +322,27 @@ def test_license_labels_equal_brute_force(spark):
     assert got[len(texts) - 1] == got[0] and sum(map(bool, got.values())) > 30
 
 
+def test_license_headings_identifiers_and_negations(spark):
+    texts = {
+        "# SPDX-License-Identifier: Apache-2.0\nimport os": "apache-2",
+        "// spdx-license-identifier: GPL-3.0-or-later": "gpl-3",
+        "SPDX-License-Identifier: CC-BY-NC-4.0": "cc-by-nc",
+        "The MIT License (MIT)\n\nCopyright (c) someone": "mit",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies": "gpl-3",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": "lgpl-2.1",
+        "this work is not licensed under the GNU General Public License, version 3": "",
+        "This isn't licensed under the GNU General Public License, version 2": "",
+        "This isn't released under the MIT License.": "mit",  # a base label stays
+        "never licensed under the Apache License, Version 2.0": "apache-2",  # so it does here
+        "This is not lost. This work is licensed under the GNU General Public License, version 3": "gpl-3",
+        "not licensed under the GNU General Public License, version 3, as was said of an earlier release, but licensed under the GNU General Public License, version 2": "gpl-2",
+        "SPDX-License-Identifier: none of these": "",
+    }
+    got = license_scan.scan(documents(spark, *texts, *["other text of no licence"] * 200)).orderBy("doc_id").collect()
+    for text, row in zip(texts, got):
+        assert row.labels.replace("cc-by,cc-by-nc", "cc-by-nc") == texts[text], text
+
+
 def test_license_repeated_rows(spark):
     docs = documents(spark, LICENCES[11])
     assert [r.labels for r in license_scan.scan(docs.unionByName(docs)).collect()] == ["gpl-3"] * 2
@@ -385,6 +428,14 @@ def test_short_equal_and_repeated_items(spark):
         assert sorted(r.doc_id for r in decontaminate.remove(docs, bench, block_chars=block_chars).collect()) == [3]
 
 
+def test_the_rate_alone_gives_the_budget(spark):
+    item = "what is a mole?!"  # 16 characters: one edit
+    docs = documents(spark, "so: what is a mule?! yes", "what is a mule!", "xx What  is a\nmole?! xx", "what is a")
+    bench = spark.createDataFrame([(1, item), (2, "what is a mo")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(0, 1, 1), (2, 1, 0)]
+
+
 def brute_items(text, items):
     """Id and distance of every item within its budget: the whole table of edit distances, a row at a time."""
     t, found = decontaminate.normal(text or ""), {}
