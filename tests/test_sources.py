@@ -354,3 +354,61 @@ def test_hanging_calls_leave_the_others_results(spark):
     assert all(r.reply for r in got if not r.failure_kind)
     with pytest.raises(ValueError, match="concurrency"):
         score_images(rows, make_client, rate=5.0)
+
+
+def test_no_call_waits_for_another_ones_result():
+    paths = ["hang"] + [f"p{i}" for i in range(5000)]
+
+    def make():
+        def client(path):
+            if path == "hang":
+                time.sleep(5)
+            return path.upper()
+
+        return client
+
+    began, ends = time.monotonic(), {}
+    for place, reply, failure in Calls(make, CallPolicy(window=4, deadline=1.0)).as_they_end(iter(paths)):
+        ends[place] = time.monotonic() - began
+        assert failure.startswith("TimeoutError") if place == 0 else reply == paths[place].upper()
+    assert sorted(ends) == list(range(len(paths)))
+    assert max(end for place, end in ends.items() if place) < 0.9 and 1.0 <= ends[0] < 2.0
+
+
+@pytest.mark.parametrize("window", [1, 4])
+def test_a_call_of_no_time_makes_no_thread(window):
+    threads = set()
+
+    def make():
+        def client(path):
+            threads.add(threading.get_ident())
+            if path == "p5":
+                raise OSError("no")
+            return path
+
+        return client
+
+    got = list(Calls(make, CallPolicy(window=window)).run(f"p{i}" for i in range(3000)))
+    assert [r for r, _ in got] == [None if i == 5 else f"p{i}" for i in range(3000)] and got[5][1] == "OSError: no"
+    assert len(threads) <= window
+
+
+def test_late_replies_and_failing_makers():
+    def make():
+        def client(path):
+            time.sleep(0.3)
+            return path
+
+        return client
+
+    late = Calls(make, CallPolicy(window=1, deadline=0.1)).as_they_end(iter(["a", "b"]))
+    first = next(late)
+    time.sleep(0.5)  # the reader is away while the second call overruns its deadline
+    assert [first[0], *(r[0] for r in late)] == [0, 1] and first[2].startswith("TimeoutError")
+    assert [f for _, f in Calls(make, CallPolicy(window=1, deadline=0.1)).run(iter(["a", "b"]))] == ["TimeoutError: no reply within 0.1 seconds"] * 2
+
+    def broken():
+        raise OSError("no server")
+
+    for policy in (CallPolicy(window=1), CallPolicy(window=3, retries=1, backoff=0.01)):
+        assert list(Calls(broken, policy).run(iter("ab"))) == [(None, "OSError: no server")] * 2
