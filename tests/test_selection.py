@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from camtrap_spark import fixtures as fx
+from camtrap_spark import queries
 from camtrap_spark.functions.strata import preset
 from camtrap_spark.operators import selection
 from camtrap_spark.operators.order_stats import values_at
@@ -116,3 +117,36 @@ def test_stratified_takes_at_most_the_quotas(spark, name):
     assert len(rows) == 80
     for category, quota in config.quotas(80).items():
         assert sum(r.phase == 0 and r.category == category for r in rows) <= quota
+
+
+def test_detections_travel_once(spark):
+    """The view's rows are dealt out once, by image; a second time only the images that they are joined to."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fx.images(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("run", [lambda images: selectors.features_with_rarity(images, preset("v1")), lambda images: selectors.heuristic_scores(images)])
+def test_images_are_computed_once(spark, run):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    images = fx.images(spark, SMALL).repartition(2)
+    rows = images.count()
+    run(images.mapInArrow(count, images.schema)).collect()
+    assert seen.value == rows
+
+
+@pytest.mark.parametrize("name", ["unselected_sequences", "unselected_images", "fill_remaining", "selector_comparison", "rarity_lookup"])
+def test_queries_that_read_twice_keep(spark, name):
+    """What a query reads more than once is written before: no window over line items is left in its plan."""
+    plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
