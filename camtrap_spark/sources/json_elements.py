@@ -28,6 +28,8 @@ from .files import file_system
 
 RANGE_BYTES = 32 << 20
 CHUNK_BYTES = 1 << 20
+#: What is read at first beyond a range's end, for its last element.
+TAIL_BYTES = 1 << 14
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
 QUOTE, BACKSLASH, COMMA, COLON, OPEN_LIST, SPACES = ord('"'), ord("\\"), ord(","), ord(":"), ord("["), b" \t\r\n"
 #: Brackets count by their step in depth; commas and colons are structure without a step.
@@ -107,16 +109,19 @@ def change(document: str, start: int, end: int) -> tuple[bool, int, int]:
 class Walk:
     """The structure around the array from a range's begin on: chunks with the marks that matter."""
 
-    def __init__(self, file, start: int, in_string: bool, depth: int, key: str | None):
-        self.file, self.at, self.in_string, self.depth, self.key = file, start, in_string, depth, key
+    def __init__(self, file, start: int, end: int, in_string: bool, depth: int, key: str | None):
+        self.file, self.at, self.end, self.in_string, self.depth, self.key = file, start, end, in_string, depth, key
         self.level = 1 if key is None else 2  # how deep the elements are
 
     def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Place of the chunk, its bytes, places of marks in it, and their characters."""
-        escaped = escaped_at(self.file, self.at)
+        escaped, beyond = escaped_at(self.file, self.at), TAIL_BYTES
         while True:
+            size = min(CHUNK_BYTES, self.end - self.at)
+            if size <= 0:
+                size, beyond = min(CHUNK_BYTES, beyond), 2 * beyond
             self.file.seek(self.at)  # a look at a key moves the file
-            data = np.frombuffer(self.file.read(CHUNK_BYTES), np.uint8)
+            data = np.frombuffer(self.file.read(size), np.uint8)
             if not len(data):
                 return
             quotes, places, odd, escaped = marks(data, escaped)
@@ -162,7 +167,7 @@ def count(document: str, start: int, end: int, in_string: bool, depth: int, key:
     with open_document(document) as file:
         if start == 0 and key is None and file.read(1 << 16).lstrip(b"\xef\xbb\xbf" + SPACES)[:1] != b"[":
             raise ValueError(f"a JSON array is expected: {document}")
-        walk = Walk(file, start, in_string, depth, key)
+        walk = Walk(file, start, end, in_string, depth, key)
         for at, _, places, chars in walk:
             inside = places + at < end
             places, chars = places[inside], chars[inside]
@@ -193,7 +198,7 @@ def count(document: str, start: int, end: int, in_string: bool, depth: int, key:
 def elements(document: str, start: int, end: int, in_string: bool, depth: int, state: int, key: str | None) -> Iterator[bytes]:
     """The elements that begin in the range, each to its end."""
     with open_document(document) as file:
-        walk, begun = Walk(file, start, in_string, depth, key), None
+        walk, begun = Walk(file, start, end, in_string, depth, key), None
         for at, data, places, chars in walk:
             raw, last = data.tobytes(), 0
             for place, char in zip(places.tolist(), chars.tolist()):
@@ -260,8 +265,8 @@ def read_elements(spark: SparkSession, path: str, key: str | None = None, range_
     if not cut:
         return spark.createDataFrame([], "document string, ord long, element string")
     begin = OUTSIDE if key is not None else AFTER_KEY
-    # A range a task; of many small documents several.
-    tasks = min(len(cut), max(spark.sparkContext.defaultParallelism, -(-sum(length for _, length in files) // range_bytes)))
+    # Four tasks a core, and enough for the bytes; small ranges, or those of many small documents, share one.
+    tasks = min(len(cut), max(4 * spark.sparkContext.defaultParallelism, -(-sum(length for _, length in files) // max(range_bytes, RANGE_BYTES))))
 
     def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -412,3 +412,18 @@ def test_late_replies_and_failing_makers():
 
     for policy in (CallPolicy(window=1), CallPolicy(window=3, retries=1, backoff=0.01)):
         assert list(Calls(broken, policy).run(iter("ab"))) == [(None, "OSError: no server")] * 2
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"images": [{"a": "x" * 40, "b": i} for i in range(500)]}))
+    read = json_elements.read_elements(spark, str(tmp_path / "s.json"), "images", 50)
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism  # of some 600 ranges
+    assert [json.loads(r.element)["b"] for r in read.orderBy("ord").collect()] == list(range(500))
+
+
+def test_little_is_read_beyond_a_range(tmp_path):
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"images": [{"a": "x" * 40, "b": i} for i in range(50_000)]}))
+    with json_elements.open_document(str(path)) as file:
+        seen = list(json_elements.Walk(file, 0, 1000, False, 0, "images"))
+        assert len(seen[0][1]) == 1000 and len(seen[1][1]) == json_elements.TAIL_BYTES
