@@ -150,3 +150,46 @@ def test_queries_that_read_twice_keep(spark, name):
     """What a query reads more than once is written before: no window over line items is left in its plan."""
     plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_many_line_items_are_dealt_over_more_tasks(spark, monkeypatch):
+    """The rows that a task sorts are bounded by number, not by the session's shuffle partitions."""
+    monkeypatch.setattr(fx, "ROWS_A_TASK", 500, raising=False)
+    few = fx.detections(spark, SMALL)
+    sizes = [r["count"] for r in few.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == fx.table(spark, SMALL, "lineitem").count() and max(sizes) < 1000
+    nested = lambda: {r.image_ord: r for r in fx.images(spark, SMALL).collect()}
+    found = nested()
+    monkeypatch.setattr(fx, "ROWS_A_TASK", 10**9, raising=False)
+    assert found == nested()
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    """Nothing is broadcast for its size alone, as where all tables are large."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_groups_stay_where_they_are_for_what_is_selected(spark, no_small_tables, strict):
+    """The selected rows travel to the groups, which are many more."""
+    rows = [("high_action", f"s{i}", f"f{i}", i, 1 - i / 100) for i in range(20)] + [("high_action", None, "n", 90, 0.5)]
+    groups = selection.best_per_sequence(spark.createDataFrame(rows, GROUP))
+    for found in (selection.unselected_sequences(groups, groups.limit(3)), selection.unselected_images(groups, groups.limit(3)), selection.fill_remaining(groups, groups.limit(3), 10, True, strict)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 1 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_no_species_travel_to_the_metadata(spark, no_small_tables):
+    """Rare species are marked below the join, which gets the mark alone."""
+    config = preset("sequence", score_scale=6)
+    rows = selectors.candidates(selectors.features_with_rarity(fx.images(spark, SMALL), config, fx.metadata(spark, SMALL)), config)
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join Inner" in line and "file_name" in line)
+    assert not any("arrays_overlap" in line or "species_list" in line for line in lines[:join])
+    assert any("arrays_overlap" in line for line in lines[join:])
