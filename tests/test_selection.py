@@ -193,3 +193,46 @@ def test_no_species_travel_to_the_metadata(spark, no_small_tables):
     join = next(i for i, line in enumerate(lines) if "Join Inner" in line and "file_name" in line)
     assert not any("arrays_overlap" in line or "species_list" in line for line in lines[:join])
     assert any("arrays_overlap" in line for line in lines[join:])
+
+
+def exchanged(df):
+    """The columns that each shuffle of a plan moves."""
+    todo, found = [df._jdf.queryExecution().executedPlan().initialPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_a_selection_moves_no_features(spark, no_small_tables, monkeypatch):
+    """Neither the join with the metadata nor the best of each burst moves features; the picks get them from the images."""
+    seen = []
+    monkeypatch.setattr(selection, "best_per_sequence", lambda rows, best=selection.best_per_sequence: (seen.append(best(rows)), seen[-1])[1])
+    picked = selectors.select_sequence_aware(fx.images(spark, SMALL), fx.metadata(spark, SMALL), 100, preset("sequence", score_scale=6))
+    assert seen[0].columns[-2:] == ["sequence_size", "group_ord"] and not {"max_size", "centrality", "num_species"} & set(seen[0].columns)
+    moved = exchanged(seen[0])
+    assert len(moved) >= 3 and not any("max_size" in columns for columns in moved)
+    features = {r.file: r for r in selectors.features_with_rarity(fx.images(spark, SMALL), preset("sequence")).collect()}
+    rows = picked.collect()
+    assert len(rows) == 100
+    for r in rows:
+        f = features[r.file]
+        assert all(r[c] == f[c] for c in ("image_ord", "num_animals", "max_size", "avg_size", "max_confidence", "avg_confidence", "centrality", "num_species", "has_rare_species"))
+
+
+def test_features_are_those_of_the_picked_row(spark):
+    """Images of one number in two documents are told apart by their paths; other columns of the images stay."""
+    box = lambda w: [("1", 0.9, [0.0, 0.0, w, 0.5], [])]
+    schema = "file string, image_ord long, detections array<struct<category:string,conf:double,bbox:array<double>,classifications:array<struct<species_id:string,conf:double>>>>, note string"
+    images = spark.createDataFrame([("a", 0, box(0.5), "x"), ("b", 0, box(0.6), "y"), ("c", None, box(0.7), "z"), ("d", 1, None, "w")], schema)
+    metadata = spark.createDataFrame([(f, f"s{f}", 0) for f in "abcd"], "file_name string, seq_id string, frame_num int")
+    rows = selectors.select_sequence_aware(images, metadata, 10, preset("sequence")).collect()
+    assert {(r.file, r.image_ord, r.seq_id, r.note, round(r.max_size, 6)) for r in rows} == {("a", 0, "sa", "x", 0.25), ("b", 0, "sb", "y", 0.3), ("c", None, "sc", "z", 0.35)}
+
+
+def test_metadata_deals_out_no_names(spark, no_small_tables):
+    """The view's windows get the table's own columns; names are computed after they are dealt out."""
+    moved = exchanged(fx.metadata(spark, SMALL))
+    assert moved == [{"o_orderkey", "o_custkey"}]
