@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from camtrap_spark import fixtures as fx
 from camtrap_spark import queries
 from camtrap_spark.functions.strata import preset
-from camtrap_spark.operators import selection
+from camtrap_spark.operators import profile, selection
 from camtrap_spark.operators.order_stats import values_at
 from camtrap_spark.plans import selectors
 
@@ -236,3 +236,12 @@ def test_metadata_deals_out_no_names(spark, no_small_tables):
     """The view's windows get the table's own columns; names are computed after they are dealt out."""
     moved = exchanged(fx.metadata(spark, SMALL))
     assert moved == [{"o_orderkey", "o_custkey"}]
+
+
+def test_category_distribution_reads_the_selection_once(spark, tmp_path):
+    """The total comes from the counts; the selection is not computed for it again."""
+    spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "category string").write.parquet(str(tmp_path / "rows"))
+    found = profile.category_distribution(spark.read.parquet(str(tmp_path / "rows")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert {(r.category, r.n, r.percent) for r in found.collect()} == {("a", 2, 50.0), ("b", 1, 25.0), (None, 1, 25.0)}
+    assert profile.category_distribution(spark.read.parquet(str(tmp_path / "rows")).limit(0)).count() == 0
