@@ -245,3 +245,17 @@ def test_category_distribution_reads_the_selection_once(spark, tmp_path):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert {(r.category, r.n, r.percent) for r in found.collect()} == {("a", 2, 50.0), ("b", 1, 25.0), (None, 1, 25.0)}
     assert profile.category_distribution(spark.read.parquet(str(tmp_path / "rows")).limit(0)).count() == 0
+
+
+def test_metadata_are_not_sent_through_the_driver(spark):
+    """They are as many as the images, however small their file is estimated to be: a selection deals both out at every size."""
+    config = preset("sequence", score_scale=6)
+    for rows in (
+        selection.join_sequences(fx.image_list(spark, SMALL), fx.metadata(spark, SMALL)),
+        selectors.burst_candidates(fx.images(spark, SMALL), fx.metadata(spark, SMALL), config),
+    ):
+        plan = rows._jdf.queryExecution().executedPlan().initialPlan().toString()
+        assert "SortMergeJoin [file" in plan and not any("BroadcastHashJoin [file" in line for line in plan.splitlines())
+    files = {r.file for r in fx.image_list(spark, SMALL).collect()}
+    found = selection.join_sequences(fx.image_list(spark, SMALL), fx.metadata(spark, SMALL)).select("file").collect()
+    assert len(found) == fx.metadata(spark, SMALL).count() < len(files) and {r.file for r in found} < files
